@@ -175,5 +175,6 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     found = find_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = F.filter("secret_spans", lambda s: s["kind"] < len(PATTERNS))
-    counts = [F.size(F.filter("secret_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{p[0]}") for k, p in enumerate(PATTERNS)]
+    of_kind = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{p[0]}") for k, p in enumerate(PATTERNS)]
     return found.select("doc_id", *counts, F.sha2(write(base), 256).alias("base_sha256"), write(F.col("secret_spans")).alias("spans"))

@@ -129,6 +129,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, per_c
     return texts.join(F.broadcast(chosen), "id").select(F.col("id").alias("doc_id"), "text", "toxic")
 
 
+def _stems(words: Column, size: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
+
+
 def learn(rows: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6, 7), ratio: float = 12.0, rounds: int = 3) -> Lexicon:
     """Add to the fixed lists the words and stems that mark toxic texts in the labelled ``rows``.
 
@@ -141,10 +145,7 @@ def learn(rows: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6, 7), ratio: floa
     rows = cut(rows)
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+"))
     words = F.filter(words, lambda w: F.length(w) >= 3)
-    stems = [
-        F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*")))
-        for n in prefixes
-    ]
+    stems = [_stems(words, n) for n in prefixes]
     keys = F.array_distinct(F.concat(words, *stems))
     lexicon, left = Lexicon.fixed(), rows
     for _ in range(rounds):
