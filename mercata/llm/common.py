@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -32,27 +33,46 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest member reachable over the links x-y, for each of the members 0..n-1."""
+    root = np.arange(n)
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (before == root).all() and (root[x] == root[y]).all():
+            break
+    return root
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, component), component = smallest node.
 
-    Labels spread along edges and then jump to their label's label, so rounds grow with the
-    logarithm of the longest path. Every round's labels are written to the shared folder. Self
-    loops are kept as isolated nodes, repeated edges are harmless, null ends are left out.
+    Each round hooks every node to its smallest neighbour, follows the hooks two steps, and contracts the
+    edges to the labels; edges inside a label and repeated ones go, so dense groups shrink at once. What a round
+    leaves is written to the shared folder. Self loops are kept as isolated nodes, repeated edges are harmless, null ends are left out.
     """
-    links = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a"))
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
+    left = cut(
+        edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    found = None
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        spread = labels.join(near, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("mid")
-        )
-        hop = labels.select(F.col("node").alias("mid"), F.col("component").alias("hop"))
-        after = cut(spread.join(hop, "mid").select("node", F.least("mid", "hop").alias("component"), "old"))
-        labels = after.select("node", "component")
-        if after.where("component <> old").isEmpty():
-            return labels
+        ends = left.select("a", "b").union(left.select("b", "a"))
+        hooks = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("to"))
+        hooks = cut(hooks)
+        up = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        labels = cut(hooks.join(up, "to").select("node", F.least("to", "further").alias("component")))
+        if found is None:
+            found = labels
+        else:
+            again = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            found = cut(found.join(again, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        by = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+        to = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+        moved = left.join(by, "a").join(to, "b").where("la <> lb")
+        left = cut(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        if left.isEmpty():
+            return found

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, forest, small_batches
 
 #: Two fingerprints at ``bits`` differing bits agree in at least ``8 - bits`` of their 8 bytes.
 BYTES = 8
@@ -112,32 +112,53 @@ def near_pairs(distinct: DataFrame, bits: int = MAX_BITS, hot: int = 256) -> Dat
                 if ok.any():
                     yield fp[x[ok]], fp[x[ok] + shift]
 
-        def batch_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            got = list(pairs)
-            if got:
-                a, b = (np.concatenate([p[i] for p in got]) for i in (0, 1))
-                is_hot = b == np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(is_hot)], ["a", "b", "hot"]
-                )
-
-        for batch in batches:
-            c = np.concatenate((held_c, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
-            fp = np.concatenate((held_fp, batch.column(2).to_numpy(zero_copy_only=False)))
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def batch(a: np.ndarray, b: np.ndarray, is_hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_hot))], ["a", "b", "hot"])
+
+        def spanning() -> pa.RecordBatch:
+            nonlocal count
+            nodes, places = np.unique(np.concatenate([p[i] for i in (0, 1) for p in waiting]), return_inverse=True)
+            root = forest(len(nodes), places[:count], places[count:])
+            own = root != np.arange(len(nodes))
+            waiting.clear()
+            count = 0
+            return batch(nodes[own], nodes[root[own]], False)
+
+        def take(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            """Members of hot lists at once; pairs as a spanning forest whenever half a million wait."""
+            nonlocal count
+            for a, b in pairs:
+                if b[0] == np.iinfo(np.int64).min:
+                    yield batch(a, b, True)
+                else:
+                    waiting.append((a, b))
+                    count += len(a)
+                if count > 500_000:
+                    yield spanning()
+
+        none = np.empty(0, np.int64)
+        for got in batches:
+            c = np.concatenate((held_c, got.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            fp = np.concatenate((held_fp, got.column(2).to_numpy(zero_copy_only=False)))
             last = (c[-1], fp[-1] & mask_array[c[-1]])
             start = len(c)
             while start and (c[start - 1], fp[start - 1] & mask_array[c[start - 1]]) == last:
                 start -= 1
             if start:
-                yield from batch_of(links(c[:start], fp[:start]))
+                yield from take(links(c[:start], fp[:start]))
                 flowing = flowing if flowing == last else None
             held_c, held_fp = c[start:], fp[start:]
-            if len(held_c) > hot:  # an open list that is hot already flows on
+            if len(held_c) > hot or len(held_c) and flowing == last:  # an open list that is hot already flows on
                 flowing = last
-                yield from batch_of(links(held_c, held_fp))
-                held_c, held_fp = held_c[:0], held_fp[:0]
+                yield from take(links(held_c, held_fp))
+                held_c, held_fp = none, none
         if len(held_c):
-            yield from batch_of(links(held_c, held_fp))
+            yield from take(links(held_c, held_fp))
+        if count:
+            yield spanning()
 
     found = cut(listed.mapInArrow(work, "a long, b long, hot boolean"))
     pairs = found.where("NOT hot").select("a", "b")

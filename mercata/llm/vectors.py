@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut
+from .common import components, cut, forest
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -17,21 +17,6 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest member reachable in the graph of links x-y, for members 0..n-1."""
-    root = np.arange(n)
-    while len(x):
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (before == root).all() and (root[x] == root[y]).all():
-            break
-    return root
-
-
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -177,7 +162,7 @@ def near_vectors(
                 np.add.at(links, q, weight[p])
                 found.append((p, q))
         p, q = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
-        root = _forest(len(pdf), p, q)
+        root = forest(len(pdf), p, q)
         keep = links > 0
         return pd.DataFrame({"rep": rep[keep], "root": rep[root[keep]], "links": links[keep]})
 
