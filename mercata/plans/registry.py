@@ -12,7 +12,7 @@ from mercata.sources.star import Star
 from .oracle import LAYERS
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("layers",)
+MODULES = ("layers", "library", "bi", "analytics", "forecasting")
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -30,6 +30,11 @@ def register(key: str, sql: str | None = None):
     return add
 
 
+def alias(key: str, of: str) -> None:
+    """The same query under a second key of the inventory."""
+    QUERIES[key], ORACLE[key] = QUERIES[of], ORACLE[of]
+
+
 def _load() -> None:
     for name in MODULES:
         import_module(f"mercata.plans.{name}")
