@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from mercata.functions.errors import mae, smape_eps, smape_row
 
 SERIES = ["product_id", "region_id"]
-BY_SERIES = W.partitionBy(*SERIES).orderBy("date")
 NUMERIC = ["lag_1", "lag_7", "lag_28", "roll7", "roll28", "qty_roll7", "qty_roll28", "dow", "month", "is_weekend", "price"]
 ENCODED = {"payment_type": "payment_type_te", "product_category_name": "category_te"}
 FEATURES = [*NUMERIC, *ENCODED.values()]
 
 
+def by_series():
+    return W.partitionBy(*SERIES).orderBy("date")
+
+
 def daily_series(items: DataFrame, orders: DataFrame, customers: DataFrame, products: DataFrame, product_key: str = "product_id") -> DataFrame:
     """Day by product and state: revenue (price and freight), items sold, average price, and the payment type and category of the smallest order id.
 
@@ -46,8 +49,8 @@ def features(daily: DataFrame, mode: str = "row", exclude_current: bool = False)
     day = F.datediff("date", F.lit("1970-01-01"))
     last = -1 if exclude_current else 0
     if mode == "row":
-        lag = lambda n: F.lag("revenue", n).over(BY_SERIES)
-        frame = lambda n: BY_SERIES.rowsBetween(last - n + 1, last)
+        lag = lambda n: F.lag("revenue", n).over(by_series())
+        frame = lambda n: by_series().rowsBetween(last - n + 1, last)
     else:
         by_day = W.partitionBy(*SERIES).orderBy("_day")
         lag = lambda n: F.sum("revenue").over(by_day.rangeBetween(-n, -n))
@@ -105,10 +108,12 @@ def assembled(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
 
 def train_model(df: DataFrame, target: str = "y", kind: str = "gbt", trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42):
     """A regression on encoded features: boosted trees, or a linear model whose recursion is one SQL expression."""
-    rows = assembled(df).select("features", F.col(target).alias("label"))
-    if kind == "linear":
-        return LinearRegression(regParam=1e-3).fit(rows)
-    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(rows)
+    rows = assembled(df).select("features", F.col(target).alias("label")).persist()
+    linear, boosted = LinearRegression(regParam=1e-3), GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+    try:
+        return (linear if kind == "linear" else boosted).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -117,8 +122,11 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, folds: int = 5, kind: str = "linear", **options) -> DataFrame:
-    """Out-of-fold predictions (fold, y_true, yhat): each fold is predicted from all earlier days, encodings included."""
-    marked = time_folds(df, folds)
+    """Out-of-fold predictions (fold, y_true, yhat): each fold is predicted from all earlier days, encodings included.
+
+    Rows with a missing feature are left out before the days are dealt to folds.
+    """
+    marked = time_folds(df.na.drop(subset=NUMERIC), folds).persist()  # each fold reads it four times
     parts = []
     for k in range(1, folds + 1):
         past, test = marked.where(F.col("fold") < k), marked.where(F.col("fold") == k)

@@ -1,0 +1,31 @@
+"""Request-log analytics over (key, route, ts, duration, is_error); the grouped ones run alike on a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+
+def route_metrics(log: DataFrame) -> DataFrame:
+    return log.groupBy("route").agg(
+        F.count("*").alias("requests"), F.round(F.avg("duration"), 4).alias("avg_duration"), F.count_if("is_error").alias("errors")
+    )
+
+
+def summary(log: DataFrame) -> DataFrame:
+    return log.agg(
+        F.count("*").alias("requests"), F.count_if("is_error").alias("errors"),
+        F.round(100.0 * F.count_if("is_error") / F.nullif(F.count("*"), F.lit(0)), 2).alias("error_pct"), F.round(F.avg("duration"), 4).alias("avg_duration"),
+    )
+
+
+def over_quota(log: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+    """Requests that have over ``limit`` requests of their key within the ``seconds`` up to them; exactly ``seconds`` ago still counts."""
+    recent = W.partitionBy("key").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return log.withColumn("in_window", F.count("*").over(recent)).where(F.col("in_window") > limit)
+
+
+def sessions(log: DataFrame, gap: str = "2 hours") -> DataFrame:
+    """Runs of a key's requests with less than ``gap`` between them."""
+    stamped = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stamped.groupBy("key", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("requests"), F.max("ts").alias("last"))
+    return out.select("key", F.col("w.start").alias("start"), "last", "requests")

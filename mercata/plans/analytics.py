@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mercata.functions.predicates import capped, dual, half_open, in_list, in_months, last_months, month_bounds
 from mercata.operators import marts
@@ -37,7 +37,7 @@ def pred_month_bounds(s: Star) -> DataFrame:
 
 @register("pred_dual", f"SELECT {COUNTED}{RANGE}")
 def pred_dual(s: Star) -> DataFrame:
-    return counted(s.fact_order_item.withColumn("year_month", marts.MONTH).where(dual("year_month", "full_date", D0, D1)))
+    return counted(s.fact_order_item.withColumn("year_month", marts.month()).where(dual("year_month", "full_date", D0, D1)))
 
 
 @register("pred_last_n_months", f"SELECT {COUNTED} full_date >= DATE '1998-06-30' - INTERVAL 3 MONTH")
@@ -154,7 +154,12 @@ def agg_cond_pivot(s: Star) -> DataFrame:
     return s.fact_payment.groupBy("payment_type").agg(pick(1).alias("one"), pick(7).alias("seven"))
 
 
-MEASURES = {"orders": F.countDistinct("order_id"), "units": F.count("*"), "gmv": F.sum("price").cast("double")}
+
+
+def measures() -> dict[str, Column]:
+    return {"orders": F.countDistinct("order_id"), "units": F.count("*"), "gmv": F.sum("price").cast("double")}
+
+
 ROLL_MEASURES = "CAST(count(DISTINCT order_id) AS BIGINT) AS orders, CAST(count(*) AS BIGINT) AS units, CAST(sum(price) AS DOUBLE) AS gmv"
 ROLL_SQL = f"""
 WITH t AS (SELECT *, CAST(date_trunc('year', full_date) AS DATE) AS bucket FROM cat_items WHERE {PERIOD})
@@ -165,12 +170,12 @@ FROM t GROUP BY """
 
 @register("agg_rollup", ROLL_SQL + "ROLLUP (bucket, category, order_status)")
 def agg_rollup(s: Star) -> DataFrame:
-    return cube_query(period(s.items_by_category), "full_date", "year", ["category", "order_status"], MEASURES, mode="rollup")
+    return cube_query(period(s.items_by_category), "full_date", "year", ["category", "order_status"], measures(), mode="rollup")
 
 
 @register("agg_grouping_sets", ROLL_SQL + "GROUPING SETS ((bucket, category, order_status), (bucket, category), (bucket), ())")
 def agg_grouping_sets(s: Star) -> DataFrame:
-    return cube_query(period(s.items_by_category), "full_date", "year", ["category", "order_status"], MEASURES, mode="sets")
+    return cube_query(period(s.items_by_category), "full_date", "year", ["category", "order_status"], measures(), mode="sets")
 
 
 @register(
@@ -180,7 +185,7 @@ def agg_grouping_sets(s: Star) -> DataFrame:
 )
 def agg_builder(s: Star) -> DataFrame:
     rows = cube_query(
-        s.items_by_category, "full_date", "month", ["category"], MEASURES, start="1996-01-01", end="1998-12-31",
+        s.items_by_category, "full_date", "month", ["category"], measures(), start="1996-01-01", end="1998-12-31",
         where=F.col("order_status") == "delivered", mode="plain", limit=500,
     )
     return rows

@@ -11,12 +11,11 @@ from mercata.operators import marts
 from mercata.sources.star import Star
 
 from .layers import SELLER_SQL, doubles, rounded
-from .library import CANCELED, ON_TIME, PERIOD, SALES, cents, pct, period, ratio, top
+from .library import PERIOD, canceled, cents, on_time, pct, period, ratio, top
 from .registry import alias, register
 
 FIRST, LAST_EXCL = "1996-01", "1999-01"
 MONTHS = f"year_month >= '{FIRST}' AND year_month < '{LAST_EXCL}'"
-EVERYTHING = W.partitionBy()
 
 
 def sales_mart(s: Star) -> DataFrame:
@@ -113,7 +112,7 @@ def with_state(s: Star, df: DataFrame) -> DataFrame:
 
 
 def live(s: Star) -> DataFrame:
-    return period(s.fact_order).where(~CANCELED)
+    return period(s.fact_order).where(~canceled())
 
 
 @register(
@@ -124,7 +123,7 @@ def live(s: Star) -> DataFrame:
 )
 def d_ontime_by_state(s: Star) -> DataFrame:
     rows = with_state(s, live(s)).groupBy("state").agg(
-        F.round(100.0 * marts.rate(ON_TIME), 1).alias("on_time_rate_pct"), F.round(F.avg("delivered_days"), 2).alias("delivery_days_avg"),
+        F.round(100.0 * marts.rate(on_time()), 1).alias("on_time_rate_pct"), F.round(F.avg("delivered_days"), 2).alias("delivery_days_avg"),
         F.count("*").alias("delivered_orders"),
     )
     return top(rows, 50, F.desc("on_time_rate_pct"), "state")
@@ -158,7 +157,7 @@ OPS_SQL = """round(avg(CASE WHEN delivered_on_time THEN 1.0 ELSE 0.0 END), 4) AS
 
 def operations(df: DataFrame, *keys: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.round(marts.rate(ON_TIME), 4).alias("on_time_rate"), F.round(F.avg("delivered_days"), 4).alias("delivery_days"), F.count("*").alias("delivered_orders")
+        F.round(marts.rate(on_time()), 4).alias("on_time_rate"), F.round(F.avg("delivered_days"), 4).alias("delivery_days"), F.count("*").alias("delivered_orders")
     )
 
 
@@ -169,13 +168,13 @@ def d_ops_total(s: Star) -> DataFrame:
 
 @register("d_ops_monthly", f"SELECT strftime(full_date, '%Y-%m') AS year_month, {OPS_SQL} GROUP BY 1 ORDER BY 1")
 def d_ops_monthly(s: Star) -> DataFrame:
-    return operations(live(s), marts.MONTH.alias("year_month")).orderBy("year_month").limit(100)
+    return operations(live(s), marts.month().alias("year_month")).orderBy("year_month").limit(100)
 
 
 def customer_agg(s: Star) -> DataFrame:
     """Each customer's orders, gmv, first and last month; by month first, as the months are kept."""
     value = F.coalesce("sum_price", F.lit(0)) + F.coalesce("sum_freight", F.lit(0))
-    months = live(s).groupBy("customer_id", marts.MONTH.alias("ym")).agg(F.sum(value).alias("gmv"), F.count("order_id").alias("orders"))
+    months = live(s).groupBy("customer_id", marts.month().alias("ym")).agg(F.sum(value).alias("gmv"), F.count("order_id").alias("orders"))
     return months.groupBy("customer_id").agg(
         F.sum("orders").alias("total_orders"), F.sum("gmv").alias("total_gmv"), F.min("ym").alias("first_ym"), F.max("ym").alias("last_ym")
     )
@@ -260,7 +259,7 @@ CARD_SQL = f"FROM b_payment p JOIN fo ON p.order_id = fo.order_id WHERE payment_
 
 def cards(s: Star) -> DataFrame:
     paid = s.fact_payment.where("payment_type = 'credit_card'")
-    return paid.join(period(s.fact_order).select("order_id", marts.MONTH.alias("year_month")), "order_id")
+    return paid.join(period(s.fact_order).select("order_id", marts.month().alias("year_month")), "order_id")
 
 
 @register("d_installments", f"SELECT round(avg(payment_installments), 4) AS avg_installments {CARD_SQL}")
@@ -324,7 +323,7 @@ def m_overview(s: Star) -> DataFrame:
 
 def counted(df: DataFrame, keys: list, name: str, share: str | None = None) -> DataFrame:
     rows = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return rows.withColumn(share, pct(F.col(name), F.sum(name).over(EVERYTHING))) if share else rows
+    return rows.withColumn(share, pct(F.col(name), F.sum(name).over(W.partitionBy()))) if share else rows
 
 
 def _counted_sql(keys: str, table: str, name: str, rest: str = "", where: str = "") -> str:
@@ -398,7 +397,7 @@ def amounts(df: DataFrame, key: str) -> DataFrame:
 )
 def m_payment_methods(s: Star) -> DataFrame:
     rows = amounts(s.b_payment, "payment_type")
-    return doubles(rows.withColumn("revenue_percentage", pct(F.col("total_amount"), F.sum("total_amount").over(EVERYTHING))).orderBy(F.desc("total_amount")))
+    return doubles(rows.withColumn("revenue_percentage", pct(F.col("total_amount"), F.sum("total_amount").over(W.partitionBy()))).orderBy(F.desc("total_amount")))
 
 
 @register("m_installments", f"SELECT payment_installments, {AMOUNTS_SQL} FROM b_payment GROUP BY 1")
@@ -541,5 +540,5 @@ def kpi_retention(s: Star) -> DataFrame:
     "SELECT round(100.0 * avg(CASE WHEN delivered_on_time THEN 1.0 ELSE 0.0 END), 2) AS on_time_rate, round(avg(delivered_days), 2) AS avg_delivery_days FROM fo WHERE NOT is_canceled AND delivered_days IS NOT NULL",
 )
 def kpi_delivery(s: Star) -> DataFrame:
-    done = s.fact_order.where(~CANCELED & F.col("delivered_days").isNotNull())
-    return done.agg(F.round(100.0 * marts.rate(ON_TIME), 2).alias("on_time_rate"), F.round(F.avg("delivered_days"), 2).alias("avg_delivery_days"))
+    done = s.fact_order.where(~canceled() & F.col("delivered_days").isNotNull())
+    return done.agg(F.round(100.0 * marts.rate(on_time()), 2).alias("on_time_rate"), F.round(F.avg("delivered_days"), 2).alias("avg_delivery_days"))

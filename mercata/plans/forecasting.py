@@ -10,7 +10,7 @@ from mercata.sources.star import Star
 
 from .analytics import pareto_80
 from .layers import rounded
-from .library import top
+from .library import cents, top
 from .registry import register
 
 CUTOFFS = ["1997-06-30", "1998-06-30", "1999-06-30"]
@@ -130,11 +130,11 @@ def f_latest_row(s: Star) -> DataFrame:
     return fc.latest_rows(daily(s)).select(*SERIES, "date", "revenue")
 
 
-FORECAST_SQL = "product_id, region_id, forecast_date, horizon, round(yhat, 2) AS yhat, round(yhat_lo, 2) AS yhat_lo, round(yhat_hi, 2) AS yhat_hi"
+FORECAST_SQL = "product_id, region_id, forecast_date, horizon, round(yhat + 1e-6, 2) AS yhat, round(yhat_lo + 1e-6, 2) AS yhat_lo, round(yhat_hi + 1e-6, 2) AS yhat_hi"
 
 
 def shown(df: DataFrame, *names: str) -> DataFrame:
-    return rounded(df, *(names or ("yhat", "yhat_lo", "yhat_hi")), places=2)
+    return df.withColumns({n: cents(F.col(n)) for n in names or ("yhat", "yhat_lo", "yhat_hi")})
 
 
 @register("f_baseline", DAILY + f"SELECT {FORECAST_SQL} FROM forecast")
@@ -164,7 +164,7 @@ m AS (SELECT horizon, 'model' AS model_type, 100 * avg(2 * abs(y - yhat) / (abs(
 
 @register(
     "f_backtest",
-    BACKTEST + "SELECT cutoff_date, product_id, region_id, date, horizon, y, round(yhat, 2) AS yhat, round(yhat_lo, 2) AS yhat_lo, round(yhat_hi, 2) AS yhat_hi, yhat_naive FROM bt",
+    BACKTEST + "SELECT cutoff_date, product_id, region_id, date, horizon, y, round(yhat + 1e-6, 2) AS yhat, round(yhat_lo + 1e-6, 2) AS yhat_lo, round(yhat_hi + 1e-6, 2) AS yhat_hi, yhat_naive FROM bt",
 )
 def f_backtest(s: Star) -> DataFrame:
     return shown(results(s))
@@ -180,8 +180,8 @@ def f_ci_coverage(s: Star) -> DataFrame:
     return rounded(fc.ci_coverage(results(s)), "ci_coverage")
 
 
-LONG_SQL = """SELECT horizon, model_type, CAST(n AS BIGINT) AS n_samples, 'smape' AS metric, round(smape, 2) AS value, 'run-1' AS run_id, 'revenue' AS target_type FROM m
-  UNION ALL SELECT horizon, model_type, CAST(n AS BIGINT), 'mae', round(mae, 2), 'run-1', 'revenue' FROM m"""
+LONG_SQL = """SELECT horizon, model_type, CAST(n AS BIGINT) AS n_samples, 'smape' AS metric, round(smape + 1e-6, 2) AS value, 'run-1' AS run_id, 'revenue' AS target_type FROM m
+  UNION ALL SELECT horizon, model_type, CAST(n AS BIGINT), 'mae', round(mae + 1e-6, 2), 'run-1', 'revenue' FROM m"""
 
 
 def long_metrics(s: Star) -> DataFrame:
@@ -195,7 +195,7 @@ def f_metrics_long(s: Star) -> DataFrame:
 
 @register(
     "f_residual_ci",
-    BACKTEST + "SELECT round(quantile_cont(y - yhat, 0.1), 2) AS q10, round(quantile_cont(y - yhat, 0.9), 2) AS q90, round(avg(y - yhat), 2) AS mean, round(stddev_pop(y - yhat), 2) AS std FROM bt",
+    BACKTEST + "SELECT round(quantile_cont(y - yhat, 0.1) + 1e-6, 2) AS q10, round(quantile_cont(y - yhat, 0.9) + 1e-6, 2) AS q90, round(avg(y - yhat) + 1e-6, 2) AS mean, round(stddev_pop(y - yhat) + 1e-6, 2) AS std FROM bt",
 )
 def f_residual_ci(s: Star) -> DataFrame:
     return shown(fc.residual_quantiles(results(s), "y", "yhat"), "q10", "q90", "mean", "std")
@@ -214,19 +214,19 @@ MONITOR = (
 def monitored(s: Star) -> DataFrame:
     """Each selling day against the one before it as a one-step forecast."""
     d = daily(s)
-    ahead = d.select(*SERIES, F.col("date").alias("forecast_date"), F.lag("revenue").over(fc.BY_SERIES).alias("yhat"), F.lit(1).alias("horizon"))
+    ahead = d.select(*SERIES, F.col("date").alias("forecast_date"), F.lag("revenue").over(fc.by_series()).alias("yhat"), F.lit(1).alias("horizon"))
     return fc.monitor(d, ahead.where("yhat IS NOT NULL"))
 
 
-@register("f_monitor", MONITOR + "SELECT date, product_id, region_id, y_actual, yhat, round(abs_error, 2) AS abs_error, round(pct_error, 2) AS pct_error, round(smape, 2) AS smape FROM mon")
+@register("f_monitor", MONITOR + "SELECT date, product_id, region_id, y_actual, yhat, round(abs_error + 1e-6, 2) AS abs_error, round(pct_error + 1e-6, 2) AS pct_error, round(smape + 1e-6, 2) AS smape FROM mon")
 def f_monitor(s: Star) -> DataFrame:
     return shown(monitored(s).drop("horizon"), "abs_error", "pct_error", "smape")
 
 
 @register(
     "q_forecast_metrics",
-    MONITOR + """SELECT 'naive' AS model_name, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(smape), 2) AS avg_smape, round(avg(abs_error), 2) AS avg_mae,
-       round(sqrt(avg(abs_error * abs_error)), 2) AS avg_rmse, CAST(count(*) AS BIGINT) AS n_samples FROM mon GROUP BY 2 ORDER BY 2 DESC LIMIT 50""",
+    MONITOR + """SELECT 'naive' AS model_name, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(smape) + 1e-6, 2) AS avg_smape, round(avg(abs_error) + 1e-6, 2) AS avg_mae,
+       round(sqrt(avg(abs_error * abs_error)) + 1e-6, 2) AS avg_rmse, CAST(count(*) AS BIGINT) AS n_samples FROM mon GROUP BY 2 ORDER BY 2 DESC LIMIT 50""",
 )
 def q_forecast_metrics(s: Star) -> DataFrame:
     e = F.col("abs_error")
@@ -266,8 +266,8 @@ def smape_eps_by_horizon(s: Star) -> DataFrame:
 
 
 def encoded(s: Star) -> DataFrame:
-    feats = fc.features(daily(s))
-    dense = fc.series_stats(daily(s)).where("is_dense").select(*SERIES)
+    feats = fc.features(daily(s)).persist()  # read for the means, for fitting and for predicting
+    dense = fc.series_stats(feats).where("is_dense").select(*SERIES)
     return fc.encode(feats, feats).join(dense, SERIES, "left_semi")
 
 
@@ -295,16 +295,16 @@ def f_cv_metrics(s: Star) -> DataFrame:
 
 @register("f_recursive")
 def f_recursive(s: Star) -> DataFrame:
-    d, rows = daily(s), encoded(s)
+    rows = encoded(s)
     model = fc.train_model(rows, kind="linear")
     weights = dict(zip(fc.FEATURES, model.coefficients.toArray().tolist()))
-    return fc.recursive_forecast(fc.latest_rows(rows).na.drop(subset=fc.FEATURES), model.intercept, weights, seed_history=fc.history_arrays(d))
+    return fc.recursive_forecast(fc.latest_rows(rows).na.drop(subset=fc.FEATURES), model.intercept, weights, seed_history=fc.history_arrays(rows))
 
 
 @register("f_batch_predict")
 def f_batch_predict(s: Star) -> DataFrame:
-    d = daily(s)
-    return fc.batch_predict(d, fc.features(d), fc.series_stats(d))
+    feats = fc.features(daily(s)).persist()
+    return fc.batch_predict(feats, feats, fc.series_stats(feats))
 
 
 # explorer and monitoring
@@ -407,7 +407,7 @@ def fx_ci_width(s: Star) -> DataFrame:
 
 @register(
     "fx_horizon_decay",
-    DAILY + """SELECT product_id, region_id, round(max(CASE WHEN horizon = 1 THEN yhat END), 2) AS h1, round(max(CASE WHEN horizon = 7 THEN yhat END), 2) AS h7,
+    DAILY + """SELECT product_id, region_id, round(max(CASE WHEN horizon = 1 THEN yhat END) + 1e-6, 2) AS h1, round(max(CASE WHEN horizon = 7 THEN yhat END) + 1e-6, 2) AS h7,
        round(100.0 * (max(CASE WHEN horizon = 7 THEN yhat END) - max(CASE WHEN horizon = 1 THEN yhat END)) / nullif(max(CASE WHEN horizon = 1 THEN yhat END), 0), 2) AS decay_pct
        FROM forecast GROUP BY 1, 2 ORDER BY decay_pct, 1, 2 LIMIT 20""",
 )
@@ -429,9 +429,9 @@ def fx_pareto(s: Star) -> DataFrame:
     return rounded(pareto_80(rows, "v", "series", "n_series_for_80pct"), "total", places=1)
 
 
-@register("fx_by_region", DAILY + "SELECT region_id, round(sum(yhat), 1) AS yhat FROM forecast GROUP BY 1")
+@register("fx_by_region", DAILY + "SELECT region_id, round(sum(yhat) + 1e-4, 1) AS yhat FROM forecast GROUP BY 1")
 def fx_by_region(s: Star) -> DataFrame:
-    return baseline(s).groupBy("region_id").agg(F.round(F.sum("yhat"), 1).alias("yhat"))
+    return baseline(s).groupBy("region_id").agg(F.round(F.sum("yhat") + 1e-4, 1).alias("yhat"))
 
 
 def metric_log(s: Star) -> DataFrame:
@@ -479,7 +479,7 @@ def mon_improvement(s: Star) -> DataFrame:
 
 @register(
     "agg_pivot_metrics",
-    BACKTEST + "SELECT horizon, model_type, round(max(mae), 2) AS mae, round(max(smape), 2) AS smape FROM m GROUP BY 1, 2",
+    BACKTEST + "SELECT horizon, model_type, round(max(mae) + 1e-6, 2) AS mae, round(max(smape) + 1e-6, 2) AS smape FROM m GROUP BY 1, 2",
 )
 def agg_pivot_metrics(s: Star) -> DataFrame:
     return shown(long_metrics(s).groupBy("horizon", "model_type").pivot("metric", ["mae", "smape"]).agg(F.first("value")), "mae", "smape")

@@ -13,8 +13,14 @@ from .registry import register
 
 START, END = "1996-01-01", "1998-12-31"
 PERIOD = f"full_date BETWEEN DATE '{START}' AND DATE '{END}'"
-VALUE = F.col("price") + F.col("freight_value")
-SALES = F.col("sum_price") + F.col("sum_freight")
+
+
+def value() -> Column:
+    return F.col("price") + F.col("freight_value")
+
+
+def sales() -> Column:
+    return F.col("sum_price") + F.col("sum_freight")
 
 
 def period(df: DataFrame, start: str = START, end: str = END) -> DataFrame:
@@ -40,9 +46,9 @@ def top(df: DataFrame, n: int, *by: Column | str) -> DataFrame:
     return df.orderBy(*by).limit(n)
 
 
-def trade(df: DataFrame, keys: list, value: Column = VALUE, name: str = "gmv") -> DataFrame:
+def trade(df: DataFrame, keys: list, amount: Column | None = None, name: str = "gmv") -> DataFrame:
     """Value, distinct orders and units by ``keys`` with the value of an average order."""
-    whole = df.groupBy(*keys).agg(F.sum(value).alias(name), F.countDistinct("order_id").alias("orders"), F.count("*").alias("units"))
+    whole = df.groupBy(*keys).agg(F.sum(value() if amount is None else amount).alias(name), F.countDistinct("order_id").alias("orders"), F.count("*").alias("units"))
     return whole.withColumn("aov", ratio(F.col(name), F.col("orders")))
 
 
@@ -74,7 +80,7 @@ def q_revenue_ts_month(s: Star) -> DataFrame:
 def revenue_by_grain(s: Star, grain: str) -> DataFrame:
     """Revenue series at a grain; the window is clamped to the days that have orders."""
     rows = period(s.fact_order).groupBy(F.to_date(F.date_trunc(grain, "full_date")).alias("dt")).agg(
-        F.sum(SALES).alias("gmv"), F.count("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers")
+        F.sum(sales()).alias("gmv"), F.count("order_id").alias("orders"), F.countDistinct("customer_id").alias("customers")
     )
     return doubles(top(rows.withColumn("aov", ratio(F.col("gmv"), F.col("orders"))), 200, F.desc("dt")))
 
@@ -94,7 +100,7 @@ for _grain in ("day", "week", "quarter", "year"):
 
 def top_products(s: Star, items: DataFrame, n: int, by: str = "gmv", categories: list[str] | None = None) -> DataFrame:
     sold = items.groupBy("product_id").agg(
-        F.sum(VALUE).alias("gmv"), F.count("*").alias("units"), F.countDistinct("order_id").alias("orders")
+        F.sum(value()).alias("gmv"), F.count("*").alias("units"), F.countDistinct("order_id").alias("orders")
     )
     names = s.dim_product_category.select("product_category_name", F.col("product_category_name_english").alias("category_en"))
     whole = sold.join(s.dim_product, "product_id").join(F.broadcast(names), "product_category_name", "left")
@@ -153,7 +159,7 @@ def q_category_revenue(s: Star) -> DataFrame:
 )
 def q_distribution_region(s: Star) -> DataFrame:
     rows = with_region(s).groupBy("region").agg(
-        F.countDistinct("order_id").alias("order_count"), F.sum(VALUE).alias("gmv"), F.countDistinct("product_id").alias("unique_products")
+        F.countDistinct("order_id").alias("order_count"), F.sum(value()).alias("gmv"), F.countDistinct("product_id").alias("unique_products")
     )
     return doubles(top(rows.withColumn("aov", ratio(F.col("gmv"), F.col("order_count"))), 50, F.desc("order_count"), "region"))
 
@@ -167,18 +173,18 @@ AOV_SQL = TRADE_SQL.format(v="sum(price + freight_value)", n="total_revenue")
         FROM fo WHERE {PERIOD} GROUP BY 1 ORDER BY orders DESC, payment_type LIMIT 20""",
 )
 def q_aov_payment(s: Star) -> DataFrame:
-    rows = trade(period(s.fact_order), [F.col("primary_payment_type").alias("payment_type")], SALES, "total_revenue").drop("units")
+    rows = trade(period(s.fact_order), [F.col("primary_payment_type").alias("payment_type")], sales(), "total_revenue").drop("units")
     return doubles(top(rows, 20, F.desc("orders"), "payment_type"))
 
 
 @register("q_aov_region", REGION_SQL + f"SELECT region, {AOV_SQL} FROM sold GROUP BY 1 ORDER BY orders DESC, region LIMIT 30")
 def q_aov_region(s: Star) -> DataFrame:
-    return doubles(top(trade(with_region(s), ["region"], VALUE, "total_revenue").drop("units"), 30, F.desc("orders"), "region"))
+    return doubles(top(trade(with_region(s), ["region"], value(), "total_revenue").drop("units"), 30, F.desc("orders"), "region"))
 
 
 @register("q_aov_category", f"SELECT category, {AOV_SQL} FROM cat_items WHERE {PERIOD} GROUP BY 1 ORDER BY orders DESC, category LIMIT 30")
 def q_aov_category(s: Star) -> DataFrame:
-    rows = trade(period(s.items_by_category), ["category"], VALUE, "total_revenue").drop("units")
+    rows = trade(period(s.items_by_category), ["category"], value(), "total_revenue").drop("units")
     return doubles(top(rows, 30, F.desc("orders"), "category"))
 
 
@@ -203,7 +209,7 @@ FROM base ORDER BY revenue DESC, {key} LIMIT 30"""
 
 @register("q_share_region", _share_sql(REGION_SQL.strip(), "region", "price + freight_value"))
 def q_share_region(s: Star) -> DataFrame:
-    return shares(with_region(s).groupBy("region").agg(F.sum(VALUE).alias("revenue")), "region", "revenue")
+    return shares(with_region(s).groupBy("region").agg(F.sum(value()).alias("revenue")), "region", "revenue")
 
 
 @register("q_share_category", _share_sql("cat_items", "category", "price"))
@@ -223,7 +229,7 @@ FROM l ORDER BY month DESC LIMIT 24""",
 )
 def q_mom(s: Star) -> DataFrame:
     months = period(s.fact_order).groupBy(F.to_date(F.date_trunc("month", "full_date")).alias("month")).agg(
-        F.sum(SALES).cast("double").alias("gmv"), F.count("order_id").alias("orders")
+        F.sum(sales()).cast("double").alias("gmv"), F.count("order_id").alias("orders")
     )
     before = lambda c: F.lag(c).over(W.orderBy("month"))
     growth = lambda c: F.round(100.0 * (F.col(c) / F.nullif(before(c).cast("double"), F.lit(0.0)) - 1), 2)
@@ -234,7 +240,12 @@ def q_mom(s: Star) -> DataFrame:
     return top(out, 24, F.desc("month"))
 
 
-ON_TIME, CANCELED = F.col("delivered_on_time"), F.col("is_canceled")
+def on_time() -> Column:
+    return F.col("delivered_on_time")
+
+
+def canceled() -> Column:
+    return F.col("is_canceled")
 
 
 def percent_of_rows(condition: Column) -> Column:
@@ -250,8 +261,8 @@ def percent_of_rows(condition: Column) -> Column:
 )
 def q_ontime_time(s: Star) -> DataFrame:
     rows = period(s.fact_order).groupBy(F.to_date(F.date_trunc("month", "full_date")).alias("bucket")).agg(
-        percent_of_rows(ON_TIME).alias("ontime_rate_pct"), percent_of_rows(~ON_TIME).alias("late_rate_pct"),
-        percent_of_rows(CANCELED).alias("cancel_rate_pct"), F.count("*").alias("total_orders"),
+        percent_of_rows(on_time()).alias("ontime_rate_pct"), percent_of_rows(~on_time()).alias("late_rate_pct"),
+        percent_of_rows(canceled()).alias("cancel_rate_pct"), F.count("*").alias("total_orders"),
     )
     return top(rows, 200, F.desc("bucket"))
 
@@ -267,7 +278,7 @@ def q_ontime_region(s: Star) -> DataFrame:
     sellers = F.broadcast(s.dim_seller.select("seller_id", F.col("city_state").alias("region")))
     pairs = s.fact_order_item.select("order_id", "seller_id").join(sellers, "seller_id", "left")
     rows = period(s.fact_order).select("order_id", "delivered_on_time").join(pairs, "order_id").groupBy("region").agg(
-        percent_of_rows(ON_TIME).alias("ontime_rate_pct"), percent_of_rows(~ON_TIME).alias("late_rate_pct"), F.count("*").alias("total_orders")
+        percent_of_rows(on_time()).alias("ontime_rate_pct"), percent_of_rows(~on_time()).alias("late_rate_pct"), F.count("*").alias("total_orders")
     )
     return top(rows, 50, F.desc("ontime_rate_pct"), "region")
 
@@ -309,7 +320,7 @@ def q_payment_mix_month(s: Star) -> DataFrame:
 )
 def q_recent_orders(s: Star) -> DataFrame:
     rows = s.fact_order.where("full_date IS NOT NULL").select(
-        "full_date", "order_id", "customer_id", F.col("primary_payment_type").alias("payment_type"), "items_count", SALES.alias("gmv"),
+        "full_date", "order_id", "customer_id", F.col("primary_payment_type").alias("payment_type"), "items_count", sales().alias("gmv"),
         "delivered_on_time", "is_canceled",
     )
     return doubles(top(rows, 20, F.desc("full_date"), "order_id"))
@@ -326,8 +337,8 @@ def q_recent_orders(s: Star) -> DataFrame:
 def q_sellers_bad_sla(s: Star) -> DataFrame:
     sellers = F.broadcast(s.dim_seller.select("seller_id", F.col("city_state").alias("region")))
     pairs = s.fact_order_item.select("order_id", "seller_id").join(sellers, "seller_id", "left")
-    rows = period(s.fact_order).select("order_id", "delivered_on_time", SALES.alias("v")).join(pairs, "order_id").groupBy("seller_id", "region").agg(
-        percent_of_rows(ON_TIME).alias("ontime_rate_pct"), F.countDistinct("order_id").alias("orders"), F.sum("v").alias("revenue")
+    rows = period(s.fact_order).select("order_id", "delivered_on_time", sales().alias("v")).join(pairs, "order_id").groupBy("seller_id", "region").agg(
+        percent_of_rows(on_time()).alias("ontime_rate_pct"), F.countDistinct("order_id").alias("orders"), F.sum("v").alias("revenue")
     )
     return doubles(top(rows.where("orders >= 20"), 10, "ontime_rate_pct", "seller_id"))
 
@@ -351,12 +362,12 @@ SELECT a.cohort_month, year_month, CAST(m AS INTEGER) AS months_since_cohort, CA
 FROM numbered a JOIN sizes s ON a.cohort_month = s.cohort_month WHERE m BETWEEN 0 AND 12 ORDER BY 1, 3 LIMIT 10000""",
 )
 def q_cohort_retention(s: Star, first: str = "1995-01", end: str = "1996-01", months: int = 12) -> DataFrame:
-    live = marts.with_month(s.fact_order.where(~CANCELED), s.dim_date)
+    live = marts.with_month(s.fact_order.where(~canceled()), s.dim_date)
     firsts = live.groupBy("customer_id").agg(F.min("year_month").alias("cohort_month")).where(in_months("cohort_month", first, end, exclusive=True))
     sizes = firsts.groupBy("cohort_month").agg(F.count("*").alias("customers_in_cohort"))
-    value = F.coalesce("sum_price", F.lit(0)) + F.coalesce("sum_freight", F.lit(0))
+    spent = F.coalesce("sum_price", F.lit(0)) + F.coalesce("sum_freight", F.lit(0))
     active = live.join(firsts, "customer_id").groupBy("cohort_month", "year_month").agg(
-        F.countDistinct("customer_id").alias("customers_active"), F.count("order_id").alias("total_orders"), F.sum(value).alias("total_gmv")
+        F.countDistinct("customer_id").alias("customers_active"), F.count("order_id").alias("total_orders"), F.sum(spent).alias("total_gmv")
     )
     since = (month_number("year_month") - month_number("cohort_month")).alias("months_since_cohort")
     out = active.join(F.broadcast(sizes), "cohort_month").select(
@@ -423,7 +434,7 @@ WITH g AS (SELECT CASE WHEN is_canceled THEN 'canceled' WHEN delivered_on_time T
 SELECT order_status, CAST(n AS BIGINT) AS order_count, CAST(c AS BIGINT) AS customer_count, round(n * 100.0 / sum(n) OVER (), 2) AS percentage FROM g""",
 )
 def t_status_breakdown(s: Star) -> DataFrame:
-    status = F.when(CANCELED, "canceled").when(ON_TIME, "delivered_on_time").when(~ON_TIME, "delivered_late").otherwise("other")
+    status = F.when(canceled(), "canceled").when(on_time(), "delivered_on_time").when(~on_time(), "delivered_late").otherwise("other")
     rows = s.fact_order.groupBy(status.alias("order_status")).agg(
         F.count("order_id").alias("order_count"), F.countDistinct("customer_id").alias("customer_count")
     )
@@ -465,7 +476,7 @@ register("agg_stats_set", STATS_SQL)(t_aov_stats)
        FROM fo WHERE delivered_days IS NOT NULL GROUP BY 1""",
 )
 def t_delivery_status(s: Star) -> DataFrame:
-    status = F.when(ON_TIME, "On Time").when(~ON_TIME, "Late").otherwise("Unknown").alias("delivery_status")
+    status = F.when(on_time(), "On Time").when(~on_time(), "Late").otherwise("Unknown").alias("delivery_status")
     rows = s.fact_order.where("delivered_days IS NOT NULL").groupBy(status).agg(
         F.count("order_id").alias("order_count"), F.avg("delivered_days").alias("avg_delivery_days")
     )

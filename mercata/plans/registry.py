@@ -12,7 +12,7 @@ from mercata.sources.star import Star
 from .oracle import LAYERS
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("layers", "library", "bi", "analytics", "forecasting")
+MODULES = ("layers", "library", "bi", "analytics", "forecasting", "text", "tables")
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
