@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
 
@@ -44,6 +45,11 @@ def grams(text: Column) -> Column:
     return F.transform(F.array(F.struct(words.alias("w"))), both)[0]
 
 
+def constant(value, kind: str) -> Column:
+    """A nested constant as one expression; Spark folds it before the query runs."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 @dataclass
 class LicenseModel:
     families: list[str]
@@ -52,14 +58,14 @@ class LicenseModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    shapes: list[tuple[str, list[str]]]  # (family, n-grams) of each template
 
     def logits(self, found: Column) -> Column:
         """array<double> by family from the distinct n-grams ``found``; only weighted n-grams are looked up."""
         used = np.flatnonzero(np.abs(self.weights).max(0) > 0)
-        table = F.array(*[
-            F.struct(F.lit(self.vocabulary[v]).alias("g"), F.array(*[F.lit(float(x)) for x in self.weights[:, v]]).alias("w")) for v in used
-        ])
-        start = F.array(*[F.lit(float(b)) for b in self.bias])
+        rows = [{"g": self.vocabulary[v], "w": self.weights[:, v].tolist()} for v in used]
+        table = constant(rows, "array<struct<g:string,w:array<double>>>")
+        start = constant(self.bias.tolist(), "array<double>")
         here = F.filter(table, lambda r: F.array_contains(found, r["g"]))
         return F.aggregate(here, start, lambda a, r: F.zip_with(a, r["w"], lambda x, y: x + y))
 
@@ -72,10 +78,10 @@ class LicenseModel:
         return F.transform(F.array(self.logits(found)), soft)[0]
 
     def needed(self) -> list[str]:
-        """Words of which a paragraph must hold one to reach the threshold for any family: a bound on the linear score.
+        """N-grams of which a paragraph must hold one to reach the threshold for any family: a bound on the linear score.
 
         N-grams are set aside, heaviest first, until those that are left can't lift any family over the
-        unknown class by enough; a paragraph without those set aside stays unknown.
+        unknown class by enough; a paragraph without those set aside stays unknown. A bigram with a needed word is left out.
         """
         unknown = self.families.index("unknown")
         lift = np.maximum(0, self.weights - self.weights[unknown])
@@ -88,14 +94,17 @@ class LicenseModel:
                 break
             aside.append(int(v))
             left[:, v] = 0
-        return sorted({self.vocabulary[v].split(" ")[-1] for v in aside})
+        chosen = {self.vocabulary[v] for v in aside}
+        return sorted(g for g in chosen if " " not in g or not chosen & set(g.split(" ")))
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, variants: int = 60, threshold: float = 0.5) -> LicenseModel:
+def train(
+    docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, variants: int = 60, threshold: float = 0.5, most_common: float = 0.01
+) -> LicenseModel:
     """Fit the classifier on varied templates and on plain paragraphs of at most ``sample_docs`` documents (by a hash of the text).
 
     Every variant of a template loses about one word in nine and stands between words of a plain paragraph. The temperature
-    is the one under which a held-out quarter is most likely. An empty table trains on the templates alone.
+    is the one under which a held-out quarter is most likely. N-grams that over ``most_common`` of plain paragraphs hold are no features. An empty table trains on the templates alone.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("t"), "t").limit(sample_docs)
@@ -111,23 +120,29 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, vari
     edge = F.when(F.col("v") % 3 == 0, F.lit("")).otherwise(F.coalesce("pad", F.lit("")))
     positive = varied.select("family", F.concat_ws(" ", edge, F.array_join(kept, " ")).alias("p"), F.pmod(F.xxhash64("no", "v"), F.lit(4)).alias("fold"))
     negative = plain.select(F.lit("unknown").alias("family"), "p", F.pmod(F.xxhash64("p", F.lit(1)), F.lit(4)).alias("fold"))
-    vocabulary = sorted(r[0] for r in given.select(F.explode(grams(F.col("text")))).distinct().collect())
+    shapes = {r["no"]: (r["family"], r["g"]) for r in given.select("no", "family", grams(F.col("text")).alias("g")).collect()}
+    vocabulary = sorted({g for _, gs in shapes.values() for g in gs})
     families = sorted({f for f, _ in TEMPLATES})
     index = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    words = F.array(*[F.lit(v) for v in vocabulary])
+    words = constant(vocabulary, "array<string>")
     rows = cut(
         positive.unionByName(negative)
         .select(index.cast("double").alias("label"), "fold", grams(F.col("p")).alias("g"))
         .select("label", "fold", "g", F.transform(words, lambda v: F.array_contains("g", v).cast("double")).alias("x"))
     )
+    plain_rows = rows.where(F.col("label") == families.index("unknown"))
+    seen = {r["i"]: r["s"] for r in plain_rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("s")).collect()}
+    # words common in plain text are no features: they tell nothing and would make every line a candidate
+    kept = [i for i in range(len(vocabulary)) if seen.get(i, 0.0) <= most_common]
+    chosen = F.transform(constant(kept, "array<int>"), lambda i: F.get("x", i))
     fit = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=60, standardization=False).fit(
-        rows.where("fold <> 0").select("label", array_to_vector("x").alias("features"))
+        rows.where("fold <> 0").select("label", array_to_vector(chosen).alias("features"))
     )
     weights, bias = np.zeros((len(families), len(vocabulary))), np.full(len(families), -50.0)
     got = fit.coefficientMatrix.toArray()
-    weights[: len(got)], bias[: len(got)] = got, fit.interceptVector.toArray()
+    weights[: len(got), kept], bias[: len(got)] = got, fit.interceptVector.toArray()
     weights[np.abs(weights) < 1e-6] = 0
-    model = LicenseModel(families, vocabulary, weights, bias, 1.0, threshold)
+    model = LicenseModel(families, vocabulary, weights, bias, 1.0, threshold, [v for v in shapes.values() if v[0] != "unknown"])
     tried = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
     held = rows.where("fold = 0").select(F.col("label").cast("int").alias("y"), model.logits(F.col("g")).alias("z"))
 
@@ -152,23 +167,26 @@ def scan_licenses(
     license but fits no family so well is ``unknown``. Null and empty texts give no rows, repeated documents each theirs. A word test
     derived from the weights (``LicenseModel.needed``) spares paragraphs that can't be reported.
     """
-    words = "|".join(w.replace(".", r"\.").replace("-", r"\-") for w in model.needed())
+    words = "|".join(g.replace(".", r"\.").replace("-", r"\-").replace(" ", r"[^\p{L}\p{N}]+") for g in model.needed())
     hint = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words}|licen[cs](?:e|ed|es|ing))(?![\p{{L}}\p{{N}}])" if words else MARKER
     text = F.col(text_col)
     lines = docs.where(text.rlike(hint)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, r"\n")).alias("paragraph", "p"))
-    scored = lines.where(F.col("p").rlike(hint)).withColumn("g", grams(F.col("p"))).withColumn("pr", model.probabilities(F.col("g")))
-    names = F.array(*[F.lit(f) for f in model.families])
-    known = F.transform(F.arrays_zip(F.col("pr").alias("pr"), names.alias("f")), lambda r: F.struct(F.when(r["f"] == "unknown", -1.0).otherwise(r["pr"]).alias("pr"), r["f"].alias("f")))
+    # the few paragraphs that pass are written, so that what follows reads their probabilities as columns
+    found = lines.where(F.col("p").rlike(hint)).withColumn("g", grams(F.col("p")))
+    scored = cut(found.withColumn("pr", model.probabilities(F.col("g"))).withColumn("speaks", F.col("p").rlike(MARKER)).drop("p"))
+    names = constant(model.families, "array<string>")
+    known = F.transform(
+        F.arrays_zip(F.col("pr").alias("pr"), names.alias("f")),
+        lambda r: F.struct(F.when(r["f"] == "unknown", -1.0).otherwise(r["pr"]).alias("pr"), r["f"].alias("f")),
+    )
     best = scored.withColumn("best", F.array_max(known))
-    shapes = F.array(*[
-        F.struct(F.lit(f).alias("f"), F.array(*[F.lit(x) for x in _template_grams(docs.sparkSession, t)]).alias("g")) for f, t in TEMPLATES if f != "unknown"
-    ])
+    shapes = constant([{"f": f, "g": g} for f, g in model.shapes], "array<struct<f:string,g:array<string>>>")
     like = F.array_max(
         F.transform(F.filter(shapes, lambda s: s["f"] == F.col("best.f")), lambda s: F.size(F.array_intersect(s["g"], F.col("g"))) / F.size(s["g"]))
     )
     out = best.withColumn("similarity", F.round(like, 4))
     sure = (F.col("best.pr") >= model.threshold) & (F.col("similarity") >= confirm)
-    return out.where(sure | F.col("p").rlike(MARKER)).select(
+    return out.where(sure | F.col("speaks")).select(
         "doc_id",
         "paragraph",
         F.when(sure, F.col("best.f")).otherwise("unknown").alias("family"),
@@ -176,6 +194,3 @@ def scan_licenses(
         "similarity",
     )
 
-
-def _template_grams(spark: SparkSession, text: str) -> list[str]:
-    return spark.range(1).select(grams(F.lit(text))).first()[0]
