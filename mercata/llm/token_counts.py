@@ -30,7 +30,7 @@ def load_vocabulary(path: str) -> list[tuple[str, float]]:
 class UnigramCounter:
     """Piece counts of best segmentations.
 
-    A text is ``▁`` + text with spaces as ``▁`` and every ``▁`` starts a word; no piece crosses words.
+    Spaces become ``▁``, a text that doesn't begin with one gets one, and every ``▁`` starts a word; no piece crosses words.
     A character that no piece holds splits a word further, since every path passes it alone. Aho-Corasick lists all
     pieces that end at each character, longest first; dynamic programming keeps the best score
     and its piece count. A later candidate must be strictly better, so of equal
@@ -81,9 +81,8 @@ class UnigramCounter:
         if not text:
             return 0
         total, seen = 0, self.seen
-        for k, word in enumerate((SPACE + text.replace(" ", SPACE)).split(SPACE)):
-            if not k:
-                continue
+        marked = text.replace(" ", SPACE)
+        for word in marked[marked.startswith(SPACE) :].split(SPACE):
             got = seen.get(word)
             if got is None:
                 got = self._word(SPACE + word)
