@@ -107,7 +107,9 @@ def train(
     is the one under which a held-out quarter is most likely. N-grams that over ``most_common`` of plain paragraphs hold are no features. An empty table trains on the templates alone.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("t"), "t").limit(sample_docs)
+    hashed = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where("t IS NOT NULL")
+    last = hashed.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    texts = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("t").alias("t"))
     plain = cut(
         texts.select(F.explode(F.split("t", r"\n+")).alias("p"))
         .where((F.length("p") > 0) & ~F.col("p").rlike(MARKER))
