@@ -133,16 +133,38 @@ def _stems(words: Column, size: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
 
 
-def learn(rows: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6, 7), ratio: float = 12.0, rounds: int = 3) -> Lexicon:
+def without_copies(rows: DataFrame, seeds: tuple[int, ...] = (1, 2, 3), width: int = 5) -> DataFrame:
+    """One row for each group of texts that share the smallest hash of their word shingles, under each seed in turn.
+
+    Copies and near copies are not independent witnesses: the chance words of one much copied text would look like marks of its label.
+    """
+    for seed in seeds:
+        words = F.split(F.lower("text"), r"\s+")
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(width)), " "), F.lit(seed)))
+        marked = rows.withColumn("_w", words).withColumn("_least", F.array_min(runs))
+        rows = marked.groupBy("toxic", "_least").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "toxic")
+    return rows
+
+
+def _outdone(term: str, found: dict[str, tuple[int, int]]) -> bool:
+    """Whether a longer taken term stands for nearly the same toxic texts as a stem, or for most of them and fewer others."""
+    if not term.endswith("*"):
+        return False
+    bad, good = found[term]
+    longer = [v for t, v in found.items() if len(t.rstrip("*")) > len(term) - 1 and t.startswith(term[:-1])]
+    return any(b >= 0.95 * bad or b >= 0.8 * bad and g < good for b, g in longer)
+
+
+def learn(rows: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6, 7), ratio: float = 40.0, rounds: int = 3) -> Lexicon:
     """Add to the fixed lists the words and stems that mark toxic texts in the labelled ``rows``.
 
-    A word or stem is taken if toxic texts hold it ``ratio`` times as often as others and the excess
+    Copies count once (``without_copies``). A word or stem is taken if toxic texts hold it ``ratio`` times as often as others and the excess
     has, by the Chernoff bound of the binomial tail, a chance of less than one in ten among all candidates. Stems that a
-    shorter taken stem covers are left out. Each further round learns from the rows that the words so far
+    shorter taken stem covers are left out, and stems that a longer one does as well as. Each further round learns from the rows that the words so far
     do not explain, which brings out terms of small languages. Only terms that pass come to the
     driver: at most some per toxic text.
     """
-    rows = cut(rows)
+    rows = cut(without_copies(rows))
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+"))
     words = F.filter(words, lambda w: F.length(w) >= 3)
     stems = [_stems(words, n) for n in prefixes]
@@ -167,8 +189,9 @@ def learn(rows: DataFrame, prefixes: tuple[int, ...] = (4, 5, 6, 7), ratio: floa
             & ((F.col("bad") + F.col("good")) * spread > math.log(10 * max(1, counts.count())))
         )
         known, before = dict(lexicon.terms), len(lexicon.terms)
-        for term in sorted((r["term"] for r in taken.select("term").collect()), key=lambda t: (not t.endswith("*"), len(t), t)):
-            if Lexicon(known).symbol(term.rstrip("*")) == "w":
+        found = {r["term"]: (r["bad"], r["good"]) for r in taken.select("term", "bad", "good").collect()}
+        for term in sorted(found, key=lambda t: (not t.endswith("*"), len(t), t)):
+            if Lexicon(known).symbol(term.rstrip("*")) == "w" and not _outdone(term, found):
                 known[term] = "I"
         lexicon = Lexicon(known)
         if len(known) == before:
