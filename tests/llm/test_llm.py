@@ -219,6 +219,19 @@ def test_toxicity_learns_stems_from_its_fold(spark):
     assert kept == {i for i in got if not got[i].predicted}
 
 
+def test_copies_are_one_witness(spark):
+    rng = random.Random(13)
+    texts = [prose(rng, 80) for _ in range(10)]
+    copies = [texts[0].replace(" ", " ", 1) + f" end{i}" for i in range(20)] + [texts[1]] * 5
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts + copies)], "doc_id long, text string, toxic int")
+    assert 10 <= toxicity.without_copies(rows).count() <= 12
+
+
+def test_longer_stems_win():
+    found = {"lose*": (50, 9), "loser": (45, 0), "vequ*": (40, 0), "vequa*": (12, 0), "lost*": (30, 0), "lostra*": (30, 0)}
+    assert [t for t in found if not toxicity._outdone(t, found)] == ["loser", "vequ*", "vequa*", "lostra*"]
+
+
 # 6 ----------------------------------------------------------------------------------------------
 
 BASE = (
