@@ -92,14 +92,14 @@ def encode(df: DataFrame, train: DataFrame, target: str = "y") -> DataFrame:
     overall = train.agg(F.avg(target)).scalar()
     for column, name in ENCODED.items():
         table = target_encoding(train, column, target).withColumnRenamed("_te", name)
-        df = df.join(F.broadcast(table), column, "left").withColumn(name, F.coalesce(name, overall))
+        df = df.join(table, column, "left").withColumn(name, F.coalesce(name, overall))
     return df
 
 
 def time_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     """Expanding-window folds by date: ``fold`` k holds the (k+1)-th of ``folds`` + 1 equal runs of days; 0 only trains. A day is in one fold."""
     days = df.select("date").distinct().withColumn("fold", F.ntile(folds + 1).over(W.orderBy("date")) - 1)
-    return df.join(F.broadcast(days), "date")
+    return df.join(days, "date")
 
 
 def assembled(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:

@@ -122,7 +122,7 @@ def enrich_product(s: Star, df: DataFrame) -> DataFrame:
     """Add category and sizes to any result with a product_id; columns it has win where they are not null; unmatched rows stay."""
     names = s.dim_product_category.select("product_category_name", F.col("product_category_name_english").alias("category"))
     sizes = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
-    facts = s.dim_product.select("product_id", "product_category_name", *sizes).join(F.broadcast(names), "product_category_name", "left").drop("product_category_name")
+    facts = s.dim_product.select("product_id", "product_category_name", *sizes).join(names, "product_category_name", "left").drop("product_category_name")
     own = [c for c in ("category", *sizes) if c in df.columns]
     wide = df.join(facts.withColumnsRenamed({c: f"_{c}" for c in own}), "product_id", "left")
     return wide.withColumns({c: F.coalesce(c, f"_{c}") for c in own}).drop(*[f"_{c}" for c in own])

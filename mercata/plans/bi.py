@@ -108,7 +108,7 @@ def with_state(s: Star, df: DataFrame) -> DataFrame:
     """Inner join by the customer's zip to its place."""
     zips = s.dim_customer.select("customer_id", F.col("customer_zip_code_prefix").alias("geolocation_zip_code_prefix"))
     geo = s.dim_geolocation.select("geolocation_zip_code_prefix", F.col("geolocation_state").alias("state"))
-    return df.join(zips, "customer_id").join(F.broadcast(geo), "geolocation_zip_code_prefix")
+    return df.join(zips, "customer_id").join(geo, "geolocation_zip_code_prefix")
 
 
 def live(s: Star) -> DataFrame:

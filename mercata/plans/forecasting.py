@@ -110,7 +110,7 @@ def f_target_encode(s: Star) -> DataFrame:
     DAILY + "SELECT d.date, d.product_id, d.region_id, coalesce(is_dense, false) AS is_dense FROM daily d LEFT JOIN stats t ON d.product_id = t.product_id AND d.region_id = t.region_id",
 )
 def join_broadcast_map(s: Star) -> DataFrame:
-    flags = F.broadcast(fc.series_stats(daily(s)).select(*SERIES, "is_dense"))
+    flags = fc.series_stats(daily(s)).select(*SERIES, "is_dense")
     return daily(s).join(flags, SERIES, "left").select("date", *SERIES, F.coalesce("is_dense", F.lit(False)).alias("is_dense"))
 
 
@@ -357,7 +357,7 @@ def forecast_plan(forecast: DataFrame, by: list[str], days: int = 7) -> DataFram
 )
 def fx_slice(s: Star) -> DataFrame:
     names = products(s).groupBy("brand").agg(F.min(F.lower("product_category_name")).alias("english"))
-    rows = baseline(s).where("horizon <= 14").join(F.broadcast(names), F.col("product_id") == F.col("brand"), "left")
+    rows = baseline(s).where("horizon <= 14").join(names, F.col("product_id") == F.col("brand"), "left")
     return shown(rows.select(*SERIES, "forecast_date", "horizon", "yhat", "yhat_lo", "yhat_hi", F.coalesce("english", "product_id").alias("product_name")))
 
 

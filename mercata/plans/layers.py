@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mercata.operators import gold, marts, silver
+from mercata.operators import gold, marts
 from mercata.sources.star import Star
 
 from .registry import register

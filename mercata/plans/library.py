@@ -53,7 +53,7 @@ def trade(df: DataFrame, keys: list, amount: Column | None = None, name: str = "
 
 
 def with_region(s: Star) -> DataFrame:
-    sellers = F.broadcast(s.dim_seller.select("seller_id", F.col("city_state").alias("region")))
+    sellers = s.dim_seller.select("seller_id", F.col("city_state").alias("region"))
     return period(s.fact_order_item).join(sellers, "seller_id", "left")
 
 
@@ -103,7 +103,7 @@ def top_products(s: Star, items: DataFrame, n: int, by: str = "gmv", categories:
         F.sum(value()).alias("gmv"), F.count("*").alias("units"), F.countDistinct("order_id").alias("orders")
     )
     names = s.dim_product_category.select("product_category_name", F.col("product_category_name_english").alias("category_en"))
-    whole = sold.join(s.dim_product, "product_id").join(F.broadcast(names), "product_category_name", "left")
+    whole = sold.join(s.dim_product, "product_id").join(names, "product_category_name", "left")
     if categories:
         whole = whole.where(F.col("category_en").isin(*categories))
     sizes = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
@@ -275,7 +275,7 @@ def q_ontime_time(s: Star) -> DataFrame:
         WHERE fo.{PERIOD} GROUP BY 1 ORDER BY ontime_rate_pct DESC, region LIMIT 50""",
 )
 def q_ontime_region(s: Star) -> DataFrame:
-    sellers = F.broadcast(s.dim_seller.select("seller_id", F.col("city_state").alias("region")))
+    sellers = s.dim_seller.select("seller_id", F.col("city_state").alias("region"))
     pairs = s.fact_order_item.select("order_id", "seller_id").join(sellers, "seller_id", "left")
     rows = period(s.fact_order).select("order_id", "delivered_on_time").join(pairs, "order_id").groupBy("region").agg(
         percent_of_rows(on_time()).alias("ontime_rate_pct"), percent_of_rows(~on_time()).alias("late_rate_pct"), F.count("*").alias("total_orders")
@@ -335,7 +335,7 @@ def q_recent_orders(s: Star) -> DataFrame:
         WHERE fo.{PERIOD} GROUP BY 1, 2 HAVING count(DISTINCT fo.order_id) >= 20 ORDER BY ontime_rate_pct, b.seller_id LIMIT 10""",
 )
 def q_sellers_bad_sla(s: Star) -> DataFrame:
-    sellers = F.broadcast(s.dim_seller.select("seller_id", F.col("city_state").alias("region")))
+    sellers = s.dim_seller.select("seller_id", F.col("city_state").alias("region"))
     pairs = s.fact_order_item.select("order_id", "seller_id").join(sellers, "seller_id", "left")
     rows = period(s.fact_order).select("order_id", "delivered_on_time", sales().alias("v")).join(pairs, "order_id").groupBy("seller_id", "region").agg(
         percent_of_rows(on_time()).alias("ontime_rate_pct"), F.countDistinct("order_id").alias("orders"), F.sum("v").alias("revenue")
@@ -370,7 +370,7 @@ def q_cohort_retention(s: Star, first: str = "1995-01", end: str = "1996-01", mo
         F.countDistinct("customer_id").alias("customers_active"), F.count("order_id").alias("total_orders"), F.sum(spent).alias("total_gmv")
     )
     since = (month_number("year_month") - month_number("cohort_month")).alias("months_since_cohort")
-    out = active.join(F.broadcast(sizes), "cohort_month").select(
+    out = active.join(sizes, "cohort_month").select(
         "cohort_month", "year_month", since, "customers_in_cohort", "customers_active",
         pct(F.col("customers_active"), F.col("customers_in_cohort")).alias("retention_pct"), "total_orders", "total_gmv",
     )
