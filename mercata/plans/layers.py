@@ -210,10 +210,11 @@ def der_delivery(s: Star) -> DataFrame:
 @register(
     "dm_sales_monthly_category",
     """SELECT year_month, category AS product_category_name_english, CAST(gmv AS DOUBLE) AS gmv, CAST(orders AS BIGINT) AS orders,
-       CAST(units AS BIGINT) AS units, round(CAST(gmv AS DOUBLE) / orders, 4) AS aov FROM mart_sales""",
+       CAST(units AS BIGINT) AS units, round(CAST(gmv AS DOUBLE) / orders + 1e-6, 4) AS aov FROM mart_sales""",
 )
 def dm_sales_monthly_category(s: Star) -> DataFrame:
-    return doubles(rounded(marts.sales_monthly_category(s.items_by_category, s.dim_date), "aov"))
+    mart = marts.sales_monthly_category(s.items_by_category, s.dim_date)
+    return doubles(rounded(mart.withColumn("aov", F.col("aov") + 1e-6), "aov"))  # halves of binary fractions round up
 
 
 SELLER_SQL = """
