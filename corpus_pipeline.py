@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mercata.llm import decontaminate, mixing, secrets, simhash, toxicity
+from mercata.llm import decontaminate, mixing, near_copies, secrets, toxicity
 from mercata.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one whose id the component carries."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each component of near copies (Jaccard similarity 0.8 of five-word shingles): the one of the smallest id."""
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

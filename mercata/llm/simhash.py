@@ -17,26 +17,33 @@ BYTES = 8
 MAX_BITS = 4
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of UTF-8 ``text``; no words: zero; fewer words than ``width``: one shingle."""
+def shingle_hashes(text: bytes, width: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of UTF-8 ``text``, in order; no words: none; fewer words than ``width``: one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[a:b], seed) for a, b in zip(starts[:n], ends[min(width, len(words)) - 1 :])), np.uint64, n
-    )
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n], ends[min(width, len(words)) - 1 :])), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingle hashes; zero for none."""
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         set_bits += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
             0, dtype=np.int64
         )
-    return int(np.packbits(2 * set_bits > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of UTF-8 ``text``; no words: zero; fewer words than ``width``: one shingle."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mercata.llm import common, decontaminate, html_text, licenses, mixing, secrets, simhash, token_counts, toxicity, url_filter, vectors
+from mercata.llm import common, decontaminate, html_text, licenses, mixing, near_copies, secrets, simhash, token_counts, toxicity, url_filter, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "lake river stone cloud amber field winter music paper garden silver market table window candle forest bridge harbor engine letter".split()
@@ -155,6 +155,33 @@ def test_simhash_nulls_repeats_and_keep(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("long_list", [64, 2])
+def test_near_copies_match_brute_force_jaccard(spark, long_list, monkeypatch):
+    monkeypatch.setattr(near_copies.candidates, "__defaults__", (long_list,))
+    rng = random.Random(14)
+    texts = near_texts() + [" ".join("same line that many documents hold among other things".split() + prose(rng, rng.randint(0, 30)).split()) for _ in range(20)]
+    for k in range(80):  # one to six edits of 60 to 200 words: around a similarity of 0.8
+        words = prose(rng, rng.randint(60, 200)).split()
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(len(words))] = "edit" + str(rng.random())
+        texts.append(" ".join(words))
+    sets = [plain_shingles(t) for t in texts]
+    close = lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    want = reach(len(texts), close)
+    beyond = [(i, j) for i in range(len(texts)) for j in range(i) if close(i, j) and (plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 4]
+    assert len(beyond) > 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    kept = [r.doc_id for r in near_copies.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([*{c for c in want}, None], key=str)
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = common.components(edges.union(spark.createDataFrame([(500, 501), (7, 7)], "a long, b long"))).collect()
