@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches
 
-#: Masks over 12 token positions, 8 of them read. A window pair that differs in any one or two
-#: of the twelve tokens still agrees under one of the masks for almost every place of the differences.
-SEEDS = ("111011001011", "110100110111", "101111010011", "111100101101")
+#: Masks of six tokens. Enumeration shows (the tests repeat it) that every overlap of 13 agreeing tokens at 80 % agreement holds a place where
+#: one of them meets agreeing tokens only. An overlap with no smaller one inside has 13 agreeing tokens and up to 3 others, or 16, 20 or 24 and a
+#: quarter of that: of 26 or more, one of two parts of 13 would reach 80 % alone.
+SEEDS = ("1101111", "110010001011", "11010111")
+#: Tokens on both sides of a hit among which the smallest overlap around it lies.
+REACH = 30
 WORD = regex.compile(r"\w+")
 
 
@@ -22,30 +26,38 @@ def _tokens(text: str | None) -> list[str]:
 
 
 class SeedIndex:
-    """Hashes of test items under the masks, with their token ids; built from a bounded block of items."""
+    """Hashes of test items under the masks, with their token ids; built from a bounded block of items.
+
+    An item that needs fewer than ``overlap`` agreeing tokens is hashed under a run that its overlap cannot avoid: ``need`` agreeing tokens,
+    parted by the ones that may differ, leave one run of ``need / (differing + 1)``.
+    """
 
     def __init__(self, items: list[tuple[int, str]], seeds: tuple[str, ...], overlap: int, share: float):
-        self.overlap, self.share = overlap, share
+        exact = Fraction(share).limit_denominator(10_000)
+        self.top, self.under = exact.numerator, exact.denominator
         self.names: dict[str, int] = {}
         self.items = [(i, np.array([self.names.setdefault(w, len(self.names) + 1) for w in _tokens(t)], np.int64)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if len(w)]
+        self.size = np.array([len(w) for _, w in self.items], np.int64)
+        whole = -(-self.top * self.size // self.under)
+        self.need = np.minimum(overlap, whole)
         rng = np.random.default_rng(11)
         self.factors = rng.integers(1, 1 << 62, 64, dtype=np.int64) | 1
-        span = len(seeds[0])
-        # an item shorter than the span is hashed whole, under a mask of its own length
-        short = sorted({len(w) for _, w in self.items if len(w) < span})
-        self.masks = [np.flatnonzero([c == "1" for c in s]) for s in seeds] + [np.arange(n) for n in short]
-        self.spans = [span] * len(seeds) + short
+        run = -(-self.need // (self.size - self.need + 1))
+        run[(whole >= overlap) & (self.size >= max(map(len, seeds)))] = 0
+        runs = sorted(set(run[run > 0].tolist()))
+        self.masks = [np.flatnonzero([c == "1" for c in s]) for s in seeds] + [np.arange(n) for n in runs]
+        self.spans = [len(s) for s in seeds] + runs
+        pad = np.full(REACH + 64, -1, np.int64)
+        self.text = np.concatenate([pad, *[x for _, w in self.items for x in (w, pad)]])
+        self.start = len(pad) + np.concatenate(([0], np.cumsum(self.size + len(pad))[:-1])).astype(np.int64)
         self.hash, self.at = [], []
         for m in range(len(self.masks)):
-            found = [
-                (self.hashes(w, m), k)
-                for k, (_, w) in enumerate(self.items)
-                if len(w) >= self.spans[m] and (m < len(seeds) or len(w) == self.spans[m])
-            ]
-            h = np.concatenate([f for f, _ in found] or [np.empty(0, np.int64)])
-            owner = np.concatenate([np.full(len(f), k) for f, k in found] or [np.empty(0, np.int64)])
-            place = np.concatenate([np.arange(len(f)) for f, _ in found] or [np.empty(0, np.int64)])
+            members = np.flatnonzero(run == (0 if m < len(seeds) else self.spans[m]))
+            found = [self.hashes(self.items[k][1], m) for k in members]
+            h = np.concatenate(found or [np.empty(0, np.int64)])
+            owner = np.repeat(members, [len(f) for f in found])
+            place = np.concatenate([np.arange(len(f)) for f in found] or [np.empty(0, np.int64)])
             order = np.argsort(h, kind="stable")
             self.hash.append(h[order])
             self.at.append((owner[order], place[order]))
@@ -53,55 +65,66 @@ class SeedIndex:
     def _mix(self, w: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
         total = np.zeros(len(starts), np.int64)
         for p in self.masks[m]:
-            total += (w[starts + p] + 7) * self.factors[p]
+            total += (w[starts + p] + 7) * self.factors[p % 64]
             total ^= (total >> 29) & 0x7FFFFFFFF
         return total
 
     def hashes(self, w: np.ndarray, m: int) -> np.ndarray:
         return self._mix(w, np.arange(max(0, len(w) - self.spans[m] + 1)), m)
 
-    def search(self, text: str | None) -> list[tuple]:
-        """(item id, agreeing tokens, start, end) of the best overlap with each item that reaches the bounds."""
-        words = _tokens(text)
-        w = np.fromiter((self.names.get(x, 0) for x in words), np.int64, len(words))
-        known = np.concatenate(([0], np.cumsum(w > 0)))
-        best: dict[int, tuple[int, int, int]] = {}
+    def _lines(self, w: np.ndarray, padded: np.ndarray, hits: int = 20_000) -> Iterator[tuple[int, int]]:
+        """(item, shift) of hits under the masks that have enough agreeing tokens around them."""
         for m, table in enumerate(self.hash):
             span, n = self.spans[m], len(w) - self.spans[m] + 1
             if n <= 0 or not len(table):
                 continue
-            starts = np.flatnonzero(known[span:] - known[:n] >= len(self.masks[m]))
+            starts = np.arange(n)
             for p in self.masks[m]:
                 starts = starts[w[starts + p] > 0]
             if not len(starts):
                 continue
-            hashed, done = self._mix(w, starts, m), set()
-            low, high = np.searchsorted(table, hashed, "left"), np.searchsorted(table, hashed, "right")
+            hashed = self._mix(w, starts, m)
+            low = np.searchsorted(table, hashed, "left")
+            size = np.searchsorted(table, hashed, "right") - low
+            starts, low, size = starts[size > 0], low[size > 0], size[size > 0]
+            ends = np.cumsum(size)
             owners, places = self.at[m]
-            for k in np.flatnonzero(high > low):
-                for t in range(low[k], high[k]):
-                    owner, place = int(owners[t]), int(places[t])
-                    shift = int(starts[k]) - place
-                    if (owner, shift) not in done:
-                        done.add((owner, shift))
-                        got = _verify(w, self.items[owner][1], shift, span, place, self.share)
-                        best[owner] = max(got, best.get(owner, got))
-        return [
-            (self.items[o][0], *got)
-            for o, got in best.items()
-            if got[0] >= min(self.overlap, int(np.ceil(self.share * len(self.items[o][1]))))
-        ]
-
-
-def _verify(doc: np.ndarray, item: np.ndarray, shift: int, span: int, place: int, share: float) -> tuple[int, int, int]:
-    """Longest overlap around a hit in which at least ``share`` of the tokens agree: (agreeing, start, end) in the document."""
-    low, high = max(0, shift), min(len(doc), shift + len(item))
-    same = doc[low:high] == item[low - shift : high - shift]
-    score = np.concatenate(([0.0], np.cumsum(same - share)))
-    a, b = shift + place - low, shift + place + span - low
-    left = int(np.argmin(score[: a + 1]))
-    right = b + int(np.argmax(score[b:]))
-    return int(same[left:right].sum()), low + left, low + right
+            around = np.arange(-REACH, span + REACH)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, hits):
+                h = np.arange(a, min(a + hits, int(ends[-1])))
+                k = np.searchsorted(ends, h, "right")
+                t = low[k] + h - (ends[k] - size[k])
+                owner, place, at = owners[t], places[t], starts[k]
+                agreeing = padded[(at + REACH)[:, None] + around] == self.text[(self.start[owner] + place)[:, None] + around]
+                ok = agreeing.sum(1) >= self.need[owner]
+                yield from map(tuple, np.unique(np.stack((owner[ok], at[ok] - place[ok]), axis=1), axis=0).tolist())
+
+    def search(self, text: str | None) -> list[tuple]:
+        """(item id, agreeing tokens, start, end) of the best overlap with each item that reaches the bounds."""
+        words = _tokens(text)
+        w = np.fromiter((self.names.get(x, 0) for x in words), np.int64, len(words))
+        edge = np.zeros(REACH + max(self.spans), np.int64)
+        best: dict[int, tuple[int, int, int]] = {}
+        done = set()
+        for owner, shift in self._lines(w, np.concatenate((edge[:REACH], w, edge))):
+            if (owner, shift) not in done:
+                done.add((owner, shift))
+                got = self._overlap(w, self.items[owner][1], shift)
+                if got[0] >= self.need[owner]:
+                    best[owner] = max(got, best.get(owner, got))
+        return [(self.items[o][0], *got) for o, got in best.items()]
+
+    def _overlap(self, doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+        """The segment of most agreeing tokens among those with the share at this shift: (agreeing, start, end) in the document."""
+        low, high = max(0, shift), min(len(doc), shift + len(item))
+        same = doc[low:high] == item[low - shift : high - shift]
+        count = np.concatenate(([0], np.cumsum(same)))
+        excess = np.concatenate(([0], np.cumsum(self.under * same - self.top)))
+        left = np.searchsorted(-np.minimum.accumulate(excess), -excess, "left")  # the first place of no more excess
+        right = int(np.argmax(count - count[left]))
+        left = int(left[right])
+        inside = left + np.flatnonzero(same[left:right])
+        return (len(inside), low + int(inside[0]), low + int(inside[-1]) + 1) if len(inside) else (0, low, low)
 
 
 def _blocks(items: DataFrame, seeds: tuple[str, ...], overlap: int, share: float, block_chars: int) -> Iterator[SeedIndex]:
@@ -109,7 +132,8 @@ def _blocks(items: DataFrame, seeds: tuple[str, ...], overlap: int, share: float
     n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else items
-        yield SeedIndex(sorted((r[0], r[1]) for r in part.distinct().collect() if r[0] is not None), seeds, overlap, share)
+        found = [(r[0], r[1]) for r in part.distinct().collect()]
+        yield SeedIndex(sorted(found, key=lambda r: (str(r[0]), r[1])), seeds, overlap, share)
 
 
 def contaminated(
@@ -127,14 +151,14 @@ def contaminated(
     """(doc_id, item_id, n_overlap, start, end): substitution-tolerant overlaps of documents with test items.
 
     Tokens are lower-cased runs of word characters. Every mask of ``seeds`` reads some positions of a token
-    window and ignores the others; equal hashes of document and test windows are hits, and around each hit the
-    overlap is extended over the item while at least ``share`` of its tokens agree. A pair is returned if
-    the best overlap has ``overlap`` agreeing tokens, or all but a ``share`` of an item that is
-    shorter. ``start`` and ``end`` are token positions in the document, end exclusive.
+    window and ignores the others; equal hashes of document and test windows are hits, and at the shift of each hit the
+    segment of most agreeing tokens among those of at least ``share`` agreement is taken. A pair is returned if
+    the best overlap has ``overlap`` agreeing tokens, or a ``share`` of an item that is
+    shorter. The default masks miss no overlap of the default bounds; short items have runs of their own that miss none at any. ``start`` and ``end`` are token positions in the document, end exclusive.
 
     The test side is a stated set: it is taken in blocks of about ``block_chars`` characters of items, each of
     which reads all documents once and is small enough to sit in every worker. Null and empty
-    texts and items match nothing; of items with one id each text counts. An item repeated in a document
+    texts and items match nothing; an item of null id counts and is named null; of items with one id each text counts. An item repeated in a document
     gives one row with its best overlap. The document side is never shuffled.
     """
     spark = docs.sparkSession

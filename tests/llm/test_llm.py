@@ -332,6 +332,65 @@ def test_decontamination_tolerates_substitutions(spark):
         assert kept == {4, 5, 6, 8}
 
 
+def best_overlap(doc, item):
+    """Most agreeing tokens of a segment of one shift that reaches 80 %, by trying all."""
+    best = 0
+    for shift in range(1 - len(item), len(doc)):
+        low, high = max(0, shift), min(len(doc), shift + len(item))
+        same = [doc[i] == item[i - shift] for i in range(low, high)]
+        if sum(same) > best:
+            for a in range(len(same)):
+                n = 0
+                for b in range(a, len(same)):
+                    n += same[b]
+                    if 5 * n >= 4 * (b + 1 - a):
+                        best = max(best, n)
+    return best
+
+
+def test_masks_hit_every_smallest_overlap():
+    from itertools import combinations
+
+    for length, differing in ((13, 0), (14, 1), (15, 2), (16, 3), (20, 4), (25, 5), (30, 6)):
+        words = np.array([(1 << length) - 1 - sum(1 << x for x in c) for c in combinations(range(length), differing)])
+        hit = np.zeros(len(words), bool)
+        for seed in decontaminate.SEEDS:
+            mask = int(seed[::-1], 2)
+            for at in range(length - len(seed) + 1):
+                hit |= words & (mask << at) == mask << at
+        assert hit.all(), (length, differing)
+
+
+def test_decontamination_matches_brute_force_at_the_edge(spark):
+    rng = random.Random(15)
+    items = [prose(rng, n) for n in (*range(1, 21), 26, 34, 48, 60, 17, 62)]
+    texts = []
+    for i, item in enumerate(items[:-2]):
+        for k in range(8):
+            words = item.split()
+            allowed = len(words) // 5 + k % 2  # at the edge of 80 %, and one beyond
+            for at in rng.sample(range(len(words)), min(len(words), allowed)):
+                words[at] = "other"
+            texts.append(f"{prose(rng, 12)} {' '.join(words)} {prose(rng, 12)}")
+    late = items[-2].split()
+    late[12] = "other"
+    far = items[-1].split()
+    far[12:32] = ["other"] * 20
+    texts += [prose(rng, 9) + " " + " ".join(late), " ".join(far)]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            n, size = best_overlap(text.split(), item.split()), len(item.split())
+            if n >= min(13, -(-4 * size // 5)):
+                want[d, None if i == 5 else i] = n
+    assert want[len(texts) - 2, len(items) - 2] == 16 and want[len(texts) - 1, len(items) - 1] == 30
+    bench = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_overlap for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == want
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
+
+
 # 8 ----------------------------------------------------------------------------------------------
 
 
