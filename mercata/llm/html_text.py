@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
+import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
 from .url_filter import url_host, url_path
 
 # Fixed sets of HTML element names, by what they do to text.
@@ -25,74 +27,136 @@ UNSEEN = set("script style template noscript svg math head title iframe object c
 RAW = set("script style textarea title iframe noscript".split())
 CHROME = set("nav footer aside form dialog menu".split())
 SPACED = set("td th br".split())
-# Words in class, id or role that mark what is not the article.
+#: Elements whose class, id or role can mark a whole block; those of paragraphs, headings and inline text say nothing about the page's frame.
+CONTAINERS = set("div section ul ol dl table header details figure fieldset center article".split())
+# Words in class, id or role that hint at what is not the article.
 MARKS = set(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead comment comments disqus share sharing social related recommended newsletter subscribe signup login "
     "search popup modal overlay widget toolbar pagination contentinfo complementary skip print".split()
 )
-TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", regex.S)
-ATTRIBUTE = regex.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
-HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", regex.I)
-PARTS = regex.compile(r"[\s_-]+")
-
-
-def _marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    return any(
-        part in MARKS
-        for m in ATTRIBUTE.finditer(attributes)
-        for part in PARTS.split((m[2] or m[3] or m[4] or "").lower())
-    )
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?")
+QUOTE_OR_END = re.compile(r"=\s*[\"']|>")
+PARTS = re.compile(r"[\s_-]+")
+
+
+def _tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of every tag and comment; comments and declarations have an empty name.
+
+    A quote opens a value only behind an equals sign and only if it closes somewhere; a ``<`` that no ``>`` follows is text. Each search that
+    fails once is not made again, so the time is linear in the page.
+    """
+    at, missing = 0, set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        got = html.find(what, start)
+        if got < 0:
+            missing.add(what)
+        return got
+
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = len(html) if end < 0 else end + 3
+            yield start, at, False, "", ""
+            continue
+        after = html[start + 1 : start + 2]
+        closing = after == "/"
+        name = NAME.match(html, start + 1 + closing)
+        if not name:
+            end = find(">", start) if after and after in "!?/" else -1
+            if end < 0:
+                at = start + 1
+                continue
+            at = end + 1
+            yield start, at, False, "", ""
+            continue
+        end = name.end()
+        while True:
+            m = QUOTE_OR_END.search(html, end) if ">" not in missing else None
+            if not m:
+                missing.add(">")
+                end = -1
+                break
+            if m[0] == ">":
+                end = m.end()
+                break
+            close = find(m[0][-1], m.end())
+            end = m.end() if close < 0 else close + 1
+        if end < 0:
+            at = start + 1
+            continue
+        at = end
+        yield start, end, closing, name[0].lower(), html[name.end() : end - 1]
+
+
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _marks(found: dict[str, str]) -> str:
+    """The hint words of an element, in order."""
+    words = {w for k in ("class", "id", "role") for w in PARTS.split(found.get(k, "").lower())}
+    return ".".join(sorted(words & MARKS))
+
+
+def _invisible(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
 
 
 def lines_of(html: str | None) -> list[tuple[str, str, str]]:
     """Text lines (kind, text, place) of a page in order, a line for each block.
 
-    kind: ``c`` within an article or main element, ``x`` within a menu, header, footer, form, notice, advert or comment, ``o``
-    elsewhere. place: the open elements. Scripts, styles, controls, comments and the head have no lines.
+    kind: ``s`` within a menu, header, footer, form or invisible element, ``x`` within an element whose class, id or role hints at an advert,
+    notice, sidebar, comment and the like, ``c`` within an article or main element, ``o`` elsewhere. place: for ``s`` and ``x`` the element that makes
+    it so. Scripts, styles, controls, comments and the head have no lines.
     """
     out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, chrome, content
+    stack: list[tuple[str, bool, str, bool]] = []  # name, unseen, place of the frame element, content
+    open_names: dict[str, int] = {}
     held: list[str] = []
+    none = ("", False, "", False)
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, _, chrome, content = stack[-1] if stack else ("", False, False, False)
-                out.append(("x" if chrome else "c" if content else "o", text, "/".join(s[0] for s in stack)))
+                _, _, place, content = stack[-1] if stack else none
+                out.append((place[0] if place else "c" if content else "o", text, place))
 
     def close(k: int) -> None:
         if any(s[0] in BLOCK for s in stack[k:]):
             flush()
+        for s in stack[k:]:
+            open_names[s[0]] -= 1
         del stack[k:]
 
     html = html or ""
-    at = 0
-    while True:
-        m = TOKEN.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
-        if piece and not (stack and stack[-1][1]):
-            held.append(piece)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    at, skip = 0, ""
+    for start, end, closing, name, attributes in _tags(html):
+        if skip and not (closing and name == skip):
             continue
-        name = m[2].lower()
-        if m[1]:
+        if start > at and not skip and not (stack and stack[-1][1]):
+            held.append(html[at:start])
+        at, skip = end, ""
+        if not name:
+            continue
+        if closing:
             inline = name not in BLOCK and name not in UNSEEN
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if (inline or name == "p") and stack[k][0] in BLOCK and stack[k][0] != "p":
-                    break
+            if open_names.get(name):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        close(k)
+                        break
+                    if (inline or name == "p") and stack[k][0] in BLOCK and stack[k][0] != "p":
+                        break
             if name in BLOCK:
                 flush()
             continue
@@ -110,13 +174,20 @@ def lines_of(html: str | None) -> list[tuple[str, str, str]]:
                 if stack[k][0] in BLOCK:
                     break
             flush()
-        _, hidden, chrome, content = stack[-1] if stack else ("", False, False, False)
-        article = name in ("article", "main") or content
-        chrome = chrome or name in CHROME or name == "header" and not content or name != "body" and _marked(m[3])
-        stack.append((name, hidden or name in UNSEEN, chrome, article))
+        _, unseen, place, content = stack[-1] if stack else none
+        unseen = unseen or name in UNSEEN
+        if not place and not unseen:
+            found = _attributes(attributes) if attributes.strip() else {}
+            if name in CHROME or name == "header" and not content or found and name != "body" and _invisible(found):
+                place = f"s:{name}"
+            elif found and name in CONTAINERS and (words := _marks(found)):
+                place = f"x:{name}.{words}"
+        stack.append((name, unseen, place, content or name in ("article", "main")))
+        open_names[name] = open_names.get(name, 0) + 1
         if name in RAW:
-            end = regex.compile(rf"</{regex.escape(name)}\b", regex.I).search(html, at)
-            at = end.start() if end else len(html)
+            skip = name
+    if not skip and at < len(html) and not (stack and stack[-1][1]):
+        held.append(html[at:])
     flush()
     return out
 
@@ -170,127 +241,195 @@ def shared_lines(a: list, b: list, cells: int = 1 << 31) -> list[int]:
     return sorted(fixed + [start + i for i in inner])
 
 
-def main_text(lines: list, nearest: list | None) -> tuple[str, int]:
-    """(text, shared lines deleted) of a page's ``lines`` against those of its ``nearest`` page.
+def outline(lines: list) -> list[tuple[str, list[int]]]:
+    """(key, line numbers) of what differencing aligns: each line outside an article by its text, each run of lines of one frame element by its place.
 
-    Lines outside an article are aligned with the neighbour's: those of menus, footers and the like by their place in the
-    page, the others by their text; what aligns is deleted. Two articles that share lines are copies, so lines inside an
-    article element stay. A page without such an element keeps what is not shared; if all is shared, the pages
-    are copies of one another and keep it.
+    The words of menus, adverts and the like change from page to page; that a near page has such an element at the same place tells the frame.
     """
-    has_article = any(k == "c" for k, _, _ in lines)
-    key = lambda row: (row[2],) if row[0] == "x" else row[1]
-    outer = [i for i, row in enumerate(lines) if row[0] != "c"]
-    gone = set()
-    if nearest and outer:
-        theirs = [key(row) for row in nearest if row[0] != "c"]
-        gone = {outer[i] for i in shared_lines([key(lines[i]) for i in outer], theirs)}
-    if has_article:
-        kept = [t for i, (k, t, _) in enumerate(lines) if k == "c" and i not in gone]
-    else:
-        own = [(i, t) for i, (k, t, _) in enumerate(lines) if k == "o"]
-        kept = [t for i, t in own if i not in gone] or [t for _, t in own]
-    return "\n\n".join(kept), len(gone)
+    rows = [(n, place or text) for n, (kind, text, place) in enumerate(lines) if kind != "c"]
+    return [(key, [n for n, _ in run]) for key, run in groupby(rows, key=lambda r: r[1])]
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def main_text(lines: list, near: list[list[str]], alone: bool = False) -> tuple[str, int]:
+    """(text, lines deleted by differencing) of a page's ``lines`` against the outline keys of its ``near`` pages.
+
+    The outline is aligned with that of every near page by longest common subsequence, and what is shared goes: elements that a class word only
+    hints at, and plain lines outside an article. A near page that shares over half of the plain text is a copy; its plain lines count for nothing. Lines within
+    an article or main element are never compared, since two articles that share lines are copies; menus, footers, forms and invisible elements go in any case.
+    Plain lines outside the article that no near page shares stay if they hold more text than the article does. ``alone``: with no page to compare with, hinted elements go unseen.
+    """
+    mine = outline(lines)
+    keys = [k for k, _ in mine]
+    gone: set[int] = set()
+    plain = sum(len(t) for k, t, _ in lines if k == "o")
+    for theirs in near:
+        shared = {n for at in shared_lines(keys, theirs) for n in mine[at][1]}
+        if 2 * sum(len(lines[n][1]) for n in shared if lines[n][0] == "o") > plain:
+            shared = {n for n in shared if lines[n][0] != "o"}
+        gone |= shared
+    left = [(k, t) for n, (k, t, _) in enumerate(lines) if n not in gone and k != "s" and not (alone and k == "x")]
+    article, other = (sum(len(t) for k, t in left if k == kind) for kind in "co")
+    return "\n\n".join(t for k, t in left if k != "o" or other > article), len(gone)
+
+
+def _reversed_host(host: Column) -> Column:
+    """Labels from the last to the first, so that hosts of one domain stand together."""
+    return F.array_join(F.reverse(F.split(host, r"\.")), ".")
+
+
+def _common(a: str, b: str) -> int:
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    return k
+
+
+def _edges(keys: DataFrame, k: int) -> list[dict]:
+    """For every partition of sorted ``keys``: its number of rows and its first and last ``k`` rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, n = [], deque(maxlen=k), 0
+        for batch in batches:
+            rows = [json.dumps(r) for r in batch.slice(0, k - len(first)).to_pylist()] if len(first) < k else []
+            first += rows
+            last.extend(json.dumps(r) for r in batch.slice(max(0, batch.num_rows - k)).to_pylist())
+            n += batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "first": [first], "last": [list(last)]})
+
+    found = keys.mapInArrow(work, "n long, first array<string>, last array<string>").collect()
+    load = lambda rows: [json.loads(r) for r in rows]
+    return [{"n": r["n"], "first": load(r["first"]), "last": load(r["last"])} for r in found]
+
+
+def extract_text(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    neighbours: int = 4,
+    bucket_chars: int = 32 << 20,
+    most_buckets: int = 20_000,
+) -> DataFrame:
     """(page_id, url, text, n_chars, n_deleted) for every row.
 
-    Pages are sorted by host and path over all machines; each is compared with whichever page beside it in
-    its host has the longer common path (the one before on a tie), and shared lines are deleted as ``main_text`` says. Split
-    points of the sort come to the driver, one a partition; pages at a split are copied to the other side, so hosts of
-    any size are paired exactly. Pages without a host, and hosts of one page, have no neighbour. Null
-    and empty pages have empty text. Repeated rows come back each. A page's lines travel compressed.
+    Pages are sorted by host (last label first), path and id over all machines. Each is compared with the ``neighbours`` pages on either side
+    of it that lie in its host, and ``main_text`` says what goes; a page that is alone in its host takes the one page beside it
+    whose host and path have the longer part in common. Buckets of the sort hold about ``bucket_chars`` characters; their
+    bounds, at most ``most_buckets``, come to the driver, and the outlines of pages near a bound are copied to the other side, so hosts
+    of any size are split and yet paired exactly. A page's lines travel compressed.
+
+    Null and empty pages have empty text; null urls stand in an empty host; repeated rows come back each; an empty table gives none. The
+    only page of a table is left to structure alone. Other columns are not read. Batches are as the session sets them.
     """
-    spark = pages.sparkSession
-    small_batches(spark, 500)
+    id_kind = pages.schema[id_col].dataType.simpleString()
     slim = pages.select(
-        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(html_col).alias("html")
-    )
-    order = ("host", "path", "page_id")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = (
-        slim.select(*order)
-        .repartitionByRange(n, *order)
-        .groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.min(F.struct(*order)).alias("low"), F.max(F.struct(*order)).alias("high"))
-        .collect()
+        F.col(id_col).alias("page_id"),
+        F.col(url_col).alias("url"),
+        _reversed_host(url_host(F.col(url_col))).alias("host"),
+        url_path(F.col(url_col)).alias("path"),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
+        F.xxhash64(url_col, html_col).alias("digest"),
+        F.col(html_col).alias("html"),
     )
-    rank = lambda h, p, i: (h, p, i is not None, i if i is not None else 0)
-    ends = sorted((rank(*r["low"]), rank(*r["high"])) for r in ends)
-    lows, highs = [e[0] for e in ends], [e[1] for e in ends]
-    id_type = slim.schema["page_id"].dataType.simpleString()
+    order = ("host", "path", "name", "digest")
+    size = slim.agg(F.count("*").alias("rows"), F.sum(F.length("html")).alias("chars")).first()
+    n = min(most_buckets, max(1, math.ceil((size["chars"] or 0) / bucket_chars)), max(1, size["rows"]))
+    sort_key = lambda r: tuple(r[c] for c in order)
+    edges = _edges(slim.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order), neighbours)
+    edges.sort(key=lambda e: sort_key(e["first"][0]))
+    counts = [e["n"] for e in edges]
+    firsts, lasts = [[sort_key(r) for r in e["first"]] for e in edges], [[sort_key(r) for r in e["last"]] for e in edges]
+    lows = [f[0] for f in firsts]
+
+    def places(key: tuple) -> tuple[int, list[int]]:
+        """The bucket of a page, and the others to which it is near."""
+        home = max(0, bisect_right(lows, key) - 1)
+        near, gap, b = [], bisect_left(firsts[home], key), home - 1
+        while b >= 0 and gap < neighbours:
+            near.append(b)
+            gap, b = gap + counts[b], b - 1
+        gap, b = len(lasts[home]) - bisect_right(lasts[home], key), home + 1
+        while b < len(counts) and gap < neighbours:
+            near.append(b)
+            gap, b = gap + counts[b], b + 1
+        return home, near
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, bucket, halo, payload = [], [], [], []
-            ids, urls, hosts, paths, htmls = (c.to_pylist() for c in batch.columns)
-            for k, (i, h, p, page) in enumerate(zip(ids, hosts, paths, htmls)):
-                packed = zlib.compress(json.dumps(lines_of(page), ensure_ascii=False).encode("utf-8", "replace"), 1)
-                key = rank(h, p, i)
-                b = bisect_right(lows, key) - 1
-                places = [(b, False)]
-                if key == highs[b]:
-                    places.append((b + 1, True))
-                if key == lows[b]:
-                    places.append((b - 1, True))
-                for to, copy in places:
+            take, bucket, payload, keys = [], [], [], []
+            own = list(zip(*(batch.column(c).to_pylist() for c in order)))
+            for k, key in enumerate(own):
+                lines = lines_of(batch.column("html")[k].as_py())
+                home, near = places(key)
+                take.append(k)
+                bucket.append(home)
+                payload.append(_pack(lines))
+                keys.append(None)
+                for b in near:
                     take.append(k)
-                    bucket.append(to)
-                    halo.append(copy)
-                    payload.append(packed)
-            rows = batch.select([0, 1, 2, 3]).take(pa.array(take, pa.int64()))
+                    bucket.append(b)
+                    payload.append(None)
+                    keys.append(_pack([key for key, _ in outline(lines)]))
+            rows = batch.select(["page_id", "url", *order]).take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(bucket, pa.int32()), pa.array(halo, pa.bool_()), pa.array(payload, pa.binary())],
-                ["page_id", "url", "host", "path", "bucket", "halo", "lines"],
+                [*rows.columns, pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), pa.array(keys, pa.binary())],
+                ["page_id", "url", *order, "bucket", "lines", "keys"],
             )
 
-    packed = slim.mapInArrow(read, f"page_id {id_type}, url string, host string, path string, bucket int, halo boolean, lines binary")
-    sorted_pages = packed.repartition(n, "bucket").sortWithinPartitions("bucket", "host", "path", "page_id", "url")
-
-    def common(a: str, b: str) -> int:
-        k = 0
-        while k < min(len(a), len(b)) and a[k] == b[k]:
-            k += 1
-        return k
+    sent = f"page_id {id_kind}, url string, host string, path string, name string, digest long, bucket int, lines binary, keys binary"
+    dealt = slim.mapInArrow(read, sent).repartition(n, "bucket").sortWithinPartitions("bucket", *order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for r in zip(*(c.to_pylist() for c in batch.columns)):
-                    yield r, json.loads(zlib.decompress(r[6]))
-
-        def finish(before, now, after):
-            r, lines = now
-            near = [
-                (common(r[3], o[0][3]), -side, o[1])
-                for side, o in enumerate((before, after))
-                if o is not None and r[2] and o[0][2] == r[2] and o[0][4] == r[4]
-            ]
-            text, deleted = main_text(lines, max(near, key=lambda x: x[:2])[2] if near else None)
-            return r[0], r[1], text, len(text), deleted
-
-        out = []
-        kinds = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-
-        def batch_of():
-            cols = list(zip(*out))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (kinds, pa.string(), pa.string(), pa.int64(), pa.int32()))],
-                ["page_id", "url", "text", "n_chars", "n_deleted"],
-            )
-
-        before = now = None
-        for after in rows():
-            if now is not None and not now[0][5]:
-                out.append(finish(before, now, after))
-            before, now = now, after
-            if len(out) >= 200:
-                yield batch_of()
-                out = []
-        if now is not None and not now[0][5]:
-            out.append(finish(before, now, None))
+        schema = None
+        out: list[tuple] = []
+        #: the page in turn, those before it and those after it; a page is (id, url, host, path, lines or null, outline keys)
+        before, ahead = deque(maxlen=neighbours), deque()
+
+        def finish() -> None:
+            page = ahead.popleft()
+            if page[4] is not None:
+                after = list(ahead)[:neighbours]
+                near = [p for p in [*reversed(before), *after] if p[2] == page[2]]
+                if not near:
+                    beside = ([before[-1]] if before else []) + after[:1]
+                    near = [max(beside, key=lambda p: _common(f"{p[2]}/{p[3]}", f"{page[2]}/{page[3]}"))] if beside else []
+                text, deleted = main_text(page[4], [p[5] for p in near], alone=not near)
+                out.append((page[0], page[1], text, len(text), deleted))
+            before.append(page)
+
+        def batch_of() -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int32()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "n_deleted"])
+
+        now = None
+        for batch in batches:
+            schema = batch.schema
+            for row in batch.to_pylist():
+                if row["bucket"] != now:
+                    while ahead:
+                        finish()
+                    before.clear()
+                    now = row["bucket"]
+                lines = None if row["lines"] is None else _unpack(row["lines"])
+                keys = _unpack(row["keys"]) if lines is None else [key for key, _ in outline(lines)]
+                ahead.append((row["page_id"], row["url"], row["host"], row["path"], lines, keys))
+                if len(ahead) > neighbours:
+                    finish()
+                if len(out) >= 200:
+                    yield batch_of()
+        while ahead:
+            finish()
         if out:
             yield batch_of()
 
-    return sorted_pages.mapInArrow(compare, f"page_id {id_type}, url string, text string, n_chars long, n_deleted int")
+    return dealt.mapInArrow(compare, f"page_id {id_kind}, url string, text string, n_chars long, n_deleted int")
+
+
+def _pack(value) -> bytes:
+    return zlib.compress(json.dumps(value, ensure_ascii=False).encode("utf-8", "replace"), 1)
+
+
+def _unpack(data: bytes):
+    return json.loads(zlib.decompress(data))
