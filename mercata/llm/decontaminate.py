@@ -10,7 +10,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches
 
 #: Masks of six tokens. Enumeration shows (the tests repeat it) that every overlap of 13 agreeing tokens at 80 % agreement holds a place where
 #: one of them meets agreeing tokens only. An overlap with no smaller one inside has 13 agreeing tokens and up to 3 others, or 16, 20 or 24 and a
@@ -162,7 +161,6 @@ def contaminated(
     gives one row with its best overlap. The document side is never shuffled.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("length(text) > 0")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, item_type = (f.dataType.simpleString() for f in (slim.schema[0], items.schema[0]))
@@ -206,7 +204,6 @@ def drop_contaminated(
     block_chars: int = 2_000_000,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text overlaps no test item by the rule of ``contaminated``; nothing is shuffled."""
-    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("length(text) > 0")
     at = docs.columns.index(text_col)
 

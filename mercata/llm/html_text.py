@@ -308,14 +308,14 @@ def extract_text(
     url_col: str = "url",
     html_col: str = "html",
     neighbours: int = 4,
-    bucket_chars: int = 32 << 20,
+    bucket_chars: int = 8 << 20,
     most_buckets: int = 20_000,
 ) -> DataFrame:
     """(page_id, url, text, n_chars, n_deleted) for every row.
 
     Pages are sorted by host (last label first), path and id over all machines. Each is compared with the ``neighbours`` pages on either side
     of it that lie in its host, and ``main_text`` says what goes; a page that is alone in its host takes the one page beside it
-    whose host and path have the longer part in common. Buckets of the sort hold about ``bucket_chars`` characters; their
+    whose host and path have the longer part in common. Buckets of the sort hold about ``bucket_chars`` characters, and tasks about four of them; their
     bounds, at most ``most_buckets``, come to the driver, and the outlines of pages near a bound are copied to the other side, so hosts
     of any size are split and yet paired exactly. A page's lines travel compressed.
 
@@ -378,7 +378,7 @@ def extract_text(
             )
 
     sent = f"page_id {id_kind}, url string, host string, path string, name string, digest long, bucket int, lines binary, keys binary"
-    dealt = slim.mapInArrow(read, sent).repartition(n, "bucket").sortWithinPartitions("bucket", *order)
+    dealt = slim.mapInArrow(read, sent).repartition(math.ceil(n / 4), "bucket").sortWithinPartitions("bucket", *order)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None

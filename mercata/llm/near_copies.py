@@ -9,31 +9,48 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, cut, small_batches
+from .common import add_key, components, cut, keep_rows, scratch
 from .simhash import MAX_BITS, majority, near_pairs, shingle_hashes
 
 WIDTH = 5
 #: Similarity as a fraction, so that its test is exact in whole numbers.
 SIMILARITY = (4, 5)
-#: Words of 64 bits in a parity sketch. Sets differ in at least as many shingles as their sketches in bits.
-SKETCH = 16
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, set): the distinct shingle hashes of every text."""
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, width)).view(np.int64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t or b"", width)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
+def digest(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Parity of the set in two to four bits a shingle. Sets differ in at least as many shingles as their sketches in bits."""
+    size = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & (size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ at the size of the smaller: the larger is folded, since sizes are powers of two."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def common_shingles(slim: DataFrame, width: int, sample: int = 5000, least: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles frequent in a sample of documents, sorted, with their counts. They only set the order of the index: no result depends on them."""
     part = slim.where(F.pmod(F.xxhash64("id"), F.lit(1 + slim.count() // sample)) == 0)
-    counted = _sets(part, width).select(F.explode("set").alias("s")).groupBy("s").count().where(F.col("count") >= least)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t or b"", width) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))], ["set"])
+
+    counted = part.select("text").mapInArrow(sets, "set array<long>").select(F.explode("set").alias("s")).groupBy("s").count().where(F.col("count") >= least)
     rows = sorted(tuple(r) for r in counted.orderBy(F.desc("count"), "s").limit(most).collect())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
@@ -53,25 +70,24 @@ def prefixes(slim: DataFrame, width: int, similarity: tuple[int, int], order: tu
                 hashes = shingle_hashes(text or b"", width)
                 fps.append(majority(hashes))
                 own = np.unique(hashes).view(np.int64)
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                digests.append(digest(own))
                 n = len(own)
                 rank = np.zeros(n, np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     rank = np.where(keys[at] == own, counts[at], 0)
                 sizes.append(n)
-                odd = np.bincount((own & (64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(odd.astype(bool), bitorder="little").view(np.int64))
+                sketches.append(sketch(own))
                 firsts.append(own[np.lexsort((own, rank))[: n - -(-top * n // under) + 1]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()),
-                    pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64())),
                 ],
                 ["id", "fp", "digest", "n", "sketch", "prefix"],
             )
 
-    return slim.mapInArrow(work, f"id {slim.schema['id'].dataType.simpleString()}, fp long, digest binary, n int, sketch array<long>, prefix array<long>")
+    return slim.mapInArrow(work, f"id {slim.schema['id'].dataType.simpleString()}, fp long, digest binary, n int, sketch binary, prefix array<long>")
 
 
 def candidates(postings: DataFrame, similarity: tuple[int, int], long_list: int = 64) -> DataFrame:
@@ -140,59 +156,126 @@ def candidates(postings: DataFrame, similarity: tuple[int, int], long_list: int
     return listed.mapInArrow(work, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, groups: DataFrame, slim: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """The ``pairs`` (a, b) of ids whose shingle sets have the Jaccard similarity.
+def plausible(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b) of classes whose sketches do not differ in more bits than their sets may differ in shingles. It loses none."""
+    top, under = similarity
+    a, b = (classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, sa, nb, sb = (batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb"))
+            ok = [differing_bits(x, y) * (under + top) <= (m + n) * (under - top) for m, x, n, y in zip(na, sa, nb, sb)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    Pairs whose sketches differ in more bits than their sets may differ in shingles go first, which loses none; the texts of the others are read again.
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(work, "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int], leaves: int = 64) -> DataFrame:
+    """The ``pairs`` (hub, leaf) whose shingle sets have the Jaccard similarity, from ``texts`` (node, digest, text).
+
+    A hub's text meets ``leaves`` leaves at a time, so a leaf travels once and a task holds little. A text whose set has another digest than
+    its class (an id of several texts) is passed over.
     """
     top, under = similarity
-    a, b = (groups.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    differing = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)), F.lit(0))
-    allowed = (F.col("na") + F.col("nb")) * (under - top)
-    pairs = cut(pairs.join(a, "a").join(b, "b").where(differing * (under + top) <= allowed).select("a", "b").distinct())
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(_sets(slim.join(named, "id", "left_semi"), width))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.where(shared * (top + under) >= (F.size("sa") + F.size("sb")) * top).select("a", "b"))
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(leaves)).alias("salts"))
+    salted = cut(pairs.join(sizes, "hub").select("hub", "leaf", F.pmod(F.xxhash64("leaf"), "salts").alias("salt")))
+    ends = salted.union(salted.select("hub", F.col("hub").alias("leaf"), "salt").distinct())
+    sent = ends.join(texts, ends["leaf"] == texts["node"]).select("hub", "salt", "leaf", "digest", "text")
+
+    def check(table: pa.Table) -> pa.Table:
+        hub = table.column("hub")[0].as_py()
+        sets = {}
+        for leaf, expected, text in zip(*(table.column(c) for c in ("leaf", "digest", "text"))):
+            own = shingle_set(text.as_py() or b"", width)
+            if digest(own) == expected.as_py():
+                sets[leaf.as_py()] = own
+        mine = sets.pop(hub, None)
+        found = []
+        for leaf, own in sets.items():
+            shared = len(np.intersect1d(mine, own, assume_unique=True)) if mine is not None else -1
+            if shared * (top + under) >= (len(mine) + len(own)) * top:
+                found.append(leaf)
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return sent.groupBy("hub", "salt").applyInArrow(check, "a long, b long")
+
+
+def connect(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) among the ``pairs`` that keep every connection by the Jaccard similarity.
+
+    Each round every class with pairs left is verified against its smallest partner, what holds is joined, and pairs that were tried or lie
+    in one component go. So a group of copies costs one comparison a member, not one a pair. Once no more pairs are left than the first round tried,
+    the last round tries them all.
+    """
+    left, links, most = cut(pairs), None, 0
+    while n := left.count():
+        ends = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = ends.groupBy("a").agg(F.min("b").alias("b"))
+        few = n <= most
+        chosen = left if few else hooks
+        tried = cut(chosen.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("leaf")).distinct())
+        most = most or tried.count()
+        held = cut(similar(tried, texts, width, similarity))
+        links = held if links is None else links.union(held)
+        if few:
+            break
+        groups = components(links)
+        by = groups.select(F.col("node").alias("a"), F.col("component").alias("ga"))
+        to = groups.select(F.col("node").alias("b"), F.col("component").alias("gb"))
+        rest = left.join(tried.select(F.col("hub").alias("a"), F.col("leaf").alias("b")), ["a", "b"], "left_anti")
+        rest = rest.join(by, "a", "left").join(to, "b", "left").where("ga IS NULL OR gb IS NULL OR ga <> gb")
+        left = cut(rest.select("a", "b"))
+    return left if links is None else links
 
 
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, bits: int = MAX_BITS
 ) -> DataFrame:
-    """(id, component) of every distinct shingle set: component is the smallest id reachable over pairs of the Jaccard similarity.
+    """(id, digest, component) of every row with an id: its shingle set's digest and the number of its component by the Jaccard similarity.
 
-    Equal sets are one from the start, under their smallest id. SimHash links of ``bits`` bits join most copies, and all large groups
+    Equal sets are one class from the start. SimHash links of ``bits`` bits join most copies, and all large groups
     of them, without pairs in the square of a group. What they leave (at a similarity of 0.8 fingerprints differ in some ten
-    bits) comes from the prefix index, over sets that are not yet joined. Every link is verified on the whole sets.
+    bits) comes from the prefix index, over classes that are not yet joined. Every link is verified on the whole sets. Null and empty texts
+    are one class, rows that repeat are rows of one class, an id of several texts stands in the class of each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    prints = prefixes(slim, width, similarity, common_shingles(slim, width))
-    groups = cut(
-        prints.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
-    )
-    reps = cut(groups.groupBy("fp").agg(F.min("id").alias("rep")))
-    links = near_pairs(reps.select("fp"), bits)
-    ends = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(
-        reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b"
-    )
-    same = groups.join(reps, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    first = verified(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(same), groups, slim, width, similarity)
-    joined = groups.join(components(first), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    postings = joined.select(F.explode("prefix").alias("shingle"), "n", "id", "component")
-    rest = verified(candidates(postings, similarity), groups, slim, width, similarity)
-    found = components(first.union(rest))
-    return groups.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    with scratch(spark):
+        prints = cut(prefixes(slim, width, similarity, common_shingles(slim, width)), keep=True)
+        grouped = prints.groupBy("digest").agg(F.min(F.struct("id", "fp", "n")).alias("r"))
+        classes = cut(grouped.select("digest", "r.id", "r.fp", "r.n").withColumn("node", F.monotonically_increasing_id()), keep=True)
+        with scratch(spark):
+            named = classes.select("digest", "id", "node")
+            reps = cut(classes.groupBy("fp").agg(F.min("node").alias("rep")))
+            links = near_pairs(reps.select("fp"), bits)
+            ends = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(
+                reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b"
+            )
+            same = classes.join(reps, "fp").where("node <> rep").select("rep", "node")
+            tight = cut(ends.select(F.least("ra", "rb").alias("hub"), F.greatest("ra", "rb").alias("leaf")).union(same))
+            first = cut(similar(tight, _texts(slim, named, tight.toDF("a", "b")), width, similarity), keep=True)
+            joined = named.join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            whole = prints.select("digest", "id", "n", "sketch", "prefix").dropDuplicates(["digest", "id"]).join(joined, ["digest", "id"])
+            postings = whole.select(F.explode("prefix").alias("shingle"), "n", F.col("node").alias("id"), "component")
+            pairs = cut(candidates(postings, similarity))
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            sketches = cut(prints.select("digest", "id", "n", "sketch").dropDuplicates(["digest", "id"]).join(named.join(ends, "node", "left_semi"), ["digest", "id"]))
+            likely = cut(plausible(pairs, sketches, similarity))
+            rest = cut(connect(likely, _texts(slim, named, likely), width, similarity), keep=True)
+        found = components(first.union(rest))
+        by_class = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+        return cut(prints.select("id", "digest").join(by_class, "digest").select("id", "digest", "component"), keep=True)
+
+
+def _texts(slim: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, digest, text) of the classes in ``pairs``."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return cut(slim.join(named.join(ends, "node", "left_semi"), "id").select("node", "digest", "text"))
 
 
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY
 ) -> DataFrame:
-    """``docs`` with one row of each component of ``near_copies``, that of the smallest id; rows of null id stay."""
-    kept = near_copies(docs, id_col, text_col, width, similarity).where("id = component").select(F.col("id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept")).drop("_kept").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each component of ``near_copies``, that of the smallest id; rows of null id stay. See ``keep_rows`` for ids that repeat."""
+    named = near_copies(docs, id_col, text_col, width, similarity).select("id", F.col("digest").alias("key"), "component")
+    return keep_rows(docs, id_col, text_col, named, lambda rows: add_key(rows, lambda t: digest(shingle_set(t, width)), "binary"))

@@ -10,7 +10,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches
 
 SPACE = "▁"
 #: An unknown character costs this much less than the worst piece.
@@ -114,7 +113,6 @@ def token_counts(
 
     ``vocabulary`` is a model file's path or (piece, score) pairs. Words are remembered within a worker, in bounded memory.
     """
-    small_batches(docs.sparkSession)
     pieces = load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

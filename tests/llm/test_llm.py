@@ -122,17 +122,17 @@ def near_texts():
     return texts + ["", None, "One", "one ", "É\x0bX", texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_simhash_components_match_brute_force(spark, hot):
+@pytest.mark.parametrize("wide", [8192, 2])
+def test_simhash_components_match_brute_force(spark, wide):
     texts = near_texts()
     prints = [plain_fingerprint(t) for t in texts]
     want = reach(len(texts), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-    got = {r.id: (r.fp % (1 << 64), r.component) for r in simhash.near_duplicates(docs_of(spark, texts), hot=hot).collect()}
+    got = {r.id: (r.fp % (1 << 64), r.component) for r in simhash.near_duplicates(docs_of(spark, texts), wide=wide).collect()}
     assert got == {i: (p, c) for i, (p, c) in enumerate(zip(prints, want))}
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_simhash_links_of_tight_clusters(spark, hot):
+@pytest.mark.parametrize("wide", [8192, 3])
+def test_simhash_links_of_tight_clusters(spark, wide):
     rng = random.Random(2)
     base = rng.getrandbits(64)
     prints = {base}
@@ -140,7 +140,7 @@ def test_simhash_links_of_tight_clusters(spark, hot):
         prints.add(rng.choice(sorted(prints)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), hot=hot).collect()
+    edges = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), wide=wide).collect()
     linked = {frozenset((r.a, r.b)) for r in edges}
     want = reach(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
     assert reach(len(prints), lambda i, j: frozenset((signed[i], signed[j])) in linked) == want
@@ -155,14 +155,46 @@ def test_simhash_nulls_repeats_and_keep(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
+def test_texts_that_share_an_id_are_not_lost(spark, keep_one):
+    a, b = "a text about lakes and stones", "another one of music and paper"
+    rows = [(1, a, "p"), (1, b, "q"), (2, a, "r"), (3, b, "s"), (3, b, "s"), (3, "third words stand here alone", "t"), (None, a, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, several_id string").withColumn("id", F.lit(0)).withColumn("key", F.lit("k"))
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text, r.several_id) for r in got.collect()) == sorted([("1", a, "p"), ("1", b, "q"), ("3", "third words stand here alone", "t"), ("None", a, "u")])
+    assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_components_of_ids_with_several_texts(spark):
+    rows = [(1, "a b c d e"), (1, "f g h i j"), (2, "a b c d e"), (3, "f g h i j"), (4, "k l m n o")]
+    got = sorted((r.id, r.component) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = {rng.getrandbits(63) for _ in range(rng.randint(0, 400))}
+        b = set(rng.sample(sorted(a), len(a) // 2)) | {rng.getrandbits(63) for _ in range(rng.randint(0, 300))}
+        x, y = (near_copies.sketch(np.array(sorted(v), np.int64)) for v in (a, b))
+        assert near_copies.differing_bits(x, y) <= len(a ^ b)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    with common.scratch(spark):
+        gone, kept = common.cut(spark.range(3)), common.cut(spark.range(4), keep=True)
+        paths = [df.inputFiles()[0][7:] for df in (gone, kept)]
+    assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 4
+
+
 def plain_shingles(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("long_list", [64, 2])
-def test_near_copies_match_brute_force_jaccard(spark, long_list, monkeypatch):
-    monkeypatch.setattr(near_copies.candidates, "__defaults__", (long_list,))
+def test_near_copies_match_brute_force_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(near_copies.candidates, "__defaults__", (4,))  # lists of both lengths
     rng = random.Random(14)
     texts = near_texts() + [" ".join("same line that many documents hold among other things".split() + prose(rng, rng.randint(0, 30)).split()) for _ in range(20)]
     for k in range(80):  # one to six edits of 60 to 200 words: around a similarity of 0.8
@@ -191,7 +223,7 @@ def test_components_of_a_long_path(spark):
 # 4 ----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("cell_rows", [4000, 20])
+@pytest.mark.parametrize("cell_rows", [8000, 20])
 def test_vectors_match_brute_force(spark, cell_rows):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 16))
@@ -210,6 +242,24 @@ def test_vectors_match_brute_force(spark, cell_rows):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [8000, 1])
+def test_vectors_of_repeated_ids_keep_their_own_links(spark, cell_rows):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (3, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.0, 1.001]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], "vec_id long, embedding array<double>, label int, rep string, class int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in vectors.near_vectors(df, cell_rows=cell_rows).collect())
+    assert got == [("3", 1, "3", True), ("5", 1, "3", False), ("5", 2, "3", False), ("7", 2, "3", False), ("8", 2, "3", False), ("None", 0, "None", True)]
+
+
+def test_range_join_of_a_block_is_complete():
+    rng = np.random.default_rng(5)
+    for dim in (1, 2, 8):
+        x = np.concatenate((rng.standard_normal((300, dim)) * 0.1, np.full((20, dim), 0.05)))
+        got = [(min(i, j), max(i, j)) for a, b in vectors.block_pairs(x, 0.07, chunk=16) for i, j in zip(a.tolist(), b.tolist())]
+        gap = ((x[:, None] - x[None]) ** 2).sum(2)
+        want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if gap[i, j] <= 0.07**2}
+        assert len(got) == len(set(got)) and want <= set(got) and all(gap[i, j] <= 0.07**2 + 2e-5 for i, j in got)
+
+
 # 5 ----------------------------------------------------------------------------------------------
 
 
