@@ -7,24 +7,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mercata.llm import decontaminate, mixing, near_copies, secrets, toxicity
-from mercata.llm.common import shared_folder
+from mercata.llm.common import remove, shared_folder, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold. Each row is scored where it lies."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, labels).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (Jaccard similarity 0.8 of five-word shingles): the one of the smallest id."""
+    small_batches(spark)
     return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
@@ -54,10 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written as Parquet to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order over ``documents``, each written as Parquet to the shared folder and reread; a stage's table goes when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{base}/{name}"
     return docs
