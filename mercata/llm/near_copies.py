@@ -15,6 +15,8 @@ from .simhash import MAX_BITS, majority, near_pairs, shingle_hashes
 WIDTH = 5
 #: Similarity as a fraction, so that its test is exact in whole numbers.
 SIMILARITY = (4, 5)
+#: Words of 64 bits in the small sketch that travels with postings.
+SKETCH = 8
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -26,9 +28,9 @@ def digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """Parity of the set in two to four bits a shingle. Sets differ in at least as many shingles as their sketches in bits."""
-    size = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+def sketch(own: np.ndarray, size: int = 0) -> bytes:
+    """Parity of the set in ``size`` bits, by default two to four a shingle. Sets differ in at least as many shingles as their sketches in bits."""
+    size = size or (max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64)
     odd = np.bincount((own & (size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -56,7 +58,7 @@ def common_shingles(slim: DataFrame, width: int, sample: int = 5000, least: int
 
 
 def prefixes(slim: DataFrame, width: int, similarity: tuple[int, int], order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, fp, digest, n, sketch, prefix): SimHash, digest, size and parity sketch of the shingle set, and its first shingles in the common order.
+    """(id, fp, digest, n, sketch, small, prefix): SimHash, digest, size and two parity sketches of the shingle set, and its first shingles in the common order.
 
     With shingles in one order for all, rare ones first, two sets of a similarity of ``s`` share one of their first ``n - ceil(s n) + 1``.
     """
@@ -65,7 +67,7 @@ def prefixes(slim: DataFrame, width: int, similarity: tuple[int, int], order: tu
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, digests, sizes, sketches, firsts = [], [], [], [], []
+            fps, digests, sizes, sketches, small, firsts = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text or b"", width)
                 fps.append(majority(hashes))
@@ -78,82 +80,108 @@ def prefixes(slim: DataFrame, width: int, similarity: tuple[int, int], order: tu
                     rank = np.where(keys[at] == own, counts[at], 0)
                 sizes.append(n)
                 sketches.append(sketch(own))
+                small.append(sketch(own, 64 * SKETCH))
                 firsts.append(own[np.lexsort((own, rank))[: n - -(-top * n // under) + 1]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()),
-                    pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64())),
+                    pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.array(firsts, pa.list_(pa.int64())),
                 ],
-                ["id", "fp", "digest", "n", "sketch", "prefix"],
+                ["id", "fp", "digest", "n", "sketch", "small", "prefix"],
             )
 
-    return slim.mapInArrow(work, f"id {slim.schema['id'].dataType.simpleString()}, fp long, digest binary, n int, sketch binary, prefix array<long>")
+    return slim.mapInArrow(work, f"id {slim.schema['id'].dataType.simpleString()}, fp long, digest binary, n int, sketch binary, small binary, prefix array<long>")
 
 
-def candidates(postings: DataFrame, similarity: tuple[int, int], long_list: int = 64) -> DataFrame:
-    """Pairs (a, b) of ``postings`` (shingle, n, id, component) that share a shingle, with sizes that allow the similarity and components that differ.
-
-    A long list belongs mostly to one component (a large group of copies); only its other members meet the whole list.
-    """
-    top, under = similarity
-    listed = postings.repartition("shingle").sortWithinPartitions("shingle", "n").select("shingle", "n", "id", "component")
+def in_lists(rows: DataFrame, order: list[str], handle, schema: str, **fixed) -> DataFrame:
+    """``handle`` over the posting lists of ``rows``: runs of whole lists as arrays, a run at a time, where rows of a shingle lie together, sorted by ``order``."""
+    columns = rows.columns
+    listed = rows.repartition("shingle").sortWithinPartitions("shingle", *order)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key: np.ndarray, n: np.ndarray, node: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            size = np.diff(edge)
-            for s, length in zip(edge[:-1][size > long_list], size[size > long_list]):
-                ns, nodes, groups = (v[s : s + length] for v in (n, node, group))
-                names, place, count = np.unique(groups, return_inverse=True, return_counts=True)
-                main = place == count.argmax()
-                for i in np.flatnonzero(~main):
-                    ok = (groups != groups[i]) & (np.minimum(ns, ns[i]) * under >= np.maximum(ns, ns[i]) * top)
-                    ok &= main | (np.arange(length) > i)
-                    if ok.any():
-                        yield np.full(ok.sum(), nodes[i]), nodes[ok]
-            size = np.where(size > long_list, 0, size)
-            for shift in range(1, int(size.max(initial=0))):
-                keep = size > shift
-                s, m = edge[:-1][keep], size[keep] - shift
-                x = np.repeat(s - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-                x = x[(n[x] * under >= n[x + shift] * top) & (group[x] != group[x + shift])]
-                if len(x):
-                    yield node[x], node[x + shift]
-
-        waiting: list[np.ndarray] = []
-        count = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal count
-            both = np.unique(np.sort(np.concatenate(waiting), axis=1), axis=0)
-            waiting.clear()
-            count = 0
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        def take(lists: list) -> Iterator[pa.RecordBatch]:
-            nonlocal count
-            for a, b in pairs(*lists):
-                waiting.append(np.stack((a, b), axis=1))
-                count += len(a)
-                if count > 200_000:
-                    yield flush()
-
-        held: list[list[np.ndarray]] = []
-        for got in batches:
-            now = [got.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
-            if now[0][0] == now[0][-1] and (not held or held[-1][0][-1] == now[0][0]):  # the open list goes on
-                held.append(now)
+        def arrays(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            out = {}
+            for c in columns:
+                values = table.column(c)
+                if c == "sketch":
+                    out[c] = np.frombuffer(b"".join(values.to_pylist()), np.uint64).reshape(len(values), SKETCH)
+                else:
+                    out[c] = values.to_numpy().astype(np.int64)
+            return out
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shingles = batch.column("shingle").to_numpy()
+            start = int(np.searchsorted(shingles, shingles[-1]))
+            if start == 0 and (not held or held[-1].column("shingle")[-1].as_py() == shingles[0]):  # the open list goes on
+                held.append(batch)
                 continue
-            joined = [np.concatenate(v) for v in zip(*held, now)]
-            start = int(np.searchsorted(joined[0], joined[0][-1]))
-            yield from take([v[:start] for v in joined])
-            held = [[v[start:] for v in joined]]
+            yield from handle(arrays([*held, batch.slice(0, start)]), **fixed)
+            held = [batch.slice(start)]
         if held:
-            yield from take([np.concatenate(v) for v in zip(*held)])
-        if count:
-            yield flush()
+            yield from handle(arrays(held), **fixed)
+
+    return listed.mapInArrow(work, schema)
+
+
+def _edges(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
 
-    return listed.mapInArrow(work, "a long, b long").distinct()
+
+def shared_only(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Postings of lists that hold several classes."""
+    size = np.diff(_edges(run["shingle"]))
+    keep = np.repeat(size > 1, size)
+    if keep.any():
+        yield pa.RecordBatch.from_pydict({c: v[keep] if c != "n" else v[keep].astype(np.int32) for c, v in run.items()})
+
+
+def listed_pairs(run: dict[str, np.ndarray], top: int, under: int, hooks: bool, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a list whose sizes allow the similarity, whose sketches do not rule it out and whose components differ.
+
+    ``hooks``: for each class only the first such partner before it, so a list yields no more pairs than it has members. Lists are compared
+    where they lie, in pieces of ``most`` pairs, so only what may be similar leaves the task.
+    """
+    n, node, group, bits = run["n"], run["node"], run["component"], run["sketch"]
+    edge = _edges(run["shingle"])
+    size = np.diff(edge)
+
+    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = (group[x] != group[y]) & (np.minimum(n[x], n[y]) * under >= np.maximum(n[x], n[y]) * top)
+        at = np.flatnonzero(ok)
+        differing = np.bitwise_count(bits[x[at]] ^ bits[y[at]]).sum(1, dtype=np.int64)
+        ok[at] = differing * (under + top) <= (n[x[at]] + n[y[at]]) * (under - top)
+        return ok
+
+    found: list[np.ndarray] = []
+    hooked = np.zeros(len(n), bool)
+    for shift in range(1, int(size.max(initial=0))):
+        keep = size > shift
+        s, m = edge[:-1][keep], size[keep] - shift
+        x = np.repeat(s - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+        for k in range(0, len(x), most):
+            y = x[k : k + most]
+            if hooks:
+                y = y[~hooked[y + shift]]
+            y = y[allowed(y, y + shift)]
+            if len(y):
+                hooked[y + shift] = True
+                found.append(np.sort(np.stack((node[y], node[y + shift]), axis=1), axis=1))
+        if sum(map(len, found)) > most:
+            both = np.unique(np.concatenate(found), axis=0)
+            found = []
+            yield pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
+    if found:
+        both = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_pydict({"a": both[:, 0], "b": both[:, 1]})
+
+
+def candidates(shared: DataFrame, groups: DataFrame, similarity: tuple[int, int], hooks: bool) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a posting list of ``shared`` (shingle, n, node, sketch); see ``listed_pairs``."""
+    top, under = similarity
+    rows = shared.join(groups, "node", "left").select("shingle", "n", "node", F.coalesce("component", "node").alias("component"), "sketch")
+    return in_lists(rows, ["n", "node"], listed_pairs, "a long, b long", top=top, under=under, hooks=hooks).distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -204,14 +232,14 @@ def connect(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[in
     """Links (a, b) among the ``pairs`` that keep every connection by the Jaccard similarity.
 
     Each round every class with pairs left is verified against its smallest partner, what holds is joined, and pairs that were tried or lie
-    in one component go. So a group of copies costs one comparison a member, not one a pair. Once no more pairs are left than the first round tried,
-    the last round tries them all.
+    in one component go. So a group of copies costs one comparison a member, not one a pair. Once no more than four times as many pairs are left
+    as the first round tried, the last round tries them all.
     """
     left, links, most = cut(pairs), None, 0
     while n := left.count():
         ends = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = ends.groupBy("a").agg(F.min("b").alias("b"))
-        few = n <= most
+        few = n <= 4 * most
         chosen = left if few else hooks
         tried = cut(chosen.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("leaf")).distinct())
         most = most or tried.count()
@@ -235,7 +263,8 @@ def near_copies(
 
     Equal sets are one class from the start. SimHash links of ``bits`` bits join most copies, and all large groups
     of them, without pairs in the square of a group. What they leave (at a similarity of 0.8 fingerprints differ in some ten
-    bits) comes from the prefix index, over classes that are not yet joined. Every link is verified on the whole sets. Null and empty texts
+    bits) comes from the prefix index: two rounds link each class of a posting list to one partner that its sketch allows, and the last round tries every
+    such pair whose components still differ. Every link is verified on the whole sets. Null and empty texts
     are one class, rows that repeat are rows of one class, an id of several texts stands in the class of each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -254,15 +283,21 @@ def near_copies(
             same = classes.join(reps, "fp").where("node <> rep").select("rep", "node")
             tight = cut(ends.select(F.least("ra", "rb").alias("hub"), F.greatest("ra", "rb").alias("leaf")).union(same))
             first = cut(similar(tight, _texts(slim, named, tight.toDF("a", "b")), width, similarity), keep=True)
-            joined = named.join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            whole = prints.select("digest", "id", "n", "sketch", "prefix").dropDuplicates(["digest", "id"]).join(joined, ["digest", "id"])
-            postings = whole.select(F.explode("prefix").alias("shingle"), "n", F.col("node").alias("id"), "component")
-            pairs = cut(candidates(postings, similarity))
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            sketches = cut(prints.select("digest", "id", "n", "sketch").dropDuplicates(["digest", "id"]).join(named.join(ends, "node", "left_semi"), ["digest", "id"]))
-            likely = cut(plausible(pairs, sketches, similarity))
-            rest = cut(connect(likely, _texts(slim, named, likely), width, similarity), keep=True)
-        found = components(first.union(rest))
+            whole = prints.select("digest", "id", "n", "small", "prefix").dropDuplicates(["digest", "id"]).join(named, ["digest", "id"])
+            postings = whole.select(F.explode("prefix").alias("shingle"), "n", "node")
+            lists = cut(in_lists(postings, ["node"], shared_only, "shingle long, n int, node long"))
+            named_in = lists.select("node").distinct()
+            wide = whole.select("node", F.col("small").alias("sketch")).join(named_in, "node", "left_semi")
+            shared = cut(lists.join(cut(wide), "node"))
+            found, links = components(first), first
+            for hooks in (True, True, False):
+                pairs = cut(candidates(shared, found, similarity, hooks))
+                ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+                sketches = cut(prints.select("digest", "id", "n", "sketch").dropDuplicates(["digest", "id"]).join(named.join(ends, "node", "left_semi"), ["digest", "id"]))
+                likely = cut(plausible(pairs, sketches, similarity))
+                links = links.union(cut(connect(likely, _texts(slim, named, likely), width, similarity), keep=True))
+                found = components(links)
+            found = cut(found, keep=True)
         by_class = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
         return cut(prints.select("id", "digest").join(by_class, "digest").select("id", "digest", "component"), keep=True)
 

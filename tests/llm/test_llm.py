@@ -193,8 +193,7 @@ def plain_shingles(text):
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_near_copies_match_brute_force_jaccard(spark, monkeypatch):
-    monkeypatch.setattr(near_copies.candidates, "__defaults__", (4,))  # lists of both lengths
+def test_near_copies_match_brute_force_jaccard(spark):
     rng = random.Random(14)
     texts = near_texts() + [" ".join("same line that many documents hold among other things".split() + prose(rng, rng.randint(0, 30)).split()) for _ in range(20)]
     for k in range(80):  # one to six edits of 60 to 200 words: around a similarity of 0.8
