@@ -374,11 +374,15 @@ def test_decontamination_tolerates_substitutions(spark):
         edited[k] = "other"
     texts = [f"{prose(rng, 50)} {t} {prose(rng, 50)}" for t in (items[0], " ".join(edited), items[2], items[3])]
     texts += [prose(rng, 100), None, "", items[1], " ".join(items[4].split()[:6]), texts[0] + " " + items[0]]
-    for blocks in (2_000_000, 150):
-        got = {(r.doc_id, r.item_id): r.n_overlap for r in decontaminate.contaminated(docs_of(spark, texts), bench, block_chars=blocks).collect()}
+    docs = docs_of(spark, texts).withColumn("row", F.lit(1)).withColumn("h1", F.lit("x"))
+    for bits in (1 << 27, 1 << 12):
+        got = {(r.doc_id, r.item_id): r.n_overlap for r in decontaminate.contaminated(docs, bench, most_bits=bits).collect()}
         assert got == {(0, 0): 40, (1, 0): 37, (2, 2): 15, (3, 3): 8, (7, 1): 30, (9, 0): 40}
-        kept = {r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), bench, block_chars=blocks).collect()}
-        assert kept == {4, 5, 6, 8}
+        kept = decontaminate.drop_contaminated(docs, bench, most_bits=bits)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 8}
+    short = spark.createDataFrame([(0, texts[4].split()[0]), (1, " ".join(texts[4].split()[:7]))], "item_id long, text string")
+    assert decontaminate.contaminated(docs, short).count() == 0 and decontaminate.drop_contaminated(docs, short).count() == len(texts)
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(texts)
 
 
 def best_overlap(doc, item):
@@ -434,9 +438,9 @@ def test_decontamination_matches_brute_force_at_the_edge(spark):
                 want[d, None if i == 5 else i] = n
     assert want[len(texts) - 2, len(items) - 2] == 16 and want[len(texts) - 1, len(items) - 1] == 30
     bench = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.n_overlap for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    got = {(r.doc_id, r.item_id): r.n_overlap for r in decontaminate.contaminated(docs_of(spark, texts), bench, least=1).collect()}
     assert got == want
-    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), bench).collect()}
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs_of(spark, texts), bench, least=1).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in want}
 
 
