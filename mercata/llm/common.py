@@ -65,6 +65,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def add_key(rows: DataFrame, key_of, kind: str, text_col: str = "text") -> DataFrame:
     """``rows`` plus ``key``, the value of ``key_of`` for the UTF-8 bytes of each text; null counts as empty. ``kind``: long or binary."""
     schema = StructType([*rows.schema.fields, StructField("key", LongType() if kind == "long" else BinaryType())])

@@ -254,7 +254,7 @@ def main_text(lines: list, near: list[list[str]], alone: bool = False) -> tuple[
     """(text, lines deleted by differencing) of a page's ``lines`` against the outline keys of its ``near`` pages.
 
     The outline is aligned with that of every near page by longest common subsequence, and what is shared goes: elements that a class word only
-    hints at, and plain lines outside an article. A near page that shares over half of the plain text is a copy; its plain lines count for nothing. Lines within
+    hints at, and plain lines outside an article. A near page that shares over 80 % of the plain text is a copy; its plain lines count for nothing. Lines within
     an article or main element are never compared, since two articles that share lines are copies; menus, footers, forms and invisible elements go in any case.
     Plain lines outside the article that no near page shares stay if they hold more text than the article does. ``alone``: with no page to compare with, hinted elements go unseen.
     """
@@ -264,7 +264,7 @@ def main_text(lines: list, near: list[list[str]], alone: bool = False) -> tuple[
     plain = sum(len(t) for k, t, _ in lines if k == "o")
     for theirs in near:
         shared = {n for at in shared_lines(keys, theirs) for n in mine[at][1]}
-        if 2 * sum(len(lines[n][1]) for n in shared if lines[n][0] == "o") > plain:
+        if sum(len(lines[n][1]) for n in shared if lines[n][0] == "o") > 0.8 * plain:
             shared = {n for n in shared if lines[n][0] != "o"}
         gone |= shared
     left = [(k, t) for n, (k, t, _) in enumerate(lines) if n not in gone and k != "s" and not (alone and k == "x")]

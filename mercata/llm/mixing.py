@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Domains over the labelled table: (name, condition on its columns). A labelled row counts for the first that holds.
 DOMAINS = (("toxic", "toxic = 1"), ("poor", "quality = 0"), ("prose", "quality = 1"))
@@ -144,15 +144,15 @@ def mix(
     its fraction, decided by a hash of the id. Null and empty texts have 0 tokens and a rate like any other; rows that repeat
     are weighed each and decided alike. A domain without labelled rows gets no mass. Columns of these names are replaced.
     """
-    made = ("tokens", "x", "p", "posteriors", "rate", "copies")
+    plain = docs.drop("tokens", "posteriors", "rate", "copies")
+    x = fresh(plain, "features")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.drop(*made)
-    held = cut(plain.withColumns({"tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"), "x": F.array(*features(text))}))
-    model = fit_classifier(held.select(F.col(id_col).alias("doc_id"), "x"), labels, domains, sample)
-    scored = held.withColumn("p", posteriors(F.col("x"), model))
+    held = cut(plain.withColumns({"tokens": F.regexp_count(text, F.lit(r"\S+")).cast("long"), x: F.array(*features(text))}))
+    model = fit_classifier(held.select(F.col(id_col).alias("doc_id"), F.col(x).alias("x")), labels, domains, sample)
+    scored = held.withColumn("posteriors", posteriors(F.col(x), model)).drop(x)
     weights = np.array([float(targets.get(name, 0.0)) for name, _ in domains])
-    steps = fit_rates(scored.select("tokens", "p"), weights / weights.sum(), total_tokens)
+    steps = fit_rates(scored.select("tokens", F.col("posteriors").alias("p")), weights / weights.sum(), total_tokens)
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    rated = scored.withColumn("rate", rate_after(F.col("p"), steps))
+    rated = scored.withColumn("rate", rate_after(F.col("posteriors"), steps))
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
-    return rated.withColumn("copies", copies).withColumnRenamed("p", "posteriors").drop("x")
+    return rated.withColumn("copies", copies)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 #: An unknown character costs this much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
+WORDS = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def load_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -29,16 +32,16 @@ def load_vocabulary(path: str) -> list[tuple[str, float]]:
 class UnigramCounter:
     """Piece counts of best segmentations.
 
-    Spaces become ``▁``, a text that doesn't begin with one gets one, and every ``▁`` starts a word; no piece crosses words.
-    A character that no piece holds splits a word further, since every path passes it alone. Aho-Corasick lists all
-    pieces that end at each character, longest first; dynamic programming keeps the best score
+    Spaces become ``▁``, and a text that doesn't begin with one gets one. A text is cut only where no piece can cross: before the marks that precede a
+    word, so a run of marks is segmented with the word behind it. A character that no piece holds splits a word further, since every path passes it alone.
+    Aho-Corasick lists all pieces that end at each character, longest first; dynamic programming keeps the best score
     and its piece count. A later candidate must be strictly better, so of equal
     segmentations the one with the longest last piece wins, as in the tokenizer. A character without
     a piece of its own may be passed as unknown at the worst score less ``UNKNOWN_PENALTY``; it counts as its UTF-8
-    bytes with ``byte_fallback``, else a run of such characters counts as one.
+    bytes with ``byte_fallback``, else a run of such characters counts as one. Words of up to ``short`` characters are remembered, at most ``memory`` of them.
     """
 
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, memory: int = 400_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, memory: int = 200_000, short: int = 64):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), float(score)))
@@ -47,33 +50,33 @@ class UnigramCounter:
         letters = "".join(sorted({c for p, _ in vocabulary for c in p}))
         self.foreign = regex.compile(f"[^{regex.escape(letters)}]+") if letters else regex.compile(r"(?s).+")
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.byte_fallback, self.memory = byte_fallback, memory
+        self.byte_fallback, self.memory, self.short = byte_fallback, memory, short
         self.seen: dict[str, int] = {}
-        self.wide = any(SPACE in p[1:] and p.strip(SPACE) for p, _ in vocabulary)
-        if self.wide:
+        if any(SPACE in p.lstrip(SPACE) for p, _ in vocabulary):
             raise ValueError("a vocabulary piece crosses a word boundary")
 
     def best(self, word: str) -> int:
         """Pieces of the best segmentation of one word whose characters are all in the alphabet."""
-        n = len(word)
-        score, count, alone = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1)
-        at, single = 0, self.single
-        found: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            found[end].append(match)
+        n, single, worst = len(word), self.single, -math.inf
+        score, count, alone = array("d", [0.0]), array("q", [0]), bytearray(n + 1)
+        found = self.automaton.iter(word)
+        end, match = next(found, (n, None))
         for at in range(n):
-            top, pieces, lone = None, 0, False
-            for size, value in found[at]:
-                before = score[at + 1 - size]
-                if before is not None and (top is None or before + value > top):
-                    top, pieces, lone = before + value, count[at + 1 - size] + 1, False
+            top, pieces = worst, 0
+            while end == at:
+                size, value = match
+                value += score[at + 1 - size]
+                if value > top:
+                    top, pieces = value, count[at + 1 - size] + 1
+                end, match = next(found, (n, None))
             if word[at] not in single:
                 value = score[at] + self.unknown
-                if top is None or value > top:
+                if value > top:
                     fused = alone[at] and not self.byte_fallback
-                    more = len(word[at].encode()) if self.byte_fallback else 0 if fused else 1
-                    top, pieces, lone = value, count[at] + more, True
-            score[at + 1], count[at + 1], alone[at + 1] = top, pieces, lone
+                    more = len(word[at].encode("utf-8", "replace")) if self.byte_fallback else 0 if fused else 1
+                    top, pieces, alone[at + 1] = value, count[at] + more, 1
+            score.append(top)
+            count.append(pieces)
         return count[n]
 
     def count(self, text: str | None) -> int:
@@ -81,30 +84,31 @@ class UnigramCounter:
             return 0
         total, seen = 0, self.seen
         marked = text.replace(" ", SPACE)
-        for word in marked[marked.startswith(SPACE) :].split(SPACE):
+        if not marked.startswith(SPACE):
+            marked = SPACE + marked
+        for m in WORDS.finditer(marked):
+            word = m[0]
             got = seen.get(word)
             if got is None:
-                got = self._word(SPACE + word)
-                if len(seen) >= self.memory:
-                    seen.clear()
-                seen[word] = got
+                got = self._word(word)
+                if len(word) <= self.short:
+                    if len(seen) >= self.memory:
+                        seen.clear()
+                    seen[word] = got
             total += got
         return total
 
     def _word(self, word: str) -> int:
         if not self.byte_fallback:
-            return self._runs(word)
+            return self.best(word)
         total, last = 0, 0
         for m in self.foreign.finditer(word):
             if m.start() > last:
                 total += self.best(word[last : m.start()])
-            total += len(m[0].encode())
+            total += len(m[0].encode("utf-8", "replace"))
             last = m.end()
         return total + (self.best(word[last:]) if last < len(word) else 0)
 
-    def _runs(self, word: str) -> int:
-        return self.best(word)
-
 
 def token_counts(
     docs: DataFrame, vocabulary: str | list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = True

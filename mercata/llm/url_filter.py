@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: (host, path, verdict); a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = (
@@ -151,7 +151,6 @@ def filter_urls(
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     split = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
     cascade = build_cascade(split.select(F.col("host").alias("key")), blocked.select(F.col(blocked_col).alias("key")))
-    marked = cascade.mark(split, "host", "_listed")
-    return marked.withColumns(
-        {"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("_listed"), "block").otherwise("allow"))}
-    ).drop("_listed")
+    name = fresh(split, "listed")
+    marked = cascade.mark(split, "host", name)
+    return marked.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col(name), "block").otherwise("allow"))}).drop(name)

@@ -47,7 +47,8 @@ def test_url_parts_and_rules(spark):
     urls = ["http://WWW.Example.com/en/1?x#y", "https://example.com/en/", "ftp://a.net/es/q", "x.net/es/", None, "http://Ünet/fr/", "a://b?c://d/", "http://xexample.com/en/1"]
     pages = spark.createDataFrame([(i, u, 7, "keep") for i, u in enumerate(urls)], "page_id int, url string, _listed int, host string")
     none = spark.createDataFrame([], "host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages.drop("_listed"), none).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, none).collect()}
+    assert {"_listed", "listed"} <= set(url_filter.filter_urls(pages.withColumn("listed", F.lit(1)), none).columns)
     assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
     assert got[1][2:] == ("example.com/en/", "block") and got[2][2:] == ("net/es/", "block")
     assert got[3] == ("", "", None, "allow") and got[4] == ("", "", None, "allow") and got[5][:2] == ("Ünet", "/fr/")
@@ -82,10 +83,10 @@ def test_empty_list_blocks_nothing(spark):
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     texts = [prose(rng, 60) if i % 3 else " ".join(w + "###" for w in prose(rng, 40).split()) for i in range(240)] + [None, ""]
-    docs = docs_of(spark, texts).withColumn("rate", F.lit("clash"))
+    docs = docs_of(spark, texts).withColumn("rate", F.lit("clash")).withColumns({"x": F.lit(1), "p": F.lit(2), "features": F.lit(3)})
     labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 240, 2)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     out = mixing.mix(docs, labels, mixing.QUALITY_DOMAINS, {"prose": 0.5, "poor": 0.5}).collect()
-    assert len(out) == 242
+    assert len(out) == 242 and {(r.x, r.p, r.features) for r in out} == {(1, 2, 3)}
     totals = np.sum([np.array(r.posteriors) * r.rate * r.tokens for r in out], axis=0)
     assert totals / totals.sum() == pytest.approx([0.5, 0.5], abs=1e-4)
     assert min(r.rate for r in out) >= 0 and [r.tokens for r in out if not r.text] == [0, 0]
@@ -265,10 +266,42 @@ def test_range_join_of_a_block_is_complete():
 def test_grammar_scores_clauses():
     score = toxicity.Scorer(toxicity.Lexicon.fixed())
     assert score("The weather is fine.") == 0 and score(None) == 0 and score("") == 0
-    assert score("You are a worthless clown.") >= 0.7 > score("You are not a clown.")
-    assert score("He said the man was stupid.") < 0.7 and score("An idiotic plan; a moron.") > score("A moron.")
-    assert score("paramorons here") == 0
+    assert score("You are a worthless liar.") >= 0.7 > score("You are not a liar.") and score("Worthless, you.") >= 0.7
+    for words in ("Take out the trash.", "The fool on the hill smiled.", "Idiot!", "He said the man was stupid.", "kill the process", "I will not hurt you"):
+        assert 0 < score(words) < 0.7, words
+    for words in ("I will kill you.", "You, I will kill you and destroy you.", "you shall burn", "Te voy a matar.", "Ich werde dich umbringen"):
+        assert score(words) >= 0.7, words
+    assert score("An idiotic plan; a moron.") > score("A moron.") and score("paramorons here") == 0
     assert score("x " * 50000 + "you scum") >= 0.7
+    learned = toxicity.Scorer(toxicity.Lexicon(toxicity.Lexicon.fixed().terms | {"clown*": ("I", 0.97)}))
+    assert learned("The clown smiled.") >= 0.7 > learned("Not a clown.")
+
+
+def test_composed_machine_equals_its_parts():
+    import itertools
+
+    def plain(symbols):
+        left, report, seen, out = 0, False, set(), []
+        for s in symbols:
+            said, factor = s, 1.0
+            if s in "IH" and left:
+                said, factor = s.lower(), factor * 0.4
+            left = 3 if s == "N" else max(0, left - 1)
+            if said in "IH" and report:
+                said, factor = said.lower(), factor * 0.5
+            report = report or s == "R"
+            seen.add(s)
+            out.append((said, factor))
+        end = "E" if "Y" not in seen else {(0, 0): "A", (1, 0): "B", (0, 1): "T", (1, 1): "C"}["I" in seen, "H" in seen]
+        return [*out, (end, 1.0)]
+
+    table = toxicity.GRAMMAR.table(toxicity.ALPHABET)
+    for symbols in itertools.product("IHYNRw", repeat=5):
+        state, got = 0, []
+        for s in [*symbols, "E"]:
+            state, said, factor = table[state, s]
+            got.append((said, factor))
+        assert [(a, pytest.approx(f)) for a, f in plain(symbols)] == got and state == 0
 
 
 def test_toxicity_learns_stems_from_its_fold(spark):
@@ -293,6 +326,8 @@ def test_toxicity_learns_stems_from_its_fold(spark):
     assert got[600].score == got[601].score == 0
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
     assert kept == {i for i in got if not got[i].predicted}
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).count() == 602
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
 
 
 def test_copies_are_one_witness(spark):
@@ -474,14 +509,24 @@ def test_token_counts_equal_the_tokenizer(spark):
     pieces = token_counts.load_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
     bytes_ = [(f"<0x{b:02X}>", -1e9) for b in range(256)]
     exact = Tokenizer(models.Unigram([("<unk>", 0.0), *bytes_, *pieces], unk_id=0, byte_fallback=True))
-    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
     rng = random.Random(10)
-    texts = [prose(rng, 80), "", None, " ", "two  spaces", "Ünïcödé ñandú 漢字 😀😀 x", "line\nbreak\ttab", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "▁already ▁marked"]
+    texts = [prose(rng, 80), "", None, " ", "two  spaces", "def f():\n    return  x", "   lead", "trail   ", " " * 40, "Ünïcödé ñandú 漢字 😀😀 x", "line\nbreak\ttab", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "▁already ▁marked"]
     texts += ["".join(rng.choice("abcdeéñ ßöü漢\n") for _ in range(rng.randint(1, 60))) for _ in range(60)]
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs_of(spark, texts), pieces).collect()}
     assert got == {i: len(exact.encode(t, add_special_tokens=False).ids) if t else 0 for i, t in enumerate(texts)}
 
 
+def test_long_words_are_counted_in_little_memory():
+    import tracemalloc
+
+    counter = token_counts.UnigramCounter([("▁", -1.0), ("a", -1.0), ("aa", -1.5), ("▁▁", -1.2)])
+    tracemalloc.start()
+    assert counter.count("a" * 400_000) == 200_001 and counter.count("a  a") == 5 - 1
+    assert tracemalloc.get_traced_memory()[1] < 16_000_000
+    tracemalloc.stop()
+
+
 def test_ties_take_the_longest_last_piece():
     counter = token_counts.UnigramCounter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0)], byte_fallback=False)
     assert counter.count("ab") == 2 and counter.count("zz") == 2 and counter.count("azza") == 3
@@ -499,8 +544,33 @@ def test_article_text(spark):
     rows = [(1, "http://a.com/x/1", html), (2, "http://a.com/x/2", page("<article><p>other</p></article>")), (3, None, None), (4, "http://b.com/", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract_text(df).collect()}
-    assert got[1].text == "A & B\n\none two three\n\nx y" and got[1].n_chars == len(got[1].text) and got[1].n_deleted > 0
+    assert got[1].n_chars == len(got[1].text) and got[1].n_deleted > 0  # its one neighbour has neither adverts nor comments
+    assert got[1].text == "buy\n\nA & B\n\none two three\n\nx y\n\nbad"
     assert got[2].text == "other" and got[3].text == "" and got[4].text == ""
+    again = spark.createDataFrame([(i, f"http://a.com/x/{i}", html) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract_text(again).collect()} == {"A & B\n\none two three\n\nx y"}
+    assert html_text.extract_text(again.limit(1)).first().text == "A & B\n\none two three\n\nx y"
+    assert html_text.extract_text(again.limit(0)).count() == 0
+
+
+def test_neighbours_decide_on_hinted_elements():
+    lines = html_text.lines_of(page("<article><p class='search-term'>kept</p><div class='share-price'>Price 3</div><p>text</p></article><div class=ad>buy</div>"))
+    keys = [k for k, _ in html_text.outline(lines)]
+    assert html_text.main_text(lines, [])[0] == "kept\n\nPrice 3\n\ntext\n\nbuy"
+    assert html_text.main_text(lines, [[k for k in keys if k != "x:div.share"]])[0] == "kept\n\nPrice 3\n\ntext"
+
+
+@pytest.mark.parametrize(
+    "bad", ['<a title="x' * 20_000, "<!" * 50_000, "<div>" * 20_000 + "</section>" * 20_000, "<a b='" * 20_000, "<div>x" * 20_000, "<p " * 50_000]
+)
+def test_broken_pages_take_little_time(bad):
+    import time
+
+    start = time.perf_counter()
+    html_text.lines_of(bad)
+    assert time.perf_counter() - start < 2
+    assert html_text.lines_of("<p title=don't>Hello")[0][1] == "Hello"
+
 
 
 def test_shared_lines_go_without_an_article(spark):
@@ -534,7 +604,8 @@ def test_neighbours_across_partitions(spark):
     body = "<html><body><div>same</div><p>{}</p></body></html>"
     rows = [(i, f"http://h.com/p/{i:04d}", body.format(f"own {i}")) for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
-    assert {r.text for r in html_text.extract_text(df).collect()} == {f"own {i}" for i in range(60)}
+    for size in (8 << 20, 300, 1):
+        assert {r.text for r in html_text.extract_text(df, bucket_chars=size).collect()} == {f"own {i}" for i in range(60)}
 
 
 # pipeline ---------------------------------------------------------------------------------------
