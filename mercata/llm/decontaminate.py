@@ -150,7 +150,7 @@ def _overlaps(
     rule = Rule(seeds, overlap, share, max(1, least), tuple(sorted(r[0] for r in runs)))
     table = cut(seed_table(items, rule))
     windows, words = table.where(F.col("kind") != TOKEN), table.where(F.col("kind") == TOKEN)
-    size = lambda n: min(most_bits, 1 << max(12, (16 * n).bit_length()))
+    size = lambda n: min(most_bits, 1 << max(12, (512 * n).bit_length()))
     seen, known = _bitmap(windows, size(windows.count())), _bitmap(words, size(words.count()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
