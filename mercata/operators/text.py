@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# Letters with marks and what they fold to.
-MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñý"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucny"
+def _marked_letters() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks that decompose into a letter and marks, and those letters.
+
+    A letter that is no base with marks, such as the crossed d, has no decomposition and stays.
+    """
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        letter = chr(code).lower()
+        base = "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
+        if len(letter) == len(base) == 1 and base != letter:
+            found[letter] = base
+    return "".join(found), "".join(found.values())
+
+
+MARKED, PLAIN = _marked_letters()
+#: Marks that stand as characters of their own.
+LOOSE_MARKS = r"[\x{0300}-\x{036F}]"
 
 
 def chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
@@ -42,18 +58,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norms, F.lit(0.0)), F.lit(0.0))
 
 
-def top_hits(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 4, fetch: int | None = None) -> DataFrame:
+def top_hits(vectors: DataFrame, queries: DataFrame, k: int = 4, fetch: int | None = None, block: int = 256) -> DataFrame:
     """The best ``k`` sources of each query: the best hit of a source among the ``fetch`` nearest vectors counts.
 
-    ``queries`` is a stated, bounded set: it rides in the plan and each vector is read once for all of them.
-    ``vectors`` has vec_id, source and v.
+    ``queries`` (query, qv) is a stated set. It is gathered in blocks of about ``block``, which are copied to every slice of ``vectors`` (vec_id, source,
+    v); each slice keeps the ``fetch`` nearest of a query before those are ranked together, so what is shuffled is the number of queries times slices.
     """
     fetch = fetch or max(5 * k, 20)
-    asked = F.array(*[F.struct(F.lit(q).alias("query"), F.array(*[F.lit(float(x)) for x in v]).alias("qv")) for q, v in queries])
-    pairs = vectors.select("vec_id", "source", "v", F.explode(asked).alias("q"))
-    scored = pairs.select(F.col("q.query").alias("query"), "vec_id", "source", F.round(cosine(F.col("v"), F.col("q.qv")), 6).alias("score"))
     best = [F.desc("score"), F.col("vec_id")]
-    near = scored.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("n") <= fetch)
+    numbered = queries.withColumn("block", F.floor(F.monotonically_increasing_id() / block))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query", "qv")).alias("asked")).drop("block")
+    pairs = blocks.join(vectors.withColumn("slice", F.spark_partition_id())).select("slice", "vec_id", "source", "v", F.explode("asked").alias("q"))
+    scored = pairs.select("slice", F.col("q.query").alias("query"), "vec_id", "source", F.round(cosine(F.col("v"), F.col("q.qv")), 6).alias("score"))
+    least = F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"), F.col("source").alias("source"))
+    local = scored.groupBy("slice", "query").agg(F.slice(F.array_sort(F.collect_list(least)), 1, fetch).alias("near"))
+    kept = local.select("query", F.explode("near").alias("h")).select("query", "h.vec_id", "h.source", (-F.col("h.far")).alias("score"))
+    near = kept.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("n") <= fetch)
     first = near.withColumn("s", F.row_number().over(W.partitionBy("query", "source").orderBy(*best))).where("s = 1")
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k).drop("n", "s")
 
@@ -74,8 +94,8 @@ def tags(text: Column, words: dict[str, list[str]]) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks on letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without combining marks, on letters of the Latin blocks or loose."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), LOOSE_MARKS, "")
 
 
 def mask_literals(sql: Column) -> Column:

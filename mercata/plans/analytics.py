@@ -12,7 +12,7 @@ from mercata.operators.cube import cube_query, prefix_sums
 from mercata.sources.star import Star
 
 from .layers import doubles
-from .library import PERIOD, cents, pct, period, top
+from .library import PERIOD, pct, period, ratio, top
 from .registry import alias, register
 
 D0, D1 = date(1997, 3, 5), date(1997, 4, 18)
@@ -212,11 +212,11 @@ def win_lag(s: Star) -> DataFrame:
 
 @register(
     "win_rolling",
-    SERIES_SQL + "SELECT seller_id, full_date, " + ", ".join(f"round(avg(v) OVER (PARTITION BY seller_id ORDER BY full_date ROWS {n - 1} PRECEDING) + 1e-6, 2) AS roll{n}" for n in (7, 28)) + " FROM d",
+    SERIES_SQL + "SELECT seller_id, full_date, " + ", ".join(f"CAST((2 * CAST(100 * CAST(sum(v) OVER w{n} AS DECIMAL(28,2)) AS HUGEINT) + count(v) OVER w{n}) // (2 * count(v) OVER w{n}) AS DOUBLE) / 100 AS roll{n}" for n in (7, 28)) + " FROM d WINDOW " + ", ".join(f"w{n} AS (PARTITION BY seller_id ORDER BY full_date ROWS {n - 1} PRECEDING)" for n in (7, 28)),
 )
 def win_rolling(s: Star) -> DataFrame:
     w = W.partitionBy("seller_id").orderBy("full_date")
-    return daily_sellers(s).select("seller_id", "full_date", *[cents(F.avg("v").over(w.rowsBetween(1 - n, 0))).alias(f"roll{n}") for n in (7, 28)])
+    return daily_sellers(s).select("seller_id", "full_date", *[ratio(F.sum("v").over(w.rowsBetween(1 - n, 0)), F.count("v").over(w.rowsBetween(1 - n, 0))).alias(f"roll{n}") for n in (7, 28)])
 
 
 SHARE_SQL = """
@@ -230,7 +230,8 @@ def by_seller(s: Star) -> DataFrame:
 
 @register("win_share", SHARE_SQL.format(x="v", n="share_pct"))
 def win_share(s: Star) -> DataFrame:
-    return doubles(by_seller(s).withColumn("share_pct", pct(F.col("v"), F.sum("v").over(W.partitionBy()))))
+    rows = by_seller(s)
+    return doubles(rows.withColumn("share_pct", pct(F.col("v"), rows.agg(F.sum("v")).scalar())))
 
 
 @register("win_cumshare", SHARE_SQL.format(x="sum(v) OVER (ORDER BY v DESC, seller_id ROWS UNBOUNDED PRECEDING)", n="cumulative_pct"))
@@ -242,7 +243,8 @@ def win_cumshare(s: Star) -> DataFrame:
 GROWTH_SQL = """
 WITH m AS (SELECT year_month, CAST(sum(gmv) AS DOUBLE) AS gmv FROM mart_sales WHERE year_month IS NOT NULL GROUP BY 1)
 SELECT year_month, gmv, round(100.0 * (gmv / lag(gmv, {n}) OVER (ORDER BY year_month) - 1), 2) AS growth_pct,
-       round(avg(gmv) OVER (ORDER BY year_month ROWS 2 PRECEDING) + 1e-6, 2) AS gmv_ma3 FROM m"""
+       CAST((2 * CAST(100 * CAST(sum(gmv) OVER w AS DECIMAL(28,2)) AS HUGEINT) + count(gmv) OVER w) // (2 * count(gmv) OVER w) AS DOUBLE) / 100 AS gmv_ma3
+FROM m WINDOW w AS (ORDER BY year_month ROWS 2 PRECEDING)"""
 
 
 def growth(s: Star, lag: int) -> DataFrame:
@@ -251,7 +253,7 @@ def growth(s: Star, lag: int) -> DataFrame:
     w = W.orderBy("year_month")
     return months.select(
         "year_month", "gmv", F.round(100.0 * (F.col("gmv") / F.nullif(F.lag("gmv", lag).over(w), F.lit(0.0)) - 1), 2).alias("growth_pct"),
-        F.round(F.avg("gmv").over(w.rowsBetween(-2, 0)) + 1e-6, 2).alias("gmv_ma3"),
+        ratio(F.sum("gmv").over(w.rowsBetween(-2, 0)), F.count("gmv").over(w.rowsBetween(-2, 0))).alias("gmv_ma3"),
     )
 
 

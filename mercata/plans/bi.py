@@ -28,7 +28,7 @@ def totals(df: DataFrame, *keys: str, orders: str = "orders", names: tuple[str,
 
 
 MART_SQL = """CAST(sum(gmv) AS DOUBLE) AS {g}, CAST(sum(orders) AS BIGINT) AS {o}, CAST(sum(units) AS BIGINT) AS {u},
-  round(CAST(sum(gmv) AS DOUBLE) / nullif(sum(orders), 0) + 1e-6, 2) AS aov FROM mart_sales WHERE """
+  CAST((2 * CAST(100 * CAST(sum(gmv) AS DECIMAL(28,2)) AS HUGEINT) + sum(orders)) // nullif(2 * sum(orders), 0) AS DOUBLE) / 100 AS aov FROM mart_sales WHERE """
 MARTS = MART_SQL.format(g="gmv", o="orders", u="units")
 
 
@@ -382,12 +382,12 @@ def m_category_distribution(s: Star) -> DataFrame:
     return top(rows, 15, F.desc("product_count"), "product_category_name")
 
 
-AMOUNTS_SQL = "CAST(count(*) AS BIGINT) AS transaction_count, CAST(sum(payment_value) AS DOUBLE) AS total_amount, round(avg(CAST(payment_value AS DOUBLE)) + 1e-6, 2) AS avg_amount"
+AMOUNTS_SQL = "CAST(count(*) AS BIGINT) AS transaction_count, CAST(sum(payment_value) AS DOUBLE) AS total_amount, CAST((2 * CAST(100 * CAST(sum(payment_value) AS DECIMAL(28,2)) AS HUGEINT) + count(payment_value)) // nullif(2 * count(payment_value), 0) AS DOUBLE) / 100 AS avg_amount"
 
 
 def amounts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(
-        F.count("*").alias("transaction_count"), F.sum("payment_value").alias("total_amount"), cents(F.avg("payment_value").cast("double")).alias("avg_amount")
+        F.count("*").alias("transaction_count"), F.sum("payment_value").alias("total_amount"), ratio(F.sum("payment_value"), F.count("payment_value")).alias("avg_amount")
     )
 
 
@@ -521,7 +521,7 @@ def kpi_revenue(s: Star) -> DataFrame:
     return s.fact_order_item.where("full_date IS NOT NULL").groupBy("order_status").agg(F.sum(F.col("price") + F.col("freight_value")).cast("double").alias("revenue"))
 
 
-@register("kpi_aov", f"SELECT round(CAST(sum(price + freight_value) AS DOUBLE) / count(DISTINCT order_id) + 1e-6, 2) AS aov {KPI_SQL} AND order_status = 'delivered'")
+@register("kpi_aov", f"SELECT CAST((2 * CAST(100 * CAST(sum(price + freight_value) AS DECIMAL(28,2)) AS HUGEINT) + count(DISTINCT order_id)) // nullif(2 * count(DISTINCT order_id), 0) AS DOUBLE) / 100 AS aov {KPI_SQL} AND order_status = 'delivered'")
 def kpi_aov(s: Star) -> DataFrame:
     done = s.fact_order_item.where("order_status = 'delivered'")
     return done.agg(ratio(F.sum(F.col("price") + F.col("freight_value")), F.countDistinct("order_id")).alias("aov"))

@@ -10,7 +10,7 @@ from mercata.sources.star import Star
 
 from .analytics import pareto_80
 from .layers import rounded
-from .library import cents, top
+from .library import top
 from .registry import register
 
 CUTOFFS = ["1997-06-30", "1998-06-30", "1999-06-30"]
@@ -64,14 +64,13 @@ WINDOW_SQL = "(PARTITION BY product_id, region_id ORDER BY date"
     DAILY
     + f"""SELECT date, product_id, region_id, revenue, quantity, round(ln(1 + revenue), 6) AS y_revenue, round(ln(1 + quantity), 6) AS y_quantity,
        {', '.join(f'lag(revenue, {n}) OVER {WINDOW_SQL}) AS lag_{n}' for n in (1, 7, 28))},
-       {', '.join(f'round(avg(revenue) OVER {WINDOW_SQL} ROWS {n - 1} PRECEDING) + 1e-6, 2) AS roll{n}' for n in (7, 28))},
+       {', '.join(f'round(avg(revenue) OVER {WINDOW_SQL} ROWS {n - 1} PRECEDING), 6) AS roll{n}' for n in (7, 28))},
        {', '.join(f'round(avg(quantity) OVER {WINDOW_SQL} ROWS {n - 1} PRECEDING), 4) AS qty_roll{n}' for n in (7, 28))},
        CAST(isodow(date) % 7 + 1 AS INTEGER) AS dow, CAST(month(date) AS INTEGER) AS month, CASE WHEN isodow(date) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend FROM daily""",
 )
 def f_features(s: Star) -> DataFrame:
     out = fc.features(daily(s)).drop("price", "payment_type", "product_category_name", "y")
-    out = out.withColumns({f"roll{n}": F.col(f"roll{n}") + 1e-6 for n in (7, 28)})
-    return rounded(rounded(rounded(out, "roll7", "roll28", places=2), "qty_roll7", "qty_roll28"), "y_revenue", "y_quantity", places=6)
+    return rounded(rounded(rounded(out, "roll7", "roll28", places=6), "qty_roll7", "qty_roll28"), "y_revenue", "y_quantity", places=6)
 
 
 @register(
@@ -130,11 +129,13 @@ def f_latest_row(s: Star) -> DataFrame:
     return fc.latest_rows(daily(s)).select(*SERIES, "date", "revenue")
 
 
-FORECAST_SQL = "product_id, region_id, forecast_date, horizon, round(yhat + 1e-6, 2) AS yhat, round(yhat_lo + 1e-6, 2) AS yhat_lo, round(yhat_hi + 1e-6, 2) AS yhat_hi"
+FORECAST_SQL = "product_id, region_id, forecast_date, horizon, round(yhat, 6) AS yhat, round(yhat_lo, 5) AS yhat_lo, round(yhat_hi, 5) AS yhat_hi"
 
 
 def shown(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: cents(F.col(n)) for n in names or ("yhat", "yhat_lo", "yhat_hi")})
+    """Means of few days to six places and bounds to five, where none of cents lies halfway between two values; other figures to two."""
+    places = {"yhat": 6, "h1": 6, "h7": 6, "yhat_lo": 5, "yhat_hi": 5}
+    return df.withColumns({n: F.round(n, places.get(n, 2)) for n in names or ("yhat", "yhat_lo", "yhat_hi")})
 
 
 @register("f_baseline", DAILY + f"SELECT {FORECAST_SQL} FROM forecast")
@@ -164,7 +165,7 @@ m AS (SELECT horizon, 'model' AS model_type, 100 * avg(2 * abs(y - yhat) / (abs(
 
 @register(
     "f_backtest",
-    BACKTEST + "SELECT cutoff_date, product_id, region_id, date, horizon, y, round(yhat + 1e-6, 2) AS yhat, round(yhat_lo + 1e-6, 2) AS yhat_lo, round(yhat_hi + 1e-6, 2) AS yhat_hi, yhat_naive FROM bt",
+    BACKTEST + "SELECT cutoff_date, product_id, region_id, date, horizon, y, round(yhat, 6) AS yhat, round(yhat_lo, 5) AS yhat_lo, round(yhat_hi, 5) AS yhat_hi, yhat_naive FROM bt",
 )
 def f_backtest(s: Star) -> DataFrame:
     return shown(results(s))
@@ -180,8 +181,8 @@ def f_ci_coverage(s: Star) -> DataFrame:
     return rounded(fc.ci_coverage(results(s)), "ci_coverage")
 
 
-LONG_SQL = """SELECT horizon, model_type, CAST(n AS BIGINT) AS n_samples, 'smape' AS metric, round(smape + 1e-6, 2) AS value, 'run-1' AS run_id, 'revenue' AS target_type FROM m
-  UNION ALL SELECT horizon, model_type, CAST(n AS BIGINT), 'mae', round(mae + 1e-6, 2), 'run-1', 'revenue' FROM m"""
+LONG_SQL = """SELECT horizon, model_type, CAST(n AS BIGINT) AS n_samples, 'smape' AS metric, round(smape, 2) AS value, 'run-1' AS run_id, 'revenue' AS target_type FROM m
+  UNION ALL SELECT horizon, model_type, CAST(n AS BIGINT), 'mae', round(mae, 2), 'run-1', 'revenue' FROM m"""
 
 
 def long_metrics(s: Star) -> DataFrame:
@@ -195,7 +196,7 @@ def f_metrics_long(s: Star) -> DataFrame:
 
 @register(
     "f_residual_ci",
-    BACKTEST + "SELECT round(quantile_cont(y - yhat, 0.1) + 1e-6, 2) AS q10, round(quantile_cont(y - yhat, 0.9) + 1e-6, 2) AS q90, round(avg(y - yhat) + 1e-6, 2) AS mean, round(stddev_pop(y - yhat) + 1e-6, 2) AS std FROM bt",
+    BACKTEST + "SELECT round(quantile_cont(y - yhat, 0.1), 2) AS q10, round(quantile_cont(y - yhat, 0.9), 2) AS q90, round(avg(y - yhat), 2) AS mean, round(stddev_pop(y - yhat), 2) AS std FROM bt",
 )
 def f_residual_ci(s: Star) -> DataFrame:
     return shown(fc.residual_quantiles(results(s), "y", "yhat"), "q10", "q90", "mean", "std")
@@ -218,15 +219,15 @@ def monitored(s: Star) -> DataFrame:
     return fc.monitor(d, ahead.where("yhat IS NOT NULL"))
 
 
-@register("f_monitor", MONITOR + "SELECT date, product_id, region_id, y_actual, yhat, round(abs_error + 1e-6, 2) AS abs_error, round(pct_error + 1e-6, 2) AS pct_error, round(smape + 1e-6, 2) AS smape FROM mon")
+@register("f_monitor", MONITOR + "SELECT date, product_id, region_id, y_actual, yhat, round(abs_error, 2) AS abs_error, round(pct_error, 2) AS pct_error, round(smape, 2) AS smape FROM mon")
 def f_monitor(s: Star) -> DataFrame:
     return shown(monitored(s).drop("horizon"), "abs_error", "pct_error", "smape")
 
 
 @register(
     "q_forecast_metrics",
-    MONITOR + """SELECT 'naive' AS model_name, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(smape) + 1e-6, 2) AS avg_smape, round(avg(abs_error) + 1e-6, 2) AS avg_mae,
-       round(sqrt(avg(abs_error * abs_error)) + 1e-6, 2) AS avg_rmse, CAST(count(*) AS BIGINT) AS n_samples FROM mon GROUP BY 2 ORDER BY 2 DESC LIMIT 50""",
+    MONITOR + """SELECT 'naive' AS model_name, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(smape), 2) AS avg_smape, round(avg(abs_error), 2) AS avg_mae,
+       round(sqrt(avg(abs_error * abs_error)), 2) AS avg_rmse, CAST(count(*) AS BIGINT) AS n_samples FROM mon GROUP BY 2 ORDER BY 2 DESC LIMIT 50""",
 )
 def q_forecast_metrics(s: Star) -> DataFrame:
     e = F.col("abs_error")
@@ -407,7 +408,7 @@ def fx_ci_width(s: Star) -> DataFrame:
 
 @register(
     "fx_horizon_decay",
-    DAILY + """SELECT product_id, region_id, round(max(CASE WHEN horizon = 1 THEN yhat END) + 1e-6, 2) AS h1, round(max(CASE WHEN horizon = 7 THEN yhat END) + 1e-6, 2) AS h7,
+    DAILY + """SELECT product_id, region_id, round(max(CASE WHEN horizon = 1 THEN yhat END), 6) AS h1, round(max(CASE WHEN horizon = 7 THEN yhat END), 6) AS h7,
        round(100.0 * (max(CASE WHEN horizon = 7 THEN yhat END) - max(CASE WHEN horizon = 1 THEN yhat END)) / nullif(max(CASE WHEN horizon = 1 THEN yhat END), 0), 2) AS decay_pct
        FROM forecast GROUP BY 1, 2 ORDER BY decay_pct, 1, 2 LIMIT 20""",
 )
@@ -429,9 +430,9 @@ def fx_pareto(s: Star) -> DataFrame:
     return rounded(pareto_80(rows, "v", "series", "n_series_for_80pct"), "total", places=1)
 
 
-@register("fx_by_region", DAILY + "SELECT region_id, round(sum(yhat) + 1e-4, 1) AS yhat FROM forecast GROUP BY 1")
+@register("fx_by_region", DAILY + "SELECT region_id, round(sum(yhat), 2) AS yhat FROM forecast GROUP BY 1")
 def fx_by_region(s: Star) -> DataFrame:
-    return baseline(s).groupBy("region_id").agg(F.round(F.sum("yhat") + 1e-4, 1).alias("yhat"))
+    return baseline(s).groupBy("region_id").agg(F.round(F.sum("yhat"), 2).alias("yhat"))
 
 
 def metric_log(s: Star) -> DataFrame:
@@ -479,7 +480,7 @@ def mon_improvement(s: Star) -> DataFrame:
 
 @register(
     "agg_pivot_metrics",
-    BACKTEST + "SELECT horizon, model_type, round(max(mae) + 1e-6, 2) AS mae, round(max(smape) + 1e-6, 2) AS smape FROM m GROUP BY 1, 2",
+    BACKTEST + "SELECT horizon, model_type, round(max(mae), 2) AS mae, round(max(smape), 2) AS smape FROM m GROUP BY 1, 2",
 )
 def agg_pivot_metrics(s: Star) -> DataFrame:
     return shown(long_metrics(s).groupBy("horizon", "model_type").pivot("metric", ["mae", "smape"]).agg(F.first("value")), "mae", "smape")

@@ -9,6 +9,13 @@ from mercata.sources.star import Star
 
 from .registry import register
 
+
+def ratio(part: Column, whole: Column, places: int = 2) -> Column:
+    """An amount in cents over a count, half up to ``places``, in whole numbers; null where the count is zero."""
+    unit = 10**places
+    scaled = (part.cast("decimal(28,2)") * unit).cast("long")
+    return F.call_function("div", 2 * scaled + whole, F.nullif(2 * whole, F.lit(0))) / F.lit(float(unit))
+
 EDGES = (10000, 25000, 50000, 75000)
 
 
@@ -210,11 +217,11 @@ def der_delivery(s: Star) -> DataFrame:
 @register(
     "dm_sales_monthly_category",
     """SELECT year_month, category AS product_category_name_english, CAST(gmv AS DOUBLE) AS gmv, CAST(orders AS BIGINT) AS orders,
-       CAST(units AS BIGINT) AS units, round(CAST(gmv AS DOUBLE) / orders + 1e-6, 4) AS aov FROM mart_sales""",
+       CAST(units AS BIGINT) AS units, CAST((2 * CAST(10000 * CAST(gmv AS DECIMAL(28,2)) AS HUGEINT) + orders) // nullif(2 * orders, 0) AS DOUBLE) / 10000 AS aov FROM mart_sales""",
 )
 def dm_sales_monthly_category(s: Star) -> DataFrame:
     mart = marts.sales_monthly_category(s.items_by_category, s.dim_date)
-    return doubles(rounded(mart.withColumn("aov", F.col("aov") + 1e-6), "aov"))  # halves of binary fractions round up
+    return doubles(mart.withColumn("aov", ratio(F.col("gmv"), F.col("orders"), 4)))
 
 
 SELLER_SQL = """

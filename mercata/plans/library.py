@@ -8,7 +8,7 @@ from mercata.functions.predicates import between, in_months
 from mercata.operators import marts
 from mercata.sources.star import Star
 
-from .layers import doubles, rounded
+from .layers import doubles, ratio, rounded
 from .registry import register
 
 START, END = "1996-01-01", "1998-12-31"
@@ -33,12 +33,8 @@ def pct(part: Column, whole: Column) -> Column:
 
 
 def cents(value: Column) -> Column:
-    """A double to two places, half up; the margin keeps halves that binary fractions bring down just below from falling."""
-    return F.round(value + 1e-6, 2)
-
-
-def ratio(part: Column, whole: Column) -> Column:
-    return cents(part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)))
+    """A computed double to two places."""
+    return F.round(value, 2)
 
 
 def top(df: DataFrame, n: int, *by: Column | str) -> DataFrame:
@@ -57,7 +53,7 @@ def with_region(s: Star) -> DataFrame:
     return period(s.fact_order_item).join(sellers, "seller_id", "left")
 
 
-TRADE_SQL = "CAST({v} AS DOUBLE) AS {n}, CAST(count(DISTINCT order_id) AS BIGINT) AS orders, round(CAST({v} AS DOUBLE) / nullif(count(DISTINCT order_id), 0) + 1e-6, 2) AS aov"
+TRADE_SQL = "CAST({v} AS DOUBLE) AS {n}, CAST(count(DISTINCT order_id) AS BIGINT) AS orders, CAST((2 * CAST(100 * CAST({v} AS DECIMAL(28,2)) AS HUGEINT) + count(DISTINCT order_id)) // nullif(2 * count(DISTINCT order_id), 0) AS DOUBLE) / 100 AS aov"
 GMV_SQL = TRADE_SQL.format(v="sum(price + freight_value)", n="gmv")
 REGION_SQL = f"""WITH sold AS (SELECT f.*, concat_ws(', ', seller_city, seller_state) AS region FROM foi f LEFT JOIN b_seller b ON f.seller_id = b.seller_id WHERE {PERIOD})
 """
@@ -66,7 +62,7 @@ REGION_SQL = f"""WITH sold AS (SELECT f.*, concat_ws(', ', seller_city, seller_s
 @register(
     "q_revenue_ts_month",
     """SELECT year_month AS dt, CAST(sum(gmv) AS DOUBLE) AS gmv, CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(units) AS BIGINT) AS units,
-       round(CAST(sum(gmv) AS DOUBLE) / nullif(sum(orders), 0) + 1e-6, 2) AS aov FROM mart_sales
+       CAST((2 * CAST(100 * CAST(sum(gmv) AS DECIMAL(28,2)) AS HUGEINT) + sum(orders)) // nullif(2 * sum(orders), 0) AS DOUBLE) / 100 AS aov FROM mart_sales
        WHERE year_month >= '1996-01' AND year_month <= '1998-12' GROUP BY 1 ORDER BY 1 DESC LIMIT 200""",
 )
 def q_revenue_ts_month(s: Star) -> DataFrame:
@@ -88,7 +84,7 @@ def revenue_by_grain(s: Star, grain: str) -> DataFrame:
 def _grain_sql(grain: str) -> str:
     return f"""SELECT CAST(date_trunc('{grain}', full_date) AS DATE) AS dt, CAST(sum(sum_price + sum_freight) AS DOUBLE) AS gmv,
         CAST(count(DISTINCT order_id) AS BIGINT) AS orders, CAST(count(DISTINCT customer_id) AS BIGINT) AS customers,
-        round(CAST(sum(sum_price + sum_freight) AS DOUBLE) / count(DISTINCT order_id) + 1e-6, 2) AS aov
+        CAST((2 * CAST(100 * CAST(sum(sum_price + sum_freight) AS DECIMAL(28,2)) AS HUGEINT) + count(DISTINCT order_id)) // nullif(2 * count(DISTINCT order_id), 0) AS DOUBLE) / 100 AS aov
         FROM fo WHERE {PERIOD} GROUP BY 1 ORDER BY 1 DESC LIMIT 200"""
 
 
@@ -118,7 +114,7 @@ def _products_sql(where: str, by: str, n: int) -> str:
     return f"""
 WITH item AS (SELECT product_id, sum(price + freight_value) AS gmv, count(*) AS units, count(DISTINCT order_id) AS orders FROM foi WHERE {where} GROUP BY 1)
 SELECT i.product_id, coalesce(english, 'unknown') AS category_en, product_weight_g, product_length_cm, product_height_cm, product_width_cm,
-       CAST(orders AS BIGINT) AS orders, CAST(units AS BIGINT) AS units, CAST(gmv AS DOUBLE) AS gmv, round(CAST(gmv AS DOUBLE) / orders + 1e-6, 2) AS aov
+       CAST(orders AS BIGINT) AS orders, CAST(units AS BIGINT) AS units, CAST(gmv AS DOUBLE) AS gmv, CAST((2 * CAST(100 * CAST(gmv AS DECIMAL(28,2)) AS HUGEINT) + orders) // nullif(2 * orders, 0) AS DOUBLE) / 100 AS aov
 FROM item i JOIN b_product p ON i.product_id = p.product_id LEFT JOIN b_category c ON p.product_category_name = c.product_category_name
 ORDER BY i.{by} DESC, i.product_id LIMIT {n}"""
 
@@ -154,7 +150,7 @@ def q_category_revenue(s: Star) -> DataFrame:
     "q_distribution_region",
     REGION_SQL
     + """SELECT region, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count, CAST(sum(price + freight_value) AS DOUBLE) AS gmv,
-         round(CAST(sum(price + freight_value) AS DOUBLE) / count(DISTINCT order_id) + 1e-6, 2) AS aov, CAST(count(DISTINCT product_id) AS BIGINT) AS unique_products
+         CAST((2 * CAST(100 * CAST(sum(price + freight_value) AS DECIMAL(28,2)) AS HUGEINT) + count(DISTINCT order_id)) // nullif(2 * count(DISTINCT order_id), 0) AS DOUBLE) / 100 AS aov, CAST(count(DISTINCT product_id) AS BIGINT) AS unique_products
          FROM sold GROUP BY 1 ORDER BY order_count DESC, region LIMIT 50""",
 )
 def q_distribution_region(s: Star) -> DataFrame:
@@ -288,7 +284,7 @@ def _pay_mart(s: Star) -> DataFrame:
 
 
 PAY_SQL = """CAST(sum(orders) AS BIGINT) AS {o}, CAST(sum(unique_customers) AS BIGINT) AS {c}, CAST(sum(payment_total) AS DOUBLE) AS total_revenue,
-  round(CAST(sum(payment_total) AS DOUBLE) / nullif(sum(orders), 0) + 1e-6, 2) AS avg_order_value FROM mart_pay WHERE year_month BETWEEN '1996-01' AND '1998-12'"""
+  CAST((2 * CAST(100 * CAST(sum(payment_total) AS DECIMAL(28,2)) AS HUGEINT) + sum(orders)) // nullif(2 * sum(orders), 0) AS DOUBLE) / 100 AS avg_order_value FROM mart_pay WHERE year_month BETWEEN '1996-01' AND '1998-12'"""
 
 
 def _pay_totals(df: DataFrame, keys: list, orders: str, customers: str) -> DataFrame:
@@ -393,11 +389,11 @@ def t_revenue_month(s: Star) -> DataFrame:
 def paid(df: DataFrame, keys: list, average: str = "avg_order_value") -> DataFrame:
     """Orders, total and average payment by ``keys``; an order is one row of the fact."""
     return df.groupBy(*keys).agg(
-        F.count("order_id").alias("order_count"), F.sum("payment_total").alias("total_revenue"), cents(F.avg("payment_total").cast("double")).alias(average)
+        F.count("order_id").alias("order_count"), F.sum("payment_total").alias("total_revenue"), ratio(F.sum("payment_total"), F.count("payment_total")).alias(average)
     )
 
 
-PAID_SQL = "CAST(count(DISTINCT order_id) AS BIGINT) AS order_count, CAST(sum(payment_total) AS DOUBLE) AS total_revenue, round(avg(CAST(payment_total AS DOUBLE)) + 1e-6, 2) AS {a}"
+PAID_SQL = "CAST(count(DISTINCT order_id) AS BIGINT) AS order_count, CAST(sum(payment_total) AS DOUBLE) AS total_revenue, CAST((2 * CAST(100 * CAST(sum(payment_total) AS DECIMAL(28,2)) AS HUGEINT) + count(payment_total)) // nullif(2 * count(payment_total), 0) AS DOUBLE) / 100 AS {a}"
 
 
 @register("t_customer_value", f"SELECT customer_id, {PAID_SQL.format(a='avg_order_value')} FROM fo GROUP BY 1 ORDER BY total_revenue DESC, customer_id LIMIT 30")
@@ -451,7 +447,7 @@ def t_recent_orders(s: Star) -> DataFrame:
     return doubles(top(rows, 50, F.desc("full_date"), "order_id"))
 
 
-STATS_SQL = """SELECT CAST(date_trunc('month', full_date) AS DATE) AS month, round(avg(CAST(payment_total AS DOUBLE)), 2) AS avg_order_value,
+STATS_SQL = """SELECT CAST(date_trunc('month', full_date) AS DATE) AS month, CAST((2 * CAST(100 * CAST(sum(payment_total) AS DECIMAL(28,2)) AS HUGEINT) + count(payment_total)) // nullif(2 * count(payment_total), 0) AS DOUBLE) / 100 AS avg_order_value,
   round(stddev_samp(CAST(payment_total AS DOUBLE)), 2) AS stddev_order_value, CAST(min(payment_total) AS DOUBLE) AS min_order_value,
   CAST(max(payment_total) AS DOUBLE) AS max_order_value, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count FROM fo GROUP BY 1 ORDER BY 1 DESC LIMIT 200"""
 
@@ -460,7 +456,7 @@ STATS_SQL = """SELECT CAST(date_trunc('month', full_date) AS DATE) AS month, rou
 def t_aov_stats(s: Star) -> DataFrame:
     v = F.col("payment_total").cast("double")
     rows = s.fact_order.groupBy(F.to_date(F.date_trunc("month", "full_date")).alias("month")).agg(
-        F.round(F.avg(v), 2).alias("avg_order_value"), F.round(F.stddev_samp(v), 2).alias("stddev_order_value"),
+        ratio(F.sum("payment_total"), F.count("payment_total")).alias("avg_order_value"), F.round(F.stddev_samp(v), 2).alias("stddev_order_value"),
         F.min(v).alias("min_order_value"), F.max(v).alias("max_order_value"), F.count("order_id").alias("order_count"),
     )
     return top(rows, 200, F.desc("month"))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from mercata.operators import layout, marts
 from mercata.sources import readers
@@ -90,29 +90,30 @@ def write_optimized(s: Star) -> DataFrame:
 def compacted(s: Star, values: list[str]) -> DataFrame:
     """Partitions written in five pieces and compacted to one file each, with their rows."""
     path = scratch(s)
-    rows = monthly_orders(s).where(F.col("year_month").between("1997-01", "1997-06"))
-    rows.repartition(5).write.partitionBy("year_month").parquet(path)
+    rows = monthly_orders(s).withColumn("piece", F.row_number().over(W.partitionBy("year_month").orderBy("order_id")) % 5)
+    for piece in range(5):
+        rows.where(F.col("piece") == piece).drop("piece").repartition("year_month").write.mode("append").partitionBy("year_month").parquet(path)
     files = layout.compact(s.spark, path, f"{path}-staging", "year_month", values, files=1, sort=["customer_id"])
     kept = counts(s.spark.read.parquet(path)).withColumnRenamed("year_month", "partition")
     return kept.join(files, "partition", "left").select("partition", "n", "files_before", "files_after")
 
 
-@register("compact_partition", f"SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} = '1997-03' THEN CAST(5 AS BIGINT) END AS files_before, CASE WHEN {MONTH_SQL} = '1997-03' THEN CAST(1 AS BIGINT) END AS files_after FROM fo WHERE {MONTH_SQL} BETWEEN '1997-01' AND '1997-06' GROUP BY 1")
+@register("compact_partition", f"SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} = '1997-03' THEN CAST(5 AS BIGINT) END AS files_before, CASE WHEN {MONTH_SQL} = '1997-03' THEN CAST(1 AS BIGINT) END AS files_after FROM fo GROUP BY 1")
 def compact_partition(s: Star) -> DataFrame:
     return compacted(s, ["1997-03"])
 
 
-@register("compact_recent", f"SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} >= '1997-05' THEN CAST(5 AS BIGINT) END AS files_before, CASE WHEN {MONTH_SQL} >= '1997-05' THEN CAST(1 AS BIGINT) END AS files_after FROM fo WHERE {MONTH_SQL} BETWEEN '1997-01' AND '1997-06' GROUP BY 1")
+@register("compact_recent", f"SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} BETWEEN '1997-05' AND '1997-06' THEN CAST(5 AS BIGINT) END AS files_before, CASE WHEN {MONTH_SQL} BETWEEN '1997-05' AND '1997-06' THEN CAST(1 AS BIGINT) END AS files_after FROM fo GROUP BY 1")
 def compact_recent(s: Star) -> DataFrame:
     return compacted(s, layout.recent_values(date(1997, 6, 15), 2))
 
 
-@register("small_files", f"SELECT {MONTH_SQL} AS partition, CAST(4 AS BIGINT) AS num_files, CAST(4 AS BIGINT) AS num_small, true AS needs_compaction FROM fo WHERE {MONTH_SQL} BETWEEN '1997-01' AND '1997-06' GROUP BY 1")
+@register("small_files", f"SELECT {MONTH_SQL} AS partition, CAST(4 AS BIGINT) AS num_files, CAST(4 AS BIGINT) AS num_small, true AS needs_compaction FROM fo GROUP BY 1")
 def small_files(s: Star) -> DataFrame:
     path = scratch(s)
-    rows = monthly_orders(s).where(F.col("year_month").between("1997-01", "1997-06"))
+    rows = monthly_orders(s)
     for _ in range(4):  # four daily appends leave four files in each partition
-        rows.coalesce(1).write.mode("append").partitionBy("year_month").parquet(path)
+        rows.repartition("year_month").write.mode("append").partitionBy("year_month").parquet(path)
     return layout.small_files(s.spark, path, "year_month", most=3).drop("bytes")
 
 

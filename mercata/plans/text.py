@@ -29,13 +29,13 @@ def vectors(s: Star) -> DataFrame:
     return s.raw("embeddings").select("vec_id", F.col("label").alias("source"), F.col("embedding").alias("v"))
 
 
-def query_vectors(s: Star, n: int = 5) -> list:
-    return [(r["vec_id"], r["v"]) for r in vectors(s).orderBy("vec_id").limit(n).collect()]
+def query_vectors(s: Star) -> DataFrame:
+    return vectors(s).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
 
 
 HITS = """
 WITH e AS (SELECT vec_id, label AS source, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-q AS (SELECT vec_id AS query, v AS qv FROM e ORDER BY vec_id LIMIT 5),
+q AS (SELECT vec_id AS query, v AS qv FROM e WHERE vec_id % 50 = 0),
 sc AS (SELECT query, vec_id, source, round(coalesce(list_dot_product(v, qv) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)), 0), 0), 6) AS score FROM e, q),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM sc),
 ff AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, vec_id) AS s FROM nn WHERE n <= 20),
@@ -63,14 +63,13 @@ WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS D
 ex AS (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS cv FROM ex GROUP BY 1),
 sc AS (SELECT vec_id, c.label, round(coalesce(list_dot_product(v, cv) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(cv, cv)), 0), 0), 6) AS score FROM e, c),
 b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS n FROM sc)
-SELECT vec_id, round(score + 1e-8, 4) AS score, CASE WHEN score >= 0.3 THEN label END AS label FROM b WHERE n = 1""",
+SELECT vec_id, score, CASE WHEN score >= 0.3 THEN label END AS label FROM b WHERE n = 1""",
 )
 def vec_nearest(s: Star) -> DataFrame:
     """Centroids are the mean vectors of the labels, a bounded table of labels by dimensions."""
     parts = s.raw("embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy("label").collect()
-    out = text.nearest_label(vectors(s), [(r["label"], [x["m"] for x in r["c"]]) for r in means])
-    return out.withColumn("score", F.round(F.col("score") + 1e-8, 4))
+    return text.nearest_label(vectors(s), [(r["label"], [x["m"] for x in r["c"]]) for r in means])
 
 
 def _tag_sql(words: list[str]) -> str:
@@ -83,17 +82,17 @@ def tag_entities(s: Star) -> DataFrame:
     return found.select("doc_id", *[F.array_join(F.col("t")[k], ",").alias(k) for k in WORDS])
 
 
-@register("text_fold", f"SELECT doc_id, md5(translate(lower(text), '{text.MARKED}', '{text.PLAIN}')) AS folded FROM documents")
+@register("text_fold", f"SELECT doc_id, md5(regexp_replace(translate(lower(text), '{text.MARKED}', '{text.PLAIN}'), '{text.LOOSE_MARKS}', '', 'g')) AS folded FROM documents")
 def text_fold(s: Star) -> DataFrame:
     return s.raw("documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
 @register(
     "mask_literals",
-    r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '''[^'']*''', '?', 'g'), '\b\d+(?:\.\d+)?\b', '?', 'g')) AS masked FROM documents WHERE lang = 'en'",
+    r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '''[^'']*''', '?', 'g'), '\b\d+(?:\.\d+)?\b', '?', 'g')) AS masked FROM documents",
 )
 def mask_literals(s: Star) -> DataFrame:
-    return s.raw("documents").where("lang = 'en'").select("doc_id", F.md5(text.mask_literals(F.col("text"))).alias("masked"))
+    return s.raw("documents").select("doc_id", F.md5(text.mask_literals(F.col("text"))).alias("masked"))
 
 
 def log(s: Star) -> DataFrame:
