@@ -93,5 +93,15 @@ def _rules_sql() -> str:
         FROM split"""
 
 
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+g AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1)
+SELECT g.vec_id, coalesce(n.n, 0) AS n_links, g.component_id, g.vec_id = g.component_id AS kept FROM g LEFT JOIN n ON n.a = g.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _rules_sql()}
+    return {"op1_url_filter": _rules_sql(), "op4_near_vectors": VECTORS_SQL}

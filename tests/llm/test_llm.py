@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mercata.llm import common, decontaminate, html_text, licenses, mixing, near_copies, secrets, simhash, token_counts, toxicity, url_filter, vectors
+from mercata.llm import common, decontaminate, html_text, licenses, mixing, near_copies, queries, secrets, simhash, token_counts, toxicity, url_filter, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "lake river stone cloud amber field winter music paper garden silver market table window candle forest bridge harbor engine letter".split()
@@ -250,6 +250,20 @@ def test_vectors_of_repeated_ids_keep_their_own_links(spark, cell_rows):
     assert got == [("3", 1, "3", True), ("5", 1, "3", False), ("5", 2, "3", False), ("7", 2, "3", False), ("8", 2, "3", False), ("None", 0, "None", True)]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+@pytest.mark.parametrize("key", list(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, key):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    theirs = con.execute(queries.oracle_sql()[key])
+    names = [d[0] for d in theirs.description]
+    got = queries.queries()[key](spark, sf).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(theirs.fetchall(), key=str)
+
+
 def test_range_join_of_a_block_is_complete():
     rng = np.random.default_rng(5)
     for dim in (1, 2, 8):
