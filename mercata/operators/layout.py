@@ -44,9 +44,11 @@ def compact(spark: SparkSession, path: str, staging: str, partition: str, values
     held = {r["partition"]: r["files_before"] for r in before.collect()}
     chosen = spark.read.parquet(path).where(F.col(partition).cast("string").isin(*values))
     order = [partition, *(sort or [])]
-    even = chosen.repartition(files * max(1, len(values)), partition, F.floor(F.rand(17) * files)) if not sort else chosen.repartitionByRange(files * max(1, len(values)), *order)
+    even = chosen.repartition(files * max(1, len(values)), partition, F.pmod(F.xxhash64(*chosen.columns), F.lit(files))) if not sort else chosen.repartitionByRange(files * max(1, len(values)), *order)
     even.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(partition).parquet(staging)
-    spark.read.parquet(staging).repartition(F.col(partition), *( [F.floor(F.rand(18) * files)] if files > 1 else [])).write.mode("overwrite").option(
+    staged = spark.read.parquet(staging)
+    piece = [F.pmod(F.xxhash64(*staged.columns), F.lit(files))] if files > 1 else []  # by content: a task that runs again deals alike
+    staged.repartition(F.col(partition), *piece).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(partition).parquet(path)
     after = files_of(spark, path, partition).where(F.col("partition").isin(*values)).groupBy("partition").agg(F.count("*").alias("files_after"))

@@ -236,8 +236,8 @@ def win_share(s: Star) -> DataFrame:
 
 @register("win_cumshare", SHARE_SQL.format(x="sum(v) OVER (ORDER BY v DESC, seller_id ROWS UNBOUNDED PRECEDING)", n="cumulative_pct"))
 def win_cumshare(s: Star) -> DataFrame:
-    w = W.orderBy(F.desc("v"), "seller_id").rowsBetween(W.unboundedPreceding, 0)
-    return doubles(by_seller(s).withColumn("cumulative_pct", pct(F.sum("v").over(w), F.sum("v").over(W.partitionBy()))))
+    ranked = prefix_sums(by_seller(s), "v", "seller_id")
+    return doubles(ranked.select("seller_id", "v", pct(F.col("running"), F.col("total")).alias("cumulative_pct")))
 
 
 GROWTH_SQL = """

@@ -20,6 +20,8 @@ MONTH_SQL = "strftime(full_date, '%Y-%m')"
 
 def scratch(s: Star) -> str:
     shared = s.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not s.spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='mercata-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
