@@ -52,7 +52,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Learned scores, fingerprints and fitted rates are beyond SQL; the tests hold run() against brute force.
+#: Learned scores, fingerprints and fitted rates are beyond SQL; the tests plant cases for every stage and hold near copies and decontamination against brute force.
 ORACLE_SQL = None
 
 
