@@ -34,8 +34,18 @@ ALLOWED = (
 )
 
 
-def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, chunk: int = 128) -> Column:
-    """array<struct<start, kind, end>> of the leftmost non-overlapping matches, in code points, end exclusive.
+def plain_span(s: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+
+def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+    """array<struct<start, kind, end>> of the leftmost non-overlapping matches whose ``group`` has ``least`` characters."""
+    kept = F.filter(located(text, pattern, kind, group), lambda r: F.length(r["word"]) >= least)
+    return F.transform(kept, plain_span)
+
+
+def located(text: Column, pattern: str, kind: int, group: int = 0, chunk: int = 128) -> Column:
+    """array<struct<start, kind, end, word>> of the leftmost non-overlapping matches, in code points, end exclusive; word is the group.
 
     A match starts where the pieces and matches before it end; their lengths are summed by chunks, so that work stays near
     linear in the number of matches.
@@ -46,7 +56,7 @@ def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int =
     rows = F.transform(
         rows,
         lambda r: F.struct(
-            (F.length(r["p"]) + F.length(r["m"])).alias("step"), F.length(r["m"]).alias("size"), F.length(r["g"]).alias("counted")
+            (F.length(r["p"]) + F.length(r["m"])).alias("step"), F.length(r["m"]).alias("size"), r["g"].alias("word")
         ),
     )
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, r: a + r["step"])
@@ -71,18 +81,17 @@ def spans_of(text: Column, pattern: str, kind: int, group: int = 0, least: int =
                         (c["base"] + total(F.slice(rows, c["no"] * chunk + 1, i + 1)) - r["size"]).alias("start"),
                         F.lit(kind).alias("kind"),
                         (c["base"] + total(F.slice(rows, c["no"] * chunk + 1, i + 1))).alias("end"),
-                        r["counted"].alias("counted"),
+                        r["word"].alias("word"),
                     ),
                 ),
             )
         )
 
     bound = F.transform(F.array(F.struct(rows.alias("rows"))), lambda one: F.when(F.size(one["rows"]) > 0, placed(one)))
-    kept = F.filter(F.coalesce(bound[0], F.array().cast(PLACED)), lambda r: r["counted"] >= least)
-    return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
+    return F.coalesce(bound[0], F.array().cast(PLACED))
 
 
-PLACED = "array<struct<start:int,kind:int,end:int,counted:int>>"
+PLACED = "array<struct<start:int,kind:int,end:int,word:string>>"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -93,25 +102,25 @@ def window_entropy(word: Column, window: int = WINDOW) -> Column:
     c log c by those two counts alone.
     """
     weigh = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    times = lambda part, ch: F.length(part) - F.length(F.replace(part, ch, F.lit("")))
 
     def best(one: Column) -> Column:
-        chars = one["chars"]
-        first = F.slice(chars, F.lit(1), F.lit(window))
-        times = lambda part, ch: F.size(F.filter(part, lambda x: x == ch))
-        start = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda a, ch: a + weigh(times(first, ch)))
+        word, first = one["word"], one["first"]
+        start = F.aggregate(F.array_distinct(F.split(first, "(?!^)")), F.lit(0.0), lambda a, ch: a + weigh(times(first, ch)))
 
         def step(state: Column, i: Column) -> Column:
-            kept = F.slice(chars, i + 1, F.lit(window - 1))  # the window at i without its first character
-            out = times(kept, F.element_at(chars, i))
-            into = times(kept, F.element_at(chars, i + window))
+            kept = F.substring(word, i + 1, F.lit(window - 1))  # the window at i without its first character
+            out = times(kept, F.substring(word, i, F.lit(1)))
+            into = times(kept, F.substring(word, i + window, F.lit(1)))
             total = state["sum"] - weigh(out + 1) + weigh(out) + weigh(into + 1) - weigh(into)
             return F.struct(total.alias("sum"), F.least(state["least"], total).alias("least"))
 
-        moves = F.filter(F.sequence(F.lit(0), F.size(chars) - window), lambda i: i > 0)
+        moves = F.filter(F.sequence(F.lit(0), F.length(word) - window), lambda i: i > 0)
         least = F.aggregate(moves, F.struct(start.alias("sum"), start.alias("least")), step)["least"]
         return F.lit(math.log2(window)) - least / window
 
-    return F.transform(F.array(F.struct(F.split(word, "(?!^)").alias("chars"))), best)[0]
+    bound = F.struct(word.alias("word"), F.substring(word, F.lit(1), F.lit(window)).alias("first"))
+    return F.transform(F.array(bound), best)[0]
 
 
 def entropy_spans(text: Column, base: Column, kind: int) -> Column:
@@ -126,12 +135,9 @@ def entropy_spans(text: Column, base: Column, kind: int) -> Column:
             least = F.when(word.rlike(shape), F.lit(bits)).otherwise(least)
         return F.when(harmless, F.lit(False)).otherwise(window_entropy(word) >= least)
 
-    found = spans_of(text, CANDIDATE, kind)
-    return F.filter(
-        found,
-        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & suspicious(F.substring(text, s["start"] + 1, s["end"] - s["start"])),
-    )
+    found = F.filter(located(text, CANDIDATE, kind), lambda s: suspicious(s["word"]))
+    clear = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.transform(clear, plain_span)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
