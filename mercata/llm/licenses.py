@@ -30,6 +30,11 @@ TEMPLATES = (
     ("unknown", "All rights reserved. Use of this file is subject to a separate agreement."),
 )
 MARKER = r"(?i)\blicen[cs](?:e|ed|es|ing)\b"
+#: Wording that puts something under a license, as distinct from a sentence that has a license as its subject.
+STATES = (
+    r"(?i)\blicen[cs](?:ed|ing)\b[^.]{0,60}\b(?:under|by|terms)\b|\blicen[cs]e(?:-identifier)?\s*:"
+    r"|\b(?:under|terms of|subject to|see|governed by)\b[^.]{0,80}\blicen[cs]e\b|\blicen[cs]e\b[^.]{0,60}\b(?:applies|version|file|agreement|terms)\b"
+)
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 
@@ -165,8 +170,8 @@ def scan_licenses(
     """(doc_id, paragraph, family, probability, similarity): one row for each paragraph that states a license.
 
     Paragraphs are lines, numbered from 0. A family is reported if its calibrated probability reaches the model's
-    threshold and the paragraph holds at least ``confirm`` of the n-grams of one of its templates; a paragraph that speaks of a
-    license but fits no family so well is ``unknown``. Null and empty texts give no rows, repeated documents each theirs. A word test
+    threshold and the paragraph holds at least ``confirm`` of the n-grams of one of its templates; a paragraph that puts something
+    under a license (``STATES``) but fits no family so well is ``unknown``; one that only mentions a license gives no row. Null and empty texts give no rows, repeated documents each theirs. A word test
     derived from the weights (``LicenseModel.needed``) spares paragraphs that can't be reported.
     """
     words = "|".join(g.replace(".", r"\.").replace("-", r"\-").replace(" ", r"[^\p{L}\p{N}]+") for g in model.needed())
@@ -175,7 +180,7 @@ def scan_licenses(
     lines = docs.where(text.rlike(hint)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, r"\n")).alias("paragraph", "p"))
     # the few paragraphs that pass are written, so that what follows reads their probabilities as columns
     found = lines.where(F.col("p").rlike(hint)).withColumn("g", grams(F.col("p")))
-    scored = cut(found.withColumn("pr", model.probabilities(F.col("g"))).withColumn("speaks", F.col("p").rlike(MARKER)).drop("p"))
+    scored = cut(found.withColumn("pr", model.probabilities(F.col("g"))).withColumn("speaks", F.col("p").rlike(MARKER) & F.col("p").rlike(STATES)).drop("p"))
     names = constant(model.families, "array<string>")
     known = F.transform(
         F.arrays_zip(F.col("pr").alias("pr"), names.alias("f")),
