@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 # Base patterns: (kind, pattern, group whose length counts, least length).
 PATTERNS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -144,7 +146,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``secret_spans``: array<struct<start, kind, end>> by start, then kind (0 assign, 1 access, 2 hex, 3 entropy).
 
     Null and empty texts have no spans. Base spans of different kinds may overlap; entropy spans overlap no base span.
-    Every whole text is read; a cheap pattern first finds the few texts that need positions.
+    A column ``secret_spans`` is replaced, all other columns stay. Every whole text is read; a cheap pattern first finds the few texts that need positions.
     """
     text = F.col(text_col)
     base = F.lit(None).cast(SPANS)
@@ -152,11 +154,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for no, (kind, pattern, group, least) in enumerate(PATTERNS):
         used, by = (FAST[kind], 0) if kind in FAST else (pattern, group)
         parts.append(F.when(text.rlike(HINT[kind]), spans_of(text, used, no, by, least)).otherwise(F.array().cast(SPANS)))
-    out = docs.withColumn("_base", F.coalesce(F.concat(*parts), F.array().cast(SPANS)))
+    held = fresh(docs, "_base")
+    out = docs.withColumn(held, F.coalesce(F.concat(*parts), F.array().cast(SPANS)))
     # a candidate needs a digit within a run; most long words have none and stop here
     hint = text.rlike(r"[A-Za-z0-9+/_=-]{20}") & text.rlike(r"[A-Za-z+/_=-][0-9]|[0-9][A-Za-z+/_=-]")
-    more = F.when(hint, entropy_spans(text, F.col("_base"), len(PATTERNS))).otherwise(F.array().cast(SPANS))
-    return out.withColumn("secret_spans", F.array_sort(F.concat("_base", F.coalesce(more, F.array().cast(SPANS))))).drop("_base")
+    more = F.when(hint, entropy_spans(text, F.col(held), len(PATTERNS))).otherwise(F.array().cast(SPANS))
+    return out.withColumn("secret_spans", F.array_sort(F.concat(held, F.coalesce(more, F.array().cast(SPANS))))).drop(held)
 
 
 def redact(docs: DataFrame, text_col: str = "text", spans: str = "secret_spans", mark: str = "[SECRET]") -> DataFrame:

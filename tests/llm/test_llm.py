@@ -502,12 +502,13 @@ def test_license_families(spark):
         0: ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), 1: ("Released under the MIT License.", "mit"),
         2: ("This work is licensed under the GNU General Public License, version 3.", "gpl-3.0"), 3: ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0"),
         4: ("All of it is licensed under a plan of our own.", "unknown"),
+        5: ("He lost his driving license in May.", None), 6: ("The licensing of fishermen takes a year.", None),
     }
-    texts = [f"{prose(rng, 20)}\n{stated[i][0]}\n{prose(rng, 20)}" for i in range(5)] + [prose(rng, 30) for _ in range(40)] + [None, ""]
+    texts = [f"{prose(rng, 20)}\n{stated[i][0]}\n{prose(rng, 20)}" for i in range(7)] + [prose(rng, 30) for _ in range(40)] + [None, ""]
     docs = docs_of(spark, texts)
     model = licenses.train(docs)
     got = {r.doc_id: (r.paragraph, r.family) for r in licenses.scan_licenses(docs, model).collect()}
-    assert got == {i: (1, f) for i, (_, f) in stated.items()}
+    assert got == {i: (1, f) for i, (_, f) in stated.items() if f}
     every = licenses.LicenseModel(model.families, model.vocabulary, model.weights, model.bias, model.temperature, model.threshold, model.shapes)
     every.needed = lambda: ["[^\\p{L}\\p{N}]?"]  # no word test: the same rows
     assert {r.doc_id for r in licenses.scan_licenses(docs, model).collect()} == set(got)
@@ -622,6 +623,34 @@ def test_neighbours_across_partitions(spark):
         assert {r.text for r in html_text.extract_text(df, bucket_chars=size).collect()} == {f"own {i}" for i in range(60)}
 
 
+@pytest.mark.parametrize("texts", [[], [None], ["", None, ""]])
+def test_empty_tables_and_texts(spark, texts):
+    docs = docs_of(spark, texts).withColumn("_base", F.lit("kept")).withColumn("secret_note", F.lit(1))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    ids = list(range(len(texts)))
+    scored = toxicity.toxicity(docs, labels).collect()
+    assert sorted(r.doc_id for r in scored) == ids and all(0 <= r.score < 0.7 for r in scored)
+    assert [r.spans for r in secrets.secret_digest(docs).collect()] == [""] * len(texts)
+    assert "_base" in secrets.find_secrets(docs).columns
+    assert decontaminate.contaminated(docs, bench).count() == 0
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == ids
+    assert licenses.scan_licenses(docs, licenses.train(docs)).count() == 0
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"))
+    assert [(r.text, r.n_chars) for r in html_text.extract_text(pages).collect()] == [("", 0)] * len(texts)
+
+
+@pytest.mark.parametrize("texts", [[], [None, ""]])
+def test_pipeline_stages_of_empty_tables(spark, tmp_path, texts):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = docs_of(spark, texts)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, f"file://{tmp_path}").count() <= len(texts), name
+
+
 # pipeline ---------------------------------------------------------------------------------------
 
 
