@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut
 
@@ -35,6 +35,8 @@ STATES = (
     r"(?i)\blicen[cs](?:ed|ing)\b[^.]{0,60}\b(?:under|by|terms)\b|\blicen[cs]e(?:-identifier)?\s*:"
     r"|\b(?:under|terms of|subject to|see|governed by)\b[^.]{0,80}\blicen[cs]e\b|\blicen[cs]e\b[^.]{0,60}\b(?:applies|version|file|agreement|terms)\b"
 )
+#: The line break behind a line that ends with a stop, and those before and behind a blank line.
+PARAGRAPH_END = r"(?md)(?<=[.!?:;])[^\S\n]{0,8}\n|\n(?=[^\S\n]*$)|^[^\S\n]*\n"
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 
 
@@ -50,6 +52,26 @@ def grams(text: Column) -> Column:
     return F.transform(F.array(F.struct(words.alias("w"))), both)[0]
 
 
+def runs_of(text: Column, hint: str) -> Column:
+    """array<struct<start, run>>: the runs of lines of ``text`` that match ``hint``, with the number of their first line."""
+
+    def kept(one: Column) -> Column:
+        runs = one["runs"]  # bound once, so that the text is split once
+        lines = lambda r: F.length(r) - F.length(F.replace(r, F.lit("\n"), F.lit(""))) + 1
+        marked = F.transform(runs, lambda r, i: F.when(r.rlike(hint), F.struct(F.aggregate(F.slice(runs, F.lit(1), i), F.lit(0), lambda a, x: a + lines(x)).alias("start"), r.alias("run"))))
+        return F.filter(marked, lambda r: r.isNotNull())
+
+    return F.transform(F.array(F.struct(F.split(text, PARAGRAPH_END).alias("runs"))), kept)[0]
+
+
+def units_of(run: Column, hint: str) -> Column:
+    """array<struct<paragraph, p, wrapped>>: the lines of a run that match ``hint``, and the whole run where it has several lines."""
+    lines = F.split(run["run"], r"\n")
+    single = F.transform(lines, lambda p, i: F.when(p.rlike(hint), F.struct((run["start"] + i).alias("paragraph"), p.alias("p"), F.lit(False).alias("wrapped"))))
+    whole = F.when(run["run"].contains("\n"), F.struct(run["start"].alias("paragraph"), run["run"].alias("p"), F.lit(True).alias("wrapped")))
+    return F.filter(F.concat(single, F.array(whole)), lambda u: u.isNotNull())
+
+
 def constant(value, kind: str) -> Column:
     """A nested constant as one expression; Spark folds it before the query runs."""
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -169,18 +191,22 @@ def scan_licenses(
 ) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity): one row for each paragraph that states a license.
 
-    Paragraphs are lines, numbered from 0. A family is reported if its calibrated probability reaches the model's
-    threshold and the paragraph holds at least ``confirm`` of the n-grams of one of its templates; a paragraph that puts something
-    under a license (``STATES``) but fits no family so well is ``unknown``; one that only mentions a license gives no row. Null and empty texts give no rows, repeated documents each theirs. A word test
-    derived from the weights (``LicenseModel.needed``) spares paragraphs that can't be reported.
+    A paragraph is a line, numbered from 0, or a run of lines of which each but the last ends without a stop (``PARAGRAPH_END``): a statement wrapped
+    over such lines is reported once, at the first of them, if none of them states a family alone. A family is reported if its calibrated probability reaches the
+    model's threshold and the paragraph holds at least ``confirm`` of the n-grams of one of its templates; a line that puts something
+    under a license (``STATES``) but fits no family so well, alone or in its run, is ``unknown``; one that only mentions a license gives no row. Null and empty
+    texts give no rows, repeated documents each theirs. A word test derived from the weights (``LicenseModel.needed``) spares paragraphs that can't be reported.
     """
     words = "|".join(g.replace(".", r"\.").replace("-", r"\-").replace(" ", r"[^\p{L}\p{N}]+") for g in model.needed())
     hint = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words}|licen[cs](?:e|ed|es|ing))(?![\p{{L}}\p{{N}}])" if words else MARKER
     text = F.col(text_col)
-    lines = docs.where(text.rlike(hint)).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, r"\n")).alias("paragraph", "p"))
+    runs = docs.where(text.rlike(hint)).select(F.col(id_col).alias("doc_id"), F.explode(runs_of(text, hint)).alias("r"))
+    runs = runs.select("doc_id", "r", F.monotonically_increasing_id().alias("run"))
+    units = runs.select("doc_id", "run", F.explode(units_of(F.col("r"), hint)).alias("u")).select("doc_id", "run", "u.*")
     # the few paragraphs that pass are written, so that what follows reads their probabilities as columns
-    found = lines.where(F.col("p").rlike(hint)).withColumn("g", grams(F.col("p")))
-    scored = cut(found.withColumn("pr", model.probabilities(F.col("g"))).withColumn("speaks", F.col("p").rlike(MARKER) & F.col("p").rlike(STATES)).drop("p"))
+    found = units.withColumn("g", grams(F.col("p")))
+    speaks = ~F.col("wrapped") & F.col("p").rlike(MARKER) & F.col("p").rlike(STATES)
+    scored = cut(found.withColumn("pr", model.probabilities(F.col("g"))).withColumn("speaks", speaks).drop("p"))
     names = constant(model.families, "array<string>")
     known = F.transform(
         F.arrays_zip(F.col("pr").alias("pr"), names.alias("f")),
@@ -192,8 +218,10 @@ def scan_licenses(
         F.transform(F.filter(shapes, lambda s: s["f"] == F.col("best.f")), lambda s: F.size(F.array_intersect(s["g"], F.col("g"))) / F.size(s["g"]))
     )
     out = best.withColumn("similarity", F.round(like, 4))
-    sure = (F.col("best.pr") >= model.threshold) & (F.col("similarity") >= confirm)
-    return out.where(sure | F.col("speaks")).select(
+    out = out.withColumn("sure", (F.col("best.pr") >= model.threshold) & (F.col("similarity") >= confirm))
+    own_run, sure = W.partitionBy("run"), F.col("sure")
+    out = out.withColumn("alone", F.max(sure & ~F.col("wrapped")).over(own_run)).withColumn("together", F.max(sure & F.col("wrapped")).over(own_run) & ~F.col("alone"))
+    return out.where(F.when(F.col("wrapped"), F.col("together")).otherwise(sure | F.col("speaks") & ~F.col("together"))).select(
         "doc_id",
         "paragraph",
         F.when(sure, F.col("best.f")).otherwise("unknown").alias("family"),

@@ -514,6 +514,18 @@ def test_license_families(spark):
     assert {r.doc_id for r in licenses.scan_licenses(docs, model).collect()} == set(got)
 
 
+def test_licenses_wrapped_over_lines(spark):
+    rng = random.Random(18)
+    grant = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files, to deal in the\nSoftware without restriction"
+    texts = [
+        f"{prose(rng, 20)}.\n\n{grant}, in full.\n{prose(rng, 20)}", f"A title\nReleased under the\nMIT License.\n\nReleased under the MIT License.", grant.replace("\n", " "),
+        "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\n" + "x\n" * 3000, "the city released\nunder the rain\nits driving license",
+    ]
+    docs = docs_of(spark, texts + texts[2:3] + [prose(rng, 30) for _ in range(40)])
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.scan_licenses(docs, licenses.train(docs)).collect())
+    assert got == [(0, 2, "mit"), (1, 0, "mit"), (1, 4, "mit"), (2, 0, "mit"), (3, 0, "apache-2.0"), (3, 1, "mit"), (5, 0, "mit")]
+
+
 # 9 ----------------------------------------------------------------------------------------------
 
 
