@@ -124,9 +124,9 @@ def predict(model, df: DataFrame) -> DataFrame:
 def cross_validate(df: DataFrame, folds: int = 5, kind: str = "linear", **options) -> DataFrame:
     """Out-of-fold predictions (fold, y_true, yhat): each fold is predicted from all earlier days, encodings included.
 
-    Rows with a missing feature are left out before the days are dealt to folds.
+    Rows with a missing feature are left out before the days are dealt to folds. Each fold reads ``df`` four times, so pass a written table.
     """
-    marked = time_folds(df.na.drop(subset=NUMERIC), folds).persist()  # each fold reads it four times
+    marked = time_folds(df.na.drop(subset=NUMERIC), folds)
     parts = []
     for k in range(1, folds + 1):
         past, test = marked.where(F.col("fold") < k), marked.where(F.col("fold") == k)

@@ -12,6 +12,7 @@ from .analytics import pareto_80
 from .layers import rounded
 from .library import top
 from .registry import register
+from .tables import scratch
 
 CUTOFFS = ["1997-06-30", "1998-06-30", "1999-06-30"]
 SERIES = fc.SERIES
@@ -266,8 +267,15 @@ def smape_eps_by_horizon(s: Star) -> DataFrame:
 # fitted models: no SQL
 
 
+def stored_features(s: Star) -> DataFrame:
+    """The features as a written table: what is read several times is made once, and no memory of executors is held."""
+    path = scratch(s)
+    fc.features(daily(s)).write.parquet(path)
+    return s.spark.read.parquet(path)
+
+
 def encoded(s: Star) -> DataFrame:
-    feats = fc.features(daily(s)).persist()  # read for the means, for fitting and for predicting
+    feats = stored_features(s)  # read for the means, for fitting and for predicting
     dense = fc.series_stats(feats).where("is_dense").select(*SERIES)
     return fc.encode(feats, feats).join(dense, SERIES, "left_semi")
 
@@ -289,7 +297,7 @@ def f_importance(s: Star) -> DataFrame:
 @register("f_cv_metrics")
 def f_cv_metrics(s: Star) -> DataFrame:
     y, p = F.col("y_true"), F.col("yhat")
-    scored = fc.cross_validate(fc.features(daily(s)), folds=5)
+    scored = fc.cross_validate(stored_features(s), folds=5)
     by_fold = scored.groupBy("fold").agg(F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), smape_half(y, p).alias("smape"), F.count("*").alias("n"))
     return by_fold.orderBy("fold")
 
@@ -304,7 +312,7 @@ def f_recursive(s: Star) -> DataFrame:
 
 @register("f_batch_predict")
 def f_batch_predict(s: Star) -> DataFrame:
-    feats = fc.features(daily(s)).persist()
+    feats = stored_features(s)
     return fc.batch_predict(feats, feats, fc.series_stats(feats))
 
 
