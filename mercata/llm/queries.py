@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, licenses, mixing, secrets, simhash, spelling, token_counts, toxicity, url_filter, vectors
+from . import decontaminate, divergence, html_text, licenses, mixing, secrets, simhash, spelling, token_counts, toxicity, url_filter, vectors
 
 from .common import small_batches
 
@@ -69,6 +69,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -107,5 +111,28 @@ n AS (SELECT a, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1)
 SELECT g.vec_id, coalesce(n.n, 0) AS n_links, g.component_id, g.vec_id = g.component_id AS kept FROM g LEFT JOIN n ON n.a = g.vec_id"""
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM t GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(total) AS n_lang FROM k GROUP BY ALL),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(CAST(n AS HUGEINT), 0) AS n_all
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (n_all + v) AS p,
+             1 + (1000000000 * (total + 1)) // (n_lang + v) AS q
+      FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _rules_sql(), "op4_near_vectors": VECTORS_SQL}
+    return {"op1_url_filter": _rules_sql(), "op4_near_vectors": VECTORS_SQL, "op11_divergence": DIVERGENCE_SQL}
