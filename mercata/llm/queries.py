@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, divergence, html_text, licenses, mixing, secrets, simhash, spelling, token_counts, toxicity, url_filter, vectors
+from . import decontaminate, divergence, html_text, licenses, mixing, secrets, simhash, spelling, suffix_tree, token_counts, toxicity, url_filter, vectors
 
 from .common import small_batches
 
@@ -73,6 +73,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
