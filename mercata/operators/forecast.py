@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mercata.functions.errors import mae, smape_eps, smape_row
+from mercata.operators import trees
 
 SERIES = ["product_id", "region_id"]
 NUMERIC = ["lag_1", "lag_7", "lag_28", "roll7", "roll28", "qty_roll7", "qty_roll28", "dow", "month", "is_weekend", "price"]
@@ -106,12 +108,20 @@ def assembled(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(df.na.drop(subset=columns))
 
 
-def train_model(df: DataFrame, target: str = "y", kind: str = "gbt", trees: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42):
-    """A regression on encoded features: boosted trees, or a linear model whose recursion is one SQL expression."""
-    rows = assembled(df).select("features", F.col(target).alias("label")).persist()
-    linear, boosted = LinearRegression(regParam=1e-3), GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+def later_part(df: DataFrame, share: float = 0.2) -> Column:
+    """Whether a row's date is among the last ``share`` of the days of ``df``: what training holds back to end its rounds by."""
+    days = df.select("date").distinct()
+    n = days.count()
+    first = days.orderBy("date").offset(int(n * (1 - share))).first() if n > 1 else None
+    return F.col("date") >= F.lit(first["date"]) if first else F.lit(False)
+
+
+def train_model(df: DataFrame, target: str = "y", kind: str = "gbt", held_back: Column | None = None, **options):
+    """A regression on encoded features: boosted trees whose rounds end by the rows ``held_back`` (by default the later part of the days), or a linear model."""
+    held = F.lit(False) if kind == "linear" else later_part(df) if held_back is None else held_back
+    rows = assembled(df).select("features", F.col(target).alias("label"), held.alias("held_back")).persist()
     try:
-        return (linear if kind == "linear" else boosted).fit(rows)
+        return LinearRegression(regParam=1e-3).fit(rows) if kind == "linear" else trees.fit_boosted(rows, **options)
     finally:
         rows.unpersist()
 
@@ -121,17 +131,21 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(assembled(df)).withColumn("yhat", F.greatest(F.lit(0.0), F.expm1("prediction"))).drop("features", "prediction")
 
 
-def cross_validate(df: DataFrame, folds: int = 5, kind: str = "linear", **options) -> DataFrame:
-    """Out-of-fold predictions (fold, y_true, yhat): each fold is predicted from all earlier days, encodings included.
+def cross_validate(df: DataFrame, folds: int = 5, kind: str = "gbt", **options) -> DataFrame:
+    """Out-of-fold predictions (fold, rounds, y_true, yhat): each fold is predicted from all earlier days, encodings included.
 
-    Rows with a missing feature are left out before the days are dealt to folds. Each fold reads ``df`` four times, so pass a written table.
+    Boosting learns from the earlier days and ends its rounds by the fold; ``rounds`` is how many were kept (none for a linear model). Rows with a missing
+    feature are left out before the days are dealt to folds. Each fold reads ``df`` four times, so pass a written table.
     """
     marked = time_folds(df.na.drop(subset=NUMERIC), folds)
     parts = []
     for k in range(1, folds + 1):
         past, test = marked.where(F.col("fold") < k), marked.where(F.col("fold") == k)
-        model = train_model(encode(past, past), kind=kind, **options)
-        parts.append(predict(model, encode(test, past)).select("fold", F.col("revenue").alias("y_true"), "yhat"))
+        known = encode(past, past)
+        learn = known if kind == "linear" else known.unionByName(encode(test, past))
+        model = train_model(learn, kind=kind, held_back=F.col("fold") == k, **options)
+        rounds = F.lit(None if kind == "linear" else model.getNumTrees).cast("int").alias("rounds")
+        parts.append(predict(model, encode(test, past)).select("fold", rounds, F.col("revenue").alias("y_true"), "yhat"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -147,22 +161,32 @@ def latest_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
+def linear_score(intercept: float | Column, weights: dict[str, float] | Column) -> Callable[[dict[str, Column]], Column]:
+    """Score of a linear model; ``weights`` by feature, or a column that is a map of them, such as one read from a table."""
+    w = (lambda c: F.coalesce(F.try_element_at(weights, F.lit(c)), F.lit(0.0))) if isinstance(weights, Column) else (lambda c: F.lit(float(weights.get(c, 0.0))))
+    start = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
+    return lambda features: sum((x * w(c) for c, x in features.items()), start)
+
+
+def tree_score(ensemble: str) -> Callable[[dict[str, Column]], Column]:
+    """Score of boosted trees, from ``trees.ensemble_json``."""
+    return lambda features: trees.boosted_value(ensemble, F.array(*[features[c].cast("double") for c in FEATURES]))
+
+
 def recursive_forecast(
-    latest: DataFrame, intercept: float, weights: dict[str, float], horizons: int = 28, q: tuple[float, float] | None = None, seed_history: DataFrame | None = None
+    latest: DataFrame, score: Callable[[dict[str, Column]], Column], horizons: int = 28, q: tuple[float, float] | None = None, seed_history: DataFrame | None = None
 ) -> DataFrame:
-    """Day-by-day forecast of a linear model on the log scale, its lags and rolling means fed by its own predictions.
+    """Day-by-day forecast of a model on the log scale, its lags and rolling means fed by its own predictions.
 
-    One fold over the horizons keeps the last 28 values of revenue and quantity in arrays; nothing leaves the JVM. The arrays start from
-    ``seed_history`` (series, rev, qty arrays in date order) or, without it, from the latest row's lag alone. Bounds
-    are the residual quantiles ``q`` added to yhat, floored at zero, else 15 % to either side.
+    ``score`` makes the model's column from the columns of the features. One fold over the horizons keeps the last 28 values of revenue and quantity in arrays;
+    nothing leaves the JVM. The arrays start from ``seed_history`` (series, rev, qty arrays in date order) or, without it, from the latest row's lag
+    alone. Bounds are the residual quantiles ``q`` added to yhat, floored at zero, else 15 % to either side.
     """
     rows = latest
     if seed_history is not None:
         rows = rows.join(seed_history, SERIES, "left")
     else:
         rows = rows.withColumns({"rev": F.array("revenue"), "qty": F.array(F.col("quantity").cast("double"))})
-    w = lambda name: F.lit(float(weights.get(name, 0.0)))
-    fixed = F.lit(float(intercept)) + sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w(c) for c in ("price", *ENCODED.values())), F.lit(0.0))
 
     def tail(values: Column, n: int) -> Column:
         return F.slice(values, F.greatest(F.lit(1), F.size(values) - n + 1), F.lit(n))
@@ -176,13 +200,12 @@ def recursive_forecast(
     def step(state: Column, h: Column) -> Column:
         day = F.date_add(F.col("date"), h)
         rev, qty = state["rev"], state["qty"]
-        score = (
-            fixed
-            + back(rev, 1) * w("lag_1") + back(rev, 7) * w("lag_7") + back(rev, 28) * w("lag_28")
-            + mean(tail(rev, 7)) * w("roll7") + mean(rev) * w("roll28") + mean(tail(qty, 7)) * w("qty_roll7") + mean(qty) * w("qty_roll28")
-            + F.dayofweek(day) * w("dow") + F.month(day) * w("month") + F.when(F.dayofweek(day).isin(1, 7), 1.0).otherwise(0.0) * w("is_weekend")
-        )
-        y = F.greatest(F.lit(0.0), F.expm1(F.least(score, F.lit(50.0))))
+        features = {
+            "lag_1": back(rev, 1), "lag_7": back(rev, 7), "lag_28": back(rev, 28), "roll7": mean(tail(rev, 7)), "roll28": mean(rev), "qty_roll7": mean(tail(qty, 7)),
+            "qty_roll28": mean(qty), "dow": F.dayofweek(day), "month": F.month(day), "is_weekend": F.when(F.dayofweek(day).isin(1, 7), 1.0).otherwise(0.0),
+            **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("price", *ENCODED.values())},
+        }
+        y = F.greatest(F.lit(0.0), F.expm1(F.least(score(features), F.lit(50.0))))
         sold = F.greatest(F.lit(1.0), F.when(F.col("price") > 0, y / F.col("price")).otherwise(y / 50.0))
         return F.struct(
             tail(F.concat(rev, F.array(y)), 28).alias("rev"), tail(F.concat(qty, F.array(sold)), 28).alias("qty"),
@@ -228,16 +251,19 @@ def labelled(forecast: DataFrame, model: str, run: str, target: str = "revenue",
     return forecast.withColumns({"target_type": F.lit(target), "model_name": F.lit(model), "model_version": F.lit(version), "run_id": F.lit(run)})
 
 
-def batch_predict(daily: DataFrame, feats: DataFrame, stats: DataFrame, run: str = "run-1", horizons: int = 28) -> DataFrame:
-    """Dense series by the linear model, the others by the baseline, with labels. A series whose features are incomplete gets the baseline."""
+def batch_predict(daily: DataFrame, feats: DataFrame, stats: DataFrame, folder: str, run: str = "run-1", horizons: int = 28, **options) -> DataFrame:
+    """Dense series by boosted trees, the others by the baseline, with labels. A series whose features are incomplete gets the baseline.
+
+    The trees are fitted on all dense series and rolled forward inside one expression; ``folder`` takes the model's files.
+    """
     dense = stats.where("is_dense").select(*SERIES)
     training = encode(feats, feats)
-    model = train_model(training.join(dense, SERIES, "left_semi"), kind="linear")
-    weights = dict(zip(FEATURES, model.coefficients.toArray().tolist()))
+    model = train_model(training.join(dense, SERIES, "left_semi"), **options)
     newest = latest_rows(training).na.drop(subset=FEATURES).join(dense, SERIES, "left_semi")
-    by_model = recursive_forecast(newest, model.intercept, weights, horizons, seed_history=history_arrays(daily))
+    score = tree_score(trees.ensemble_json(daily.sparkSession, model, folder))
+    by_model = recursive_forecast(newest, score, horizons, seed_history=history_arrays(daily))
     rest = baseline_forecast(daily, horizons).join(newest.select(*SERIES), SERIES, "left_anti")
-    return labelled(by_model, "linear", run).unionByName(labelled(rest, "baseline", run))
+    return labelled(by_model, "boosted_trees", run).unionByName(labelled(rest, "baseline", run))
 
 
 def backtest(daily: DataFrame, cutoffs: list[str], forecaster, horizons: int = 28, min_rows: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mercata.functions.errors import smape_eps, smape_half
-from mercata.operators import forecast as fc
+from mercata.operators import forecast as fc, trees
 from mercata.sources.star import Star
 
 from .analytics import pareto_80
@@ -280,16 +280,21 @@ def encoded(s: Star) -> DataFrame:
     return fc.encode(feats, feats).join(dense, SERIES, "left_semi")
 
 
+def rounds_of(model) -> F.Column:
+    return F.lit(model.getNumTrees).alias("rounds")
+
+
 @register("f_train")
 def f_train(s: Star) -> DataFrame:
-    """Predictions of boosted trees fitted on all dense series."""
+    """Predictions of boosted trees fitted on all dense series, and the rounds kept of up to 500."""
     rows = encoded(s)
-    return fc.predict(fc.train_model(rows, trees=10, depth=4), rows).select("date", *SERIES, "revenue", "yhat")
+    model = fc.train_model(rows)
+    return fc.predict(model, rows).select("date", *SERIES, "revenue", "yhat", rounds_of(model))
 
 
 @register("f_importance")
 def f_importance(s: Star) -> DataFrame:
-    model = fc.train_model(encoded(s), trees=10, depth=4)
+    model = fc.train_model(encoded(s))
     rows = sorted(zip(fc.FEATURES, model.featureImportances.toArray().tolist()), key=lambda r: -r[1])
     return s.spark.createDataFrame(rows, "feature string, importance double")
 
@@ -298,22 +303,53 @@ def f_importance(s: Star) -> DataFrame:
 def f_cv_metrics(s: Star) -> DataFrame:
     y, p = F.col("y_true"), F.col("yhat")
     scored = fc.cross_validate(stored_features(s), folds=5)
-    by_fold = scored.groupBy("fold").agg(F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), smape_half(y, p).alias("smape"), F.count("*").alias("n"))
+    by_fold = scored.groupBy("fold", "rounds").agg(F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), smape_half(y, p).alias("smape"), F.count("*").alias("n"))
     return by_fold.orderBy("fold")
 
 
 @register("f_recursive")
 def f_recursive(s: Star) -> DataFrame:
+    """Dense series rolled forward by the trees."""
     rows = encoded(s)
-    model = fc.train_model(rows, kind="linear")
-    weights = dict(zip(fc.FEATURES, model.coefficients.toArray().tolist()))
-    return fc.recursive_forecast(fc.latest_rows(rows).na.drop(subset=fc.FEATURES), model.intercept, weights, seed_history=fc.history_arrays(rows))
+    score = fc.tree_score(trees.ensemble_json(s.spark, fc.train_model(rows), scratch(s)))
+    return fc.recursive_forecast(fc.latest_rows(rows).na.drop(subset=fc.FEATURES), score, seed_history=fc.history_arrays(rows))
+
+
+#: A linear model given as a table of weights, to hold the recursion against SQL.
+WEIGHTS = {"(intercept)": 9.0, "lag_1": 5e-7, "lag_7": 1e-6, "lag_28": 2e-7, "roll7": 1.5e-6, "roll28": 2e-6, "qty_roll7": 0.001, "qty_roll28": 0.002, "dow": 0.01, "month": -0.005, "is_weekend": 0.1, "price": 1e-5}
+
+
+@register(
+    "f_recursive_linear",
+    DAILY.replace("WITH daily", "WITH RECURSIVE daily")
+    + f""", w AS (SELECT map({list(WEIGHTS)!r}, {list(WEIGHTS.values())!r}) AS w),
+hist AS (SELECT product_id, region_id, max(date) AS last, arg_max(price, date) AS price, list(revenue ORDER BY date) AS rev, list(CAST(quantity AS DOUBLE) ORDER BY date) AS qty
+         FROM ranked WHERE rn <= 28 GROUP BY 1, 2),
+steps AS (
+  SELECT product_id, region_id, last, price, rev, qty, 0 AS horizon, CAST(0 AS DOUBLE) AS yhat FROM hist
+  UNION ALL
+  SELECT product_id, region_id, last, price, list_append(CASE WHEN len(rev) = 28 THEN rev[2:] ELSE rev END, y) AS rev,
+         list_append(CASE WHEN len(qty) = 28 THEN qty[2:] ELSE qty END, greatest(1.0, CASE WHEN price > 0 THEN y / price ELSE y / 50 END)) AS qty, horizon + 1 AS horizon, y AS yhat
+  FROM (SELECT *, greatest(0.0, exp(w['(intercept)'] + rev[-1] * w['lag_1'] + rev[greatest(len(rev) - 6, 1)] * w['lag_7'] + rev[greatest(len(rev) - 27, 1)] * w['lag_28']
+               + list_avg(rev[greatest(len(rev) - 6, 1):]) * w['roll7'] + list_avg(rev) * w['roll28'] + list_avg(qty[greatest(len(qty) - 6, 1):]) * w['qty_roll7'] + list_avg(qty) * w['qty_roll28']
+               + (dayofweek(last + horizon + 1) + 1) * w['dow'] + month(last + horizon + 1) * w['month'] + CASE WHEN dayofweek(last + horizon + 1) IN (0, 6) THEN 1 ELSE 0 END * w['is_weekend']
+               + price * w['price']) - 1) AS y FROM steps, w WHERE horizon < 28))
+SELECT product_id, region_id, last + horizon AS forecast_date, horizon, round(yhat, 2) AS yhat, round(greatest(0, yhat * 0.85), 2) AS yhat_lo, round(yhat * 1.15, 2) AS yhat_hi
+FROM steps WHERE horizon > 0""",
+)
+def f_recursive_linear(s: Star) -> DataFrame:
+    """Every series rolled forward by a linear model whose weights are read from a table."""
+    weights = s.spark.createDataFrame(list(WEIGHTS.items()), "feature string, weight double").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w"))
+    series = daily(s)
+    latest = fc.latest_rows(series).withColumns({"w": weights.scalar(), **{te: F.lit(0.0) for te in fc.ENCODED.values()}})
+    score = fc.linear_score(F.col("w")["(intercept)"], F.col("w"))
+    return rounded(fc.recursive_forecast(latest, score, seed_history=fc.history_arrays(series)), "yhat", "yhat_lo", "yhat_hi", places=2)
 
 
 @register("f_batch_predict")
 def f_batch_predict(s: Star) -> DataFrame:
     feats = stored_features(s)
-    return fc.batch_predict(feats, feats, fc.series_stats(feats))
+    return fc.batch_predict(feats, feats, fc.series_stats(feats), scratch(s))
 
 
 # explorer and monitoring

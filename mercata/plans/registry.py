@@ -24,7 +24,8 @@ def register(key: str, sql: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: build(Star(spark, sf_dir))
         if sql is not None:
             body = sql.strip()
-            ORACLE[key] = f"WITH {LAYERS}{',' + body[4:] if body.upper().startswith('WITH') else body}"
+            recursive = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE") else ""
+            ORACLE[key] = f"WITH {recursive}{LAYERS}{',' + body[4 + len(recursive):] if body.upper().startswith('WITH') else body}"
         return build
 
     return add

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import Row, functions as F
 
 from mercata.functions.errors import smape_eps, smape_half, smape_row
 from mercata.functions.predicates import capped, pick_column
-from mercata.operators import forecast as fc, gold, layout, logs, marts, silver, text
+from mercata.operators import forecast as fc, gold, layout, logs, marts, silver, text, trees
 from mercata.operators.cube import cube_query, prefix_sums
 from mercata.sources import readers
 
@@ -114,7 +115,7 @@ def test_recursion_matches_a_plain_loop(spark):
     daily = series(spark, (40,))
     weights = {"lag_1": 0.01, "lag_7": 0.005, "roll7": 0.02, "roll28": 0.01, "qty_roll7": 0.001, "dow": 0.01, "price": 0.1}
     latest = fc.latest_rows(daily).withColumns({"payment_type_te": F.lit(0.0), "category_te": F.lit(0.0)})
-    got = [r.yhat for r in fc.recursive_forecast(latest, 1.0, weights, horizons=5, seed_history=fc.history_arrays(daily)).orderBy("horizon").collect()]
+    got = [r.yhat for r in fc.recursive_forecast(latest, fc.linear_score(1.0, weights), horizons=5, seed_history=fc.history_arrays(daily)).orderBy("horizon").collect()]
     rev, qty, day, want = [float(i) for i in range(13, 41)], [float(i) for i in range(13, 41)], dt.date(2018, 2, 9), []
     for h in range(1, 6):
         d = day + dt.timedelta(days=h)
@@ -125,6 +126,47 @@ def test_recursion_matches_a_plain_loop(spark):
     assert got == pytest.approx(want)
 
 
+def test_tree_recursion_equals_the_model_in_a_loop(spark, tmp_path):
+    """Twenty series, twenty-eight days: the fold over the ensemble's nodes against ``transform`` called day by day."""
+    rng = random.Random(3)
+    start, rows = dt.date(2018, 1, 1), []
+    for p in range(20):
+        level = rng.uniform(5, 400)
+        rows += [(start + dt.timedelta(days=i), f"p{p}", "r", level * rng.uniform(0.5, 1.5) * (2 if i % 7 > 4 else 1), rng.randint(1, 9), rng.uniform(1, 60), "card", "c") for i in range(60)]
+    daily = spark.createDataFrame(rows, series(spark, (1,)).schema)
+    known = fc.features(daily).withColumns({"payment_type_te": F.lit(0.1), "category_te": F.lit(0.2)}).cache()
+    model = fc.train_model(known, trees=40, depth=4, leaf_rows=5, rate=0.3, tolerance=0.0)
+    assert 1 < model.getNumTrees <= 40
+    latest = fc.latest_rows(known)
+    score = fc.tree_score(trees.ensemble_json(spark, model, f"file://{tmp_path}"))
+    made = fc.recursive_forecast(latest, score, seed_history=fc.history_arrays(daily))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.product_id, r.horizon): r.yhat for r in made.collect()}
+    state = {r.product_id: (r.date, r.price) for r in latest.collect()}
+    held = {r.product_id: (list(r.rev), list(r.qty)) for r in fc.history_arrays(daily).collect()}
+    for h in range(1, 29):
+        asked = []
+        for p, (rev, qty) in held.items():
+            day = state[p][0] + dt.timedelta(days=h)
+            dow = day.isoweekday() % 7 + 1
+            values = [rev[-1], rev[-7], rev[-28], sum(rev[-7:]) / 7, sum(rev) / 28, sum(qty[-7:]) / 7, sum(qty) / 28, dow, day.month, int(dow in (1, 7)), state[p][1], 0.1, 0.2]
+            asked.append((p, *map(float, values)))
+        told = model.transform(fc.assembled(spark.createDataFrame(asked, "product_id string, " + ", ".join(f"{c} double" for c in fc.FEATURES))))
+        for r in told.select("product_id", "prediction").collect():
+            y = max(0.0, math.expm1(min(r.prediction, 50.0)))
+            assert got[r.product_id, h] == pytest.approx(y, rel=1e-9)
+            rev, qty = held[r.product_id]
+            held[r.product_id] = ((rev + [y])[-28:], (qty + [max(1.0, y / state[r.product_id][1])])[-28:])
+
+
+def test_boosting_stops_by_the_later_part(spark):
+    """Labels that the features don't tell: the held-back part ends the rounds early; a wholly held-back or empty part is harmless."""
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(dt.date(2018, 1, 1) + dt.timedelta(days=i // 20), *[rng.random() for _ in fc.FEATURES], rng.random()) for i in range(800)], "date date, " + ", ".join(f"{c} double" for c in fc.FEATURES) + ", y double")
+    assert rows.where(fc.later_part(rows)).count() == 160
+    assert fc.train_model(rows, trees=30, depth=3, leaf_rows=10, tolerance=0.01).getNumTrees < 30
+
+
 def test_chunks(spark):
     long = "x" * 2500
     docs = [("a", f"# one\nbody\n## two\n{long}"), ("b", "y" * 1000), ("c", "z" * 1001), ("d", "  \n "), ("e", None)]
