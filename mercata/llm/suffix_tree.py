@@ -65,9 +65,9 @@ class Bits:
         self.bits = min(MOST_BITS, max(1 << 10, 1 << (16 * size).bit_length()))
         at = [F.pmod(k, F.lit(self.bits)) for k in (F.col("key"), F.shiftrightunsigned("key", 32))]
         words = keys.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-        found = words.agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("set")).toPandas()  # at most MOST_BITS / 64 rows
+        found = words.agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("set")).toArrow()  # at most MOST_BITS / 64 rows
         self.words = np.zeros(self.bits // 64, np.uint64)
-        self.words[found["word"].to_numpy()] = found["set"].to_numpy(np.int64).view(np.uint64)
+        self.words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -78,12 +78,21 @@ class Bits:
 
 
 class Head:
-    """The most frequent entries of a table of keys, in memory; a bitmap of all tells which others there may be."""
+    """The most frequent entries of a table of keys, at most ``most``, in memory; a bitmap of all tells which others there may be.
+
+    Counts fall into sixteen classes an octave, and as many whole classes are held as fit.
+    """
 
     def __init__(self, table: DataFrame, value: str, most: int):
-        size = table.count()
-        top = (table if size <= most else table.orderBy(F.desc("n"), "key").limit(most)).select("key", value).toPandas().sort_values("key")
-        self.keys, self.values = top["key"].to_numpy(np.int64), top[value].to_numpy()
+        kind = F.floor(F.log2("n") * 16)
+        size, held = 0, None
+        for r in sorted(table.groupBy(kind.alias("kind")).count().collect(), key=lambda r: -r["kind"]):
+            size += r["count"]
+            held = r["kind"] if size <= most else held
+        chosen = table if size <= most else table.limit(0) if held is None else table.where(kind >= held)
+        top = chosen.select("key", value).toArrow()
+        order = np.argsort(top["key"].to_numpy())
+        self.keys, self.values = top["key"].to_numpy()[order], top[value].to_numpy()[order]
         self.rest = Bits(table, size) if size > most else None
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,15 +127,14 @@ class Tree:
         return self.total + ADDED * (self.distinct + 1)
 
 
-def _counts(texts: DataFrame, length: int, contexts: Bits | None, lower: Bits | None) -> DataFrame:
+def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
     """(ctx, low, n) of word sequences of ``length``: the keys of all but the last and of all but the first word; at length 1 ctx is 0 and low the word.
 
-    Only sequences whose ctx and low the bitmaps may hold are counted; they are summed up in each task over many texts before the shuffle.
+    Only sequences whose ctx and low the two bitmaps of the broadcast ``shared`` may hold are counted; they are summed up in each task over many texts before the shuffle.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((contexts, lower))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, made, held = shared.value, Grams(), []
+        known, made, held = shared.value if shared else None, Grams(), []
 
         def out() -> pa.RecordBatch:
             pairs = np.concatenate(held)
@@ -176,7 +184,7 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 3, least_context:
     """
     texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     with scratch(docs.sparkSession):
-        words = cut(_counts(texts, 1, None, None).select(F.col("low").alias("key"), "n"), keep=True)
+        words = cut(_counts(texts, 1, None).select(F.col("low").alias("key"), "n"), keep=True)
         total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         tree = Tree(words, words.limit(0).select("key", F.lit(0.0).alias("p"), "n"), words.limit(0).select("key", F.lit(0.0).alias("b"), "n"), total, distinct, depth)
         end = np.uint64(END).view(np.int64).item()
@@ -188,8 +196,9 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 3, least_context:
             sizes = may_be.count(), needed.count()
             if not all(sizes):
                 break
-            counted = _counts(texts, length + 1, Bits(may_be, sizes[0]), Bits(needed, sizes[1])).where(F.col("n") >= least_event)
-            grams = cut(_with_key(counted))
+            shared = docs.sparkSession.sparkContext.broadcast((Bits(may_be, sizes[0]), Bits(needed, sizes[1])))
+            grams = cut(_with_key(_counts(texts, length + 1, shared).where(F.col("n") >= least_event)))
+            shared.destroy()
             of = may_be.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx"))
             told = cut(grams.join(lower.select(F.col("key").alias("low"), F.pow(F.lit(10.0), "p").alias("p_low")), "low").join(of, "ctx"))
             gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("n_ctx") / F.col("p_low")))
@@ -259,6 +268,7 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
 
         kind = slim.schema["id"].dataType.simpleString()
         told = cut(slim.mapInArrow(work, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, later array<long>, chains array<long>"), keep=True)
+        shared.destroy()
         rest = [_later(told, tree)]
         if not told.where("size(chains) > 0").isEmpty():
             rest.append(_chained(told, tree))
