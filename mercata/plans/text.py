@@ -118,13 +118,26 @@ def log_route_metrics(s: Star) -> DataFrame:
     return logs.route_metrics(log(s))
 
 
-@register(
-    "log_over_quota",
-    "WITH c AS (SELECT event_id, user_id AS key, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n FROM events) "
-    "SELECT event_id, key, CAST(n AS BIGINT) AS in_window FROM c WHERE n > 2",
-)
+#: The limiter hit by hit: a key's allowed times in the window so far, oldest first, are handed from hit to hit.
+LIMITER = """
+WITH RECURSIVE n AS (SELECT event_id, user_id AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT event_id, key, i, [t] AS hits, true AS allowed FROM n WHERE i = 1
+  UNION ALL
+  SELECT event_id, key, i, CASE WHEN len(h) < 2 THEN list_append(h, t) ELSE h END AS hits, len(h) < 2 AS allowed
+  FROM (SELECT n.*, list_filter(r.hits, lambda x: n.t - x <= 3600000000) AS h FROM r JOIN n ON n.key = r.key AND n.i = r.i + 1))
+"""
+
+
+@register("log_limiter", LIMITER + "SELECT event_id, key, allowed, CAST(2 - len(hits) AS INTEGER) AS remaining FROM r")
+def log_limiter(s: Star) -> DataFrame:
+    """Whether a limiter of two hits an hour admits each event of a user, and how many it would admit next."""
+    return logs.limiter(log(s), limit=2, seconds=3600).select("event_id", "key", "allowed", "remaining")
+
+
+@register("log_over_quota", LIMITER + "SELECT event_id, key FROM r WHERE NOT allowed")
 def log_over_quota(s: Star) -> DataFrame:
-    return logs.over_quota(log(s), limit=2, seconds=3600).select("event_id", "key", "in_window")
+    return logs.over_quota(log(s), limit=2, seconds=3600).select("event_id", "key")
 
 
 @register(

@@ -184,11 +184,66 @@ def test_zero_vector_has_no_cosine(spark):
 
 
 def test_quota_counts_exactly_sixty_seconds(spark):
-    rows = [("a", T(2024, 1, 1, 0, 0, 0)), ("a", T(2024, 1, 1, 0, 1, 0)), ("b", T(2024, 1, 1, 0, 0, 0)), ("b", T(2024, 1, 1, 0, 1, 1))]
-    over = logs.over_quota(spark.createDataFrame(rows, "key string, ts timestamp_ntz"), limit=1, seconds=60).collect()
+    rows = [("a", T(2024, 1, 1, 0, 0, 0), 1), ("a", T(2024, 1, 1, 0, 1, 0), 2), ("b", T(2024, 1, 1, 0, 0, 0), 3), ("b", T(2024, 1, 1, 0, 1, 1), 4)]
+    over = logs.over_quota(spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id int"), limit=1, seconds=60).collect()
     assert [r.key for r in over] == ["a"]
 
 
+def plain_limiter(rows, limit, seconds):
+    """One queue a key: what is older than the window goes, a hit is admitted and kept if fewer than ``limit`` are left."""
+    queues, out = {}, {}
+    for key, ts, i in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: (r[1], r[2])):
+        q = [x for x in queues.get(key, []) if (ts - x).total_seconds() <= seconds]
+        allowed = len(q) < limit
+        queues[key] = q + [ts] if allowed else q
+        out[i] = (allowed, limit - len(queues[key]))
+    return out
+
+
+@pytest.mark.parametrize("limit, seconds, dense", [(1, 60, 40), (3, 60, 15), (5, 3600, 400), (2, 1, 1)])
+def test_limiter_equals_one_queue_a_key(spark, limit, seconds, dense):
+    rng, rows, now = random.Random(limit), [], T(2024, 1, 1)
+    for i in range(1500):
+        now += dt.timedelta(seconds=rng.choice([0, 0, 1, dense, seconds, 3 * seconds]) * rng.random() if rng.random() < 0.8 else rng.choice([0, seconds]))
+        rows.append((rng.choice(["a", "a", "a", "b", "c"]), now, i))
+    rows += [(None, now, 9001), ("a", None, 9002)]
+    frame = spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id int").withColumn("_run2", F.lit("kept"))
+    got = {r.event_id: (r.allowed, r.remaining) for r in logs.limiter(frame, limit, seconds).collect()}
+    assert got == plain_limiter(rows, limit, seconds)
+    assert logs.limiter(frame.limit(0), limit, seconds).count() == 0
+
+
+def test_a_hot_key_of_the_limiter_runs_in_many_tasks(spark):
+    """A key of a million hits with bursts between rests: its runs are dealt to all tasks, and each is gone through from the slot before it."""
+    hits = spark.range(1_000_000).select(F.lit("hot").alias("key"), F.col("id").alias("event_id"), F.timestamp_micros(F.expr("id DIV 500 * 300000000 + id % 500 * 100000")).alias("ts"))
+    got = logs.limiter(hits, limit=30, seconds=60).withColumn("task", F.spark_partition_id())
+    by = got.groupBy("task").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed")).collect()
+    assert sum(r.n for r in by) == 1_000_000 and sum(r.allowed for r in by) == 2000 * 30
+    assert len(by) > 2 and max(r.n for r in by) < 600_000
+
+
+def test_limiter_on_a_stream_equals_the_batch(spark, tmp_path):
+    rng, rows, now = random.Random(9), [], T(2024, 1, 1)
+    for i in range(300):
+        now += dt.timedelta(seconds=rng.choice([0, 1, 10, 61]))
+        rows.append((rng.choice("ab"), now, i))
+    schema = "key string, ts timestamp_ntz, event_id int"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{k}")
+    from mercata.streaming.logs import limiter_stream
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = limiter_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*"), 2, 60)
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").format("memory").queryName("limited").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset(store)
+    assert {r.event_id: (r.allowed, r.remaining) for r in spark.table("limited").collect()} == plain_limiter(rows, 2, 60)
+
+
 def test_masking_and_folding(spark):
     df = spark.createDataFrame([("SELECT 'a b' WHERE x = 12.5 AND y1 = 3", "ÉÑü")], "q string, w string")
     assert tuple(df.select(text.mask_literals(F.col("q")), text.fold(F.col("w"))).first()) == ("SELECT ? WHERE x = ? AND y1 = ?", "enu")
