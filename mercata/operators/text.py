@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+
 def _marked_letters() -> tuple[str, str]:
     """Lower-case letters of the Latin blocks that decompose into a letter and marks, and those letters.
 
@@ -58,22 +63,104 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norms, F.lit(0.0)), F.lit(0.0))
 
 
-def top_hits(vectors: DataFrame, queries: DataFrame, k: int = 4, fetch: int | None = None, block: int = 256) -> DataFrame:
+def units(vectors: list, width: int) -> np.ndarray:
+    """Rows of length one; all zeros for a vector that is null, zero, of another width, or holds null or non-finite components."""
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == width:
+            row = np.array(v, np.float64)
+            norm = np.sqrt(row @ row)
+            if 0 < norm < np.inf:
+                out[i] = row / norm
+    return out
+
+
+class Search:
+    """The best ``fetch`` of the vectors shown so far for each query of a block, exact.
+
+    Vectors are grouped by their nearest pivot. By the triangle inequality of angles, none of a group is nearer to a query than the query's
+    angle to the pivot leaves to the group's nearest and farthest angle; groups that cannot reach the ``fetch``-th best so far are skipped for that
+    query. The pivots are vectors of the table themselves, so their own scores bound the best from the start.
+    """
+
+    SLACK = 2e-6  # scores are compared after rounding to six places
+
+    def __init__(self, queries: np.ndarray, pivots: np.ndarray, fetch: int):
+        self.queries, self.pivots, self.fetch = queries, pivots, fetch
+        shown = queries @ pivots.T
+        self.angles = np.arccos(np.clip(shown, -1, 1))
+        self.least = np.sort(shown, 1)[:, -fetch] if len(pivots) >= fetch else np.full(len(queries), -np.inf)
+        self.least = self.least - self.SLACK
+        self.no_length = ~queries.any(1)
+        self.pairs = self.skipped = 0
+        self.best = self.waiting = None
+
+    def show(self, vec_ids: np.ndarray, sources: np.ndarray, vectors: np.ndarray) -> None:
+        to_pivots = vectors @ self.pivots.T if len(self.pivots) else np.zeros((len(vectors), 1))
+        group = np.where(vectors.any(1), to_pivots.argmax(1), -1)
+        found = []
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            asked = np.arange(len(self.queries))
+            if g >= 0 and len(self.pivots):
+                away = np.arccos(np.clip(to_pivots[rows, g], -1, 1))
+                gap = np.maximum(0, np.maximum(self.angles[:, g] - away.max(), away.min() - self.angles[:, g]))
+                asked = np.flatnonzero((np.cos(gap) >= self.least) | self.no_length)
+            self.pairs += len(rows) * len(self.queries)
+            self.skipped += len(rows) * (len(self.queries) - len(asked))
+            scores = np.round(self.queries[asked] @ vectors[rows].T, 6) + 0.0
+            q, r = np.nonzero(scores >= self.least[asked, None])
+            found.append(pd.DataFrame({"q": asked[q], "score": scores[q, r], "vec_id": vec_ids[rows[r]], "source": sources[rows[r]]}))
+        self.waiting = pd.concat([x for x in (self.waiting, *found) if x is not None])
+        if len(self.waiting) > 4 * self.fetch * len(self.queries):
+            self.settle()
+
+    def settle(self) -> pd.DataFrame:
+        """The best so far, once what waits is ranked among it."""
+        if self.waiting is not None:
+            both = pd.concat([x for x in (self.best, self.waiting) if x is not None]).sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+            self.best = both[both.groupby("q").cumcount() < self.fetch]
+            full = self.best.groupby("q")["score"].agg(["min", "size"])
+            full = full[full["size"] == self.fetch]
+            self.least[full.index] = np.maximum(self.least[full.index], full["min"] - self.SLACK)
+            self.waiting = None
+        return self.best
+
+
+def top_hits(vectors: DataFrame, queries: DataFrame, k: int = 4, fetch: int | None = None, block: int = 50_000, pivots: int = 128) -> DataFrame:
     """The best ``k`` sources of each query: the best hit of a source among the ``fetch`` nearest vectors counts.
 
-    ``queries`` (query, qv) is a stated set. It is gathered in blocks of about ``block``, which are copied to every slice of ``vectors`` (vec_id, source,
-    v); each slice keeps the ``fetch`` nearest of a query before those are ranked together, so what is shuffled is the number of queries times slices.
+    ``queries`` (query, qv) is a stated set, dealt by hash into blocks of about ``block``: one block at a time is held by the driver and the tasks, and searched
+    for in one pass over ``vectors`` (vec_id, source, v). Each task keeps the ``fetch`` nearest of a query, so what is shuffled is queries times tasks
+    times ``fetch`` rows. Pairs are skipped by the bounds of ``Search`` from ``pivots`` vectors of the table. Vectors without a direction (see ``units``) score zero.
     """
-    fetch = fetch or max(5 * k, 20)
+    spark, fetch = vectors.sparkSession, fetch or max(5 * k, 20)
     best = [F.desc("score"), F.col("vec_id")]
-    numbered = queries.withColumn("block", F.floor(F.monotonically_increasing_id() / block))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query", "qv")).alias("asked")).drop("block")
-    pairs = blocks.join(vectors.withColumn("slice", F.spark_partition_id())).select("slice", "vec_id", "source", "v", F.explode("asked").alias("q"))
-    scored = pairs.select("slice", F.col("q.query").alias("query"), "vec_id", "source", F.round(cosine(F.col("v"), F.col("q.qv")), 6).alias("score"))
-    least = F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"), F.col("source").alias("source"))
-    local = scored.groupBy("slice", "query").agg(F.slice(F.array_sort(F.collect_list(least)), 1, fetch).alias("near"))
-    kept = local.select("query", F.explode("near").alias("h")).select("query", "h.vec_id", "h.source", (-F.col("h.far")).alias("score"))
-    near = kept.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("n") <= fetch)
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *queries.schema)}
+    schema = f"query {kinds['query']}, vec_id {kinds['vec_id']}, source {kinds['source']}, score double"
+    sample = vectors.where("v IS NOT NULL").orderBy(F.xxhash64("vec_id")).limit(pivots).select("v").toPandas()["v"].tolist()
+    width = len(sample[0]) if sample else 0
+    middle = units(sample, width)
+    middle = middle[middle.any(1)]
+    blocks = max(1, -(-queries.count() // block))
+
+    def found(at: int) -> DataFrame:
+        asked = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == at).select("query", "qv").toPandas()
+        shared = spark.sparkContext.broadcast((asked["query"].to_numpy(), units(asked["qv"].tolist(), width), middle))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, of, near = shared.value
+            search = Search(of, near, fetch)
+            for batch in batches:
+                search.show(batch["vec_id"].to_numpy(), batch["source"].to_numpy(), units(batch["v"].tolist(), width))
+            kept = search.settle()
+            if kept is not None:
+                yield pd.DataFrame({"query": names[kept["q"]], "vec_id": kept["vec_id"].to_numpy(), "source": kept["source"].to_numpy(), "score": kept["score"].to_numpy()})
+
+        return vectors.select("vec_id", "source", "v").mapInPandas(work, schema)
+
+    local = reduce(DataFrame.unionAll, map(found, range(blocks)))
+    near = local.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("n") <= fetch)
     first = near.withColumn("s", F.row_number().over(W.partitionBy("query", "source").orderBy(*best))).where("s = 1")
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k).drop("n", "s")
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -183,6 +184,34 @@ def test_zero_vector_has_no_cosine(spark):
     assert [r[0] for r in df.select(F.round(text.cosine(F.col("a"), F.col("b")), 9)).collect()] == [0.0, 1.0]
 
 
+def test_search_is_exact_and_skips_far_groups(spark):
+    """Clusters, ties, vectors without a direction, several blocks of queries: the same hits as sorting all scores."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 16))
+    vectors = [(centers[i % 12] + 0.1 * rng.normal(size=16)).tolist() for i in range(1500)]
+    vectors[40:44] = [vectors[39]] * 4
+    vectors[7], vectors[8], vectors[9], vectors[10] = None, [0.0] * 16, [1.0], [float("nan")] * 16
+    table = spark.createDataFrame([(i, f"s{i % 30}", v) for i, v in enumerate(vectors)], "vec_id long, source string, v array<double>").repartition(5)
+    queries = table.where("vec_id % 10 IN (0, 8, 9)").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
+    unit = text.units(vectors, 16)
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    expected = set()
+    for q in range(1500):
+        if q % 10 in (0, 8, 9):
+            near = sorted(range(1500), key=lambda i: (-scores[q, i], i))[:20]
+            first = [i for n, i in enumerate(near) if f"s{i % 30}" not in {f"s{j % 30}" for j in near[:n]}][:4]
+            expected |= {(q, i, f"s{i % 30}", scores[q, i], n) for n, i in enumerate(first, 1)}
+    for block in (50_000, 100):
+        got = text.top_hits(table, queries, block=block)
+        assert {(r.query, r.vec_id, r.source, r.score, r["rank"]) for r in got.collect()} == expected
+    search = text.Search(unit[::50], unit[:128][unit[:128].any(1)], 20)
+    for at in range(0, 1500, 300):
+        search.show(np.arange(at, at + 300), np.arange(at, at + 300), unit[at : at + 300])
+        search.settle()
+    assert search.skipped > search.pairs / 2
+    assert text.top_hits(table.limit(0), queries.limit(0)).count() == 0
+
+
 def test_quota_counts_exactly_sixty_seconds(spark):
     rows = [("a", T(2024, 1, 1, 0, 0, 0), 1), ("a", T(2024, 1, 1, 0, 1, 0), 2), ("b", T(2024, 1, 1, 0, 0, 0), 3), ("b", T(2024, 1, 1, 0, 1, 1), 4)]
     over = logs.over_quota(spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id int"), limit=1, seconds=60).collect()
