@@ -1,8 +1,8 @@
-"""Cube queries and distributed prefix sums."""
+"""Cube queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cube_query(
@@ -38,29 +38,3 @@ def cube_query(
     if limit is not None:
         out = out.orderBy(*[F.asc_nulls_last(k) for k in keys]).limit(limit)
     return out
-
-
-def prefix_sums(df: DataFrame, value: str, key: str) -> DataFrame:
-    """``df`` plus rank, running sum and total in descending order of ``value`` (then ``key``), without one task that reads all.
-
-    Values fall into sixteen classes an octave. Sums and counts of the classes, a few hundred rows whatever the input, give
-    each class its base, and windows run within a class; classes fall with the value, so bases add up in order. Members of
-    equal value share a class and so a task.
-    """
-    v = F.col(value).cast("double")
-    scale = F.when(v > 0, F.floor(F.log2(v) * 16)).otherwise(F.lit(-100_000)).cast("long")
-    classed = df.withColumn("_class", scale)
-    sums = classed.groupBy("_class").agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"))
-    above = W.orderBy(F.desc("_class")).rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(
-        "_class", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_base"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"),
-        F.sum("_sum").over(W.partitionBy()).alias("total"),
-    )
-    inside = W.partitionBy("_class").orderBy(F.desc(value), key)
-    out = classed.join(F.broadcast(bases), "_class")
-    return out.withColumns(
-        {
-            "rank": F.col("_before") + F.row_number().over(inside),
-            "running": F.col("_base") + F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)),
-        }
-    ).drop("_class", "_base", "_before")

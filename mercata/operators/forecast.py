@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mercata.functions.errors import mae, smape_eps, smape_row
 from mercata.operators import trees
+from mercata.operators.ordered import exact_quantiles
 
 SERIES = ["product_id", "region_id"]
 NUMERIC = ["lag_1", "lag_7", "lag_28", "roll7", "roll28", "qty_roll7", "qty_roll28", "dow", "month", "is_weekend", "price"]
@@ -150,10 +151,10 @@ def cross_validate(df: DataFrame, folds: int = 5, kind: str = "gbt", **options)
 
 
 def residual_quantiles(predictions: DataFrame, y: str = "y_true", yhat: str = "yhat") -> DataFrame:
+    """The 10 % and 90 % quantile, mean and deviation of the residuals. The quantiles are exact and read ``predictions`` a few times, so pass a written table."""
     r = F.col(y) - F.col(yhat)
-    return predictions.agg(
-        F.percentile(r, F.lit(0.1)).alias("q10"), F.percentile(r, F.lit(0.9)).alias("q90"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std")
-    )
+    low, high = exact_quantiles(predictions, r, [0.1, 0.9])
+    return predictions.agg(F.lit(low).cast("double").alias("q10"), F.lit(high).cast("double").alias("q90"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"))
 
 
 def latest_rows(df: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mercata.functions.predicates import capped, dual, half_open, in_list, in_months, last_months, month_bounds
 from mercata.operators import marts
-from mercata.operators.cube import cube_query, prefix_sums
+from mercata.operators.cube import cube_query
+from mercata.operators.ordered import exact_quantiles, prefix_sums
+from mercata.operators import sketches
+from mercata.sources.shared import new_path, stored
 from mercata.sources.star import Star
 
 from .layers import doubles
@@ -35,9 +38,25 @@ def pred_month_bounds(s: Star) -> DataFrame:
     return counted(s.fact_order_item.where((F.col("full_date") >= first) & (F.col("full_date") < after)))
 
 
+def facts_by_month(s: Star) -> DataFrame:
+    """The items of orders written by month, so that a month's files are found by its folder."""
+    path = new_path(s.spark)
+    facts = s.fact_order_item.select("full_date", "price", marts.month().alias("year_month"))
+    facts.repartition("year_month").write.partitionBy("year_month").parquet(path)
+    return s.spark.read.schema(facts.schema).parquet(path)
+
+
 @register("pred_dual", f"SELECT {COUNTED}{RANGE}")
 def pred_dual(s: Star) -> DataFrame:
-    return counted(s.fact_order_item.withColumn("year_month", marts.month()).where(dual("year_month", "full_date", D0, D1)))
+    """The month bound prunes folders, the day bound rows."""
+    return counted(facts_by_month(s).where(dual("year_month", "full_date", D0, D1)))
+
+
+@register("pred_dual_join", f"SELECT {COUNTED} strftime(full_date, '%Y-%m') IN ('1997-02', '1997-11')")
+def pred_dual_join(s: Star) -> DataFrame:
+    """Months chosen by a join: folders are pruned at run time by what the filtered calendar holds."""
+    months = s.dim_date.where("(year = 1997) AND (month IN (2, 11))").select(marts.month().alias("year_month")).distinct()
+    return counted(facts_by_month(s).join(months, "year_month"))
 
 
 @register("pred_last_n_months", f"SELECT {COUNTED} full_date >= DATE '1998-06-30' - INTERVAL 3 MONTH")
@@ -135,8 +154,26 @@ def agg_having(s: Star) -> DataFrame:
 
 @register("agg_quantile", "SELECT round(quantile_cont(CAST(price AS DOUBLE), 0.1), 4) AS q10, round(quantile_cont(CAST(price AS DOUBLE), 0.9), 4) AS q90 FROM foi")
 def agg_quantile(s: Star) -> DataFrame:
-    q = F.percentile(F.col("price").cast("double"), [0.1, 0.9])
-    return s.fact_order_item.agg(q.alias("q")).select(F.round(F.col("q")[0], 4).alias("q10"), F.round(F.col("q")[1], 4).alias("q90"))
+    q10, q90 = exact_quantiles(stored(s.fact_order_item.select("price")), "price", [0.1, 0.9])
+    return s.spark.createDataFrame([(q10, q90)], "q10 double, q90 double").select(F.round("q10", 4).alias("q10"), F.round("q90", 4).alias("q90"))
+
+
+@register(
+    "agg_distinct_sketch",
+    f"""
+WITH c AS (SELECT DISTINCT year(full_date) * 12 + month(full_date) AS m, customer_id FROM fo WHERE full_date IS NOT NULL)
+SELECT CAST(a.m AS INTEGER) AS period, CAST(count(DISTINCT c.customer_id) AS BIGINT) AS customers, true AS within_bound
+FROM (SELECT DISTINCT m FROM c) a JOIN c ON c.m BETWEEN a.m - 2 AND a.m GROUP BY 1""",
+)
+def agg_distinct_sketch(s: Star) -> DataFrame:
+    """Customers of each month and the two before it: exact, and whether the estimate from stored monthly sketches keeps its bound."""
+    seen = s.fact_order.where("full_date IS NOT NULL").select((F.year("full_date") * 12 + F.month("full_date")).alias("m"), "customer_id")
+    monthly = stored(sketches.period_sketches(seen, "m", "customer_id"))
+    told = sketches.distinct_in_windows(monthly, 3)
+    pairs = seen.distinct().select("customer_id", F.explode(F.sequence(F.col("m"), F.col("m") + 2)).alias("period")).distinct()
+    exact = pairs.groupBy("period").agg(F.count("*").alias("customers"))
+    within = F.abs(F.col("estimate") - F.col("customers")) <= sketches.BOUND * F.col("customers") + 1
+    return told.join(exact, "period").select("period", "customers", within.alias("within_bound"))
 
 
 @register("agg_filter_clause", "SELECT seller_id, CAST(count(*) FILTER (WHERE price >= 50000) AS BIGINT) AS n_large FROM foi GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from mercata.functions.errors import smape_eps, smape_half
 from mercata.operators import forecast as fc, trees
+from mercata.sources.shared import stored
 from mercata.sources.star import Star
 
 from .analytics import pareto_80
@@ -200,7 +201,7 @@ def f_metrics_long(s: Star) -> DataFrame:
     BACKTEST + "SELECT round(quantile_cont(y - yhat, 0.1), 2) AS q10, round(quantile_cont(y - yhat, 0.9), 2) AS q90, round(avg(y - yhat), 2) AS mean, round(stddev_pop(y - yhat), 2) AS std FROM bt",
 )
 def f_residual_ci(s: Star) -> DataFrame:
-    return shown(fc.residual_quantiles(results(s), "y", "yhat"), "q10", "q90", "mean", "std")
+    return shown(fc.residual_quantiles(stored(results(s).select("y", "yhat")), "y", "yhat"), "q10", "q90", "mean", "std")
 
 
 MONITOR = (
@@ -269,9 +270,7 @@ def smape_eps_by_horizon(s: Star) -> DataFrame:
 
 def stored_features(s: Star) -> DataFrame:
     """The features as a written table: what is read several times is made once, and no memory of executors is held."""
-    path = scratch(s)
-    fc.features(daily(s)).write.parquet(path)
-    return s.spark.read.parquet(path)
+    return stored(fc.features(daily(s)))
 
 
 def encoded(s: Star) -> DataFrame:

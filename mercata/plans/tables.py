@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from mercata.operators import layout, marts
 from mercata.sources import readers
+from mercata.sources.shared import new_path
 from mercata.sources.star import Star
 
 from .layers import FO_SQL, doubles
@@ -19,10 +18,7 @@ MONTH_SQL = "strftime(full_date, '%Y-%m')"
 
 
 def scratch(s: Star) -> str:
-    shared = s.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not s.spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='mercata-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return new_path(s.spark)
 
 
 @register("src_csv", "SELECT product_id, product_category_name, product_weight_g, product_length_cm FROM b_product")

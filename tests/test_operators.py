@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,8 +11,9 @@ from pyspark.sql import Row, functions as F
 
 from mercata.functions.errors import smape_eps, smape_half, smape_row
 from mercata.functions.predicates import capped, pick_column
-from mercata.operators import forecast as fc, gold, layout, logs, marts, silver, text, trees
-from mercata.operators.cube import cube_query, prefix_sums
+from mercata.operators import forecast as fc, gold, layout, logs, marts, silver, sketches, text, trees
+from mercata.operators.cube import cube_query
+from mercata.operators.ordered import exact_quantiles, prefix_sums
 from mercata.sources import readers
 
 T = dt.datetime
@@ -168,6 +170,47 @@ def test_boosting_stops_by_the_later_part(spark):
     assert fc.train_model(rows, trees=30, depth=3, leaf_rows=10, tolerance=0.01).getNumTrees < 30
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties", "equal", "nulls"])
+def test_prefix_sums_split_equal_values(spark, kind):
+    rng = random.Random(6)
+    value = {"spread": lambda: rng.random() * 1000, "ties": lambda: float(rng.randint(0, 3)), "equal": lambda: 7.0, "nulls": lambda: rng.choice([None, 2.0, -1.0])}[kind]
+    rows = [(value(), f"k{i:05d}") for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix_sums(spark.createDataFrame(rows, "v double, k string").repartition(3), "v", "k").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [r.k for r in sorted(got, key=lambda r: r["rank"])] == [k for _, k in order] and sorted(r["rank"] for r in got) == list(range(1, 4001))
+    running, want = 0.0, {}
+    for v, k in order:
+        running += v or 0.0
+        want[k] = running
+    assert all(r.running is None or r.running == pytest.approx(want[r.k]) for r in got) and all(r.total == pytest.approx(running) for r in got)
+    tasks = Counter(r.task for r in got)
+    assert len(tasks) > 1 and max(tasks.values()) < 2600
+
+
+@pytest.mark.parametrize("most", [100_000, 50])
+def test_exact_quantiles(spark, most):
+    """Also where the interval is narrowed before it is counted, and where one value holds most rows."""
+    rng = random.Random(7)
+    for values in ([rng.gauss(0, 100) for _ in range(5000)], [float(rng.choice([1, 1, 1, 1, rng.randint(1, 400)])) for _ in range(5000)], [3.0] * 200, [5.0], [1.0, None, 2.0]):
+        frame = spark.createDataFrame([(v,) for v in values], "v double").cache()
+        known = [v for v in values if v is not None]
+        for share, got in zip((0.0, 0.1, 0.5, 0.9, 1.0), exact_quantiles(frame, "v", [0.0, 0.1, 0.5, 0.9, 1.0], most=most, accuracy=200)):
+            assert got == pytest.approx(float(np.quantile(known, share)), abs=1e-9)
+    assert exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_sketches_unite_over_windows(spark):
+    rows = spark.range(30_000).select((F.col("id") % 5 + F.when(F.col("id") % 5 > 2, 1).otherwise(0)).cast("int").alias("m"), F.concat(F.lit("c"), F.col("id") % 7001).alias("who"))
+    monthly = sketches.period_sketches(rows, "m", "who")
+    exact = {e: rows.where(F.col("m").between(e - 2, e)).select("who").distinct().count() for e in (0, 1, 2, 4, 5)}
+    got = {r.period: r.estimate for r in sketches.distinct_in_windows(monthly, 3).collect()}
+    assert set(got) == set(exact) and all(abs(got[e] - exact[e]) <= sketches.BOUND * exact[e] for e in exact)
+
+
 def test_chunks(spark):
     long = "x" * 2500
     docs = [("a", f"# one\nbody\n## two\n{long}"), ("b", "y" * 1000), ("c", "z" * 1001), ("d", "  \n "), ("e", None)]
