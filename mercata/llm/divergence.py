@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut, remove, scratch, shared_folder
 
-#: Terms are what lies between ASCII bytes that are not letters.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: What a term's bytes become: A-Z lower-cased, other ASCII a space, the rest as it is.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: As many terms as an integer can count: nothing is left out of a vocabulary.
 MOST_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
@@ -33,60 +33,66 @@ def distinct_terms(read: DataFrame) -> int:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
+            by_lang: dict[str, set[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                start = zlib.crc32(lang.encode())
-                found.update(h for t in set(TERM.findall(text.lower())) if (h := zlib.crc32(t, start)) % SAMPLED == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64())], ["h"])
+                by_lang.setdefault(lang, set()).update(text.translate(PLAIN).split(b" "))
+            hashes = (zlib.crc32(t, zlib.crc32(lang.encode())) for lang, terms in by_lang.items() for t in terms)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h in hashes if h % SAMPLED == 0], pa.int64())], ["h"])
 
     return read.mapInArrow(work, "h long").distinct().count() * SAMPLED
 
 
 def write_terms(read: DataFrame, shares: int, path: str) -> None:
-    """Write (lang, source, share, terms) to ``path``, a folder a share of the vocabulary: the terms of every document in order, each as ``<lang> <term>``.
+    """Write (lang, source, share, terms) to ``path``, a folder a share of the vocabulary: the terms of every document in order, parted by spaces.
 
-    A term holds no space, so the last space parts the two; thus one vocabulary counts documents and terms for each language by itself.
+    Each stands as ``<lang in hex>|<term>``, so that one vocabulary counts documents and terms for each language by itself.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share_of: dict[bytes, int] = {}
         for batch in batches:
-            keys: list[tuple[str, str, int]] = []
-            lists: list[list[bytes]] = []
-            share_of: dict[bytes, int] = {}
+            langs, sources, numbers, texts = [], [], [], []
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                named = lang.encode() + b" "
-                found = TERM.findall(text.lower())
-                parts: list[list[bytes]] = [[] for _ in range(shares)]
-                for t in found:
-                    share = share_of.get(t)
-                    if share is None:
-                        share = share_of[t] = zlib.crc32(t) // SAMPLED % shares
-                    parts[share].append(named + t)
+                named = lang.encode().hex().encode() + b"|"
+                parts = [text.translate(PLAIN).split()]
+                if shares > 1:
+                    found, parts = parts[0], [[] for _ in range(shares)]
+                    for t in found:
+                        share = share_of.get(t)
+                        if share is None:
+                            share = share_of[t] = zlib.crc32(t) // SAMPLED % shares
+                        parts[share].append(t)
                 for share, terms in enumerate(parts):
                     if terms:
-                        keys.append((lang, source, share))
-                        lists.append(terms)
-            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], ["lang", "source", "share", "terms"])
+                        langs.append(lang)
+                        sources.append(source)
+                        numbers.append(share)
+                        texts.append(named + (b" " + named).join(terms))
+            if len(share_of) > 500_000:
+                share_of.clear()
+            columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "share", "terms"])
 
-    read.mapInArrow(work, "lang string, source string, share int, terms array<string>").write.partitionBy("share").parquet(path)
+    read.mapInArrow(work, "lang string, source string, share int, terms string").write.partitionBy("share").parquet(path)
 
 
-def group_sums(terms: DataFrame, least_docs: int) -> DataFrame:
+def group_sums(terms: DataFrame, least_docs: int, path: str) -> DataFrame:
     """(lang, source, term, n): occurrences in each group of the terms that stand in ``least_docs`` documents of their language or more.
 
     A CountVectorizer makes a sparse vector of every document, and the vectors of a group are added up by their non-zero places, in each task first.
+    The model writes itself to ``path``, where its vocabulary is read.
     """
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(terms)
+    split = terms.select("lang", "source", F.split("terms", " ").alias("terms"))
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(split)
     vector = F.unwrap_udt("vector")
-    places = model.transform(terms).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))).alias("at"))
+    places = model.transform(split).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))).alias("at"))
     sums = places.groupBy("lang", "source", F.col("at.i").alias("i")).agg(F.sum(F.col("at.x").cast("long")).alias("n"))
-    named = pa.array(model.vocabulary, pa.string())
-    vocabulary = terms.sparkSession.createDataFrame(pa.table({"i": pa.array(range(len(named)), pa.int32()), "named": named}))
-    return sums.join(vocabulary, "i").select("lang", "source", F.substring_index("named", " ", -1).alias("term"), "n")
+    model.write().save(path)
+    vocabulary = terms.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "named"))
+    return sums.join(vocabulary, "i").select("lang", "source", F.substring_index("named", "|", -1).alias("term"), "n")
 
 
-def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, most_terms: int = 1_000_000) -> DataFrame:
+def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, most_terms: int = 2_000_000) -> DataFrame:
     """(lang, source, term, n) of whole texts, for terms in ``least_docs`` documents of their language or more; groups without such terms have no rows.
 
     The vocabulary is parted by hash into shares of about ``most_terms`` distinct terms, which bounds what one CountVectorizer holds on the driver
@@ -95,16 +101,14 @@ def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     spark = docs.sparkSession
     read = _read(docs, lang_col, source_col, text_col)
     shares = max(1, -(-distinct_terms(read) // most_terms))
-    with scratch(spark):
-        path = f"{shared_folder(spark)}/mercata-terms-{uuid.uuid4().hex}"
-        write_terms(read, shares, path)
-        found = None
-        for share in range(shares):
-            kind = "lang string, source string, terms array<string>, share int"
-            sums = cut(group_sums(spark.read.schema(kind).parquet(path).where(F.col("share") == share), least_docs), keep=True)
-            found = sums if found is None else found.unionByName(sums)
+    path = f"{shared_folder(spark)}/mercata-terms-{uuid.uuid4().hex}"
+    try:
+        write_terms(read, shares, f"{path}/terms")
+        table = spark.read.schema("lang string, source string, terms string, share int").parquet(f"{path}/terms")
+        found = [cut(group_sums(table.where(F.col("share") == share), least_docs, f"{path}/model-{share}")) for share in range(shares)]
+    finally:
         remove(spark, path)
-    return found
+    return reduce(DataFrame.unionAll, found)
 
 
 def _p(n: str, group: str, v: str = "v") -> str:
@@ -154,7 +158,7 @@ def _pair_values(by_term: DataFrame, counts: DataFrame, groups: DataFrame) -> Da
     return every.join(summed, ["lang", "source", "item"], "left").select("lang", "source", "item", F.expr("CAST(rest + coalesce(parts, 0) AS BIGINT)").alias("value"))
 
 
-def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, ranks: int = 200, most_terms: int = 1_000_000) -> DataFrame:
+def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, ranks: int = 200, most_terms: int = 2_000_000) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from every other of its language (part ``pair``, all ranks), and the terms
     that it has more often than its language (part ``term``, up to ``ranks``).
 

@@ -138,8 +138,7 @@ def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             pairs = np.concatenate(held)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
+            pairs = pairs[np.argsort(mix(pairs[:, 0].copy(), pairs[:, 1].copy()))]  # equal pairs stand together; any that don't are summed up later
             first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))) if len(pairs) else np.empty(0, np.int64)
             n = np.diff(np.append(first, len(pairs)))
             return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(n)], ["ctx", "low", "n"])
