@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, timedelta
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -56,12 +58,76 @@ def compact(spark: SparkSession, path: str, staging: str, partition: str, values
     return known.join(after, "partition", "left").select("partition", "files_before", F.coalesce("files_after", F.lit(0)).alias("files_after"))
 
 
+def compact_each(
+    spark: SparkSession, path: str, staging: str, partition: str, values: list[str], files: int = 16, sort: list[str] | None = None, at_once: int = 4
+) -> DataFrame:
+    """``compact`` for each of ``values`` by itself, ``at_once`` side by side: (partition, files_before, files_after, error).
+
+    A partition whose rewrite fails keeps its files and reports the error; the others are compacted all the same. Values without files have no row.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def listed(value: str) -> list:
+        folder = fs_path(f"{path}/{partition}={value}")
+        return [f for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet")] if fs.exists(folder) else []
+
+    def swap(place, fresh, aside) -> None:
+        """The staged folder, whole, takes the place of the partition's; if it can't, the old one comes back."""
+        if not fs.rename(place, aside):
+            raise OSError(f"could not move {place}")
+        if not fs.rename(fresh, place):
+            fs.rename(aside, place)
+            raise OSError(f"could not move {fresh}")
+        fs.delete(aside, True)
+
+    def one(value: str) -> tuple:
+        before = listed(value)
+        if not before:
+            return value, None, None, None
+        try:
+            rows = spark.read.parquet(f"{path}/{partition}={value}")
+            staged = f"{staging}/{value}"
+            ordered = rows.repartitionByRange(files, *sort).sortWithinPartitions(*sort) if sort else rows.repartition(files)
+            ordered.write.mode("overwrite").parquet(staged)
+            swap(fs_path(f"{path}/{partition}={value}"), fs_path(staged), fs_path(f"{staging}/old-{value}"))
+            return value, len(before), len(listed(value)), None
+        except Exception as e:  # reported with its partition
+            return value, len(before), len(listed(value)), str(e).split("\n")[0][:200]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        told = [r for r in pool.map(inheritable_thread_target(spark)(one), values) if r[1] is not None]
+    return spark.createDataFrame(told, "partition string, files_before long, files_after long, error string")
+
+
 def recent_values(as_of: date, months: int) -> list[str]:
     """The last ``months`` 'YYYY-MM' values up to ``as_of``."""
     n = as_of.year * 12 + as_of.month - 1
     return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(n - months + 1, n + 1)]
 
 
+def recent_days(as_of: date, days: int) -> list[str]:
+    """The last ``days`` 'YYYY-MM-DD' values up to ``as_of``."""
+    return [str(as_of - timedelta(days=k)) for k in range(days - 1, -1, -1)]
+
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session of its own whose Parquet scans answer counts, minima and maxima from the files' footers."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own
+
+
+def first_with_rows(spark: SparkSession, paths: dict[str, str]) -> str | None:
+    """The name of the first Parquet table that exists and has rows."""
+    for name, path in paths.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) and spark.read.parquet(path).agg(F.count("*")).first()[0]:
+            return name
+    return None
+
+
 def row_counts(tables: dict[str, DataFrame], most: int | None = None) -> DataFrame:
     """Rows and columns of tables, largest first; empty tables are left out."""
     parts = [
@@ -75,8 +141,14 @@ def row_counts(tables: dict[str, DataFrame], most: int | None = None) -> DataFra
     return out.limit(most) if most else out
 
 
-def coverage(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.min(column).alias("first_day"), F.max(column).alias("last_day"))
+def coverage(spark: SparkSession, paths: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """(source, first_day, last_day) from the footers of the first table of ``paths`` that exists and has rows, over its date column; no row if none has."""
+    own = footer_session(spark)
+    name = first_with_rows(own, paths)
+    if name is None:
+        return own.createDataFrame([], "source string, first_day date, last_day date")
+    days = own.read.parquet(paths[name]).agg(F.min(columns[name]).alias("first_day"), F.max(columns[name]).alias("last_day"))
+    return days.select(F.lit(name).alias("source"), "first_day", "last_day")
 
 
 def file_name(path: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from mercata.operators import layout, marts
 from mercata.sources import readers
@@ -85,25 +86,40 @@ def write_optimized(s: Star) -> DataFrame:
     return counts(s.spark.read.parquet(path))
 
 
-def compacted(s: Star, values: list[str]) -> DataFrame:
-    """Partitions written in five pieces and compacted to one file each, with their rows."""
+def in_pieces(s: Star, partition: F.Column, path: str) -> DataFrame:
+    """Orders written once in five files a partition value, dealt by a hash of the order."""
+    rows = s.fact_order.select("order_id", "customer_id", F.col("payment_total").cast("double").alias("v"), partition.alias("part"))
+    piece = F.pmod(F.xxhash64("order_id"), F.lit(5))
+    cut = rows.withColumn("piece", piece).repartition("part", "piece").sortWithinPartitions("part", "piece").write
+    cut.partitionBy("part", "piece").parquet(f"{path}-pieces")
+    pieces = s.spark.read.parquet(f"{path}-pieces")
+    for k in range(5):  # five daily appends
+        pieces.where(F.col("piece") == k).drop("piece").repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    return s.spark.read.schema("order_id string, customer_id string, v double, part string").parquet(path)
+
+
+def compacted(s: Star, partition: F.Column, values: list[str], rewrite) -> DataFrame:
+    """Partitions of five files or fewer compacted to one file each: their rows stay, and what became of their files."""
     path = scratch(s)
-    rows = monthly_orders(s).withColumn("piece", F.row_number().over(W.partitionBy("year_month").orderBy("order_id")) % 5)
-    for piece in range(5):
-        rows.where(F.col("piece") == piece).drop("piece").repartition("year_month").write.mode("append").partitionBy("year_month").parquet(path)
-    files = layout.compact(s.spark, path, f"{path}-staging", "year_month", values, files=1, sort=["customer_id"])
-    kept = counts(s.spark.read.parquet(path)).withColumnRenamed("year_month", "partition")
-    return kept.join(files, "partition", "left").select("partition", "n", "files_before", "files_after")
+    table = in_pieces(s, partition, path)
+    files = rewrite(s.spark, path, f"{path}-staging", "part", values, files=1, sort=["customer_id"])
+    kept = table.groupBy(F.col("part").alias("partition")).agg(F.count("*").alias("n"))
+    return kept.join(files, "partition", "left")
 
 
 @register("compact_partition", f"SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} = '1997-03' THEN CAST(5 AS BIGINT) END AS files_before, CASE WHEN {MONTH_SQL} = '1997-03' THEN CAST(1 AS BIGINT) END AS files_after FROM fo GROUP BY 1")
 def compact_partition(s: Star) -> DataFrame:
-    return compacted(s, ["1997-03"])
+    return compacted(s, marts.month(), ["1997-03"], layout.compact).select("partition", "n", "files_before", "files_after")
 
 
-@register("compact_recent", f"SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} BETWEEN '1997-05' AND '1997-06' THEN CAST(5 AS BIGINT) END AS files_before, CASE WHEN {MONTH_SQL} BETWEEN '1997-05' AND '1997-06' THEN CAST(1 AS BIGINT) END AS files_after FROM fo GROUP BY 1")
+@register(
+    "compact_recent",
+    f"""SELECT {MONTH_SQL} AS partition, CAST(count(*) AS BIGINT) AS n, CASE WHEN {MONTH_SQL} BETWEEN '1997-05' AND '1997-06' THEN CAST(5 AS BIGINT) END AS files_before,
+        CASE WHEN {MONTH_SQL} BETWEEN '1997-05' AND '1997-06' THEN CAST(1 AS BIGINT) END AS files_after, CAST(NULL AS VARCHAR) AS error FROM fo GROUP BY 1""",
+)
 def compact_recent(s: Star) -> DataFrame:
-    return compacted(s, layout.recent_values(date(1997, 6, 15), 2))
+    """The last two months, side by side, each failing for itself."""
+    return compacted(s, marts.month(), layout.recent_values(date(1997, 6, 15), 2), layout.compact_each).select("partition", "n", "files_before", "files_after", "error")
 
 
 @register("small_files", f"SELECT {MONTH_SQL} AS partition, CAST(4 AS BIGINT) AS num_files, CAST(4 AS BIGINT) AS num_small, true AS needs_compaction FROM fo GROUP BY 1")
@@ -136,7 +152,9 @@ COLUMNS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "o
 
 @register("table_stats", " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS row_count, {COLUMNS[t]} AS column_count FROM {t}" for t in TABLES))
 def table_stats(s: Star) -> DataFrame:
-    return layout.row_counts({t: s.raw(t) for t in TABLES})
+    """Counts from the footers: no column is read."""
+    own = layout.footer_session(s.spark)
+    return layout.row_counts({t: own.read.parquet(f"{s.sf_dir}/{t}.parquet") for t in TABLES})
 
 
 @register("shape_log", "SELECT 'fact_order' AS table_name, CAST(count(*) AS BIGINT) AS row_count, 12 AS column_count FROM fo")
@@ -147,6 +165,22 @@ def shape_log(s: Star) -> DataFrame:
     return s.spark.createDataFrame([("fact_order", seen.get["rows"], len(facts.columns))], "table_name string, row_count long, column_count int")
 
 
-@register("date_coverage", "SELECT min(full_date) AS first_day, max(full_date) AS last_day FROM fo")
+@register("date_coverage", "SELECT 'fact_order' AS source, min(full_date) AS first_day, max(full_date) AS last_day FROM fo")
 def date_coverage(s: Star) -> DataFrame:
-    return layout.coverage(s.fact_order, "full_date")
+    """The days that the facts cover, from the footers of the stored layer: of orders, else of items, else of the forecast."""
+    base = scratch(s)
+    readers.write_layer(s.fact_order.select("order_id", "full_date"), base, "gold", "fact_order")
+    order = {"fact_order": ("gold", "full_date"), "fact_order_item": ("gold", "full_date"), "forecast": ("platinum", "forecast_date")}
+    return layout.coverage(s.spark, {t: readers.layer_path(base, layer, t) for t, (layer, _) in order.items()}, {t: c for t, (_, c) in order.items()})
+
+
+@register("src_jdbc", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey IN (1, 3, 5) AND c_acctbal > 0")
+def src_jdbc(s: Star) -> DataFrame:
+    """Customers of three nations from a relational table, read by four connections between its own bounds; the filter runs in the database.
+
+    The database is the embedded one of Spark's own jars, in memory, so this query needs a local master.
+    """
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    s.raw("customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double")).write.format("jdbc").options(url=url, dbtable="customer", **readers.DERBY).save()
+    table = readers.read_jdbc_by(s.spark, url, "customer", "c_custkey", 4, **readers.DERBY)
+    return table.where(F.col("c_nationkey").isin(1, 3, 5) & (F.col("c_acctbal") > 0))

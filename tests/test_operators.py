@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from mercata.functions.errors import smape_eps, smape_half, smape_row
-from mercata.functions.predicates import capped, pick_column
+from mercata.functions.predicates import capped, dual, pick_column
 from mercata.operators import forecast as fc, gold, layout, logs, marts, silver, sketches, text, trees
 from mercata.operators.cube import cube_query
 from mercata.operators.ordered import exact_quantiles, prefix_sums
 from mercata.sources import readers
+from mercata.sources.star import Star
 
 T = dt.datetime
 
@@ -329,6 +330,54 @@ def test_compaction_replaces_only_its_partitions(spark, tmp_path):
     assert spark.read.parquet(path).count() == 100 and layout.files_of(spark, path, "p").where("partition = '0'").count() == 6
 
 
+def test_partitions_are_compacted_side_by_side(spark, tmp_path):
+    """A broken partition reports its error and keeps its files; the others are compacted; days without files have no row."""
+    path = f"file://{tmp_path}/t"
+    days = layout.recent_days(dt.date(2018, 3, 1), 3)
+    assert days == ["2018-02-27", "2018-02-28", "2018-03-01"]
+    spark.range(300).select("id", F.element_at(F.array(*map(F.lit, days)), (F.col("id") % 3 + 1).cast("int")).alias("d")).repartition(6).write.partitionBy("d").parquet(path)
+    broken = sorted((tmp_path / "t" / f"d={days[1]}").glob("*.parquet"))
+    broken[0].write_bytes(b"no parquet")
+    (broken[0].parent / f".{broken[0].name}.crc").unlink(missing_ok=True)
+    got = {r["partition"]: r for r in layout.compact_each(spark, path, f"file://{tmp_path}/s", "d", [*days, "2017-01-01"], files=2, sort=["id"]).collect()}
+    assert set(got) == set(days) and got[days[1]].error and (got[days[1]].files_before, got[days[1]].files_after) == (6, 6)
+    assert sorted((tmp_path / "t" / f"d={days[1]}").glob("*.parquet")) == broken
+    for day in (days[0], days[2]):
+        assert (got[day].files_before, got[day].files_after, got[day].error) == (6, 2, None)
+        assert spark.read.parquet(f"{path}/d={day}").count() == 100
+
+
+def test_footers_answer_counts_and_coverage(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    rows = spark.range(1000).select("id", F.date_add(F.lit("2018-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    rows.write.parquet(f"{base}/items")
+    rows.limit(0).write.parquet(f"{base}/orders")
+    own = layout.footer_session(spark)
+    counts = layout.row_counts({"items": own.read.parquet(f"{base}/items"), "orders": own.read.parquet(f"{base}/orders")})
+    plan = counts._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert [tuple(r) for r in counts.collect()] == [("items", 1000, 2)]
+    paths = {t: f"{base}/{t}" for t in ("orders", "missing", "items")}
+    found = layout.coverage(spark, paths, dict.fromkeys(paths, "day"))
+    assert "PushedAggregation: [MIN(day), MAX(day)]" in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in found.collect()] == [("items", dt.date(2018, 1, 1), dt.date(2020, 9, 26))]
+    assert layout.coverage(spark, {"missing": f"{base}/missing"}, {"missing": "day"}).count() == 0
+
+
+def test_months_prune_folders(spark):
+    from mercata.plans import analytics
+
+    s = Star(spark, "/root/testdata/sf0.001")
+    facts = analytics.facts_by_month(s)
+    chosen = facts.where(dual("year_month", "full_date", dt.date(1997, 2, 10), dt.date(1997, 3, 20)))
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year_month" in plan.replace("#", "").replace("  ", " ") or "PartitionFilters: [isnotnull" in plan
+    assert chosen.select("_metadata.file_path").distinct().count() <= 2
+    months = spark.createDataFrame([("1997-02",), ("1997-11",)], "year_month string").where("year_month < '1998'")
+    joined = facts.join(months, "year_month")
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_recent_months_and_columns(spark):
     assert layout.recent_values(dt.date(2018, 2, 3), 3) == ["2017-12", "2018-01", "2018-02"]
     df = spark.createDataFrame([Row(b=1)])
@@ -337,13 +386,17 @@ def test_recent_months_and_columns(spark):
 
 def test_jdbc_reader_splits_a_table(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    driver = readers.DERBY
     try:
         spark.range(50).withColumnRenamed("id", "K").write.format("jdbc").options(url=url, dbtable="T", **driver).save()
     except Exception as e:  # no embedded database in this Spark
         pytest.skip(str(e)[:80])
     got = readers.read_jdbc(spark, url, "T", "K", (0, 50), 3, **driver)
     assert got.rdd.getNumPartitions() == 3 and got.count() == 50
+    own = readers.read_jdbc_by(spark, url, "T", "K", 4, **driver)
+    few = own.where("K > 40")
+    assert own.rdd.getNumPartitions() == 4 and few.count() == 9
+    assert "PushedFilters: [*IsNotNull(K), *GreaterThan(K,40)]" in few._jdf.queryExecution().executedPlan().toString()
 
 
 def test_log_stream_equals_batch(spark, tmp_path):
