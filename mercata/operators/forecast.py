@@ -336,5 +336,13 @@ def monitor(daily: DataFrame, forecast: DataFrame) -> DataFrame:
     return both.withColumns({"abs_error": F.abs(y - p), "pct_error": 100 * F.abs(y - p) / F.nullif(y, F.lit(0.0)), "smape": smape_row(y, p)})
 
 
+def monitor_summary(monitored: DataFrame) -> DataFrame:
+    """Samples and mean errors of ``monitor``'s rows; undefined per cent and symmetric errors are left out."""
+    e = F.col("abs_error")
+    return monitored.agg(
+        F.count("*").alias("n_samples"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("pct_error").alias("mape"), F.avg("smape").alias("smape")
+    )
+
+
 def aggregate_total(feats: DataFrame) -> DataFrame:
     return feats.groupBy("date").agg(F.sum("y").alias("y"))

@@ -11,16 +11,22 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def route_metrics(log: DataFrame) -> DataFrame:
-    return log.groupBy("route").agg(
-        F.count("*").alias("requests"), F.round(F.avg("duration"), 4).alias("avg_duration"), F.count_if("is_error").alias("errors")
-    )
+    """By route and status: requests, mean duration, rows returned and errors; null rows count for nothing."""
+    return log.groupBy("route", "status").agg(
+        F.count("*").alias("requests"), F.round(F.avg("duration"), 4).alias("avg_duration"), F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("total_rows"),
+        F.count_if("is_error").alias("errors"),
+    )
 
 
-def summary(log: DataFrame) -> DataFrame:
+def summary(log: DataFrame, most: int = 10) -> DataFrame:
+    """Requests, errors, mean duration, and the ``most`` most frequent routes as (route, requests), most frequent first, then by name."""
+    routes = log.where("route IS NOT NULL").groupBy("route").agg(F.count("*").alias("requests"))
+    best = routes.orderBy(F.desc("requests"), "route").limit(most)
+    listed = best.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("requests")).alias("less"), "route"))), lambda r: F.struct(r["route"].alias("route"), (-r["less"]).alias("requests"))))
     return log.agg(
         F.count("*").alias("requests"), F.count_if("is_error").alias("errors"),
         F.round(100.0 * F.count_if("is_error") / F.nullif(F.count("*"), F.lit(0)), 2).alias("error_pct"), F.round(F.avg("duration"), 4).alias("avg_duration"),
-    )
+    ).withColumn("top_routes", listed.scalar())
 
 
 def admit(hits: deque, at: int, limit: int, micros: int) -> bool:

@@ -292,10 +292,11 @@ def d_payment_mix(s: Star) -> DataFrame:
        UNION ALL SELECT 'review_score_domain', CAST(count(*) AS BIGINT) FROM b_review WHERE review_score NOT BETWEEN 1 AND 5
        UNION ALL SELECT 'item_without_order', CAST(count(*) AS BIGINT) FROM foi WHERE customer_id IS NULL
        UNION ALL SELECT 'item_without_product', CAST(count(*) AS BIGINT) FROM foi WHERE product_id NOT IN (SELECT product_id FROM b_product)
-       UNION ALL SELECT 'null_price', CAST(count(*) AS BIGINT) FROM foi WHERE price IS NULL""",
+       UNION ALL SELECT 'null_price', CAST(count(*) AS BIGINT) FROM foi WHERE price IS NULL
+       UNION ALL SELECT 'days_stale', CAST(greatest(0, DATE '2001-12-31' - max(full_date) - 30) AS BIGINT) FROM fo""",
 )
 def d_dq_checks(s: Star) -> DataFrame:
-    """Rows that fail each check: loss in cleaning, value domains, references, nulls."""
+    """Rows that fail each check: loss in cleaning, value domains, references, nulls; and days that the newest order is older than thirty before the end of 2001."""
     items = s.fact_order_item
     lost = s.b_order.select("order_id").join(s.s_order.select("order_id"), "order_id", "left_anti")
     checks = {
@@ -306,6 +307,8 @@ def d_dq_checks(s: Star) -> DataFrame:
         "null_price": items.where("price IS NULL"),
     }
     counted = [df.agg(F.count("*").alias("failures")).select(F.lit(name).alias("check_name"), "failures") for name, df in checks.items()]
+    late = F.datediff(F.lit("2001-12-31").cast("date"), F.max("full_date")) - 30
+    counted.append(s.fact_order.agg(F.greatest(F.lit(0), late).cast("long").alias("failures")).select(F.lit("days_stale").alias("check_name"), "failures"))
     return reduce(DataFrame.unionByName, counted)
 
 

@@ -226,6 +226,14 @@ def f_monitor(s: Star) -> DataFrame:
     return shown(monitored(s).drop("horizon"), "abs_error", "pct_error", "smape")
 
 
+@register(
+    "f_monitor_summary",
+    MONITOR + "SELECT CAST(count(*) AS BIGINT) AS n_samples, round(avg(abs_error), 2) AS mae, round(sqrt(avg(abs_error * abs_error)), 2) AS rmse, round(avg(pct_error), 2) AS mape, round(avg(smape), 2) AS smape FROM mon",
+)
+def f_monitor_summary(s: Star) -> DataFrame:
+    return shown(fc.monitor_summary(monitored(s)), "mae", "rmse", "mape", "smape")
+
+
 @register(
     "q_forecast_metrics",
     MONITOR + """SELECT 'naive' AS model_name, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(smape), 2) AS avg_smape, round(avg(abs_error), 2) AS avg_mae,
@@ -449,6 +457,11 @@ def fx_ci_width(s: Star) -> DataFrame:
     return top(rows, 20, F.desc("avg_ci_width"), *SERIES)
 
 
+@register("fx_ci_width_by_day", DAILY + "SELECT forecast_date, round(avg(yhat_hi - yhat_lo), 2) AS avg_ci_width, CAST(count(*) AS BIGINT) AS n FROM forecast GROUP BY 1")
+def fx_ci_width_by_day(s: Star) -> DataFrame:
+    return baseline(s).groupBy("forecast_date").agg(F.round(F.avg(F.col("yhat_hi") - F.col("yhat_lo")), 2).alias("avg_ci_width"), F.count("*").alias("n"))
+
+
 @register(
     "fx_horizon_decay",
     DAILY + """SELECT product_id, region_id, round(max(CASE WHEN horizon = 1 THEN yhat END), 6) AS h1, round(max(CASE WHEN horizon = 7 THEN yhat END), 6) AS h7,
@@ -494,20 +507,22 @@ def mon_latest_run(s: Star) -> DataFrame:
 @register(
     "mon_kpis",
     BACKTEST + """, k AS (SELECT avg(smape) AS overall, max(CASE WHEN horizon = 7 THEN smape END) AS h7, max(CASE WHEN horizon = 14 THEN smape END) AS h14, max(CASE WHEN horizon = 28 THEN smape END) AS h28 FROM m WHERE model_type = 'model'),
+one AS (SELECT 100 * avg(2 * abs(y - yhat) / (abs(y) + abs(yhat) + 1e-8)) AS h1 FROM bt WHERE horizon = 1),
 ci AS (SELECT avg(v) AS coverage FROM (SELECT avg(CASE WHEN y BETWEEN yhat_lo AND yhat_hi THEN 1.0 ELSE 0.0 END) AS v FROM bt WHERE horizon IN (7, 14, 28) GROUP BY horizon))
-SELECT round(overall, 4) AS smape, round(h7, 4) AS smape_h7, round(h14, 4) AS smape_h14, round(h28, 4) AS smape_h28, round(coverage, 4) AS ci_coverage,
-       CASE WHEN overall > 35 THEN 'bad' WHEN overall > 30 THEN 'medium' ELSE 'good' END AS quality, CASE WHEN coverage < 0.75 THEN 'narrow' WHEN coverage > 0.98 THEN 'wide' ELSE 'fair' END AS ci_flag FROM k, ci""",
+SELECT round(overall, 4) AS smape, round(h1, 4) AS smape_h1, round(h7, 4) AS smape_h7, round(h14, 4) AS smape_h14, round(h28, 4) AS smape_h28, round(coverage, 4) AS ci_coverage,
+       CASE WHEN overall > 35 THEN 'bad' WHEN overall > 30 THEN 'medium' ELSE 'good' END AS quality, CASE WHEN coverage < 0.75 THEN 'narrow' WHEN coverage > 0.98 THEN 'wide' ELSE 'fair' END AS ci_flag FROM k, one, ci""",
 )
 def mon_kpis(s: Star) -> DataFrame:
-    bt = results(s)
+    """The overall error is the mean of those at 7, 14 and 28 days; the error at one day stands beside it."""
+    bt = stored(results(s))
     at = lambda h: F.max(F.when(F.col("horizon") == h, F.col("smape")))
-    k = fc.metrics(bt).where("model_type = 'model'").agg(
-        F.avg("smape").alias("smape"), at(7).alias("smape_h7"), at(14).alias("smape_h14"), at(28).alias("smape_h28")
+    k = fc.metrics(bt, (1, 7, 14, 28)).where("model_type = 'model'").agg(
+        F.avg(F.when(F.col("horizon") > 1, F.col("smape"))).alias("smape"), *[at(h).alias(f"smape_h{h}") for h in (1, 7, 14, 28)]
     )
     k = k.withColumn("ci_coverage", fc.ci_coverage(bt).agg(F.avg("ci_coverage")).scalar())
     quality = F.when(F.col("smape") > 35, "bad").when(F.col("smape") > 30, "medium").otherwise("good")
     ci = F.when(F.col("ci_coverage") < 0.75, "narrow").when(F.col("ci_coverage") > 0.98, "wide").otherwise("fair")
-    return rounded(k.withColumns({"quality": quality, "ci_flag": ci}), "smape", "smape_h7", "smape_h14", "smape_h28", "ci_coverage")
+    return rounded(k.withColumns({"quality": quality, "ci_flag": ci}), "smape", "smape_h1", "smape_h7", "smape_h14", "smape_h28", "ci_coverage")
 
 
 @register(

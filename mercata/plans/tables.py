@@ -86,7 +86,7 @@ def write_optimized(s: Star) -> DataFrame:
     return counts(s.spark.read.parquet(path))
 
 
-def in_pieces(s: Star, partition: F.Column, path: str) -> DataFrame:
+def write_in_pieces(s: Star, partition: F.Column, path: str) -> None:
     """Orders written once in five files a partition value, dealt by a hash of the order."""
     rows = s.fact_order.select("order_id", "customer_id", F.col("payment_total").cast("double").alias("v"), partition.alias("part"))
     piece = F.pmod(F.xxhash64("order_id"), F.lit(5))
@@ -95,14 +95,14 @@ def in_pieces(s: Star, partition: F.Column, path: str) -> DataFrame:
     pieces = s.spark.read.parquet(f"{path}-pieces")
     for k in range(5):  # five daily appends
         pieces.where(F.col("piece") == k).drop("piece").repartition("part").write.mode("append").partitionBy("part").parquet(path)
-    return s.spark.read.schema("order_id string, customer_id string, v double, part string").parquet(path)
 
 
 def compacted(s: Star, partition: F.Column, values: list[str], rewrite) -> DataFrame:
     """Partitions of five files or fewer compacted to one file each: their rows stay, and what became of their files."""
     path = scratch(s)
-    table = in_pieces(s, partition, path)
+    write_in_pieces(s, partition, path)
     files = rewrite(s.spark, path, f"{path}-staging", "part", values, files=1, sort=["customer_id"])
+    table = s.spark.read.schema("order_id string, customer_id string, v double, part string").parquet(path)
     kept = table.groupBy(F.col("part").alias("partition")).agg(F.count("*").alias("n"))
     return kept.join(files, "partition", "left")
 

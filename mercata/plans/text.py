@@ -96,23 +96,31 @@ def mask_literals(s: Star) -> DataFrame:
 
 
 def log(s: Star) -> DataFrame:
+    failed = F.col("event_type") == "error"
     return s.raw("events").select(
-        F.col("user_id").alias("key"), F.col("event_type").alias("route"), "ts", F.col("value").alias("duration"), (F.col("event_type") == "error").alias("is_error"), "event_id"
-    )
+        F.col("user_id").alias("key"), F.col("event_type").alias("route"), "ts", F.col("value").alias("duration"), failed.alias("is_error"), "event_id",
+        F.when(failed, 500).otherwise(200).alias("status"), F.get_json_object("props", "$.k").cast("long").alias("rows"),
+    )
 
 
 @register(
     "log_stats",
-    """SELECT CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors,
-       round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 2) AS error_pct, round(avg(value), 4) AS avg_duration FROM events WHERE ts >= TIMESTAMP '2024-01-08'""",
+    """
+WITH e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-08'),
+t AS (SELECT event_type, count(*) AS n FROM e WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, event_type LIMIT 10)
+SELECT CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors,
+       round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 2) AS error_pct, round(avg(value), 4) AS avg_duration,
+       (SELECT string_agg(concat(event_type, '=', n), ',' ORDER BY n DESC, event_type) FROM t) AS top_routes FROM e""",
 )
 def log_stats(s: Star) -> DataFrame:
-    return logs.summary(log(s).where("ts >= TIMESTAMP_NTZ'2024-01-08'"))
+    told = logs.summary(log(s).where("ts >= TIMESTAMP_NTZ'2024-01-08'"))
+    return told.withColumn("top_routes", F.array_join(F.transform("top_routes", lambda r: F.concat(r["route"], F.lit("="), r["requests"].cast("string"))), ","))
 
 
 @register(
     "log_route_metrics",
-    "SELECT event_type AS route, CAST(count(*) AS BIGINT) AS requests, round(avg(value), 4) AS avg_duration, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY 1",
+    """SELECT event_type AS route, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, CAST(count(*) AS BIGINT) AS requests, round(avg(value), 4) AS avg_duration,
+       CAST(sum(CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS total_rows, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY 1, 2""",
 )
 def log_route_metrics(s: Star) -> DataFrame:
     return logs.route_metrics(log(s))
