@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,8 +19,6 @@ PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 3
 #: As many terms as an integer can count: nothing is left out of a vocabulary.
 MOST_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
-#: Of the hashed terms, one in so many is counted to size the shares of the vocabulary.
-SAMPLED = 64
 
 
 def _read(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -28,39 +27,60 @@ def _read(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Dat
     return docs.select(*slim).withColumn("text", F.col("text").cast("binary"))
 
 
-def distinct_terms(read: DataFrame) -> int:
-    """Estimated number of distinct (lang, term): those whose hash is divisible by ``SAMPLED`` are counted exactly, over all documents."""
+def _named(lang: str) -> bytes:
+    """What a language's terms begin with: its name in hex and a bar, which no term holds. So one vocabulary counts documents and terms for each language by itself."""
+    return lang.encode().hex().encode() + b"|"
+
+
+def condensed(read: DataFrame, least_docs: int, most: int = 500_000) -> DataFrame:
+    """(terms): documents that stand for all others where only ``least_docs`` occurrences in different documents matter.
+
+    A task counts, for each term of a language, the documents that hold it. One condensed document has all of its terms, one those of two
+    documents or more, and so on up to ``least_docs``; so a term stands in as many of them as it had documents there, or in ``least_docs``. Each
+    lists distinct terms, parted by spaces, and may come in several rows.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                named = _named(lang)
+                for level in range(1, least_docs + 1):
+                    terms = [t for t, n in counts.items() if n >= level]
+                    for at in range(0, len(terms), 50_000):
+                        text = named + (b" " + named).join(terms[at : at + 50_000])
+                        yield pa.RecordBatch.from_arrays([pa.array([text], pa.binary()).cast(pa.string())], ["terms"])
+            held.clear()
+
         for batch in batches:
-            by_lang: dict[str, set[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                by_lang.setdefault(lang, set()).update(text.translate(PLAIN).split(b" "))
-            hashes = (zlib.crc32(t, zlib.crc32(lang.encode())) for lang, terms in by_lang.items() for t in terms)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h in hashes if h % SAMPLED == 0], pa.int64())], ["h"])
+                if lang not in held:
+                    held[lang] = Counter()
+                held[lang].update(set(text.translate(PLAIN).split()))
+            if sum(map(len, held.values())) > most:
+                yield from out()
+        yield from out()
 
-    return read.mapInArrow(work, "h long").distinct().count() * SAMPLED
+    return read.mapInArrow(work, "terms string")
 
 
 def write_terms(read: DataFrame, shares: int, path: str) -> None:
-    """Write (lang, source, share, terms) to ``path``, a folder a share of the vocabulary: the terms of every document in order, parted by spaces.
-
-    Each stands as ``<lang in hex>|<term>``, so that one vocabulary counts documents and terms for each language by itself.
-    """
+    """Write (lang, source, share, terms) to ``path``, a folder a share of the vocabulary: the terms of every document in order, named and parted by spaces."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share_of: dict[bytes, int] = {}
         for batch in batches:
             langs, sources, numbers, texts = [], [], [], []
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                named = lang.encode().hex().encode() + b"|"
+                named = _named(lang)
                 parts = [text.translate(PLAIN).split()]
                 if shares > 1:
                     found, parts = parts[0], [[] for _ in range(shares)]
                     for t in found:
                         share = share_of.get(t)
                         if share is None:
-                            share = share_of[t] = zlib.crc32(t) // SAMPLED % shares
+                            share = share_of[t] = zlib.crc32(t) % shares
                         parts[share].append(t)
                 for share, terms in enumerate(parts):
                     if terms:
@@ -76,39 +96,42 @@ def write_terms(read: DataFrame, shares: int, path: str) -> None:
     read.mapInArrow(work, "lang string, source string, share int, terms string").write.partitionBy("share").parquet(path)
 
 
-def group_sums(terms: DataFrame, least_docs: int, path: str) -> DataFrame:
-    """(lang, source, term, n): occurrences in each group of the terms that stand in ``least_docs`` documents of their language or more.
+def count_terms(read: DataFrame, groups: DataFrame, least_docs: int = 3, most_terms: int = 600_000) -> tuple[DataFrame, DataFrame]:
+    """(tid, gid, n): occurrences in each group of the terms that stand in ``least_docs`` documents of their language or more; and (tid, code, term) of those terms.
 
-    A CountVectorizer makes a sparse vector of every document, and the vectors of a group are added up by their non-zero places, in each task first.
-    The model writes itself to ``path``, where its vocabulary is read.
+    ``groups`` has (gid, lang, source); code is the language's name in hex. A CountVectorizer learns the vocabulary from condensed documents, so ``least_docs`` is its minDF and
+    no vocabSize cuts it; its model makes an exact sparse vector of every document, and the vectors of a group are added up by their non-zero places,
+    in each task first. The vocabulary is parted by hash into shares of about ``most_terms`` terms, which bounds what one model holds on the driver
+    and broadcasts; each share's terms are written once and read by its own model.
     """
-    split = terms.select("lang", "source", F.split("terms", " ").alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(split)
-    vector = F.unwrap_udt("vector")
-    places = model.transform(split).select("lang", "source", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))).alias("at"))
-    sums = places.groupBy("lang", "source", F.col("at.i").alias("i")).agg(F.sum(F.col("at.x").cast("long")).alias("n"))
-    model.write().save(path)
-    vocabulary = terms.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "named"))
-    return sums.join(vocabulary, "i").select("lang", "source", F.substring_index("named", "|", -1).alias("term"), "n")
-
-
-def count_terms(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, most_terms: int = 2_000_000) -> DataFrame:
-    """(lang, source, term, n) of whole texts, for terms in ``least_docs`` documents of their language or more; groups without such terms have no rows.
-
-    The vocabulary is parted by hash into shares of about ``most_terms`` distinct terms, which bounds what one CountVectorizer holds on the driver
-    and broadcasts; each share's terms are written once and read by its own fit, so more shares are not more reading.
-    """
-    spark = docs.sparkSession
-    read = _read(docs, lang_col, source_col, text_col)
-    shares = max(1, -(-distinct_terms(read) // most_terms))
+    spark = read.sparkSession
     path = f"{shared_folder(spark)}/mercata-terms-{uuid.uuid4().hex}"
+    sums, names = [], []
     try:
+        condensed(read, least_docs).write.parquet(f"{path}/condensed")
+        split = spark.read.parquet(f"{path}/condensed").select(F.split("terms", " ").alias("terms"))
+        kept = split.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).count()
+        shares = max(1, -(-kept // most_terms))
         write_terms(read, shares, f"{path}/terms")
         table = spark.read.schema("lang string, source string, terms string, share int").parquet(f"{path}/terms")
-        found = [cut(group_sums(table.where(F.col("share") == share), least_docs, f"{path}/model-{share}")) for share in range(shares)]
+        for share in range(shares):
+            own = split
+            if shares > 1:
+                of = lambda t: F.crc32(F.substring_index(t, "|", -1).cast("binary")) % shares == share
+                own = split.select(F.filter("terms", of).alias("terms"))
+            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(own)
+            docs = table.where(F.col("share") == share).join(groups, ["lang", "source"]).select("gid", F.split("terms", " ").alias("terms"))
+            vector = F.unwrap_udt("vector")
+            places = model.transform(docs).select("gid", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))).alias("at"))
+            tid = lambda c: F.col(c).cast("long") + (share << 32)
+            sums.append(cut(places.groupBy("gid", F.col("at.i").alias("i")).agg(F.sum(F.col("at.x").cast("long")).alias("n")).select(tid("i").alias("tid"), "gid", "n")))
+            model.write().save(f"{path}/model-{share}")
+            words = spark.read.parquet(f"{path}/model-{share}/data").select(F.posexplode("vocabulary").alias("i", "w"))
+            parts = [F.substring_index("w", "|", 1).alias("code"), F.substring_index("w", "|", -1).alias("term")]
+            names.append(cut(words.select(tid("i").alias("tid"), *parts)))
     finally:
         remove(spark, path)
-    return reduce(DataFrame.unionAll, found)
+    return reduce(DataFrame.unionAll, sums), reduce(DataFrame.unionAll, names)
 
 
 def _p(n: str, group: str, v: str = "v") -> str:
@@ -122,43 +145,40 @@ def _f(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) DIV {q})"
 
 
-def _sum(weight: str, value: str) -> F.Column:
-    return F.expr(f"sum(CAST({weight} AS DECIMAL(20, 0)) * {value})")
+def _exact_sum(value: str) -> F.Column:
+    """Sum of longs as a decimal, exact beyond a long: the high and the low 31 bits are added up apart."""
+    return F.expr(f"CAST(sum(shiftright({value}, 31)) AS DECIMAL(20, 0)) * 2147483648 + CAST(sum({value} & 2147483647L) AS DECIMAL(20, 0))")
 
 
-def _pair_values(by_term: DataFrame, counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, item, value) for every pair of different sources of a language: f summed over all kept terms of the language.
+def _pair_values(by_term: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gid, other, value) for every pair of different sources of a language: f summed over all kept terms of the language.
 
     A term that neither source has adds the same amount, so the sum starts with v times that, corrected by the terms of one source as if the other had
-    none of them (by their counts: equal counts add the same), and by those of both (by their pairs of counts).
+    none of them (by their shares: equal ones add the same), and by the terms that both have.
     """
-    zero = groups.select("lang", "source", "n_all", "v", F.expr(f"IF(v > 0, {_p('0', 'n_all')}, 0)").alias("p0"))
-    mine = zero.select("lang", F.col("source").alias("s1"), F.col("n_all").alias("n_all1"), "v", F.col("p0").alias("p01"))
-    theirs = zero.select("lang", F.col("source").alias("s2"), F.col("n_all").alias("n_all2"), F.col("p0").alias("p02"))
-
-    alone = counts.groupBy("lang", F.col("source").alias("s1"), F.col("n").alias("n1")).agg(F.count("*").alias("m")).join(mine, ["lang", "s1"])
-    alone = alone.select("lang", "s1", "p01", "m", F.expr(_p("n1", "n_all1")).alias("p1")).join(theirs, "lang").where("s1 <> s2")
-    alone = alone.groupBy("lang", "s1", "s2").agg(
-        _sum("m", f"({_f('p1', 'p02')} - {_f('p01', 'p02')})").alias("out"),
-        _sum("m", f"({_f('p02', 'p1')} - {_f('p02', 'p01')})").alias("back"),
+    mine = groups.select("lang", "v", F.col("gid").alias("g1"), F.col("p0").alias("p01"))
+    theirs = groups.select("lang", F.col("gid").alias("g2"), F.col("p0").alias("p02"))
+    each = mine.join(theirs, "lang").where("g1 <> g2")
+
+    alone = by_term.select(F.explode("who").alias("a")).groupBy(F.col("a.gid").alias("g1"), F.col("a.p").alias("p1")).agg(F.count("*").alias("m"))
+    alone = alone.join(each, "g1")
+    alone = alone.groupBy("g1", "g2").agg(
+        _exact_sum(f"m * ({_f('p1', 'p02')} - {_f('p01', 'p02')})").alias("there"),
+        _exact_sum(f"m * ({_f('p02', 'p1')} - {_f('p02', 'p01')})").alias("back"),
     )
-    met = by_term.select("lang", "who", F.posexplode("who").alias("at", "a")).select("lang", "a", F.explode(F.slice("who", F.col("at") + 2, F.size("who"))).alias("b"))
-    met = met.groupBy("lang", F.col("a.source").alias("s1"), F.col("b.source").alias("s2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.count("*").alias("m"))
-    both = met.join(mine, ["lang", "s1"]).join(theirs, ["lang", "s2"])
-    both = both.select("lang", "s1", "s2", "p01", "p02", "m", F.expr(_p("n1", "n_all1")).alias("p1"), F.expr(_p("n2", "n_all2")).alias("p2"))
+    met = by_term.select("who", F.posexplode("who").alias("at", "a")).select("a", F.explode(F.slice("who", F.col("at") + 2, F.size("who"))).alias("b"))
     change = lambda p, p0, q, q0: f"({_f(p, q)} - {_f(p, q0)} - {_f(p0, q)} + {_f(p0, q0)})"
-    both = both.groupBy("lang", "s1", "s2").agg(_sum("m", change("p1", "p01", "p2", "p02")).alias("out"), _sum("m", change("p2", "p02", "p1", "p01")).alias("back"))
-
+    both = met.groupBy(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2")).agg(
+        _exact_sum(change("a.p", "a.p0", "b.p", "b.p0")).alias("there"), _exact_sum(change("b.p", "b.p0", "a.p", "a.p0")).alias("back")
+    )
     parts = alone.unionByName(both)
-    there = parts.select("lang", F.col("s1").alias("source"), F.col("s2").alias("item"), F.col("out").alias("part_of"))
-    back = parts.select("lang", F.col("s2").alias("source"), F.col("s1").alias("item"), F.col("back").alias("part_of"))
-    summed = there.unionByName(back).groupBy("lang", "source", "item").agg(F.sum("part_of").alias("parts"))
-    every = mine.join(theirs, "lang").where("s1 <> s2")
-    every = every.select("lang", F.col("s1").alias("source"), F.col("s2").alias("item"), F.expr(f"IF(v > 0, v * {_f('p01', 'p02')}, 0)").alias("rest"))
-    return every.join(summed, ["lang", "source", "item"], "left").select("lang", "source", "item", F.expr("CAST(rest + coalesce(parts, 0) AS BIGINT)").alias("value"))
+    parts = parts.select("g1", "g2", F.col("there").alias("x")).unionByName(parts.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), F.col("back").alias("x")))
+    summed = parts.groupBy("g1", "g2").agg(F.sum("x").alias("x"))
+    rest = F.expr(f"IF(v > 0, CAST(v AS DECIMAL(20, 0)) * {_f('p01', 'p02')}, 0)")
+    return each.join(summed, ["g1", "g2"], "left").select(F.col("g1").alias("gid"), F.col("g2").alias("other"), (rest + F.coalesce("x", F.lit(0))).cast("long").alias("value"))
 
 
-def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, ranks: int = 200, most_terms: int = 2_000_000) -> DataFrame:
+def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, ranks: int = 200, most_terms: int = 600_000) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from every other of its language (part ``pair``, all ranks), and the terms
     that it has more often than its language (part ``term``, up to ``ranks``).
 
@@ -166,19 +186,27 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     documents. All arithmetic is in whole numbers. A language without kept terms has pairs of value 0; one source alone has no pairs. Repeated
     rows count as often as they come, other columns are not read, an empty table gives an empty result.
     """
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     with scratch(docs.sparkSession):
-        counts = count_terms(docs, lang_col, source_col, text_col, least_docs, most_terms)
-        who = F.sort_array(F.collect_list(F.struct("source", "n"))).alias("who")  # one entry a source at most
-        by_term = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), who))
-        langs = by_term.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
-        sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
-        groups = _read(docs, lang_col, source_col, text_col).select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
-        groups = cut(groups.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_all", "v", "n_lang")]))
-
-        pairs = _pair_values(by_term, counts, groups)
-        own = by_term.select("lang", "term", "total", F.explode("who").alias("w")).select("lang", "term", "total", "w.source", "w.n").join(groups, ["lang", "source"])
-        own = own.select("lang", "source", F.col("term").alias("item"), F.expr(_p("n", "n_all")).alias("p"), F.expr(_p("total", "n_lang")).alias("q")).where("p > q")
-        terms = own.select("lang", "source", "item", F.expr(_f("p", "q")).alias("value"))
-        order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-        ranked = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-        return cut(ranked(pairs, "pair").unionByName(ranked(terms, "term").where(F.col("rank") <= ranks)), keep=True)
+        read = _read(docs, lang_col, source_col, text_col)
+        found = cut(read.select("lang", "source").distinct().select(F.monotonically_increasing_id().alias("gid"), "lang", "source"))
+        counts, names = count_terms(read, found, least_docs, most_terms)
+        langs = names.groupBy("code").agg(F.count("*").alias("v"))
+        sums = found.join(counts.groupBy("gid").agg(F.sum("n").alias("n_all")), "gid", "left").join(langs, F.lower(F.hex("lang")) == F.col("code"), "left")
+        sums = sums.select("gid", "lang", "source", zero("n_all"), zero("v")).withColumn("n_lang", F.sum("n_all").over(Window.partitionBy("lang")))
+        groups = cut(sums.withColumn("p0", F.expr(f"IF(v > 0, {_p('0', 'n_all')}, 0)")))
+
+        shared = counts.join(groups.select("gid", "n_all", "v", "n_lang", "p0"), "gid").select("tid", "gid", "n", "n_lang", "v", "p0", F.expr(_p("n", "n_all")).alias("p"))
+        who = F.sort_array(F.collect_list(F.struct("gid", "p", "p0"))).alias("who")  # one entry a source at most
+        by_term = shared.groupBy("tid").agg(F.sum("n").alias("total"), F.first("n_lang").alias("n_lang"), F.first("v").alias("v"), who)
+        by_term = cut(by_term.select("tid", F.expr(_p("total", "n_lang")).alias("q"), "who"))
+
+        titles = groups.select("gid", "lang", "source")
+        others = titles.select(F.col("gid").alias("other"), F.col("source").alias("item"))
+        pairs = _pair_values(by_term, groups).join(others, "other").select("gid", "item", "value")
+        own = by_term.select("tid", "q", F.explode("who").alias("w")).select("tid", "q", "w.gid", "w.p").where("p > q").join(names, "tid")
+        terms = own.select("gid", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
+        order = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
+        ranked = lambda rows, part: rows.select("gid", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+        told = ranked(pairs, "pair").unionByName(ranked(terms, "term").where(F.col("rank") <= ranks))
+        return cut(told.join(titles, "gid").select("lang", "source", "part", "item", "value", "rank"), keep=True)
