@@ -165,12 +165,43 @@ def top_hits(vectors: DataFrame, queries: DataFrame, k: int = 4, fetch: int | No
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).where(F.col("rank") <= k).drop("n", "s")
 
 
-def nearest_label(vectors: DataFrame, centroids: list[tuple], threshold: float = 0.3) -> DataFrame:
-    """Each vector's nearest labelled centroid; null under the threshold. Ties go to the smallest label."""
-    table = F.array(*[F.struct(F.lit(n).alias("label"), F.array(*[F.lit(float(x)) for x in v]).alias("c")) for n, v in centroids])
-    scores = F.transform(table, lambda r: F.struct(F.round(cosine(F.col("v"), r["c"]), 6).alias("score"), (-r["label"]).alias("_order"), r["label"].alias("label")))
-    best = F.array_max(scores)
-    return vectors.select("vec_id", best.alias("b")).select("vec_id", "b.score", F.when(F.col("b.score") >= threshold, F.col("b.label")).alias("label"))
+def label_scores(vectors: DataFrame, centroids: DataFrame, nearest: bool = False, block: int = 4096) -> DataFrame:
+    """(vec_id, label, score): the cosine of each vector with every labelled centroid, or with the nearest one of a block alone.
+
+    ``centroids`` (label, c) are dealt by hash into blocks of about ``block``; the driver and the tasks hold one block at a time, and ``vectors`` (vec_id, v) are
+    read once a block where they lie. Vectors and centroids without a direction (see ``units``) score zero; ties go to the smallest label.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *centroids.schema)}
+    blocks = max(1, -(-centroids.count() // block))
+
+    def told(at: int) -> DataFrame:
+        held = centroids.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == at).select("label", "c").orderBy("label").toPandas()
+        width = max((len(c) for c in held["c"] if c is not None), default=0)
+        shared = vectors.sparkSession.sparkContext.broadcast((held["label"].to_numpy(), units(held["c"].tolist(), width), width))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            labels, of, wide = shared.value
+            for batch in batches:
+                ids, scores = batch["vec_id"].to_numpy(), np.round(units(batch["v"].tolist(), wide) @ of.T, 6) + 0.0
+                if not len(labels):
+                    continue
+                if nearest:
+                    best = scores.argmax(1)  # the first of equal ones, and labels are in order
+                    yield pd.DataFrame({"vec_id": ids, "label": labels[best], "score": scores[np.arange(len(ids)), best]})
+                else:
+                    yield pd.DataFrame({"vec_id": np.repeat(ids, len(labels)), "label": np.tile(labels, len(ids)), "score": scores.ravel()})
+
+        return vectors.select("vec_id", "v").mapInPandas(work, f"vec_id {kinds['vec_id']}, label {kinds['label']}, score double")
+
+    return reduce(DataFrame.unionAll, map(told, range(blocks)))
+
+
+def nearest_label(vectors: DataFrame, centroids: DataFrame, threshold: float = 0.3, block: int = 4096) -> DataFrame:
+    """(vec_id, score, label): each vector's nearest labelled centroid; the label is null under the threshold. Ties go to the smallest label."""
+    told = label_scores(vectors, centroids, True, block)
+    order = W.partitionBy("vec_id").orderBy(F.desc("score"), "label")
+    first = told.withColumn("n", F.row_number().over(order)).where("n = 1")
+    return first.select("vec_id", "score", F.when(F.col("score") >= threshold, F.col("label")).alias("label"))
 
 
 def tags(text: Column, words: dict[str, list[str]]) -> Column:

@@ -56,20 +56,30 @@ def rag_dedupe(s: Star) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("rank"))).where("rank <= 3").select("query", "source", "rank")
 
 
-@register(
-    "vec_nearest",
-    """
+SCORES = """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 ex AS (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS cv FROM ex GROUP BY 1),
 sc AS (SELECT vec_id, c.label, round(coalesce(list_dot_product(v, cv) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(cv, cv)), 0), 0), 6) AS score FROM e, c),
 b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS n FROM sc)
-SELECT vec_id, score, CASE WHEN score >= 0.3 THEN label END AS label FROM b WHERE n = 1""",
-)
-def vec_nearest(s: Star) -> DataFrame:
-    """Centroids are the mean vectors of the labels, a bounded table of labels by dimensions."""
+"""
+
+
+def centroids(s: Star) -> DataFrame:
+    """The mean vector of each label."""
     parts = s.raw("embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).orderBy("label").collect()
-    return text.nearest_label(vectors(s), [(r["label"], [x["m"] for x in r["c"]]) for r in means])
+    packed = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    return packed.select("label", F.transform("c", lambda x: x["m"]).alias("c"))
+
+
+@register("vec_nearest", SCORES + "SELECT vec_id, score, CASE WHEN score >= 0.3 THEN label END AS label FROM b WHERE n = 1")
+def vec_nearest(s: Star) -> DataFrame:
+    return text.nearest_label(vectors(s), centroids(s))
+
+
+@register("vec_label_scores", SCORES + "SELECT vec_id, label, score FROM b")
+def vec_label_scores(s: Star) -> DataFrame:
+    """The score of every label, not of the nearest alone."""
+    return text.label_scores(vectors(s), centroids(s))
 
 
 def _tag_sql(words: list[str]) -> str:
