@@ -28,13 +28,19 @@ RAW = set("script style textarea title iframe noscript".split())
 CHROME = set("nav footer aside form dialog menu".split())
 SPACED = set("td th br".split())
 #: Elements whose class, id or role can mark a whole block; those of paragraphs, headings and inline text say nothing about the page's frame.
-CONTAINERS = set("div section ul ol dl table header details figure fieldset center article".split())
+CONTAINERS = set("div section ul ol dl table header details figure fieldset center".split())
 # Words in class, id or role that hint at what is not the article.
 MARKS = set(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice alert sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead comment comments disqus share sharing social related recommended newsletter subscribe signup login "
+    "breadcrumb breadcrumbs footer masthead comment comments commentlist disqus share sharing social related recommended newsletter subscribe signup login "
     "search popup modal overlay widget toolbar pagination contentinfo complementary skip print".split()
 )
+# Of these, what needs no second opinion: adverts, cookie notices, sidebars and reader comments.
+ADVERTS = set("ad ads advert adverts advertisement sponsor sponsored promo".split())
+COMMENTS = set("comment comments commentlist disqus".split())
+CERTAIN = ADVERTS | COMMENTS | set("cookie cookies consent gdpr sidebar".split())
+# Whole class or id names of an element that is the article; no hint word beside them counts.
+ARTICLES = set("post article entry story hentry article-body article-content entry-content post-body post-content story-body main-content".split())
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?")
 QUOTE_OR_END = re.compile(r"=\s*[\"']|>")
@@ -100,10 +106,16 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _marks(found: dict[str, str]) -> str:
-    """The hint words of an element, in order."""
-    words = {w for k in ("class", "id", "role") for w in PARTS.split(found.get(k, "").lower())}
-    return ".".join(sorted(words & MARKS))
+def _marks(found: dict[str, str], name: str) -> str:
+    """The hint words of an element, in order, after ``a:`` if one of them is certain and ``x:`` otherwise; empty for none.
+
+    Any block can be named an advert; other hints count on containers only.
+    """
+    names = {t for k in ("class", "id", "role") for t in found.get(k, "").lower().split()}
+    if names & ARTICLES:
+        return ""
+    words = {w for t in names for w in PARTS.split(t)} & MARKS if name in CONTAINERS else names & ADVERTS if name in BLOCK else set()
+    return f"{'a' if words & CERTAIN else 'x'}:{name}.{'.'.join(sorted(words))}" if words else ""
 
 
 def _invisible(found: dict[str, str]) -> bool:
@@ -113,15 +125,17 @@ def _invisible(found: dict[str, str]) -> bool:
 def lines_of(html: str | None) -> list[tuple[str, str, str]]:
     """Text lines (kind, text, place) of a page in order, a line for each block.
 
-    kind: ``s`` within a menu, header, footer, form or invisible element, ``x`` within an element whose class, id or role hints at an advert,
-    notice, sidebar, comment and the like, ``c`` within an article or main element, ``o`` elsewhere. place: for ``s`` and ``x`` the element that makes
-    it so. Scripts, styles, controls, comments and the head have no lines.
+    kind: ``s`` within a menu, header, footer, form or invisible element, ``a`` within an advert, cookie notice, sidebar or reader comments by class, id
+    or role, ``x`` within an element whose class, id or role hints at another frame, ``c`` within an article or main element, ``o`` elsewhere. place:
+    for ``s``, ``a`` and ``x`` the element that makes it so. No hint counts for an article or main element, nor for what holds the first of the page; later ones
+    may be reader comments. Scripts, styles, controls, comments and the head have no lines.
     """
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, bool, str, bool]] = []  # name, unseen, place of the frame element, content
     open_names: dict[str, int] = {}
     held: list[str] = []
     none = ("", False, "", False)
+    met = False  # an article or main element
 
     def flush() -> None:
         if held:
@@ -180,8 +194,12 @@ def lines_of(html: str | None) -> list[tuple[str, str, str]]:
             found = _attributes(attributes) if attributes.strip() else {}
             if name in CHROME or name == "header" and not content or found and name != "body" and _invisible(found):
                 place = f"s:{name}"
-            elif found and name in CONTAINERS and (words := _marks(found)):
-                place = f"x:{name}.{words}"
+            elif found:
+                place = _marks(found, name)
+        if name in ("article", "main") and not unseen:
+            if place[:1] in ("a", "x") and not (met and place[0] == "a"):
+                place = ""
+            met = met or not place
         stack.append((name, unseen, place, content or name in ("article", "main")))
         open_names[name] = open_names.get(name, 0) + 1
         if name in RAW:
@@ -255,8 +273,9 @@ def main_text(lines: list, near: list[list[str]], alone: bool = False) -> tuple[
 
     The outline is aligned with that of every near page by longest common subsequence, and what is shared goes: elements that a class word only
     hints at, and plain lines outside an article. A near page that shares over 80 % of the plain text is a copy; its plain lines count for nothing. Lines within
-    an article or main element are never compared, since two articles that share lines are copies; menus, footers, forms and invisible elements go in any case.
-    Plain lines outside the article that no near page shares stay if they hold more text than the article does. ``alone``: with no page to compare with, hinted elements go unseen.
+    an article or main element are never compared, since two articles that share lines are copies; menus, footers, forms, adverts, reader comments and
+    invisible elements go in any case. Where an article or main element has text, plain lines outside it go too. ``alone``: with no page to
+    compare with, hinted elements go unseen, unless nothing else has text: then they hold the article.
     """
     mine = outline(lines)
     keys = [k for k, _ in mine]
@@ -267,9 +286,13 @@ def main_text(lines: list, near: list[list[str]], alone: bool = False) -> tuple[
         if sum(len(lines[n][1]) for n in shared if lines[n][0] == "o") > 0.8 * plain:
             shared = {n for n in shared if lines[n][0] != "o"}
         gone |= shared
-    left = [(k, t) for n, (k, t, _) in enumerate(lines) if n not in gone and k != "s" and not (alone and k == "x")]
-    article, other = (sum(len(t) for k, t in left if k == kind) for kind in "co")
-    return "\n\n".join(t for k, t in left if k != "o" or other > article), len(gone)
+    open_lines = [(n, k, t) for n, (k, t, _) in enumerate(lines) if k not in "sa"]
+    left = [(k, t) for n, k, t in open_lines if n not in gone and not (alone and k == "x")]
+    if any(k == "c" for k, _ in left):
+        left = [(k, t) for k, t in left if k != "o"]
+    elif not left:
+        left = [(k, t) for _, k, t in open_lines if k == "x"]
+    return "\n\n".join(t for _, t in left), len(gone)
 
 
 def _reversed_host(host: Column) -> Column:

@@ -571,8 +571,8 @@ def test_article_text(spark):
     rows = [(1, "http://a.com/x/1", html), (2, "http://a.com/x/2", page("<article><p>other</p></article>")), (3, None, None), (4, "http://b.com/", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract_text(df).collect()}
-    assert got[1].n_chars == len(got[1].text) and got[1].n_deleted > 0  # its one neighbour has neither adverts nor comments
-    assert got[1].text == "buy\n\nA & B\n\none two three\n\nx y\n\nbad"
+    assert got[1].n_chars == len(got[1].text) and got[1].n_deleted > 0  # adverts and comments go though its one neighbour has neither
+    assert got[1].text == "A & B\n\none two three\n\nx y"
     assert got[2].text == "other" and got[3].text == "" and got[4].text == ""
     again = spark.createDataFrame([(i, f"http://a.com/x/{i}", html) for i in range(3)], "page_id long, url string, html string")
     assert {r.text for r in html_text.extract_text(again).collect()} == {"A & B\n\none two three\n\nx y"}
@@ -583,10 +583,31 @@ def test_article_text(spark):
 def test_neighbours_decide_on_hinted_elements():
     lines = html_text.lines_of(page("<article><p class='search-term'>kept</p><div class='share-price'>Price 3</div><p>text</p></article><div class=ad>buy</div>"))
     keys = [k for k, _ in html_text.outline(lines)]
-    assert html_text.main_text(lines, [])[0] == "kept\n\nPrice 3\n\ntext\n\nbuy"
+    assert html_text.main_text(lines, [])[0] == "kept\n\nPrice 3\n\ntext"
+    assert html_text.main_text(lines, [keys])[0] == "kept\n\ntext"
     assert html_text.main_text(lines, [[k for k in keys if k != "x:div.share"]])[0] == "kept\n\nPrice 3\n\ntext"
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<article class="post category-social"><p>told</p></article>', "told"),
+        ('<div class="post related-news-body"><p>told</p></div>', "told"),
+        ('<div class="layout with-sidebar"><article><p>told</p></article></div>', "told"),
+        ('<div class="page has-comments"><main><p>told</p></main></div>', "told"),
+        ('<div class="related-page"><p>told</p></div>', "told"),
+        ('<article><p>told</p></article><ol class="commentlist"><li><article class="comment"><p>bad</p></article></li></ol>', "told"),
+        ('<main><section class="comments"><p>bad</p></section><div class="ad">BUY NOW</div><p class="ad">buy</p><p>told</p></main>', "told"),
+        ("<article><p>a</p></article><div>" + "x" * 2 + "</div>", "a"),
+        ("<article><p>aa</p></article><div>x</div>", "aa"),
+        ("<p>one</p><aside><article><p>teaser</p></article></aside><p>two</p>", "one\n\ntwo"),
+    ],
+)
+@pytest.mark.parametrize("alone", [True, False])
+def test_no_hint_deletes_an_article_and_adverts_and_comments_go(body, text, alone):
+    assert html_text.main_text(html_text.lines_of(page(body)), [], alone)[0] == text
+
+
 @pytest.mark.parametrize(
     "bad", ['<a title="x' * 20_000, "<!" * 50_000, "<div>" * 20_000 + "</section>" * 20_000, "<a b='" * 20_000, "<div>x" * 20_000, "<p " * 50_000]
 )
