@@ -59,15 +59,20 @@ class Grams:
 
 
 class Bits:
-    """A bitmap of keys, two bits each: what it lacks is not among them."""
+    """A bitmap of keys, two bits each: what it lacks is not among them. Tasks make it from its ``words``, since broadcasts carry plain arrays only."""
 
-    def __init__(self, keys: DataFrame, size: int):
-        self.bits = min(MOST_BITS, max(1 << 10, 1 << (16 * size).bit_length()))
-        at = [F.pmod(k, F.lit(self.bits)) for k in (F.col("key"), F.shiftrightunsigned("key", 32))]
-        words = keys.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-        found = words.agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("set")).toArrow()  # at most MOST_BITS / 64 rows
-        self.words = np.zeros(self.bits // 64, np.uint64)
-        self.words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, 64 * len(words)
+
+    @classmethod
+    def of(cls, keys: DataFrame, size: int) -> Bits:
+        bits = min(MOST_BITS, max(1 << 10, 1 << (16 * size).bit_length()))
+        at = [F.pmod(k, F.lit(bits)) for k in (F.col("key"), F.shiftrightunsigned("key", 32))]
+        by_word = keys.select(F.explode(F.array(*at)).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
+        found = by_word.agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("set")).toArrow()  # at most MOST_BITS / 64 rows
+        words = np.zeros(bits // 64, np.uint64)
+        words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+        return cls(words)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -80,10 +85,14 @@ class Bits:
 class Head:
     """The most frequent entries of a table of keys, at most ``most``, in memory; a bitmap of all tells which others there may be.
 
-    Counts fall into sixteen classes an octave, and as many whole classes are held as fit.
+    Counts fall into sixteen classes an octave, and as many whole classes are held as fit. Tasks make it from its ``arrays``.
     """
 
-    def __init__(self, table: DataFrame, value: str, most: int):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: np.ndarray | None):
+        self.keys, self.values, self.rest = keys, values, None if rest is None else Bits(rest)
+
+    @staticmethod
+    def arrays(table: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         kind = F.floor(F.log2("n") * 16)
         size, held = 0, None
         for r in sorted(table.groupBy(kind.alias("kind")).count().collect(), key=lambda r: -r["kind"]):
@@ -92,8 +101,7 @@ class Head:
         chosen = table if size <= most else table.limit(0) if held is None else table.where(kind >= held)
         top = chosen.select("key", value).toArrow()
         order = np.argsort(top["key"].to_numpy())
-        self.keys, self.values = top["key"].to_numpy()[order], top[value].to_numpy()[order]
-        self.rest = Bits(table, size) if size > most else None
+        return top["key"].to_numpy()[order], top[value].to_numpy()[order], Bits.of(table, size).words if size > most else None
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, values, unsure) for each key."""
@@ -134,7 +142,7 @@ def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, made, held = shared.value if shared else None, Grams(), []
+        known, made, held = [Bits(w) for w in shared.value] if shared else [], Grams(), []
 
         def out() -> pa.RecordBatch:
             pairs = np.concatenate(held)
@@ -195,7 +203,7 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 3, least_context:
             sizes = may_be.count(), needed.count()
             if not all(sizes):
                 break
-            shared = docs.sparkSession.sparkContext.broadcast((Bits(may_be, sizes[0]), Bits(needed, sizes[1])))
+            shared = docs.sparkSession.sparkContext.broadcast((Bits.of(may_be, sizes[0]).words, Bits.of(needed, sizes[1]).words))
             grams = cut(_with_key(_counts(texts, length + 1, shared).where(F.col("n") >= least_event)))
             shared.destroy()
             of = may_be.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx"))
@@ -221,11 +229,11 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
     spark, depth = docs.sparkSession, tree.depth
     norm, unknown = tree.norm, math.log10(ADDED / tree.norm)
     with scratch(spark):
-        shared = spark.sparkContext.broadcast((Head(tree.words, "n", most // 4), Head(tree.events, "p", most), Head(tree.contexts, "b", most // 4)))
+        shared = spark.sparkContext.broadcast((Head.arrays(tree.words, "n", most // 4), Head.arrays(tree.events, "p", most), Head.arrays(tree.contexts, "b", most // 4)))
         slim = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, events, contexts = shared.value
+            words, events, contexts = (Head(*arrays) for arrays in shared.value)
             made = Grams()
             for batch in batches:
                 keys, place, sizes = made.of(batch.column(0).to_pylist(), depth + 1)
