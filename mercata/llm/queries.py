@@ -74,6 +74,7 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # its many jobs share no shuffle
     return suffix_tree.lm_scores(_table(spark, sf_dir, "documents"))
 
 

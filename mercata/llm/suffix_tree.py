@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,27 +36,31 @@ class Grams:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
 
-    def of(self, texts: list[bytes | None], longest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """For each length from 1 to ``longest`` the key of the sequence that ends at a token, then the tokens' places in their texts, and the texts' numbers of tokens."""
-        hashes: list[int] = []
-        sizes = []
-        for text in texts:
-            words = (text or b"").lower().split()
-            for w in words:
-                h = self.known.get(w)
-                if h is None:
-                    h = self.known[w] = xxhash.xxh64_intdigest(w)
-                hashes.append(h)
-            hashes.append(END)
-            sizes.append(len(words) + 1)
+    def of(self, texts: pa.Array, longest: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each length from 1 to ``longest`` the key of the sequence that ends at a token, then the tokens' places in their texts, the texts' numbers of
+        tokens, and the keys of the distinct words with the word of each token among them."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        starts = lists.offsets.to_numpy()
+        coded = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        for w in words:
+            if w not in self.known:
+                self.known[w] = xxhash.xxh64_intdigest(w)
+        table = np.array([*map(self.known.__getitem__, words), END], np.uint64).view(np.int64)
         if len(self.known) > 500_000:
             self.known.clear()
-        keys = [np.array(hashes, np.uint64).view(np.int64)]
+        owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+        codes = coded.indices.to_numpy()
+        real = codes != (words.index(b"") if b"" in words else -1)  # spaces at either end leave empty strings
+        codes, owner = codes[real], owner[real]
+        which = np.full(len(codes) + len(texts), len(words), np.int64)
+        which[np.arange(len(codes)) + owner] = codes  # a text's end token follows its words
+        sizes = np.bincount(owner, minlength=len(texts)) + 1
+        keys = [table[which]]
         for _ in range(longest - 1):
             keys.append(np.concatenate((keys[-1][:1], mix(keys[-1][:-1], keys[-1][1:]))))
-        sizes = np.array(sizes, np.int64)
-        place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return keys, place, sizes
+        place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return keys, place, sizes, table, which
 
 
 class Bits:
@@ -138,7 +143,7 @@ class Tree:
 def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
     """(ctx, low, n) of word sequences of ``length``: the keys of all but the last and of all but the first word; at length 1 ctx is 0 and low the word.
 
-    Only sequences whose ctx and low the two bitmaps of the broadcast ``shared`` may hold are counted; they are summed up in each task over many texts before the shuffle.
+    Only sequences whose ctx and low the two bitmaps of the broadcast ``shared`` may hold are counted; each task sums them up over many texts, and no more before the shuffle.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +157,7 @@ def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(n)], ["ctx", "low", "n"])
 
         for batch in batches:
-            keys, place, _ = made.of(batch.column(0).to_pylist(), max(1, length - 1))
+            keys, place, *_ = made.of(batch.column(0), max(1, length - 1))
             if length == 1:
                 held.append(np.stack((np.zeros_like(keys[0]), keys[0]), 1))
             else:
@@ -166,7 +171,7 @@ def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInArrow(work, "ctx long, low long, n long").groupBy("ctx", "low").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(work, "ctx long, low long, n long").repartition("ctx", "low").groupBy("ctx", "low").agg(F.sum("n").alias("n"))
 
 
 def _with_key(counts: DataFrame) -> DataFrame:
@@ -178,7 +183,7 @@ def _with_key(counts: DataFrame) -> DataFrame:
     return counts.select("ctx", "low", "n").mapInArrow(work, "ctx long, low long, n long, key long")
 
 
-def grow(docs: DataFrame, text_col: str = "text", depth: int = 3, least_context: int = 16, least_event: int = 3, strength: float = 1.0) -> Tree:
+def grow(docs: DataFrame, text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 3, strength: float = 1.0) -> Tree:
     """The suffix tree of whole texts, grown by the length of its contexts.
 
     A context is a word sequence within a text that occurs ``least_context`` times or more. It is kept if its suffix is kept and its next words
@@ -187,36 +192,37 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 3, least_context:
     their frequency less ``DISCOUNT``, and spreads what that leaves by its suffix's distribution. The empty context adds ``ADDED`` to each
     word's count and to that of unknown words. So every context's distribution sums up to one.
 
-    All counts are over all rows. Null text is an empty one; no rows give a tree of nothing.
+    All counts are over all rows. Null text is an empty one; no rows give a tree of nothing. The tree's tables stay, or go with the ``scratch`` block around.
     """
-    texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
-    with scratch(docs.sparkSession):
-        words = cut(_counts(texts, 1, None).select(F.col("low").alias("key"), "n"), keep=True)
-        total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        tree = Tree(words, words.limit(0).select("key", F.lit(0.0).alias("p"), "n"), words.limit(0).select("key", F.lit(0.0).alias("b"), "n"), total, distinct, depth)
-        end = np.uint64(END).view(np.int64).item()
-        grams, lower = words, words.select("key", (F.log10((F.col("n") + ADDED) / F.lit(tree.norm))).alias("p"), "n")
-        for length in range(1, depth + 1):
-            may_be = grams.where((F.col("n") >= least_context) & (F.col("key") != end))
-            # the longest contexts need no counts for longer ones, so only sequences whose suffix is in the tree
-            needed = (lower if length == depth else grams).where(F.col("n") >= least_event)
-            sizes = may_be.count(), needed.count()
-            if not all(sizes):
-                break
-            shared = docs.sparkSession.sparkContext.broadcast((Bits.of(may_be, sizes[0]).words, Bits.of(needed, sizes[1]).words))
-            grams = cut(_with_key(_counts(texts, length + 1, shared).where(F.col("n") >= least_event)))
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    words = cut(_counts(texts, 1, None).select(F.col("low").alias("key"), "n"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tree = Tree(words, words.limit(0).select("key", F.lit(0.0).alias("p"), "n"), words.limit(0).select("key", F.lit(0.0).alias("b"), "n"), total, distinct, depth)
+    end = np.uint64(END).view(np.int64).item()
+    grams, lower = words, words.select("key", (F.log10((F.col("n") + ADDED) / F.lit(tree.norm))).alias("p"), "n")
+    for length in range(1, depth + 1):
+        may_be = grams.where((F.col("n") >= least_context) & (F.col("key") != end))
+        # the longest contexts need no counts for longer ones, so only sequences whose suffix is in the tree
+        needed = (lower if length == depth else grams).where(F.col("n") >= least_event)
+        sizes = may_be.count(), needed.count()
+        if not all(sizes):
+            break
+        shared = docs.sparkSession.sparkContext.broadcast((Bits.of(may_be, sizes[0]).words, Bits.of(needed, sizes[1]).words))
+        with scratch(docs.sparkSession):
+            grams = cut(_with_key(_counts(texts, length + 1, shared).where(F.col("n") >= least_event)), keep=True)
             shared.destroy()
             of = may_be.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx"))
             told = cut(grams.join(lower.select(F.col("key").alias("low"), F.pow(F.lit(10.0), "p").alias("p_low")), "low").join(of, "ctx"))
             gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("n_ctx") / F.col("p_low")))
             rest = F.first("n_ctx") - F.sum("n")
             rest_gain = F.when(rest > 0, rest * F.log(rest / F.first("n_ctx") / F.greatest(1 - F.sum("p_low"), F.lit(1e-12)))).otherwise(0.0)
-            tested = told.groupBy("ctx").agg((gain + rest_gain).alias("gain"), ((rest + DISCOUNT * F.count("*")) / F.first("n_ctx")).alias("left"), F.first("n_ctx").alias("n_ctx"))
-            kept = cut(tested.where(F.col("gain") >= strength * math.log(max(total, 2))).select("ctx", "left", "n_ctx"))
+            left = (rest + DISCOUNT * F.count("*")) / F.first("n_ctx")
+            tested = told.groupBy("ctx").agg((gain + rest_gain).alias("gain"), left.alias("left"), F.first("n_ctx").alias("n_ctx"))
+            kept = cut(tested.where(F.col("gain") >= strength * math.log(max(total, 2))).select("ctx", "left", "n_ctx"), keep=True)
             p = (F.col("n") - DISCOUNT) / F.col("n_ctx") + F.col("left") * F.col("p_low")
             lower = cut(told.drop("n_ctx").join(kept, "ctx").select("key", F.log10(p).alias("p"), "n"), keep=True)
-            tree.events = tree.events.unionByName(lower)
-            tree.contexts = tree.contexts.unionByName(cut(kept.select(F.col("ctx").alias("key"), F.log10("left").alias("b"), F.col("n_ctx").alias("n")), keep=True))
+        tree.events = tree.events.unionByName(lower)
+        tree.contexts = tree.contexts.unionByName(kept.select(F.col("ctx").alias("key"), F.log10("left").alias("b"), F.col("n_ctx").alias("n")))
     return tree
 
 
@@ -230,20 +236,21 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
     norm, unknown = tree.norm, math.log10(ADDED / tree.norm)
     with scratch(spark):
         shared = spark.sparkContext.broadcast((Head.arrays(tree.words, "n", most // 4), Head.arrays(tree.events, "p", most), Head.arrays(tree.contexts, "b", most // 4)))
-        slim = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"))
+        slim = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, events, contexts = (Head(*arrays) for arrays in shared.value)
             made = Grams()
             for batch in batches:
-                keys, place, sizes = made.of(batch.column(0).to_pylist(), depth + 1)
-                known, n, open_word = words.find(keys[0])
+                keys, place, sizes, table, which = made.of(batch.column(0), depth + 1)
+                known, n, open_word = (x[which] for x in words.find(table))
+                of_words = contexts.find(table)
                 alone = np.where(known, np.log10((n + ADDED) / norm), unknown)
                 told, on_word = np.zeros(len(place)), np.ones(len(place), bool)  # the score is told, and the empty context's if on_word
                 live, unsure = np.ones(len(place), bool), np.zeros(len(place), bool)
                 for k in range(1, depth + 1):
                     at = np.flatnonzero(live & (place >= k))
-                    kept, left, maybe = contexts.find(keys[k - 1][at - 1])
+                    kept, left, maybe = contexts.find(keys[k - 1][at - 1]) if k > 1 else (x[which[at - 1]] for x in of_words)
                     unsure[at[maybe]] = True
                     live[:] = False
                     live[at[kept]] = True
@@ -314,7 +321,7 @@ def _chained(told: DataFrame, tree: Tree) -> DataFrame:
     return rows.select("row", (F.col("m") * F.col("known")).alias("n_known"), (F.col("m") * F.col("base")).alias("base"), (F.col("m") * F.col("score")).alias("score"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least_context: int = 16, least_event: int = 3, strength: float = 1.0, most: int = 4_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 3, strength: float = 1.0, most: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, by a tree of the texts that are not held out.
 
     Held out are rows whose crc32(id as text) mod 5 is 1; a null id is not. See ``grow`` and ``score`` for nulls, repeats and empty tables. Other columns are not read.
