@@ -13,21 +13,39 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import cut
 
-# Fixed license statements: (family, text). "unknown" are statements of licensing that name no known family.
+# Fixed license statements: (family, text, n-grams that must stand in a paragraph for this statement, n-grams that must not). "unknown" are
+# statements of licensing that name no family of the list, many of them close to one that does.
 TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("unknown", "This work is licensed under the terms given by its authors."),
-    ("unknown", "Released under a license of its own, version 1.0."),
-    ("unknown", "All rights reserved. Use of this file is subject to a separate agreement."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache license", "version 2.0"), ()),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", ("apache license", "version 2.0"), ()),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0", ("spdx-license-identifier apache-2.0",), ()),
+    ("mit", "Released under the MIT License.", ("mit license",), ()),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("permission is", "free of"), ()),
+    ("mit", "SPDX-License-Identifier: MIT", ("spdx-license-identifier mit",), ()),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3.", ("general public", "version 3"), ("lesser", "affero")),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("general public", "version 3"), ("lesser", "affero")),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-only", ("spdx-license-identifier gpl-3.0-only",), ()),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-or-later", ("spdx-license-identifier gpl-3.0-or-later",), ()),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.", ("by-nc 4.0",), ()),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ("attribution-noncommercial 4.0",), ()),
+    ("cc-by-nc-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0", ("spdx-license-identifier cc-by-nc-4.0",), ()),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("binary forms", "conditions are"), ()),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause", ("spdx-license-identifier bsd-3-clause",), ()),
+    ("bsd", "SPDX-License-Identifier: BSD-2-Clause", ("spdx-license-identifier bsd-2-clause",), ()),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla public",), ()),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0", ("spdx-license-identifier mpl-2.0",), ()),
+    ("unknown", "This work is licensed under the terms given by its authors.", (), ()),
+    ("unknown", "Released under a license of its own, version 1.0.", (), ()),
+    ("unknown", "All rights reserved. Use of this file is subject to a separate agreement.", (), ()),
+    ("unknown", "This work is licensed under the GNU General Public License, version 2.", (), ()),
+    ("unknown", "This work is licensed under the GNU Lesser General Public License, version 3.", (), ()),
+    ("unknown", "This work is licensed under the GNU Affero General Public License, version 3.", (), ()),
+    ("unknown", "Licensed under CC BY 4.0.", (), ()),
+    ("unknown", "This work is licensed under a Creative Commons Attribution 4.0 International License.", (), ()),
+    ("unknown", "Distributed under the Boost Software License, Version 1.0.", (), ()),
+    ("unknown", "Licensed under the Eclipse Public License, Version 2.0.", (), ()),
+    ("unknown", "Released under the ISC License.", (), ()),
+    ("unknown", "SPDX-License-Identifier: Unlicense", (), ()),
 )
 MARKER = r"(?i)\blicen[cs](?:e|ed|es|ing)\b"
 #: Wording that puts something under a license, as distinct from a sentence that has a license as its subject.
@@ -85,7 +103,7 @@ class LicenseModel:
     bias: np.ndarray
     temperature: float
     threshold: float
-    shapes: list[tuple[str, list[str]]]  # (family, n-grams) of each template
+    shapes: list[tuple]  # (family, n-grams, n-grams that must be there, n-grams that must not) of each template
 
     def logits(self, found: Column) -> Column:
         """array<double> by family from the distinct n-grams ``found``; only weighted n-grams are looked up."""
@@ -130,7 +148,7 @@ def train(
 ) -> LicenseModel:
     """Fit the classifier on varied templates and on plain paragraphs of at most ``sample_docs`` documents (by a hash of the text).
 
-    Every variant of a template loses about one word in nine and stands between words of a plain paragraph. The temperature
+    Every variant of a family's template loses about one word in nine, but none that tells the family, and stands between words of a plain paragraph. The temperature
     is the one under which a held-out quarter is most likely. N-grams that over ``most_common`` of plain paragraphs hold are no features. An empty table trains on the templates alone.
     """
     spark = docs.sparkSession
@@ -143,23 +161,25 @@ def train(
         .select("p", F.pmod(F.xxhash64("p"), F.lit(variants)).cast("int").alias("v"))
     )
     padding = plain.groupBy("v").agg(F.substring(F.min("p"), 1, 120).alias("pad"))
-    given = spark.createDataFrame([(f, t, i) for i, (f, t) in enumerate(TEMPLATES)], "family string, text string, no int")
+    given = spark.createDataFrame([(f, t, i) for i, (f, t, *_) in enumerate(TEMPLATES)], "family string, text string, no int")
     varied = given.select("family", "text", "no", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("v")).join(padding, "v", "left")
-    kept = F.filter(F.split("text", " "), lambda w, i: (F.pmod(F.xxhash64(w, i, F.col("v")), F.lit(9)) != 0) | (F.col("v") == 0))
+    telling = sorted({w for _, _, own, *_ in TEMPLATES for g in own for w in g.split(" ")})
+    stays = lambda w: F.regexp_extract(F.lower(w), WORD, 0).isin(telling) | (F.col("family") == "unknown") | (F.col("v") == 0)
+    kept = F.filter(F.split("text", " "), lambda w, i: (F.pmod(F.xxhash64(w, i, F.col("v")), F.lit(9)) != 0) | stays(w))
     edge = F.when(F.col("v") % 3 == 0, F.lit("")).otherwise(F.coalesce("pad", F.lit("")))
-    positive = varied.select("family", F.concat_ws(" ", edge, F.array_join(kept, " ")).alias("p"), F.pmod(F.xxhash64("no", "v"), F.lit(4)).alias("fold"))
-    negative = plain.select(F.lit("unknown").alias("family"), "p", F.pmod(F.xxhash64("p", F.lit(1)), F.lit(4)).alias("fold"))
-    shapes = {r["no"]: (r["family"], r["g"]) for r in given.select("no", "family", grams(F.col("text")).alias("g")).collect()}
-    vocabulary = sorted({g for _, gs in shapes.values() for g in gs})
-    families = sorted({f for f, _ in TEMPLATES})
+    positive = varied.select("family", F.concat_ws(" ", edge, F.array_join(kept, " ")).alias("p"), F.pmod(F.xxhash64("no", "v"), F.lit(4)).alias("fold"), F.lit(False).alias("plain"))
+    negative = plain.select(F.lit("unknown").alias("family"), "p", F.pmod(F.xxhash64("p", F.lit(1)), F.lit(4)).alias("fold"), F.lit(True).alias("plain"))
+    shapes = {r["no"]: (r["family"], r["g"], *TEMPLATES[r["no"]][2:]) for r in given.select("no", "family", grams(F.col("text")).alias("g")).collect()}
+    vocabulary = sorted({g for _, gs, *_ in shapes.values() for g in gs})
+    families = sorted({f for f, *_ in TEMPLATES})
     index = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     words = constant(vocabulary, "array<string>")
     rows = cut(
         positive.unionByName(negative)
-        .select(index.cast("double").alias("label"), "fold", grams(F.col("p")).alias("g"))
-        .select("label", "fold", "g", F.transform(words, lambda v: F.array_contains("g", v).cast("double")).alias("x"))
+        .select(index.cast("double").alias("label"), "fold", "plain", grams(F.col("p")).alias("g"))
+        .select("label", "fold", "plain", "g", F.transform(words, lambda v: F.array_contains("g", v).cast("double")).alias("x"))
     )
-    plain_rows = rows.where(F.col("label") == families.index("unknown"))
+    plain_rows = rows.where("plain")
     seen = {r["i"]: r["s"] for r in plain_rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("s")).collect()}
     # words common in plain text are no features: they tell nothing and would make every line a candidate
     kept = [i for i in range(len(vocabulary)) if seen.get(i, 0.0) <= most_common]
@@ -193,7 +213,7 @@ def scan_licenses(
 
     A paragraph is a line, numbered from 0, or a run of lines of which each but the last ends without a stop (``PARAGRAPH_END``): a statement wrapped
     over such lines is reported once, at the first of them, if none of them states a family alone. A family is reported if its calibrated probability reaches the
-    model's threshold and the paragraph holds at least ``confirm`` of the n-grams of one of its templates; a line that puts something
+    model's threshold and the paragraph holds at least ``confirm`` of the n-grams of one of its templates, those that tell it among them and none that tells another license; a line that puts something
     under a license (``STATES``) but fits no family so well, alone or in its run, is ``unknown``; one that only mentions a license gives no row. Null and empty
     texts give no rows, repeated documents each theirs. A word test derived from the weights (``LicenseModel.needed``) spares paragraphs that can't be reported.
     """
@@ -213,10 +233,10 @@ def scan_licenses(
         lambda r: F.struct(F.when(r["f"] == "unknown", -1.0).otherwise(r["pr"]).alias("pr"), r["f"].alias("f")),
     )
     best = scored.withColumn("best", F.array_max(known))
-    shapes = constant([{"f": f, "g": g} for f, g in model.shapes], "array<struct<f:string,g:array<string>>>")
-    like = F.array_max(
-        F.transform(F.filter(shapes, lambda s: s["f"] == F.col("best.f")), lambda s: F.size(F.array_intersect(s["g"], F.col("g"))) / F.size(s["g"]))
-    )
+    shapes = constant([dict(zip("fgyn", (f, g, list(y), list(n)))) for f, g, y, n in model.shapes], "array<struct<f:string,g:array<string>,y:array<string>,n:array<string>>>")
+    held = lambda grams: F.size(F.array_intersect(grams, F.col("g")))
+    tells = lambda s: (s["f"] == F.col("best.f")) & (held(s["y"]) == F.size(s["y"])) & (held(s["n"]) == 0)
+    like = F.coalesce(F.array_max(F.transform(F.filter(shapes, tells), lambda s: held(s["g"]) / F.size(s["g"]))), F.lit(0.0))
     out = best.withColumn("similarity", F.round(like, 4))
     out = out.withColumn("sure", (F.col("best.pr") >= model.threshold) & (F.col("similarity") >= confirm))
     own_run, sure = W.partitionBy("run"), F.col("sure")
