@@ -19,6 +19,8 @@ PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 3
 #: As many terms as an integer can count: nothing is left out of a vocabulary.
 MOST_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
+#: Terms fall into so many buckets by their hash, and buckets into shares of the vocabulary.
+BUCKETS = 1024
 
 
 def _read(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -32,12 +34,16 @@ def _named(lang: str) -> bytes:
     return lang.encode().hex().encode() + b"|"
 
 
+def _bucket(term: bytes) -> int:
+    return zlib.crc32(term) % BUCKETS
+
+
 def condensed(read: DataFrame, least_docs: int, most: int = 500_000) -> DataFrame:
-    """(terms): documents that stand for all others where only ``least_docs`` occurrences in different documents matter.
+    """(bucket, terms): documents that stand for all others where only ``least_docs`` occurrences in different documents matter.
 
     A task counts, for each term of a language, the documents that hold it. One condensed document has all of its terms, one those of two
     documents or more, and so on up to ``least_docs``; so a term stands in as many of them as it had documents there, or in ``least_docs``. Each
-    lists distinct terms, parted by spaces, and may come in several rows.
+    lists distinct terms, parted by spaces, and comes in a row for each bucket.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,11 +52,14 @@ def condensed(read: DataFrame, least_docs: int, most: int = 500_000) -> DataFram
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 named = _named(lang)
-                for level in range(1, least_docs + 1):
-                    terms = [t for t, n in counts.items() if n >= level]
-                    for at in range(0, len(terms), 50_000):
-                        text = named + (b" " + named).join(terms[at : at + 50_000])
-                        yield pa.RecordBatch.from_arrays([pa.array([text], pa.binary()).cast(pa.string())], ["terms"])
+                levels: list[dict[int, list[bytes]]] = [{} for _ in range(least_docs)]
+                for term, n in counts.items():
+                    bucket = _bucket(term)
+                    for level in levels[:n]:
+                        level.setdefault(bucket, []).append(term)
+                rows = [(bucket, named + (b" " + named).join(terms)) for level in levels for bucket, terms in level.items()]
+                buckets, texts = pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([buckets, texts.cast(pa.string())], ["bucket", "terms"])
             held.clear()
 
         for batch in batches:
@@ -62,7 +71,7 @@ def condensed(read: DataFrame, least_docs: int, most: int = 500_000) -> DataFram
                 yield from out()
         yield from out()
 
-    return read.mapInArrow(work, "terms string")
+    return read.mapInArrow(work, "bucket int, terms string")
 
 
 def write_terms(read: DataFrame, shares: int, path: str) -> None:
@@ -80,7 +89,7 @@ def write_terms(read: DataFrame, shares: int, path: str) -> None:
                     for t in found:
                         share = share_of.get(t)
                         if share is None:
-                            share = share_of[t] = zlib.crc32(t) % shares
+                            share = share_of[t] = _bucket(t) % shares
                         parts[share].append(t)
                 for share, terms in enumerate(parts):
                     if terms:
@@ -96,12 +105,12 @@ def write_terms(read: DataFrame, shares: int, path: str) -> None:
     read.mapInArrow(work, "lang string, source string, share int, terms string").write.partitionBy("share").parquet(path)
 
 
-def count_terms(read: DataFrame, groups: DataFrame, least_docs: int = 3, most_terms: int = 600_000) -> tuple[DataFrame, DataFrame]:
+def count_terms(read: DataFrame, groups: DataFrame, least_docs: int = 3, most_terms: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(tid, gid, n): occurrences in each group of the terms that stand in ``least_docs`` documents of their language or more; and (tid, code, term) of those terms.
 
     ``groups`` has (gid, lang, source); code is the language's name in hex. A CountVectorizer learns the vocabulary from condensed documents, so ``least_docs`` is its minDF and
     no vocabSize cuts it; its model makes an exact sparse vector of every document, and the vectors of a group are added up by their non-zero places,
-    in each task first. The vocabulary is parted by hash into shares of about ``most_terms`` terms, which bounds what one model holds on the driver
+    in each task first. The vocabulary is parted by hash into shares of about ``most_terms`` distinct terms, rare ones counted, which bounds what one model holds on the driver
     and broadcasts; each share's terms are written once and read by its own model.
     """
     spark = read.sparkSession
@@ -109,16 +118,13 @@ def count_terms(read: DataFrame, groups: DataFrame, least_docs: int = 3, most_te
     sums, names = [], []
     try:
         condensed(read, least_docs).write.parquet(f"{path}/condensed")
-        split = spark.read.parquet(f"{path}/condensed").select(F.split("terms", " ").alias("terms"))
-        kept = split.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).count()
-        shares = max(1, -(-kept // most_terms))
+        split = spark.read.schema("bucket int, terms string").parquet(f"{path}/condensed").select("bucket", F.split("terms", " ").alias("terms"))
+        distinct = split.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+        shares = min(BUCKETS, max(1, -(-distinct // most_terms)))
         write_terms(read, shares, f"{path}/terms")
         table = spark.read.schema("lang string, source string, terms string, share int").parquet(f"{path}/terms")
         for share in range(shares):
-            own = split
-            if shares > 1:
-                of = lambda t: F.crc32(F.substring_index(t, "|", -1).cast("binary")) % shares == share
-                own = split.select(F.filter("terms", of).alias("terms"))
+            own = split.where(F.col("bucket") % shares == share)
             model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(own)
             docs = table.where(F.col("share") == share).join(groups, ["lang", "source"]).select("gid", F.split("terms", " ").alias("terms"))
             vector = F.unwrap_udt("vector")
@@ -178,7 +184,7 @@ def _pair_values(by_term: DataFrame, groups: DataFrame) -> DataFrame:
     return each.join(summed, ["g1", "g2"], "left").select(F.col("g1").alias("gid"), F.col("g2").alias("other"), (rest + F.coalesce("x", F.lit(0))).cast("long").alias("value"))
 
 
-def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, ranks: int = 200, most_terms: int = 600_000) -> DataFrame:
+def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = 3, ranks: int = 200, most_terms: int = 2_000_000) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from every other of its language (part ``pair``, all ranks), and the terms
     that it has more often than its language (part ``term``, up to ``ranks``).
 
