@@ -95,6 +95,9 @@ class Head:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, rest: np.ndarray | None):
         self.keys, self.values, self.rest = keys, values, None if rest is None else Bits(rest)
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys.view(np.uint64) >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     @staticmethod
     def arrays(table: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -105,22 +108,28 @@ class Head:
             held = r["kind"] if size <= most else held
         chosen = table if size <= most else table.limit(0) if held is None else table.where(kind >= held)
         top = chosen.select("key", value).toArrow()
-        order = np.argsort(top["key"].to_numpy())
+        order = np.argsort(top["key"].to_numpy().view(np.uint64))
         return top["key"].to_numpy()[order], top[value].to_numpy()[order], Bits.of(table, size).words if size > most else None
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, values, unsure) for each key."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), bool)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        found = self.keys[at] == keys
-        unsure = ~found
-        if self.rest is None:
-            unsure[:] = False
-        else:
-            unsure[unsure] = self.rest.has(keys[unsure])
-        return found, self.values[at], unsure
+        """(found, values, unsure) for each key. Keys are hashes, so their leading bits lead to places of one entry or few."""
+        found, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        if len(self.keys):
+            slot = keys.view(np.uint64) >> self.shift
+            at, end = self.starts[slot].astype(np.int64), self.starts[slot + np.uint64(1)]
+            left = np.flatnonzero(at < end)
+            while len(left):
+                here = self.keys[at[left]] == keys[left]
+                found[left[here]] = True
+                left = left[~here]
+                at[left] += 1
+                left = left[at[left] < end[left]]
+            at[~found] = 0
+        unsure = np.zeros(len(keys), bool)
+        if self.rest is not None:
+            missed = np.flatnonzero(~found)
+            unsure[missed] = self.rest.has(keys[missed])
+        return found, self.values[at] if len(self.keys) else np.zeros(len(keys)), unsure
 
 
 @dataclass
@@ -150,22 +159,25 @@ def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
         known, made, held = [Bits(w) for w in shared.value] if shared else [], Grams(), []
 
         def out() -> pa.RecordBatch:
-            pairs = np.concatenate(held)
-            pairs = pairs[np.argsort(mix(pairs[:, 0].copy(), pairs[:, 1].copy()))]  # equal pairs stand together; any that don't are summed up later
+            pairs, n = np.concatenate([p for p, _ in held]), np.concatenate([m for _, m in held])
+            order = np.argsort(mix(pairs[:, 0].copy(), pairs[:, 1].copy()))  # equal pairs stand together; any that don't are summed up later
+            pairs, n = pairs[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))) if len(pairs) else np.empty(0, np.int64)
-            n = np.diff(np.append(first, len(pairs)))
+            n = np.add.reduceat(n, first) if len(first) else n
             return pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), pa.array(pairs[first, 1]), pa.array(n)], ["ctx", "low", "n"])
 
         for batch in batches:
-            keys, place, *_ = made.of(batch.column(0), max(1, length - 1))
+            keys, place, _, table, which = made.of(batch.column(0), max(1, length - 1))
             if length == 1:
-                held.append(np.stack((np.zeros_like(keys[0]), keys[0]), 1))
+                n = np.bincount(which, minlength=len(table))
+                table, n = table[n > 0], n[n > 0]
+                held.append((np.stack((np.zeros_like(table), table), 1), n))
             else:
                 at = np.flatnonzero(place >= length - 1)
                 at = at[known[0].has(keys[-1][at - 1])]
                 at = at[known[1].has(keys[-1][at])]
-                held.append(np.stack((keys[-1][at - 1], keys[-1][at]), 1))
-            if sum(map(len, held)) > 2_000_000:
+                held.append((np.stack((keys[-1][at - 1], keys[-1][at]), 1), np.ones(len(at), np.int64)))
+            if sum(len(n) for _, n in held) > 2_000_000:
                 yield out()
                 held.clear()
         if held:
@@ -183,7 +195,7 @@ def _with_key(counts: DataFrame) -> DataFrame:
     return counts.select("ctx", "low", "n").mapInArrow(work, "ctx long, low long, n long, key long")
 
 
-def grow(docs: DataFrame, text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 3, strength: float = 1.0) -> Tree:
+def grow(docs: DataFrame, text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 4, strength: float = 1.0) -> Tree:
     """The suffix tree of whole texts, grown by the length of its contexts.
 
     A context is a word sequence within a text that occurs ``least_context`` times or more. It is kept if its suffix is kept and its next words
@@ -321,7 +333,7 @@ def _chained(told: DataFrame, tree: Tree) -> DataFrame:
     return rows.select("row", (F.col("m") * F.col("known")).alias("n_known"), (F.col("m") * F.col("base")).alias("base"), (F.col("m") * F.col("score")).alias("score"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 3, strength: float = 1.0, most: int = 4_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 4, strength: float = 1.0, most: int = 4_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text, by a tree of the texts that are not held out.
 
     Held out are rows whose crc32(id as text) mod 5 is 1; a null id is not. See ``grow`` and ``score`` for nulls, repeats and empty tables. Other columns are not read.
