@@ -47,7 +47,7 @@ class Grams:
             if w not in self.known:
                 self.known[w] = xxhash.xxh64_intdigest(w)
         table = np.array([*map(self.known.__getitem__, words), END], np.uint64).view(np.int64)
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         owner = np.repeat(np.arange(len(texts)), np.diff(starts))
         codes = coded.indices.to_numpy()
@@ -93,14 +93,14 @@ class Head:
     Counts fall into sixteen classes an octave, and as many whole classes are held as fit. Tasks make it from its ``arrays``.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: np.ndarray | None):
-        self.keys, self.values, self.rest = keys, values, None if rest is None else Bits(rest)
-        bits = max(1, len(keys).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: np.ndarray):
+        self.keys, self.values, self.rest = keys, values, Bits(rest)
+        bits = max(1, len(keys).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         self.starts = np.searchsorted(keys.view(np.uint64) >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     @staticmethod
-    def arrays(table: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    def arrays(table: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kind = F.floor(F.log2("n") * 16)
         size, held = 0, None
         for r in sorted(table.groupBy(kind.alias("kind")).count().collect(), key=lambda r: -r["kind"]):
@@ -109,7 +109,7 @@ class Head:
         chosen = table if size <= most else table.limit(0) if held is None else table.where(kind >= held)
         top = chosen.select("key", value).toArrow()
         order = np.argsort(top["key"].to_numpy().view(np.uint64))
-        return top["key"].to_numpy()[order], top[value].to_numpy()[order], Bits.of(table, size).words if size > most else None
+        return top["key"].to_numpy()[order], top[value].to_numpy()[order], Bits.of(table, size).words
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, values, unsure) for each key. Keys are hashes, so their leading bits lead to places of one entry or few."""
@@ -125,10 +125,8 @@ class Head:
                 at[left] += 1
                 left = left[at[left] < end[left]]
             at[~found] = 0
-        unsure = np.zeros(len(keys), bool)
-        if self.rest is not None:
-            missed = np.flatnonzero(~found)
-            unsure[missed] = self.rest.has(keys[missed])
+        unsure = ~found
+        unsure[unsure] = self.rest.has(keys[unsure])
         return found, self.values[at] if len(self.keys) else np.zeros(len(keys)), unsure
 
 
@@ -177,7 +175,7 @@ def _counts(texts: DataFrame, length: int, shared) -> DataFrame:
                 at = at[known[0].has(keys[-1][at - 1])]
                 at = at[known[1].has(keys[-1][at])]
                 held.append((np.stack((keys[-1][at - 1], keys[-1][at]), 1), np.ones(len(at), np.int64)))
-            if sum(len(n) for _, n in held) > 2_000_000:
+            if sum(len(n) for _, n in held) > 1_000_000:
                 yield out()
                 held.clear()
         if held:

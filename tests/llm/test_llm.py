@@ -256,7 +256,7 @@ def test_queries_equal_their_sql(spark, key):
     import duckdb
 
     con, sf = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     theirs = con.execute(queries.oracle_sql()[key])
     names = [d[0] for d in theirs.description]
