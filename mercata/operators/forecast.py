@@ -259,12 +259,14 @@ def batch_predict(daily: DataFrame, feats: DataFrame, stats: DataFrame, folder:
     """
     dense = stats.where("is_dense").select(*SERIES)
     training = encode(feats, feats)
-    model = train_model(training.join(dense, SERIES, "left_semi"), **options)
     newest = latest_rows(training).na.drop(subset=FEATURES).join(dense, SERIES, "left_semi")
+    rest = labelled(baseline_forecast(daily, horizons).join(newest.select(*SERIES), SERIES, "left_anti"), "baseline", run)
+    if newest.isEmpty():  # nothing to learn from
+        return rest
+    model = train_model(training.join(dense, SERIES, "left_semi"), **options)
     score = tree_score(trees.ensemble_json(daily.sparkSession, model, folder))
     by_model = recursive_forecast(newest, score, horizons, seed_history=history_arrays(daily))
-    rest = baseline_forecast(daily, horizons).join(newest.select(*SERIES), SERIES, "left_anti")
-    return labelled(by_model, "boosted_trees", run).unionByName(labelled(rest, "baseline", run))
+    return labelled(by_model, "boosted_trees", run).unionByName(rest)
 
 
 def backtest(daily: DataFrame, cutoffs: list[str], forecaster, horizons: int = 28, min_rows: int = 100) -> DataFrame:
