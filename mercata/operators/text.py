@@ -84,55 +84,70 @@ class Search:
     """
 
     SLACK = 2e-6  # scores are compared after rounding to six places
+    PAIRS = 500_000  # scored at once
+    WAITING = 500_000  # hits that wait to be ranked
 
     def __init__(self, queries: np.ndarray, pivots: np.ndarray, fetch: int):
         self.queries, self.pivots, self.fetch = queries, pivots, fetch
-        shown = queries @ pivots.T
-        self.angles = np.arccos(np.clip(shown, -1, 1))
-        self.least = np.sort(shown, 1)[:, -fetch] if len(pivots) >= fetch else np.full(len(queries), -np.inf)
-        self.least = self.least - self.SLACK
+        self.angles = queries @ pivots.T
+        self.least = np.full(len(queries), -np.inf)
+        if len(pivots) >= fetch:
+            for part in self._parts(len(queries), len(pivots)):
+                self.least[part] = np.partition(self.angles[part], -fetch, 1)[:, -fetch] - self.SLACK
+        np.arccos(np.clip(self.angles, -1, 1, out=self.angles), out=self.angles)
         self.no_length = ~queries.any(1)
-        self.pairs = self.skipped = 0
-        self.best = self.waiting = None
+        self.pairs = self.skipped = self.held = 0
+        self.best, self.waiting = None, []
+
+    def _parts(self, n: int, width: int) -> Iterator[slice]:
+        step = max(1, self.PAIRS // max(1, width))
+        return (slice(at, at + step) for at in range(0, n, step))
 
     def show(self, vec_ids: np.ndarray, sources: np.ndarray, vectors: np.ndarray) -> None:
         to_pivots = vectors @ self.pivots.T if len(self.pivots) else np.zeros((len(vectors), 1))
         group = np.where(vectors.any(1), to_pivots.argmax(1), -1)
-        found = []
         for g in np.unique(group):
-            rows = np.flatnonzero(group == g)
+            of_group = np.flatnonzero(group == g)
             asked = np.arange(len(self.queries))
             if g >= 0 and len(self.pivots):
-                away = np.arccos(np.clip(to_pivots[rows, g], -1, 1))
+                away = np.arccos(np.clip(to_pivots[of_group, g], -1, 1))
                 gap = np.maximum(0, np.maximum(self.angles[:, g] - away.max(), away.min() - self.angles[:, g]))
                 asked = np.flatnonzero((np.cos(gap) >= self.least) | self.no_length)
-            self.pairs += len(rows) * len(self.queries)
-            self.skipped += len(rows) * (len(self.queries) - len(asked))
-            scores = np.round(self.queries[asked] @ vectors[rows].T, 6) + 0.0
-            q, r = np.nonzero(scores >= self.least[asked, None])
-            found.append(pd.DataFrame({"q": asked[q], "score": scores[q, r], "vec_id": vec_ids[rows[r]], "source": sources[rows[r]]}))
-        self.waiting = pd.concat([x for x in (self.waiting, *found) if x is not None])
-        if len(self.waiting) > 4 * self.fetch * len(self.queries):
-            self.settle()
-
-    def settle(self) -> pd.DataFrame:
+            self.pairs += len(of_group) * len(self.queries)
+            self.skipped += len(of_group) * (len(self.queries) - len(asked))
+            for few in self._parts(len(of_group), 1000):
+                rows = of_group[few]
+                for part in self._parts(len(asked), len(rows)):
+                    self._score(asked[part], rows, vec_ids, sources, vectors)
+
+    def _score(self, asked: np.ndarray, rows: np.ndarray, vec_ids: np.ndarray, sources: np.ndarray, vectors: np.ndarray) -> None:
+        scores = self.queries[asked] @ vectors[rows].T
+        q, r = np.nonzero(scores >= self.least[asked, None])
+        if len(q):
+            self.waiting.append(pd.DataFrame({"q": asked[q], "score": np.round(scores[q, r], 6) + 0.0, "vec_id": vec_ids[rows[r]], "source": sources[rows[r]]}))
+            self.held += len(q)
+            if self.held > self.WAITING:
+                self.settle()
+
+    def settle(self) -> pd.DataFrame | None:
         """The best so far, once what waits is ranked among it."""
-        if self.waiting is not None:
-            both = pd.concat([x for x in (self.best, self.waiting) if x is not None]).sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
+        if self.waiting:
+            both = pd.concat([*([] if self.best is None else [self.best]), *self.waiting], ignore_index=True)
+            self.waiting, self.held = [], 0
+            both = both.sort_values(["q", "score", "vec_id"], ascending=[True, False, True], ignore_index=True)
             self.best = both[both.groupby("q").cumcount() < self.fetch]
             full = self.best.groupby("q")["score"].agg(["min", "size"])
             full = full[full["size"] == self.fetch]
             self.least[full.index] = np.maximum(self.least[full.index], full["min"] - self.SLACK)
-            self.waiting = None
         return self.best
 
 
-def top_hits(vectors: DataFrame, queries: DataFrame, k: int = 4, fetch: int | None = None, block: int = 50_000, pivots: int = 128) -> DataFrame:
+def top_hits(vectors: DataFrame, queries: DataFrame, k: int = 4, fetch: int | None = None, block: int = 20_000, pivots: int = 128) -> DataFrame:
     """The best ``k`` sources of each query: the best hit of a source among the ``fetch`` nearest vectors counts.
 
     ``queries`` (query, qv) is a stated set, dealt by hash into blocks of about ``block``: one block at a time is held by the driver and the tasks, and searched
     for in one pass over ``vectors`` (vec_id, source, v). Each task keeps the ``fetch`` nearest of a query, so what is shuffled is queries times tasks
-    times ``fetch`` rows. Pairs are skipped by the bounds of ``Search`` from ``pivots`` vectors of the table. Vectors without a direction (see ``units``) score zero.
+    times ``fetch`` rows. A task scores few pairs at once and ranks hits as they come, so it holds a block and its hits however many vectors it sees. Pairs are skipped by the bounds of ``Search`` from ``pivots`` vectors of the table. Vectors without a direction (see ``units``) score zero.
     """
     spark, fetch = vectors.sparkSession, fetch or max(5 * k, 20)
     best = [F.desc("score"), F.col("vec_id")]

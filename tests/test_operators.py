@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -256,6 +257,21 @@ def test_search_is_exact_and_skips_far_groups(spark):
     assert text.top_hits(table.limit(0), queries.limit(0)).count() == 0
 
 
+def test_search_holds_few_hits_at_once():
+    """Many queries against one batch whose vectors nearly all pass the first bounds: what is held does not grow with queries times vectors."""
+    rng = np.random.default_rng(6)
+    unit = text.units(rng.normal(size=(5000, 16)).tolist(), 16)
+    search = text.Search(unit[:3000], unit[:128], 20)
+    tracemalloc.start()
+    search.show(np.arange(5000), np.arange(5000), unit)
+    best, peak = search.settle(), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # 15,000,000 pairs, of which a sixth passes the pivots' own scores
+    scores = np.round(unit[:3000] @ unit.T, 6) + 0.0
+    want = np.sort(scores, 1)[:, -20:][:, ::-1]
+    assert np.abs(best["score"].to_numpy().reshape(3000, 20) - want).max() < 2e-6
+
+
 def test_quota_counts_exactly_sixty_seconds(spark):
     rows = [("a", T(2024, 1, 1, 0, 0, 0), 1), ("a", T(2024, 1, 1, 0, 1, 0), 2), ("b", T(2024, 1, 1, 0, 0, 0), 3), ("b", T(2024, 1, 1, 0, 1, 1), 4)]
     over = logs.over_quota(spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id int"), limit=1, seconds=60).collect()
