@@ -131,6 +131,13 @@ def test_recursion_matches_a_plain_loop(spark):
     assert got == pytest.approx(want)
 
 
+def test_linear_recursion_grows_without_a_cap(spark):
+    latest = fc.latest_rows(series(spark, (40,))).withColumns({"payment_type_te": F.lit(0.0), "category_te": F.lit(0.0)})
+    weights = {c: 0.1 if c == "lag_1" else 1e-9 for c in fc.NUMERIC}
+    got = [r.yhat for r in fc.recursive_forecast(latest, fc.linear_score(52.0, weights), horizons=3).orderBy("horizon").collect()]
+    assert got == [pytest.approx(math.expm1(56.0), rel=1e-5), math.inf, math.inf]
+
+
 def test_tree_recursion_equals_the_model_in_a_loop(spark, tmp_path):
     """Twenty series, twenty-eight days: the fold over the ensemble's nodes against ``transform`` called day by day."""
     rng = random.Random(3)
