@@ -5,6 +5,7 @@ import math
 import random
 import tracemalloc
 from collections import Counter
+from decimal import Decimal as D
 
 import numpy as np
 import pytest
@@ -138,6 +139,15 @@ def test_linear_recursion_grows_without_a_cap(spark):
     assert got == [pytest.approx(math.expm1(56.0), rel=1e-5), math.inf, math.inf]
 
 
+def test_average_price_of_a_day_is_not_rounded(spark):
+    """Three prices whose mean has no end, one order and repeated customers: the double nearest to the mean, and no type columns where none are given."""
+    items = spark.createDataFrame([("1", n, "a", D(p), D("0.50")) for n, p in ((1, "1.00"), (2, "1.00"), (3, "2.00"))], "order_id string, order_item_id int, product_id string, price decimal(18,2), freight_value decimal(18,2)")
+    orders = spark.createDataFrame([("1", "c", dt.date(2018, 1, 1)), ("2", "c", None)], "order_id string, customer_id string, full_date date")
+    customers = spark.createDataFrame([("c", "S")], "customer_id string, customer_state string")
+    got = fc.daily_series(items, orders, customers, spark.createDataFrame([("a",)], "product_id string")).collect()
+    assert [r.asDict() for r in got] == [{"date": dt.date(2018, 1, 1), "product_id": "a", "region_id": "S", "revenue": 5.5, "quantity": 3, "price": 4 / 3}]
+
+
 def test_tree_recursion_equals_the_model_in_a_loop(spark, tmp_path):
     """Twenty series, twenty-eight days: the fold over the ensemble's nodes against ``transform`` called day by day."""
     rng = random.Random(3)

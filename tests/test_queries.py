@@ -51,3 +51,11 @@ def test_same_as_sql(spark, duck, key):
 
 def test_names_without_a_session():
     assert len(registry.queries()) > 200
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("key", ["f_backtest", "f_monitor", "f_recursive_linear"])
+def test_series_are_made_once(spark, key):
+    """What reads the daily series several times reads it written, and builds it from the raw items no second time."""
+    files = registry.queries()[key](spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
