@@ -11,6 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 NODES = "struct<roots:array<int>,depth:int,nodes:array<struct<f:int,t:double,l:int,r:int,v:double>>>"
 
 
+def dealt(rows: DataFrame, task_rows: int = 100_000, few: int = 4) -> DataFrame:
+    """``rows`` over as many partitions as their number asks for, dealt and sorted by their content; those in ``few`` partitions or less stay as they lie, if that is enough.
+
+    Boosting runs two stages for each level of each tree, so on few rows the fixed cost of tasks rules. ``rows`` are counted, so pass a kept table.
+    """
+    wanted, now = -(-rows.count() // task_rows), rows.rdd.getNumPartitions()
+    if wanted <= now <= few:
+        return rows
+    key = F.xxhash64(*rows.columns)
+    return rows.repartition(max(1, wanted), key).sortWithinPartitions(key)
+
+
 def fit_boosted(
     rows: DataFrame, features: str = "features", label: str = "label", held_back: str | None = "held_back", trees: int = 500, depth: int = 10, rate: float = 0.05,
     leaf_rows: int = 100, row_share: float = 0.8, column_share: float = 0.8, tolerance: float = 1e-4, seed: int = 42,

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import threading
 import tracemalloc
 from collections import Counter
 from decimal import Decimal as D
@@ -189,6 +190,28 @@ def test_boosting_stops_by_the_later_part(spark):
     assert fc.train_model(rows, trees=30, depth=3, leaf_rows=10, tolerance=0.01).getNumTrees < 30
 
 
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """Two folds wait for each other, so one after the other would break the barrier; the predictions are read from written tables, each fold's once."""
+    rng, start = random.Random(5), dt.date(2018, 1, 1)
+    names = [*fc.NUMERIC, "revenue", "y"]
+    rows = [(start + dt.timedelta(days=i // 20), "card", "c", *[rng.random() for _ in names]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "date date, payment_type string, product_category_name string, " + ", ".join(f"{c} double" for c in names))
+    both, train = threading.Barrier(2, timeout=60), fc.train_model
+    monkeypatch.setattr(fc, "train_model", lambda *a, **k: (both.wait(), train(*a, **k))[1])
+    made = fc.cross_validate(frame, folds=2, trees=3, depth=2, leaf_rows=10)
+    assert made.inputFiles() and "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.fold: r.n for r in made.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {1: 200, 2: 200}
+
+
+def test_tasks_of_boosting_follow_the_rows(spark):
+    """Many partitions of few rows become few, whichever way the rows lay; none are lost."""
+    rows = spark.range(0, 1000, 1, 16).persist()
+    assert [trees.dealt(rows, n).rdd.getNumPartitions() for n in (100_000, 250, 100)] == [1, 4, 10]
+    assert trees.dealt(rows, 100).rdd.glom().collect() == trees.dealt(rows.repartition(7), 100).rdd.glom().collect()
+    assert trees.dealt(rows, 100).count() == 1000 and trees.dealt(rows.coalesce(3)).rdd.getNumPartitions() == 3
+    rows.unpersist()
+
+
 @pytest.mark.parametrize("kind", ["spread", "ties", "equal", "nulls"])
 def test_prefix_sums_split_equal_values(spark, kind):
     rng = random.Random(6)
