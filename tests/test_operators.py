@@ -149,6 +149,16 @@ def test_average_price_of_a_day_is_not_rounded(spark):
     assert [r.asDict() for r in got] == [{"date": dt.date(2018, 1, 1), "product_id": "a", "region_id": "S", "revenue": 5.5, "quantity": 3, "price": 4 / 3}]
 
 
+def test_primary_payment_needs_no_grouping_of_whole_rows(spark):
+    """Repeated rows and rows that aren't whole change nothing, and the plan groups by the order alone."""
+    rows = [("1", 2, "voucher", D("1.00")), ("1", 1, "card", D("2.00")), ("1", 1, "card", D("2.00")), ("2", 1, None, D("1.00")), ("3", 1, "voucher", None), ("3", 2, "card", D("1.00"))]
+    paid = spark.createDataFrame(rows, "order_id string, payment_sequential int, payment_type string, payment_value decimal(18,2)").withColumn("payment_installments", F.lit(1))
+    first = gold.primary_payment(paid.na.drop())
+    want = gold.agg_order_payments(silver.payment(paid)).select("order_id", "primary_payment_type")
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, want.collect())) == [("1", "card"), ("3", "card")]
+    assert first._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_tree_recursion_equals_the_model_in_a_loop(spark, tmp_path):
     """Twenty series, twenty-eight days: the fold over the ensemble's nodes against ``transform`` called day by day."""
     rng = random.Random(3)
