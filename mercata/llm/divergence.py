@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window, functions as F
@@ -19,8 +20,8 @@ PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 3
 #: As many terms as an integer can count: nothing is left out of a vocabulary.
 MOST_TERMS = 2**31 - 1
 SCALE = 1_000_000_000
-#: Terms fall into so many buckets by their hash, and buckets into shares of the vocabulary.
-BUCKETS = 1024
+#: Terms fall into so many buckets by their hash, and ranges of buckets are shares of the vocabulary.
+BUCKETS = 512
 
 
 def _read(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -38,99 +39,110 @@ def _bucket(term: bytes) -> int:
     return zlib.crc32(term) % BUCKETS
 
 
-def condensed(read: DataFrame, least_docs: int, most: int = 500_000) -> DataFrame:
-    """(bucket, terms): documents that stand for all others where only ``least_docs`` occurrences in different documents matter.
+class _Numbers(dict):
+    """Numbers of terms, in the order of their first occurrence."""
 
-    A task counts, for each term of a language, the documents that hold it. One condensed document has all of its terms, one those of two
-    documents or more, and so on up to ``least_docs``; so a term stands in as many of them as it had documents there, or in ``least_docs``. Each
-    lists distinct terms, parted by spaces, and comes in a row for each bucket.
-    """
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                named = _named(lang)
-                levels: list[dict[int, list[bytes]]] = [{} for _ in range(least_docs)]
-                for term, n in counts.items():
-                    bucket = _bucket(term)
-                    for level in levels[:n]:
-                        level.setdefault(bucket, []).append(term)
-                rows = [(bucket, named + (b" " + named).join(terms)) for level in levels for bucket, terms in level.items()]
-                buckets, texts = pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([buckets, texts.cast(pa.string())], ["bucket", "terms"])
-            held.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if lang not in held:
-                    held[lang] = Counter()
-                held[lang].update(set(text.translate(PLAIN).split()))
-            if sum(map(len, held.values())) > most:
-                yield from out()
-        yield from out()
+def dealt(read: DataFrame, least_docs: int, most: int = 500_000, longest: int = 100_000) -> DataFrame:
+    """(part, bucket, lang, source, terms): every term of every document in part 0, and in parts 1 to ``least_docs`` condensed documents, all dealt out by bucket.
 
-    return read.mapInArrow(work, "bucket int, terms string")
+    In part 0 the documents of a (lang, source) that a task reads stand one after another as a run, each occurrence of a term once, equal terms side by side: counts of runs add
+    up as counts of documents do. A row has the terms of a bucket, at most ``longest`` of them.
 
+    Condensed documents stand for all others of a language where only ``least_docs`` occurrences in different documents matter. A task counts, for each term of a language, the
+    documents that hold it. Part 1 has all of its terms, part 2 those of two documents or more, and so on; so a term stands in as many of them as it had documents there, or in
+    ``least_docs``. Each lists distinct terms.
 
-def write_terms(read: DataFrame, shares: int, path: str) -> None:
-    """Write (lang, source, share, terms) to ``path``, a folder a share of the vocabulary: the terms of every document in order, named and parted by spaces."""
+    Terms are named and parted by spaces. A task holds about ``most`` distinct terms and 16 times as many occurrences at once, and begins anew beyond that.
+    """
+
+    def rows(numbers: dict[str, _Numbers], runs: dict[str, dict[str, list]], held: dict[str, list]) -> Iterator[tuple]:
+        for lang, own in numbers.items():
+            buckets = np.fromiter(map(_bucket, own), np.int32, len(own))
+            order = np.argsort(buckets, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            buckets, named, found = buckets[order], _named(lang), list(own)
+            words = [named + found[i] for i in order.tolist()]
+            docs = np.bincount(np.concatenate(held[lang]), minlength=len(own))[order]
+            lists = [(level, "", np.flatnonzero(docs >= level)) for level in range(1, least_docs + 1)]
+            for part, source, at in itertools.chain(lists, ((0, s, np.sort(place[np.concatenate(ids)])) for s, ids in runs[lang].items())):
+                starts = np.flatnonzero(np.diff(buckets[at], prepend=-1)).tolist()
+                for start, end in zip(starts, [*starts[1:], len(at)]):
+                    for i in range(start, end, longest):
+                        yield part, int(buckets[at[start]]), lang, source, b" ".join([words[w] for w in at[i : min(end, i + longest)].tolist()])
+
+    def batched(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["part", "bucket", "lang", "source", "terms"], [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+        held, size = [], 0
+        for row in itertools.chain(found, [None]):
+            if row is not None:
+                held.append(row)
+                size += len(row[4]) + 100
+            if held and (row is None or size > 4_000_000):
+                *columns, terms = (pa.array(c, kind) for c, kind in zip(zip(*held), kinds))
+                yield pa.RecordBatch.from_arrays([*columns, terms.cast(pa.string())], names)
+                held, size = [], 0
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share_of: dict[bytes, int] = {}
+        numbers, runs, held, distinct, read_so_far = {}, {}, {}, 0, 0
         for batch in batches:
-            langs, sources, numbers, texts = [], [], [], []
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                named = _named(lang)
-                parts = [text.translate(PLAIN).split()]
-                if shares > 1:
-                    found, parts = parts[0], [[] for _ in range(shares)]
-                    for t in found:
-                        share = share_of.get(t)
-                        if share is None:
-                            share = share_of[t] = _bucket(t) % shares
-                        parts[share].append(t)
-                for share, terms in enumerate(parts):
-                    if terms:
-                        langs.append(lang)
-                        sources.append(source)
-                        numbers.append(share)
-                        texts.append(named + (b" " + named).join(terms))
-            if len(share_of) > 500_000:
-                share_of.clear()
-            columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "share", "terms"])
-
-    read.mapInArrow(work, "lang string, source string, share int, terms string").write.partitionBy("share").parquet(path)
+                terms = text.translate(PLAIN).split()
+                if not terms:
+                    continue
+                if lang not in numbers:
+                    numbers[lang], runs[lang], held[lang] = _Numbers(), {}, []
+                own = numbers[lang]
+                distinct -= len(own)
+                ids = np.fromiter(map(own.__getitem__, terms), np.int32, len(terms))
+                distinct += len(own)
+                read_so_far += len(terms)
+                runs[lang].setdefault(source, []).append(ids)
+                held[lang].append(np.unique(ids))
+                if distinct > most or read_so_far > 16 * most:
+                    yield from batched(rows(numbers, runs, held))
+                    numbers, runs, held, distinct, read_so_far = {}, {}, {}, 0, 0
+        yield from batched(rows(numbers, runs, held))
+
+    return read.mapInArrow(work, "part int, bucket int, lang string, source string, terms string")
+
+
+def condensed(read: DataFrame, least_docs: int, most: int = 500_000) -> DataFrame:
+    """(bucket, terms) of the condensed documents alone."""
+    return dealt(read, least_docs, most).where("part > 0").select("bucket", "terms")
 
 
 def count_terms(read: DataFrame, groups: DataFrame, least_docs: int = 3, most_terms: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(tid, gid, n): occurrences in each group of the terms that stand in ``least_docs`` documents of their language or more; and (tid, code, term) of those terms.
 
     ``groups`` has (gid, lang, source); code is the language's name in hex. A CountVectorizer learns the vocabulary from condensed documents, so ``least_docs`` is its minDF and
-    no vocabSize cuts it; its model makes an exact sparse vector of every document, and the vectors of a group are added up by their non-zero places,
-    in each task first. The vocabulary is parted by hash into shares of about ``most_terms`` distinct terms, rare ones counted, which bounds what one model holds on the driver
-    and broadcasts; each share's terms are written once and read by its own model.
+    no vocabSize cuts it; its model counts every occurrence in an exact sparse vector of each run of a group's documents, and the vectors of a group are added up by their
+    non-zero places, in each task first. The vocabulary is parted into shares of about ``most_terms`` distinct terms, rare ones counted, which bounds what one model holds on the
+    driver and broadcasts. Documents are read once; a share is a range of buckets, by which their terms are sorted in small row groups and pages, so that each model reads little but its own share.
     """
     spark = read.sparkSession
     path = f"{shared_folder(spark)}/mercata-terms-{uuid.uuid4().hex}"
     sums, names = [], []
     try:
-        condensed(read, least_docs).write.parquet(f"{path}/condensed")
-        split = spark.read.schema("bucket int, terms string").parquet(f"{path}/condensed").select("bucket", F.split("terms", " ").alias("terms"))
-        distinct = split.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+        small = {"parquet.block.size": 8 << 20, "parquet.page.row.count.limit": 500}
+        dealt(read, least_docs).sortWithinPartitions("part", "bucket").write.options(**small).partitionBy("part").parquet(f"{path}/terms")
+        table = spark.read.schema("bucket int, lang string, source string, terms string, part int").parquet(f"{path}/terms")
+        terms = F.split("terms", " ").alias("terms")
+        distinct = table.where("part = 1").select(F.explode(terms).alias("t")).agg(F.approx_count_distinct("t")).first()[0]
         shares = min(BUCKETS, max(1, -(-distinct // most_terms)))
-        write_terms(read, shares, f"{path}/terms")
-        table = spark.read.schema("lang string, source string, terms string, share int").parquet(f"{path}/terms")
         for share in range(shares):
-            own = split.where(F.col("bucket") % shares == share)
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(own)
-            docs = table.where(F.col("share") == share).join(groups, ["lang", "source"]).select("gid", F.split("terms", " ").alias("terms"))
+            own = table.where((F.col("bucket") >= share * BUCKETS // shares) & (F.col("bucket") < (share + 1) * BUCKETS // shares))
+            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=MOST_TERMS).fit(own.where("part > 0").select(terms))
+            runs = own.where("part = 0").join(groups, ["lang", "source"]).select("gid", terms)
             vector = F.unwrap_udt("vector")
-            places = model.transform(docs).select("gid", F.explode(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))).alias("at"))
+            places = model.transform(runs).select("gid", F.inline(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("x"))))
             tid = lambda c: F.col(c).cast("long") + (share << 32)
-            sums.append(cut(places.groupBy("gid", F.col("at.i").alias("i")).agg(F.sum(F.col("at.x").cast("long")).alias("n")).select(tid("i").alias("tid"), "gid", "n")))
+            sums.append(cut(places.groupBy("gid", "i").agg(F.sum(F.col("x").cast("long")).alias("n")).select(tid("i").alias("tid"), "gid", "n")))
             model.write().save(f"{path}/model-{share}")
             words = spark.read.parquet(f"{path}/model-{share}/data").select(F.posexplode("vocabulary").alias("i", "w"))
             parts = [F.substring_index("w", "|", 1).alias("code"), F.substring_index("w", "|", -1).alias("term")]

@@ -78,6 +78,21 @@ def test_shares_part_the_vocabulary(spark):
         assert {w for w, n in got.items() if n >= 4} == {w for w, n in held.items() if n >= 4}
 
 
+def test_documents_of_a_group_are_counted_as_runs(spark):
+    """The rows to be counted follow groups and buckets, not documents; they hold every occurrence, whatever a task or a row holds at once."""
+    docs = [(("en", "de")[i % 2], f"s{i % 3}", f"the The thé x{i % 7}y, lake" + " z" * (i % 50)) for i in range(2000)] + [("en", "s0", ""), ("en", "s0", "42")]
+    frame = spark.createDataFrame(docs, "lang string, source string, text string").coalesce(1)
+    read = divergence._read(frame, "lang", "source", "text")
+    told = Counter((lang, source, t) for lang, source, text in docs for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.replace("T", "t")))
+    for most, longest in ((500_000, 100_000), (500_000, 30), (5, 100_000)):
+        runs = divergence.dealt(read, 3, most, longest).where("part = 0").collect()
+        assert Counter((r.lang, r.source, t.split("|")[1]) for r in runs for t in r.terms.split(" ")) == told
+        assert all(t.split("|")[0] == r.lang.encode().hex() and divergence._bucket(t.split("|")[1].encode()) == r.bucket for r in runs for t in r.terms.split(" "))
+        assert max(len(r.terms.split(" ")) for r in runs) <= longest
+        if (most, longest) == (500_000, 100_000):
+            assert len(runs) <= len(told) < 50
+
+
 def test_counts_beyond_a_long_when_scaled(spark):
     row = spark.range(1).selectExpr("9000000000000000 AS n", "9500000000000000 AS n_all", "7 AS v").selectExpr(f"{divergence._p('n', 'n_all')} AS p").first()
     assert row.p == 1 + 10**9 * (9 * 10**15 + 1) // (95 * 10**14 + 7)
