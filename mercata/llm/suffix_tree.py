@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,11 @@ from .common import cut, scratch
 DISCOUNT = 0.75
 #: Half a count for every word, and for all unknown ones together.
 ADDED = 0.5
-MOST_BITS = 1 << 27
+MOST_BITS = 1 << 28
+#: Keys of words, contexts and events stand apart in one table by these.
+WORD, CONTEXT, EVENT = 0, 0x5851F42D4C957F2D, 0x14057B7EF767814F
+#: Open keys that one job joins: its shuffle files go before the next one's are written.
+MOST_OPEN = 100_000_000
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -88,31 +93,34 @@ class Bits:
 
 
 class Head:
-    """The most frequent entries of a table of keys, at most ``most``, in memory; a bitmap of all tells which others there may be.
+    """The most frequent entries of a table of keys, at most ``most``, in memory; a bitmap of the others tells which keys may be among them, none if all are held.
 
     Counts fall into sixteen classes an octave, and as many whole classes are held as fit. Tasks make it from its ``arrays``.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: np.ndarray):
-        self.keys, self.values, self.rest = keys, values, Bits(rest)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, rest: np.ndarray | None):
+        self.keys, self.values, self.rest = keys, values, None if rest is None else Bits(rest)
         bits = max(1, len(keys).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         self.starts = np.searchsorted(keys.view(np.uint64) >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     @staticmethod
-    def arrays(table: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(table: DataFrame, value: str, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray | None], DataFrame | None]:
+        """What a head is made from, and the table of the entries that it lacks, if any."""
         kind = F.floor(F.log2("n") * 16)
-        size, held = 0, None
+        size, inside, held = 0, 0, None
         for r in sorted(table.groupBy(kind.alias("kind")).count().collect(), key=lambda r: -r["kind"]):
             size += r["count"]
-            held = r["kind"] if size <= most else held
-        chosen = table if size <= most else table.limit(0) if held is None else table.where(kind >= held)
+            if size <= most:
+                inside, held = size, r["kind"]
+        chosen = table if inside == size else table.limit(0) if held is None else table.where(kind >= held)
+        rest = None if inside == size else table if held is None else table.where(kind < held)
         top = chosen.select("key", value).toArrow()
         order = np.argsort(top["key"].to_numpy().view(np.uint64))
-        return top["key"].to_numpy()[order], top[value].to_numpy()[order], Bits.of(table, size).words
+        return (top["key"].to_numpy()[order], top[value].to_numpy()[order], None if rest is None else Bits.of(rest, size - inside).words), rest
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, values, unsure) for each key. Keys are hashes, so their leading bits lead to places of one entry or few."""
+        """(found, values, unsure) for each key; what is not found has the value 0. Keys are hashes, so their leading bits lead to places of one entry or few."""
         found, at = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         if len(self.keys):
             slot = keys.view(np.uint64) >> self.shift
@@ -125,15 +133,18 @@ class Head:
                 at[left] += 1
                 left = left[at[left] < end[left]]
             at[~found] = 0
-        unsure = ~found
-        unsure[unsure] = self.rest.has(keys[unsure])
-        return found, self.values[at] if len(self.keys) else np.zeros(len(keys)), unsure
+        unsure = ~found & (self.rest is not None)
+        unsure[unsure] = self.rest.has(keys[unsure]) if unsure.any() else False
+        return found, np.where(found, self.values[at], 0) if len(self.keys) else np.zeros(len(keys)), unsure
 
 
 @dataclass
 class Tree:
-    """``words`` (key, n): the training words; ``events`` (key, p, n): log10 probabilities of sequences whose context is kept; ``contexts`` (key, b, n): log10 of what
-    a kept context leaves to its suffix. ``total`` tokens, ``distinct`` words; contexts of up to ``depth`` words."""
+    """``words`` (key, n): the training words; ``contexts`` (key, b, n): log10 of what a kept context leaves to its suffix; ``events`` (key, more, n): sequences
+    whose context is kept, with what the log10 of their probability is more than that of the suffix's sequence and the context's b. ``total`` tokens, ``distinct`` words; contexts of up to ``depth`` words.
+
+    The suffix of a kept context is kept and that of an event is one, so a token's score is its word's plus the b and the more of all its contexts and events, each
+    of which can be looked up by itself."""
 
     words: DataFrame
     events: DataFrame
@@ -207,7 +218,7 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 2, least_context:
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     words = cut(_counts(texts, 1, None).select(F.col("low").alias("key"), "n"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = Tree(words, words.limit(0).select("key", F.lit(0.0).alias("p"), "n"), words.limit(0).select("key", F.lit(0.0).alias("b"), "n"), total, distinct, depth)
+    tree = Tree(words, words.limit(0).select("key", F.lit(0.0).alias("more"), "n"), words.limit(0).select("key", F.lit(0.0).alias("b"), "n"), total, distinct, depth)
     end = np.uint64(END).view(np.int64).item()
     grams, lower = words, words.select("key", (F.log10((F.col("n") + ADDED) / F.lit(tree.norm))).alias("p"), "n")
     for length in range(1, depth + 1):
@@ -229,9 +240,10 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 2, least_context:
             left = (rest + DISCOUNT * F.count("*")) / F.first("n_ctx")
             tested = told.groupBy("ctx").agg((gain + rest_gain).alias("gain"), left.alias("left"), F.first("n_ctx").alias("n_ctx"))
             kept = cut(tested.where(F.col("gain") >= strength * math.log(max(total, 2))).select("ctx", "left", "n_ctx"), keep=True)
-            p = (F.col("n") - DISCOUNT) / F.col("n_ctx") + F.col("left") * F.col("p_low")
-            lower = cut(told.drop("n_ctx").join(kept, "ctx").select("key", F.log10(p).alias("p"), "n"), keep=True)
-        tree.events = tree.events.unionByName(lower)
+            by_suffix = F.col("left") * F.col("p_low")
+            p = (F.col("n") - DISCOUNT) / F.col("n_ctx") + by_suffix
+            lower = cut(told.drop("n_ctx").join(kept, "ctx").select("key", F.log10(p).alias("p"), (F.log10(p) - F.log10(by_suffix)).alias("more"), "n"), keep=True)
+        tree.events = tree.events.unionByName(lower.select("key", "more", "n"))
         tree.contexts = tree.contexts.unionByName(kept.select(F.col("ctx").alias("key"), F.log10("left").alias("b"), F.col("n_ctx").alias("n")))
     return tree
 
@@ -239,13 +251,15 @@ def grow(docs: DataFrame, text_col: str = "text", depth: int = 2, least_context:
 def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000_000) -> DataFrame:
     """(id, n_tokens, n_known, base, score) for every whole text: log10 probabilities of its tokens by the empty context alone, and by the tree.
 
-    A token's state is the longest kept suffix of the words before it in its text. Tasks hold the ``most`` most frequent events, and a quarter as many words and contexts, and bitmaps of all;
-    tokens that need others are joined with the tree's tables. Every row of ``docs`` comes back once; null text is empty, ids may be null or repeat.
+    A token's state is the longest kept suffix of the words before it in its text. Tasks hold the ``most`` most frequent events, and a quarter as many words and contexts, and bitmaps of the
+    others; a key that may be among those is left open, and is looked up in the tree's tables. Every row of ``docs`` comes back once; null text is empty, ids may be null or repeat.
     """
     spark, depth = docs.sparkSession, tree.depth
     norm, unknown = tree.norm, math.log10(ADDED / tree.norm)
     with scratch(spark):
-        shared = spark.sparkContext.broadcast((Head.arrays(tree.words, "n", most // 4), Head.arrays(tree.events, "p", most), Head.arrays(tree.contexts, "b", most // 4)))
+        parts = (tree.words, "n", most // 4), (tree.events, "more", most), (tree.contexts, "b", most // 4)
+        heads, (rare_words, rare_events, rare_contexts) = zip(*[Head.arrays(*part) for part in parts])
+        shared = spark.sparkContext.broadcast(heads)
         slim = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,82 +267,66 @@ def score(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
             made = Grams()
             for batch in batches:
                 keys, place, sizes, table, which = made.of(batch.column(0), depth + 1)
-                known, n, open_word = (x[which] for x in words.find(table))
+                known, n, rare = words.find(table)
                 of_words = contexts.find(table)
-                alone = np.where(known, np.log10((n + ADDED) / norm), unknown)
-                told, on_word = np.zeros(len(place)), np.ones(len(place), bool)  # the score is told, and the empty context's if on_word
-                live, unsure = np.ones(len(place), bool), np.zeros(len(place), bool)
+                alone = np.where(known, np.log10((n + ADDED) / norm), unknown)[which]
+                more, opened = np.zeros(len(place)), []  # what contexts and events add; tokens with the keys that they leave open
+                at, shorter = np.arange(len(place)), np.ones(len(place), bool)  # tokens whose context is or may be kept, whose event of a word less is or may be one
+
+                def leave(tokens: np.ndarray, key: np.ndarray, kind: int) -> None:
+                    opened.append((tokens, key ^ np.int64(kind)))
+
+                rare = np.flatnonzero(rare[which])
+                leave(rare, keys[0][rare], WORD)
                 for k in range(1, depth + 1):
-                    at = np.flatnonzero(live & (place >= k))
-                    kept, left, maybe = contexts.find(keys[k - 1][at - 1]) if k > 1 else (x[which[at - 1]] for x in of_words)
-                    unsure[at[maybe]] = True
-                    live[:] = False
-                    live[at[kept]] = True
-                    at, left = at[kept], left[kept]
-                    seen, p, maybe = events.find(keys[k][at])
-                    unsure[at[maybe]] = True
-                    told[at] = np.where(seen, p, told[at] + left)
-                    on_word[at[seen]] = False
+                    at = at[place[at] >= k]
+                    kept, b, maybe = contexts.find(keys[k - 1][at - 1]) if k > 1 else (x[which[at - 1]] for x in of_words)
+                    more[at] += b
+                    leave(at[maybe], keys[k - 1][at[maybe] - 1], CONTEXT)
+                    at = at[kept | maybe]
+                    asked = at[shorter[at]]
+                    seen, p, maybe = events.find(keys[k][asked])
+                    more[asked] += p
+                    leave(asked[maybe], keys[k][asked[maybe]], EVENT)
+                    shorter[:] = False
+                    shorter[asked[seen | maybe]] = True
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                chained = unsure
-                later = open_word & ~chained
-                sure = ~open_word & ~chained
                 sums = lambda x: np.bincount(owner, x, len(sizes))
-                columns = [
-                    sizes,
-                    sums(known & ~chained).astype(np.int64),
-                    sums(np.where(sure, alone, 0.0)),
-                    sums(np.where(chained, 0.0, told + np.where(sure & on_word, alone, 0.0))),
-                ]
-                chains = [keys[0]]
-                for k in range(1, depth + 1):
-                    within = place >= k
-                    chains += [np.where(within, np.roll(keys[k - 1], 1), 0), np.where(within, keys[k], 0)]
-                lists = []
-                for marked, rows in ((later, [keys[0], on_word.astype(np.int64)]), (chained, chains)):
-                    starts = np.concatenate(([0], np.cumsum(sums(marked)))).astype(np.int32) * len(rows)
-                    lists.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(np.stack([r[marked] for r in rows], 1).ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, columns), *lists], ["row", "id", "n_tokens", "n_known", "base", "score", "later", "chains"])
+                tokens, open_keys = (np.concatenate(x) for x in zip(*opened))
+                by = owner[tokens]
+                starts = np.concatenate(([0], np.cumsum(np.bincount(by, minlength=len(sizes))))).astype(np.int32)
+                open_lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(open_keys[np.argsort(by, kind="stable")]))
+                columns = map(pa.array, (sizes, sums(known[which]).astype(np.int64), sums(alone), sums(alone + more)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns, open_lists], ["row", "id", "n_tokens", "n_known", "base", "score", "open"])
 
         kind = slim.schema["id"].dataType.simpleString()
-        told = cut(slim.mapInArrow(work, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, later array<long>, chains array<long>"), keep=True)
+        told = cut(slim.mapInArrow(work, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, open array<long>"), keep=True)
         shared.destroy()
-        rest = [_later(told, tree)]
-        if not told.where("size(chains) > 0").isEmpty():
-            rest.append(_chained(told, tree))
-        rest = rest[0] if len(rest) == 1 else rest[0].unionByName(rest[1])
-        rest = cut(rest.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("n_known", "base", "score")]), keep=True)
+        asked = told.agg(F.sum(F.size("open"))).first()[0]
+        if not asked:
+            return told.drop("row", "open")
+        of_word = F.log10((F.col("n") + ADDED) / F.lit(norm)) - F.lit(unknown)
+        tables = [
+            rows.select(F.col("key").bitwiseXOR(F.lit(kind)).alias("key"), value.alias("value"), F.lit(kind == WORD).alias("word"))
+            for rows, value, kind in ((rare_words, of_word, WORD), (rare_contexts, F.col("b"), CONTEXT), (rare_events, F.col("more"), EVENT))
+            if rows is not None
+        ]
+        rest = cut(_looked_up(told, reduce(DataFrame.unionByName, tables), asked), keep=True)
     more = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
     return told.join(rest, "row", "left").select("id", "n_tokens", more("n_known"), more("base"), more("score"))
 
 
-def _each(told: DataFrame, column: str, width: int) -> DataFrame:
-    """(row, x): an array of ``width`` values for each token that was left open."""
-    return told.where(f"size({column}) > 0").select("row", F.explode(F.expr(f"transform(sequence(0, size({column}) DIV {width} - 1), i -> slice({column}, i * {width} + 1, {width}))")).alias("x"))
-
-
-def _alone(tree: Tree) -> F.Column:
-    return F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(tree.norm))
-
-
-def _later(told: DataFrame, tree: Tree) -> DataFrame:
-    """Rare words: tokens summed up by row and word, then joined with all words."""
-    rows = _each(told, "later", 2).groupBy("row", F.col("x")[0].alias("key")).agg(F.count("*").alias("m"), F.sum(F.col("x")[1]).alias("m_score"))
-    rows = rows.join(tree.words, "key", "left")
-    return rows.select("row", F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("n_known"), (F.col("m") * _alone(tree)).alias("base"), (F.col("m_score") * _alone(tree)).alias("score"))
-
-
-def _chained(told: DataFrame, tree: Tree) -> DataFrame:
-    """Tokens whose context or event may lie beyond the heads: joined with the tree, length by length."""
-    rows = _each(told, "chains", 2 * tree.depth + 1).groupBy("row", "x").agg(F.count("*").alias("m"))
-    rows = rows.withColumn("key", F.col("x")[0]).join(tree.words, "key", "left")
-    rows = rows.select("row", "x", "m", F.col("n").isNotNull().cast("long").alias("known"), _alone(tree).alias("base"), _alone(tree).alias("score"), F.lit(True).alias("live"))
-    for k in range(1, tree.depth + 1):
-        rows = rows.withColumn("key", F.col("x")[2 * k - 1]).join(tree.contexts.select("key", "b"), "key", "left").drop("key")
-        rows = rows.withColumn("key", F.col("x")[2 * k]).join(tree.events.select("key", "p"), "key", "left").drop("key")
-        live = F.col("live") & F.col("b").isNotNull()
-        rows = rows.select("row", "x", "m", "known", "base", F.when(live, F.coalesce("p", F.col("score") + F.col("b"))).otherwise(F.col("score")).alias("score"), live.alias("live"))
-    return rows.select("row", (F.col("m") * F.col("known")).alias("n_known"), (F.col("m") * F.col("base")).alias("base"), (F.col("m") * F.col("score")).alias("score"))
+def _looked_up(told: DataFrame, table: DataFrame, asked: int) -> DataFrame:
+    """What the open keys of each row that stand in ``table`` add. Keys go slice by slice, so that the shuffle files on disk at a time don't grow with their number ``asked``."""
+    slices = -(-asked // MOST_OPEN)
+    of_slice = lambda rows, i: rows.where(F.pmod(F.shiftrightunsigned("key", 17), F.lit(slices)) == i) if slices > 1 else rows
+    keys = told.where(F.size("open") > 0).select("row", F.explode("open").alias("key"))
+    value = F.when(F.col("word"), F.col("value")).otherwise(0.0)
+    sums = F.count_if("word").alias("more_n_known"), F.sum(value).alias("more_base"), F.sum("value").alias("more_score")
+    found = [of_slice(keys, i).join(of_slice(table, i).hint("shuffle_hash"), "key").groupBy("row").agg(*sums) for i in range(slices)]
+    if slices == 1:
+        return found[0]
+    return reduce(DataFrame.unionByName, [cut(rows) for rows in found]).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more_n_known", "more_base", "more_score")])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, least_context: int = 32, least_event: int = 4, strength: float = 1.0, most: int = 4_000_000) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from mercata.llm import suffix_tree
@@ -116,3 +117,33 @@ def test_empty_and_small_tables(spark):
     only_held_out = spark.createDataFrame([(i, "a b", "", 1) for i in range(40) if held_out(i)], SCHEMA)
     got = suffix_tree.lm_scores(only_held_out).collect()
     assert got and all((r.train_tokens, r.n_tokens, r.n_known, r.base_score, r.score) == (0, 3, 0, 0.0, 0.0) for r in got)
+
+
+def test_a_whole_head_leaves_no_key_open(spark):
+    """Only a bitmap of the entries that a head lacks can leave a key open."""
+    table = spark.range(1, 3001).selectExpr("xxhash64(id) AS key", "3001 - id AS n", "double(id) AS v")
+    held = {r.key: r.v for r in table.collect()}
+    asked = np.array([*held, *np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 300_000)], np.int64)
+    for most in (3000, 1000):
+        arrays, rest = suffix_tree.Head.arrays(table, "v", most)
+        found, values, unsure = suffix_tree.Head(*arrays).find(asked)
+        others = {r.key for r in rest.collect()} if rest else set()
+        assert (most == 3000) == (not others) and len(arrays[0]) + len(others) == 3000
+        assert found.sum() == len(arrays[0]) and all(values[:3000][found[:3000]] == [held[k] for k in asked[:3000][found[:3000]].tolist()])
+        assert unsure[:3000].sum() == len(others) and unsure.sum() <= len(others) + 30_000 * bool(others)
+
+
+def test_an_open_token_costs_one_key_a_question(spark, monkeypatch):
+    """Tiny heads: what is written and joined for a token is the few keys that are in doubt, in slices that bound the shuffle files, and the scores stay."""
+    docs, tables, joined = corpus(2), [], []
+    cut, looked_up = suffix_tree.cut, suffix_tree._looked_up
+    monkeypatch.setattr(suffix_tree, "cut", lambda df, keep=False: tables.append(cut(df, keep)) or tables[-1])
+    monkeypatch.setattr(suffix_tree, "_looked_up", lambda told, table, asked: joined.append((told.selectExpr("sum(n_tokens)").first()[0], asked)) or looked_up(told, table, asked))
+    monkeypatch.setattr(suffix_tree, "MOST_OPEN", 20_000)
+    plain = Plain([t for i, t, *_ in docs if not held_out(i)], 2, 12, 2, 0.5)
+    got = {(r.doc_id, r.n_tokens): r.score for r in suffix_tree.lm_scores(spark.createDataFrame(docs, SCHEMA), depth=2, least_context=12, least_event=2, strength=0.5, most=4).collect()}
+    (tokens_in_all, asked), = joined
+    assert 20_000 < asked <= 5 * tokens_in_all  # a word, and two contexts and events at most
+    assert sum("more_score" in t.columns for t in tables) > 2  # slices
+    for i, text, *_ in docs:
+        assert got[i, len(tokens(text))] == pytest.approx(plain.score(text), rel=1e-9)
