@@ -149,6 +149,17 @@ def test_average_price_of_a_day_is_not_rounded(spark):
     assert [r.asDict() for r in got] == [{"date": dt.date(2018, 1, 1), "product_id": "a", "region_id": "S", "revenue": 5.5, "quantity": 3, "price": 4 / 3}]
 
 
+def test_daily_series_of_all_items(spark):
+    """Items whose order has no date, or is missing, stand on a row of no date and state where all items are asked for, and in no series."""
+    items = spark.createDataFrame([(o, 1, "a", D("1.00"), D("0.50")) for o in "1234"], "order_id string, order_item_id int, product_id string, price decimal(18,2), freight_value decimal(18,2)")
+    orders = spark.createDataFrame([("1", "c", dt.date(2018, 1, 1), "card"), ("2", "c", dt.date(2018, 1, 1), "voucher")], "order_id string, customer_id string, full_date date, primary_payment_type string")
+    customers = spark.createDataFrame([("c", "S")], "customer_id string, customer_state string")
+    whole = lambda *a: {(r.date, r.region_id): (r.revenue, r.quantity, r.payment_type, r.product_category_name) for r in fc.daily_series(items, orders, customers, spark.createDataFrame([("a", "x")], "product_id string, product_category_name string"), *a).collect()}
+    dated = {(dt.date(2018, 1, 1), "S"): (3.0, 2, "card", "x")}
+    assert whole("product_id", True) == dated | {(None, None): (3.0, 2, None, "x")}
+    assert whole() == dated
+
+
 def test_primary_payment_needs_no_grouping_of_whole_rows(spark):
     """Repeated rows and rows that aren't whole change nothing, and the plan groups by the order alone."""
     rows = [("1", 2, "voucher", D("1.00")), ("1", 1, "card", D("2.00")), ("1", 1, "card", D("2.00")), ("2", 1, None, D("1.00")), ("3", 1, "voucher", None), ("3", 2, "card", D("1.00"))]

@@ -59,3 +59,20 @@ def test_series_are_made_once(spark, key):
     """What reads the daily series several times reads it written, and builds it from the raw items no second time."""
     files = registry.queries()[key](spark, SF).inputFiles()
     assert files and not [f for f in files if "lineitem" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_daily_series_leaves_no_item_out(spark, tmp_path):
+    """Orders that are missing or have no date: every item stands in the result, as in the SQL, and with its category."""
+    con = duckdb.connect()
+    for t in ("nation", "region", "customer", "part", "lineitem", "orders"):
+        rows = "SELECT * REPLACE (CASE WHEN o_orderkey % 11 = 3 THEN NULL ELSE o_orderdate END AS o_orderdate) FROM {} WHERE o_orderkey % 7 <> 2" if t == "orders" else "SELECT * FROM {}"
+        con.execute(f"COPY ({rows.format(f"read_parquet('{SF}/{t}.parquet')")}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    df = registry.queries()["f_daily_series"](spark, str(tmp_path))
+    rows, theirs = df.collect(), con.execute(registry.oracle_sql()["f_daily_series"])
+    names = [d[0] for d in theirs.description]
+    assert rows_of(df.columns, [tuple(r) for r in rows]) == rows_of(names, theirs.fetchall())
+    items = con.execute("SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax FROM lineitem)").fetchone()[0]
+    assert sum(r.quantity for r in rows) == items and sum(r.quantity for r in rows if r.date is None) > 100
+    assert all(r.product_category_name for r in rows)
