@@ -17,6 +17,7 @@ from mercata.functions.predicates import capped, dual, pick_column
 from mercata.operators import forecast as fc, gold, layout, logs, marts, silver, sketches, text, trees
 from mercata.operators.cube import cube_query
 from mercata.operators.ordered import exact_quantiles, prefix_sums
+from mercata.plans import forecasting
 from mercata.sources import readers
 from mercata.sources.star import Star
 
@@ -224,6 +225,22 @@ def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     assert {r.fold: r.n for r in made.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {1: 200, 2: 200}
 
 
+def test_cross_validation_tells_means_and_residuals(spark, monkeypatch):
+    """Beside each fold's errors: the plain means of the folds' errors, whatever their rows, and the residuals of all folds together."""
+    rows = [(1, 3, 10.0, 7.0), (2, 5, 10.0, 9.0), (2, 5, 0.0, 0.0), (2, 5, 4.0, 5.0)]
+    monkeypatch.setattr(forecasting, "stored_features", lambda s: None)
+    monkeypatch.setattr(fc, "cross_validate", lambda df, folds: spark.createDataFrame(rows, "fold int, rounds int, y_true double, yhat double"))
+    got = [r.asDict() for r in forecasting.f_cv_metrics(None).collect()]
+    rmse, smape = [3.0, math.sqrt(2 / 3)], [100 * 3 / 8.5, 100 * (1 / 9.5 + 1 / 4.5) / 3]
+    residuals = sorted(y - p for *_, y, p in rows)  # -1, 0, 1, 3
+    assert [(r["fold"], r["rounds"], r["n"]) for r in got] == [(1, 3, 1), (2, 5, 3)]
+    for i, r in enumerate(got):
+        assert (r["rmse"], r["smape"]) == (pytest.approx(rmse[i]), pytest.approx(smape[i]))
+        assert (r["rmse_mean"], r["smape_mean"]) == (pytest.approx(sum(rmse) / 2), pytest.approx(sum(smape) / 2))
+        assert (r["residual_q10"], r["residual_q90"]) == (pytest.approx(-0.7), pytest.approx(2.4))
+        assert (r["residual_mean"], r["residual_std"]) == (pytest.approx(0.75), pytest.approx(math.sqrt(sum((x - 0.75) ** 2 for x in residuals) / 4)))
+
+
 def test_tasks_of_boosting_follow_the_rows(spark):
     """Many partitions of few rows become few, whichever way the rows lay; none are lost."""
     rows = spark.range(0, 1000, 1, 16).persist()
